@@ -341,8 +341,10 @@ def codec_for(model: bytes) -> Codec:
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col`` added, and if named, ``check_col``: whether decoding gives the text back.
 
-    The model (a file of fixed size, read by the driver) travels with the task.
+    The model (a file of fixed size, read by the driver) travels with the task. Columns of these names
+    that are there already are replaced.
     """
+    docs = docs.drop(ids_col, *([check_col] if check_col else []))
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(check_col, T.BooleanType())] if check_col else [])
     schema = T.StructType([*docs.schema.fields, *fields])
     names = docs.columns
@@ -373,7 +375,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``rows`` with ``text_col`` added: the text of the ids; null ids give null."""
+    """``rows`` with ``text_col`` added or replaced: the text of the ids; null ids give null."""
+    rows = rows.drop(text_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())])
     at = rows.columns.index(ids_col)
 

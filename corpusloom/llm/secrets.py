@@ -80,7 +80,7 @@ def _scan_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, max_repos: int = 3) -> DataFrame:
-    """One row a document: ``doc_id`` and ``spans``, an array of (kind, start, end, owners, repos, live) by start and kind.
+    """One row a document: ``doc_id``, ``text_hash`` and ``spans``, an array of (kind, start, end, owners, repos, live) by start and kind.
 
     ``repo_col`` defaults to the id, so that each document counts as a repository. ``live`` holds where
     at most ``max_owners`` owners and ``max_repos`` repositories have the value. Candidates that aren't
@@ -90,6 +90,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("\u0000")).alias("_owner"),
         F.xxhash64(F.col(repo_col or id_col)).alias("_repo"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
         F.pandas_udf(_scan_batches, FOUND)(F.col(text_col)).alias("f"),
     ).withColumn("_row", F.monotonically_increasing_id())
     rows = stash(rows, "secrets")  # the texts are scanned once; the row keys are fixed from here on
@@ -107,7 +108,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     per_row = judged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "owners", "repos", "live"))).alias("spans"))
     none = F.array().cast(per_row.schema["spans"].dataType)
-    return rows.select("_row", "doc_id").join(per_row, "_row", "left").select("doc_id", "_row", F.coalesce("spans", none).alias("spans"))
+    return rows.select("_row", "doc_id", "text_hash").join(per_row, "_row", "left").select("doc_id", "text_hash", F.coalesce("spans", none).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -127,32 +128,29 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        texts = []
-        for text, spans in zip(frame["text"], frame.pop("spans"), strict=True):
-            out, at = [], 0
-            for start, end, live in spans if spans is not None else ():
-                if end <= at:
-                    continue
-                out += [text[at : max(at, start)], "<SECRET>" if live else "<EXAMPLE>"]
-                at = end
-            texts.append(text if not out else "".join([*out, text[at:]]))
-        frame["text"] = texts
-        yield frame
-
-
-def redact(docs: DataFrame, **options) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with every span replaced: live ones by <SECRET>, copied ones by <EXAMPLE>; n_chars follows.
 
-    Takes a table whose ids are unique. Documents without spans pass as they are.
+    Overlapping spans are replaced by the first of them. Documents without spans pass as they are, and a
+    null text stays null. Only rows with spans are rebuilt.
     """
-    spans = find_secrets(docs, **options).where(F.size("spans") > 0)
-    spans = spans.groupBy("doc_id").agg(F.first("spans").alias("spans")).select("doc_id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["live"].alias("live"))).alias("spans"))
-    clean = docs.join(spans.select("doc_id"), "doc_id", "left_anti")
-    schema = docs.schema
-    dirty = docs.join(spans, "doc_id").select(*docs.columns, "spans")
-    fixed = dirty.select(*docs.columns, F.transform("spans", lambda s: F.array(s["start"], s["end"], s["live"].cast("int"))).alias("spans")).mapInPandas(_redact, schema)
+    spans = find_secrets(docs, id_col, text_col, **options).where(F.size("spans") > 0)
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    text = F.col(text_col)
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(state, span):
+        tag = F.when(span["live"], F.lit("<SECRET>")).otherwise(F.lit("<EXAMPLE>"))
+        fresh = span["start"] >= state["at"]
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        out = F.when(fresh, F.concat(state["out"], gap, tag)).otherwise(state["out"])
+        return F.struct(out.alias("out"), F.greatest(state["at"], span["end"].cast("long")).alias("at"))
+
+    built = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
+    cleaned = F.when(F.col("_spans").isNull(), text).otherwise(built)
+    columns = {c: F.col(c) for c in docs.columns} | {text_col: cleaned.alias(text_col)}
+    out = joined.select(*[columns[c].alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType))
-    return clean.unionByName(fixed.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return out
