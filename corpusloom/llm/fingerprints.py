@@ -76,18 +76,24 @@ def successors(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, edited and next_id; one exchange of the texts serves both joins."""
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    """doc_id, text, n_chars, edited and next_id; one exchange of the texts serves both joins.
+
+    Rows without an id have no next document; they lose their last quarter.
+    """
+    every = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = every.where(F.col("doc_id").isNotNull())  # the same rows on both sides, so that Spark reuses their exchange
     sized = rows.select("doc_id", F.floor(F.char_length("text") / 4).cast("int").alias("q"))
     wanted = sized.groupBy("doc_id").agg(F.max("q").alias("q")).join(successors(docs), "doc_id")
     wanted = stash(wanted, "wanted")
     heads = rows.join(wanted.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "q"), "doc_id")
     heads = heads.select("for_id", "doc_id", F.substring("text", F.lit(1), F.col("q")).alias("head"))
     heads = heads.groupBy("for_id").agg(F.min("head").alias("head"), F.first("doc_id").alias("next_id"))
-    both = rows.join(heads, rows.doc_id == heads.for_id, "left")
+    both = rows.join(heads, rows.doc_id == heads.for_id).select("doc_id", "text", "head", "next_id")
+    alone = every.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit("").alias("head"), F.col("doc_id").alias("next_id"))
+    both = both.unionByName(alone)
     n = F.char_length("text")
     q = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring(F.coalesce("head", F.lit("")), F.lit(1), q))
+    edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring("head", F.lit(1), q))
     return both.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_id")
 
 
