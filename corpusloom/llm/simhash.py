@@ -126,7 +126,7 @@ def links(fps: DataFrame, within: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that has a link, by alternating large-star and small-star steps.
+    """(node, root) of every node that has a link and is not its own root, by alternating large-star and small-star steps.
 
     Minima are partial aggregates and the joins that follow are plain equi-joins, so a node with a third
     of all links is split by adaptive execution. Every round is written to the shared folder.
@@ -164,5 +164,6 @@ def near_duplicates(docs: DataFrame, within: int = 2, shingle: int = 3, id_col:
     # only fingerprints with a link need their component's smallest id; the rest have their own
     best = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("least").alias("best"))
     best = stash(best.join(distinct.select(F.col("fp").alias("root"), F.col("least").alias("own")), "root").select("root", F.least("best", "own").alias("best")), "best")
-    named = tied.join(best, "root", "left").select("fp", F.coalesce("best", "least").alias("component_id"))
+    named = stash(tied.join(best, "root", "left").select("fp", F.coalesce("best", "least").alias("component_id")), "named")
+    # both sides are now exchanged for this join, and the rows of a hot fingerprint can be split
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
