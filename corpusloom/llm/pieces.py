@@ -109,7 +109,14 @@ class PieceModel:
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.trie: dict = {}  # by character; the empty key holds the id of the piece that ends here
+        for piece, i in self.ids.items():
+            if self.kind == UNIGRAM or self.reachable(i):
+                node = self.trie
+                for char in piece:
+                    node = node.setdefault(char, {})
+                node[""] = i
 
     # -- BPE: how a piece is made, and whether two pieces stay apart
 
@@ -142,7 +149,7 @@ class PieceModel:
         stage a merge across the seam would have come before what has been undone exactly if its rank is
         better; in a tie of ranks the left one comes first.
         """
-        key = (a, b)
+        key = a << 32 | b
         known = self.fits.get(key)
         if known is not None:
             return known
@@ -170,56 +177,57 @@ class PieceModel:
 
 
 class Stream:
-    """The search over one text, fed by characters; final ids appear in ``out``."""
+    """The search over one text, fed by characters; final ids appear in ``out``.
+
+    A start whose position is reached walks down the trie with each character until no piece goes on; so
+    each position looks only at pieces that do end there. For BPE at most one of them fits.
+    """
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
         self.out = array("i")
+        self._restart()
+
+    def _restart(self) -> None:
         self.window = ""  # characters from the last boundary that all paths share
         self.last: list[tuple[int, int, float] | None] = [(-1, 0, 0.0)]  # for each position of the window: piece, its length, score
-
-    def _arcs_bpe(self, end: int) -> tuple[int, int, float] | None:
-        model, window, last = self.model, self.window, self.last
-        for size in range(min(end, model.longest), 0, -1):
-            i = model.ids.get(window[end - size : end])
-            if i is None:
-                continue
-            before = last[end - size]
-            if before is None or not model.reachable(i):
-                continue
-            if before[0] < 0 or model.apart(before[0], i):
-                return i, size, 0.0
-        return None
-
-    def _arcs_unigram(self, end: int) -> tuple[int, int, float] | None:
-        model, window, last, best = self.model, self.window, self.last, None
-        for size in range(min(end, model.longest), 0, -1):
-            before = last[end - size]
-            if before is None:
-                continue
-            i = model.ids.get(window[end - size : end])
-            if i is not None:
-                score = before[2] + model.scores[i]
-            elif size == 1:
-                i, score = -2, before[2] + model.unknown_score
-            else:
-                continue
-            if best is None or score > best[2]:
-                best = (i, size, score)
-        return best
+        self.walks: list[tuple[int, dict]] = []  # starts in the window and how far down the trie they are
 
     def push(self, char: str) -> None:
-        self.window += char
-        end = len(self.window)
-        found = self._arcs_bpe(end) if self.model.kind == BPE else self._arcs_unigram(end)
-        if self.model.kind == BPE and found is None and char not in self.model.ids:
+        model, last = self.model, self.last
+        end = len(last)
+        bpe = model.kind == BPE
+        if bpe and char not in model.trie:
             # no piece has this character: what came before is final, and the character stands alone
-            self._flush(end - 1)
+            self._emit(end - 1)
             self._raw(char)
-            self.window, self.last = "", [(-1, 0, 0.0)]
+            self._restart()
             return
-        self.last.append(found)
-        if end > self.model.longest:
+        self.window += char
+        if last[-1] is not None:
+            self.walks.append((end - 1, model.trie))
+        walks, found = [], None
+        for start, node in self.walks:  # the longest piece first
+            node = node.get(char)
+            if node is None:
+                continue
+            walks.append((start, node))
+            i = node.get("")
+            if i is None:
+                continue
+            before = last[start]
+            if bpe:
+                if found is None and (before[0] < 0 or model.apart(before[0], i)):
+                    found = (i, end - start, 0.0)
+            elif found is None or before[2] + model.scores[i] > found[2]:
+                found = (i, end - start, before[2] + model.scores[i])
+        if not bpe and last[-1] is not None and char not in model.ids:
+            score = last[-1][2] + model.unknown_score
+            if found is None or score > found[2]:
+                found = (-2, 1, score)
+        self.walks = walks
+        last.append(found)
+        if end > model.longest:
             self._commit()
 
     def _commit(self) -> None:
@@ -235,6 +243,14 @@ class Stream:
         if alive and alive[0] > 0:
             self._cut(alive[0])
 
+    def _cut(self, at: int) -> None:
+        self._emit(at)
+        base = self.last[at][2]
+        first = (self.last[at][0], 0, 0.0)  # the piece before the boundary still decides what may follow
+        self.window = self.window[at:]
+        self.last = [first, *((x[0], x[1], x[2] - base) if x else None for x in self.last[at + 1 :])]
+        self.walks = [(start - at, node) for start, node in self.walks if start >= at]
+
     def _chain(self, end: int) -> list[tuple[int, int]]:
         chain, p = [], end
         while p > 0:
@@ -251,17 +267,6 @@ class Stream:
             else:
                 self.out.append(i)
 
-    def _cut(self, at: int) -> None:
-        self._emit(at)
-        base = self.last[at][2]
-        first = (self.last[at][0], 0, 0.0)  # the piece before the boundary still decides what may follow
-        self.window = self.window[at:]
-        self.last = [first, *((x[0], x[1], x[2] - base) if x else None for x in self.last[at + 1 :])]
-
-    def _flush(self, end: int) -> None:
-        if end > 0:
-            self._emit(end)
-
     def _raw(self, char: str) -> None:
         model = self.model
         if model.bytes_:
@@ -270,20 +275,21 @@ class Stream:
             self.out.append(model.unknown)
 
     def close(self) -> array:
-        self._flush(len(self.window))
-        self.window, self.last = "", [(-1, 0, 0.0)]
+        self._emit(len(self.window))
+        self._restart()
         return self.out
 
 
 class Codec:
-    """Encoder and decoder with a bounded memo of runs between word-start marks."""
+    """Encoder and decoder with a bounded memo of the runs between word-start marks, in two generations."""
 
     RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def __init__(self, data: bytes, memo: int = 400_000, memo_run: int = 64) -> None:
         self.model = PieceModel.parse(data)
-        self.memo: dict[str, array] = {}
-        self.memo_size, self.memo_run = memo, memo_run
+        self.young: dict[str, array] = {}
+        self.old: dict[str, array] = {}
+        self.memo_size, self.memo_run = memo // 2, memo_run
         self.bytes_of = [p.replace(MARK, " ").encode() for p in self.model.pieces]
         for value, i in self.model.bytes_.items():
             self.bytes_of[i] = bytes([value])
@@ -294,26 +300,81 @@ class Codec:
                 self.bytes_of[i] = " ⁇ ".encode()
 
     def _run(self, run: str) -> array:
+        ids = self.old.get(run)
+        if ids is None:
+            short = self.model.kind == BPE and len(run) <= self.memo_run
+            ids = self._short(run) if short else self._stream(run)
+        if len(run) <= self.memo_run:
+            if len(self.young) >= self.memo_size:
+                self.old, self.young = self.young, {}
+            self.young[run] = ids
+        return ids
+
+    def _stream(self, run: str) -> array:
         stream = Stream(self.model)
         for char in run:
             stream.push(char)
         return stream.close()
 
+    def _short(self, run: str) -> array:
+        """The BPE search over a run that is one window: the same walks, with nothing to commit before its end."""
+        model, trie = self.model, self.model.trie
+        fits, apart = model.fits, model.apart
+        out, base = array("i"), 0
+        pieces, starts, walks = [-1], [0], []  # by end: the piece and where it starts
+        for char in run:
+            if char not in trie:
+                out.extend(self._back(pieces, starts, base))
+                out.extend(model.bytes_[b] for b in char.encode("utf-8", "replace")) if model.bytes_ else out.append(model.unknown)
+                base, walks = len(pieces), []
+                pieces.append(-1)
+                starts.append(base)
+                continue
+            here = len(pieces)
+            if pieces[-1] is not None:
+                walks.append((here - 1, trie))
+            on, found, at = [], None, 0
+            for walk in walks:
+                node = walk[1].get(char)
+                if node is not None:
+                    start = walk[0]
+                    on.append((start, node))
+                    if found is None and "" in node:
+                        i, before = node[""], pieces[start]
+                        if before >= 0:
+                            fit = fits.get(before << 32 | i)
+                            if fit is None:
+                                fit = apart(before, i)
+                            if not fit:
+                                continue
+                        found, at = i, start
+            walks = on
+            pieces.append(found)
+            starts.append(at)
+        out.extend(self._back(pieces, starts, base))
+        return out
+
+    @staticmethod
+    def _back(pieces: list, starts: list[int], base: int) -> list[int]:
+        chain, end = [], len(pieces) - 1
+        while end > base:
+            chain.append(pieces[end])
+            end = starts[end]
+        chain.reverse()
+        return chain
+
     def encode(self, text: str) -> array:
         out = array("i")
         if not text:
             return out
         marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        memo, size = self.memo, self.memo_run
+        known, extend = self.young.get, out.extend
         for run in self.RUN.findall(marked):
-            ids = memo.get(run)
+            ids = known(run)
             if ids is None:
                 ids = self._run(run)
-                if len(run) <= size:
-                    if len(memo) >= self.memo_size:
-                        memo.clear()
-                    memo[run] = ids
-            out.extend(ids)
+                known = self.young.get  # a full generation may have been put away
+            extend(ids)
         return out
 
     def decode(self, ids) -> str:
