@@ -285,10 +285,10 @@ class Codec:
 
     RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-    def __init__(self, data: bytes, memo: int = 400_000, memo_run: int = 64) -> None:
+    def __init__(self, data: bytes, memo: int = 1_200_000, memo_run: int = 64) -> None:
         self.model = PieceModel.parse(data)
-        self.young: dict[str, array] = {}
-        self.old: dict[str, array] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.memo_size, self.memo_run = memo // 2, memo_run
         self.bytes_of = [p.replace(MARK, " ").encode() for p in self.model.pieces]
         for value, i in self.model.bytes_.items():
@@ -299,11 +299,11 @@ class Codec:
             elif kind == UNKNOWN:
                 self.bytes_of[i] = " ⁇ ".encode()
 
-    def _run(self, run: str) -> array:
+    def _run(self, run: str) -> bytes:
         ids = self.old.get(run)
         if ids is None:
             short = self.model.kind == BPE and len(run) <= self.memo_run
-            ids = self._short(run) if short else self._stream(run)
+            ids = (self._short(run) if short else self._stream(run)).tobytes()
         if len(run) <= self.memo_run:
             if len(self.young) >= self.memo_size:
                 self.old, self.young = self.young, {}
@@ -317,46 +317,43 @@ class Codec:
         return stream.close()
 
     def _short(self, run: str) -> array:
-        """The BPE search over a run that is one window: the same walks, with nothing to commit before its end."""
+        """The BPE search over a run that is one window: the same arcs, start by start, with nothing to commit before its end."""
         model, trie = self.model, self.model.trie
-        fits, apart = model.fits, model.apart
-        out, base = array("i"), 0
-        pieces, starts, walks = [-1], [0], []  # by end: the piece and where it starts
-        for char in run:
-            if char not in trie:
-                out.extend(self._back(pieces, starts, base))
-                out.extend(model.bytes_[b] for b in char.encode("utf-8", "replace")) if model.bytes_ else out.append(model.unknown)
-                base, walks = len(pieces), []
-                pieces.append(-1)
-                starts.append(base)
+        known, apart = model.fits.get, model.apart
+        out, base, n = array("i"), 0, len(run)
+        pieces, starts = [None] * (n + 1), [0] * (n + 1)  # by end: the piece and where it starts
+        pieces[0] = -1
+        for start in range(n):
+            before = pieces[start]
+            if run[start] not in trie:
+                out.extend(self._back(pieces, starts, base, start))
+                out.extend(model.bytes_[b] for b in run[start].encode("utf-8", "replace")) if model.bytes_ else out.append(model.unknown)
+                base = start + 1
+                pieces[base] = -1
                 continue
-            here = len(pieces)
-            if pieces[-1] is not None:
-                walks.append((here - 1, trie))
-            on, found, at = [], None, 0
-            for walk in walks:
-                node = walk[1].get(char)
-                if node is not None:
-                    start = walk[0]
-                    on.append((start, node))
-                    if found is None and "" in node:
-                        i, before = node[""], pieces[start]
-                        if before >= 0:
-                            fit = fits.get(before << 32 | i)
-                            if fit is None:
-                                fit = apart(before, i)
-                            if not fit:
-                                continue
-                        found, at = i, start
-            walks = on
-            pieces.append(found)
-            starts.append(at)
-        out.extend(self._back(pieces, starts, base))
+            node, end = trie, start
+            for char in run[start:]:
+                node = node.get(char)
+                if node is None:
+                    break
+                end += 1
+                if pieces[end] is not None:
+                    continue
+                i = node.get("")
+                if i is None:
+                    continue
+                if before >= 0:
+                    fit = known(before << 32 | i)
+                    if not (apart(before, i) if fit is None else fit):
+                        continue
+                pieces[end] = i
+                starts[end] = start
+        out.extend(self._back(pieces, starts, base, n))
         return out
 
     @staticmethod
-    def _back(pieces: list, starts: list[int], base: int) -> list[int]:
-        chain, end = [], len(pieces) - 1
+    def _back(pieces: list, starts: list[int], base: int, end: int) -> list[int]:
+        chain = []
         while end > base:
             chain.append(pieces[end])
             end = starts[end]
@@ -368,7 +365,7 @@ class Codec:
         if not text:
             return out
         marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        known, extend = self.young.get, out.extend
+        known, extend = self.young.get, out.frombytes
         for run in self.RUN.findall(marked):
             ids = known(run)
             if ids is None:
