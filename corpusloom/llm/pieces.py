@@ -170,7 +170,7 @@ class PieceModel:
                 undone, left = (self._rank(left), 0), made_left[1]
             else:
                 undone, right = (self._rank(right), 2), made_right[0]
-        if len(self.fits) > 500_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         self.fits[key] = ok
         return ok
@@ -285,7 +285,7 @@ class Codec:
 
     RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-    def __init__(self, data: bytes, memo: int = 1_200_000, memo_run: int = 64) -> None:
+    def __init__(self, data: bytes, memo: int = 600_000, memo_run: int = 64) -> None:
         self.model = PieceModel.parse(data)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -299,15 +299,15 @@ class Codec:
             elif kind == UNKNOWN:
                 self.bytes_of[i] = " ⁇ ".encode()
 
-    def _run(self, run: str) -> bytes:
-        ids = self.old.get(run)
+    def _run(self, key: str, run: str) -> bytes:
+        ids = self.old.get(key)
         if ids is None:
             short = self.model.kind == BPE and len(run) <= self.memo_run
             ids = (self._short(run) if short else self._stream(run)).tobytes()
         if len(run) <= self.memo_run:
             if len(self.young) >= self.memo_size:
                 self.old, self.young = self.young, {}
-            self.young[run] = ids
+            self.young[key] = ids
         return ids
 
     def _stream(self, run: str) -> array:
@@ -364,12 +364,15 @@ class Codec:
         out = array("i")
         if not text:
             return out
-        marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
+        prefix = MARK if self.model.dummy_prefix else ""
+        plain = prefix and MARK not in text and "  " not in text and text[0] != " "
+        # where every mark stands before one word, the word is the key: narrow strings take half the memory
+        keys = text.split(" ") if plain else self.RUN.findall(prefix + text.replace(" ", MARK))
         known, extend = self.young.get, out.frombytes
-        for run in self.RUN.findall(marked):
-            ids = known(run)
+        for key in keys:
+            ids = known(key)
             if ids is None:
-                ids = self._run(run)
+                ids = self._run(key, prefix + key if plain else key)
                 known = self.young.get  # a full generation may have been put away
             extend(ids)
         return out
