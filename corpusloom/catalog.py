@@ -315,7 +315,7 @@ def latin_letters(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", speech.count_of(F.col("text"), speech.LATIN).cast("bigint").alias("latin"))
 
 
-@query("""SELECT item_id, CASE item_id%3 WHEN 0 THEN 'Hindi' WHEN 1 THEN 'Hinglish' ELSE 'English' END FROM benchmark""")
+@query("""SELECT item_id, CASE item_id%3 WHEN 0 THEN 'Hindi' WHEN 1 THEN 'Hinglish' ELSE 'English' END AS lang FROM benchmark""")
 def language_routes(spark, sf_dir):
     k = F.col("item_id") % 3
     q = F.when(k == 0, "मशीन what").when(k == 1, "machine ka manual kya hai").otherwise("How to reset?")

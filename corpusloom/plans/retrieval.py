@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BASELINE_GENERIC
 from ..operators import expand, rank, vocab
+from ..sources.shared import stash
 from .config import RetrievalConfig
 from .questions import question_rows
 
@@ -43,7 +44,8 @@ def retrieve(chunks: DataFrame, questions: list[tuple], config: RetrievalConfig
     """Answer contexts for (query_id, question, query vector) tuples from a chunk table with embeddings.
 
     Embeddings and raw contents are read by the dense stage alone; from there on a query has at most a
-    few hundred rows.
+    few hundred rows. What later stages use several times (the pool, the cut, the ranking) is written
+    once, so that the scan isn't repeated for each use.
     """
     c = config or RetrievalConfig()
     q = question_rows(chunks.sparkSession, questions, BASELINE_GENERIC if generic is None else generic, c.retrieval_query_clean_enabled)
@@ -52,9 +54,9 @@ def retrieve(chunks: DataFrame, questions: list[tuple], config: RetrievalConfig
     columns = ["tenant", "doc_name", "doc_path", "chunk_index", "vector_id", "text", "section_path_str", "page_number", "timestamp", "ingest_mode"]
     present = [x for x in columns if x in chunks.columns]
     base = chunks.select(*present, "embedding", *[F.lit(None).cast("bigint" if x == "page_number" else "string").alias(x) for x in columns if x not in present])
-    pool = rank.dense_topk(base, q.select("query_id", "query_vec"), initial_k)
+    pool = stash(rank.dense_topk(base, q.select("query_id", "query_vec"), initial_k), "pool")
     scored = rank.adjust(rank.fuse(rank.bm25(pool, q), c.bm25_weight, c.rrf_linear_blend), q)
-    cut = rank.cut_and_dedupe(scored, pool_k)
+    cut = stash(rank.cut_and_dedupe(scored, pool_k), "cut")
     take = min(c.mmr_k, pool_k)
     candidates = cut
     if take < pool_k:
@@ -64,7 +66,7 @@ def retrieve(chunks: DataFrame, questions: list[tuple], config: RetrievalConfig
     ranked = rank.hybrid_rerank(candidates, q, c.top_k, c.hybrid_alpha_semantic) if c.hybrid_rerank_enabled else rank.top_fused(candidates, c.top_k)
     if c.restrict_top_document:
         ranked = expand.restrict_to_top_document(expand.scope_to_hint(ranked, q, DOCUMENT_HINTS, c.top_k))
-    ranked = expand.above(ranked, c.min_hybrid_rerank_score)
+    ranked = stash(expand.above(ranked, c.min_hybrid_rerank_score), "ranked")
     rows = expand.chunk_neighbours(ranked, base.drop("embedding"), c.top_doc_chunk_neighbors_before, c.top_doc_chunk_neighbors_after)
     if c.top_doc_section_expand:
         rows = expand.section_mates(rows, base.drop("embedding"))
