@@ -97,8 +97,12 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_id")
 
 
-def compare_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def compare_edits(docs: DataFrame, search_every: int = 50, radius: int = 3) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
+
+    ``n_near``: for ids divisible by ``search_every``, how many documents (itself and copies included)
+    have a fingerprint within the radius, found through the block tables; null for others.
+    """
     keys = ["doc_id", "next_id", "n_chars", "text_hash", "edited_sha256"]
     rows = edited_texts(docs).select("doc_id", "next_id", "n_chars", F.xxhash64("text").alias("text_hash"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited")
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
@@ -107,9 +111,14 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     own = lambda k: F.max(F.when(F.col("kind") == k, F.col("fp")))
     pairs = stash(prints.groupBy(*keys).agg(own(0).alias("fp"), own(1).alias("edited_fp"), F.max("rows").alias("rows")), "prints")
     following = pairs.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
+    asked = pairs.where(F.col("doc_id") % search_every == 0).select(F.col("doc_id").alias("_id"), F.col("fp").alias("query")).distinct()
+    weight = pairs.groupBy("fp").agg(F.sum("rows").alias("n"))
+    found = within_radius(asked.select(F.col("query").alias("fp")), pairs.select("fp"), radius).join(weight, "fp").groupBy("query").agg(F.sum("n").alias("n_near"))
+    near = asked.join(found, "query").withColumnRenamed("query", "_fp")
+    pairs = pairs.join(near, (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left")
     out = pairs.join(following, "next_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     out = out.withColumn("next_fp", F.coalesce("next_fp", "fp"))
-    return out.select("doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_near")
 
 
 def block_tables(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:

@@ -119,6 +119,8 @@ def test_edit_columns(spark, sf, docs):
         a, b, c = (int(x, 16) for x in (mine.fingerprint, mine.edited_fingerprint, got[following.doc_id].fingerprint))
         assert mine.near_edited == 1 - bin(a ^ b).count("1") / 64 and mine.near_next == 1 - bin(a ^ c).count("1") / 64
         assert by_text.setdefault(r.text, mine.fingerprint) == mine.fingerprint
+        near = sum(bin(a ^ int(x.fingerprint, 16)).count("1") <= 3 for x in got.values())
+        assert mine.n_near == (near if r.doc_id % 50 == 0 else None)
     assert np.mean([r.near_edited for r in got.values()]) > 0.7 > 0.6 > np.mean([r.near_next for r in got.values()])
 
 
