@@ -76,15 +76,15 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = 256, ridge: f
         return Model([], np.zeros((DIMS, 0), np.float32))
     sets, langs = [sets[i] for i in use], [langs[i] for i in use]
     names = sorted(set(langs))
-    x, y = matrix(sets), np.array([[1.0 if n == g else -1.0 for n in names] for g in langs])
+    y = np.array([[1.0 if n == g else -1.0 for n in names] for g in langs])
     own = [[i for i, g in enumerate(langs) if g == n] for n in names]
     share = max(1, landmarks // len(names))
     picked = sorted(i for rows in own for i in rows[:: max(1, len(rows) // share)][:share])
-    z = x[picked]
+    z = matrix([sets[i] for i in picked])
     k = (z @ z.T).astype(float)
     values, vectors = np.linalg.eigh(k + 1e-6 * np.eye(len(k)))
     root = vectors / np.sqrt(np.maximum(values, 1e-8))  # K^(-1/2) up to a rotation
-    phi = (x @ z.T).astype(float) @ root
+    phi = np.concatenate([(matrix(sets[at : at + 256]) @ z.T).astype(float) @ root for at in range(0, len(sets), 256)])
     balance = np.array([1 / len(own[names.index(g)]) for g in langs]) * len(langs) / len(names)
     left = (phi * balance[:, None]).T @ phi + ridge * len(phi) * np.eye(phi.shape[1]) / len(names)
     w = np.linalg.solve(left, (phi * balance[:, None]).T @ y)
@@ -96,17 +96,19 @@ def _presences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([presence(t) for t in texts])
 
 
-def train(docs: DataFrame, per_lang: int = 256, max_langs: int = 400, **options) -> Model:
-    """Fit on up to ``per_lang`` documents of each language: from each of so many hash buckets the one that hashes lowest.
+def train(docs: DataFrame, per_lang: int = 256, max_langs: int = 400, sample: int = 8192, **options) -> Model:
+    """Fit on up to ``per_lang`` documents of each language, and about ``sample`` in all.
 
-    At most ``max_langs`` languages are learned, those with the most rows, so that the driver's sample
-    (``per_lang * max_langs`` sets of at most DIMS places) and the broadcast of its ids are bounded.
+    A language's documents fall into that many hash buckets; of each the one that hashes lowest is drawn.
+    At most ``max_langs`` languages are learned, those with the most rows. So the driver's sample (sets of
+    at most DIMS places) and the broadcast of its ids are bounded.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", order.alias("_h"))
-    by_bucket = usable.groupBy("lang", F.pmod("_h", F.lit(per_lang)).alias("_b")).agg(F.min_by("doc_id", F.struct("_h", "doc_id")).alias("doc_id"), F.count("*").alias("n"))
-    frequent = by_bucket.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    drawn = by_bucket.join(F.broadcast(frequent), "lang").select("doc_id", "lang")
+    langs = [r.lang for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    share = max(1, min(per_lang, sample // max(1, len(langs))))
+    by_bucket = usable.where(F.col("lang").isin(langs)).groupBy("lang", F.pmod("_h", F.lit(share)).alias("_b"))
+    drawn = by_bucket.agg(F.min_by("doc_id", F.struct("_h", "doc_id")).alias("doc_id")).select("doc_id", "lang")
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     rows = texts.select("doc_id", "lang", F.pandas_udf(_presences, "array<int>")("text").alias("places")).orderBy("lang", "doc_id").toLocalIterator()
     sets, langs = [], []

@@ -80,15 +80,6 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return given
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> list[dict]:
-    """Size and target of each source, in code-point order with null last."""
-    found = sizes.collect()
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
-    total = sum(r.source_size for r in found)
-    goal = water_fill([r.source_size for r in found], [weights[i % len(weights)] for i in range(len(found))], share * total, most)
-    return [{"source": r.source, "source_size": r.source_size, "target": t} for r, t in zip(found, goal, strict=True)]
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_tokens: int = 16, shards: int = 64, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, size, source, source_size, target, taken, and the columns in ``keep``.
 
