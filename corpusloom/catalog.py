@@ -729,3 +729,218 @@ def novel_items(spark, sf_dir):
     context = F.lit("1. open lid\n2. press the start button\n3. wait for lamp")
     new = F.when(F.col("item_id") % 2 == 0, "1. press the start button\n2. check zinc valve").otherwise("1. open lid\n2. wait for lamp")
     return read_table(spark, sf_dir, "benchmark").select("item_id", answers.novel_items(new, context).alias("novel"))
+
+
+# ---------------------------------------------------------------- rerank, scope, context
+
+
+RERANK_DOC = f"""f_terms AS (SELECT ['valve','pump','onen'] AS qt), f_tk AS (SELECT vector_id, text, fused, list_filter(list_transform(list_filter(regexp_extract_all(lower(text),'[a-z0-9]+'), lambda x: NOT list_contains({_stops(X.OVERLAP_STOPS)}, x)), lambda t: {_stem_sql('t')}), lambda x: length(x)>=2) AS toks,
+length(regexp_replace(text,'^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$','','g')) AS n FROM f_fused),
+f_re AS (SELECT vector_id, (0.3*(CASE WHEN max(fused) OVER ()>min(fused) OVER () THEN (fused-min(fused) OVER ())/(max(fused) OVER ()-min(fused) OVER ()) ELSE 1 END)+0.7*0.65*len(list_intersect(qt, list_distinct(toks)))/3)
+*(CASE WHEN n<60 THEN 0.35 WHEN n<120 THEN 0.55 WHEN n<180 THEN 0.85 ELSE 1.0 END)*(CASE WHEN n<80 THEN 0.55 ELSE 1.0 END) AS score FROM f_tk, f_terms)"""
+
+
+def _rerank(spark, sf_dir, top_k):
+    q, pool = dense_pool(spark, sf_dir)
+    facts = q.select("query_id").withColumn("terms", X.words(("valve", "pump"))).withColumn("phrases", X.words(("valve pump",))).withColumn("has_focus", F.lit(False)).withColumn("rerank_terms", X.words(("valve", "pump", "onen")))
+    fused = rank.fuse(rank.bm25(pool, q)).withColumn("section_path_str", F.lit(""))
+    return rank.hybrid_rerank(fused.drop("embedding"), facts, top_k)
+
+
+@query(f"WITH {fx.VECTORS}, {DENSE}, {POOL}, {BM25}, {RRF}, {MINMAX}, {RERANK_DOC} SELECT vector_id, round(score,6) AS score FROM f_re ORDER BY score DESC, vector_id LIMIT 20")
+def hybrid_rerank(spark, sf_dir):
+    return _rerank(spark, sf_dir, 20).select("vector_id", r6("score").alias("score"))
+
+
+@query(f"WITH {fx.VECTORS}, {DENSE}, {POOL}, {BM25}, {RRF}, {MINMAX}, {RERANK_DOC} SELECT vector_id FROM (SELECT * FROM f_re ORDER BY score DESC, vector_id LIMIT 20) WHERE score >= 0.3")
+def score_threshold(spark, sf_dir):
+    return expand.above(_rerank(spark, sf_dir, 20), 0.3).select("vector_id")
+
+
+@query(f"WITH {fx.VECTORS}, {DENSE}, {POOL}, {BM25}, {RRF}, {MINMAX} SELECT vector_id, round(fused,6) AS score, row_number() OVER (ORDER BY fused DESC, vector_id) AS rank FROM f_fused QUALIFY rank <= 10")
+def top_fused(spark, sf_dir):
+    q, pool = dense_pool(spark, sf_dir)
+    return rank.top_fused(rank.fuse(rank.bm25(pool, q)), 10).select("vector_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT doc_id AS query_id, CASE WHEN length(text)<=1500 THEN 1.0 WHEN f92<=1500 THEN 0.92 WHEN f85<=1500 THEN 0.85 WHEN f75<=1500 THEN 0.75 WHEN f65<=1500 THEN 0.65 ELSE 0.55 END::DOUBLE AS factor FROM (SELECT *, least(length(text),greatest(200,floor(length(text)*0.92::DOUBLE))) AS f92, least(length(text),greatest(200,floor(length(text)*0.85::DOUBLE))) AS f85, least(length(text),greatest(200,floor(length(text)*0.75::DOUBLE))) AS f75, least(length(text),greatest(200,floor(length(text)*0.65::DOUBLE))) AS f65 FROM documents)")
+def shrink_factors(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "text")
+    return expand.shrink_to_fit(rows, 1500).select("query_id", "factor")
+
+
+@query("SELECT doc_id AS query_id, count(*) AS pages FROM (SELECT DISTINCT doc_id, i//3 AS p FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents), unnest(generate_series(0, len(parts)-1)) t(i)) GROUP BY doc_id")
+def context_pages(spark, sf_dir):
+    """Distinct pages of each context."""
+    return fx.chunks(spark, sf_dir).groupBy(F.col("doc_id").alias("query_id")).agg(F.size(F.array_sort(F.collect_set("page_number"))).cast("bigint").alias("pages"))
+
+
+@query("""SELECT doc_id AS query_id, CASE WHEN doc_id%3=0 THEN sum(CASE WHEN length(t)>=80 THEN length(t) ELSE 0 END)>=120 ELSE FALSE END AS override FROM
+(SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))),'^[\\s\\p{Z}]+|[\\s\\p{Z}]+$','','g') AS t FROM documents WHERE NOT contains(text,'#')) GROUP BY doc_id""")
+def domain_override(spark, sf_dir):
+    rows = fx.chunks(spark, sf_dir).join(docs_of(spark, sf_dir).where(~F.contains("text", F.lit("#"))).select("doc_id"), "doc_id", "left_semi")
+    rows = rows.withColumn("query_id", F.col("doc_id")).withColumn("ingest_mode", F.when(F.col("doc_id") % 3 == 0, "video_transcript"))
+    return expand.domain_override(rows)
+
+
+@query("SELECT doc_id AS query_id, 'From doc_'||doc_id||' (page 1): '||left(t,420)||CASE WHEN length(t)>420 THEN '…' ELSE '' END AS answer FROM (SELECT doc_id, regexp_replace(text,'^[\\s\\p{Z}]+|[\\s\\p{Z}]+$','','g') AS t FROM documents) WHERE t<>''")
+def fallback_answers(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.lit(1).alias("position"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_name"), F.lit(1).alias("page_number"), F.lit("").alias("section_path_str"), X.pystrip(F.col("text")).alias("text"))
+    return expand.fallback_answer(rows.where("text <> ''"))
+
+
+# ---------------------------------------------------------------- more text
+
+
+@query("SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w,b.w))/len(list_distinct(a.w||b.w)),6) AS j FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text),'[ \\t\\n\\r\\f\\v]+'), lambda x: x<>'')) AS w FROM documents) a JOIN (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text),'[ \\t\\n\\r\\f\\v]+'), lambda x: x<>'')) AS w FROM documents) b ON b.doc_id=a.doc_id+1 WHERE len(a.w)>0 AND len(b.w)>0")
+def neighbour_jaccard(spark, sf_dir):
+    """Word overlap of each document with the next one."""
+    a, b = docs_of(spark, sf_dir).select(F.col("doc_id").alias("a"), F.col("text").alias("x")), docs_of(spark, sf_dir).select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    rows = a.join(b, F.col("b") == F.col("a") + 1).where(F.rlike("x", F.lit(r"\S")) & F.rlike("y", F.lit(r"\S")))
+    return rows.select("a", "b", r6(X.word_jaccard(F.col("x"), F.col("y"))).alias("j"))
+
+
+@query(f"SELECT doc_id, section, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(section)),'^#+\\s*',''),'^[ivxlc]+\\.\\s*',''),'[^a-z0-9\\s]',' ','g'),'\\s+',' ','g')) AS norm FROM ({SECTIONS})")
+def normalized_sections(spark, sf_dir):
+    return sections(spark, sf_dir).select("doc_id", "section", X.normalize_section(F.col("section")).alias("norm"))
+
+
+@query("SELECT url, regexp_extract(url,'[^/\\\\]*$') AS base, NOT contains(regexp_extract(url,'[^/\\\\]*$'),'.') AS plain FROM pages")
+def base_names(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "pages").select("url", X.base_name(F.col("url")).alias("base"))
+    return rows.withColumn("plain", ~F.contains("base", F.lit(".")))
+
+
+@query("SELECT url, rtrim(replace(replace(to_base64(encode(url)),'+','-'),'/','_'),'=') AS fid, url AS back FROM pages")
+def file_ids(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "pages").select("url", X.file_id(F.col("url")).alias("fid"))
+    return rows.withColumn("back", X.path_of(F.col("fid")))
+
+
+@query("SELECT item_id, item_id%5 IN (0,1,3,4) AS bad FROM benchmark")
+def bad_captions(spark, sf_dir):
+    k = F.col("item_id") % 5
+    caption = F.when(k == 0, " Image ").when(k == 1, "see www.site").when(k == 2, "Pump head").when(k == 3, "").otherwise("<!-- page  break -->")
+    return read_table(spark, sf_dir, "benchmark").select("item_id", X.is_bad_caption(caption).alias("bad"))
+
+
+@query("SELECT item_id, CASE item_id%4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS m FROM benchmark")
+def caption_scores(spark, sf_dir):
+    k = F.col("item_id") % 4
+    caption = F.when(k == 0, "suction head").when(k == 1, "vacuum gauge").when(k == 2, "figure").otherwise("hexagon nut")
+    asked = F.when(k == 1, "suck hose").when(k == 3, "show image").otherwise("the vacuum")
+    return read_table(spark, sf_dir, "benchmark").select("item_id", images.caption_match(caption, asked).alias("m"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text)>=8 AND regexp_matches(text,'[A-Za-z]') AND regexp_matches(text,'[0-9]') AND regexp_matches(text,'[^A-Za-z0-9]') THEN TRUE ELSE FALSE END AS accepted FROM conversations")
+def password_policy(spark, sf_dir):
+    return ingest.password_policy(read_table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "accepted")
+
+
+@query("SELECT conv_id, turn, contains(upper(text),'IRRELEVANT')=FALSE AS relevant FROM conversations")
+def gate_replies(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", X.gate_reply(F.col("text")).alias("relevant"))
+
+
+@query("SELECT item_id, 'Answer briefly.'||chr(10)||chr(10)||CASE WHEN item_id%2=1 THEN 'Answer in Hindi.'||chr(10)||chr(10) ELSE '' END||'Question: '||text||chr(10)||chr(10)||'Context:'||chr(10)||'c' AS prompt FROM benchmark")
+def prompts(spark, sf_dir):
+    lang = F.when(F.col("item_id") % 2 == 1, "Hindi").otherwise("English")
+    return read_table(spark, sf_dir, "benchmark").select("item_id", X.assemble_prompt(F.col("text"), F.lit("c"), lang, F.lit(1), F.lit(1), "Answer briefly.").alias("prompt"))
+
+
+# ---------------------------------------------------------------- windows, stores, queues
+
+
+def _assigned(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).withColumn("pos", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).select(F.col("lang").alias("doc_name"), "pos", F.col("doc_id").alias("vector_id"))
+    return rows, chunking.ground_windows(rows).withColumn("label", F.concat(F.lit("w"), F.col("start_i").cast("string")))
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id)-1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+w AS (SELECT lang AS doc_name, doc_id AS vector_id, k*90 AS s FROM d, unnest(generate_series(0, greatest(0, ceil((n-100)/90.0)::BIGINT))) t(k) WHERE pos >= k*90 AND pos < k*90+100)
+SELECT doc_name, vector_id, 'w'||max(s) AS label FROM w GROUP BY ALL""")
+def merged_windows(spark, sf_dir):
+    rows, assigned = _assigned(spark, sf_dir)
+    return chunking.merge_windows(assigned, rows.select("doc_name", "vector_id"))
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id)-1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+w AS (SELECT lang AS doc_name, doc_id, source, k*90 AS start_i FROM d, unnest(generate_series(0, greatest(0, ceil((n-100)/90.0)::BIGINT))) t(k) WHERE pos >= k*90 AND pos < k*90+100)
+SELECT doc_name, start_i, string_agg(doc_id||': '||source, chr(10) ORDER BY doc_id) AS listing FROM w GROUP BY ALL""")
+def window_listings(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    rows = d.withColumn("pos", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).select(F.col("lang").alias("doc_name"), "pos", F.col("doc_id").alias("vector_id"), F.col("source").alias("path"))
+    return chunking.window_listing(chunking.ground_windows(rows)).select("doc_name", F.col("start_i").cast("bigint").alias("start_i"), "listing")
+
+
+@query("SELECT source AS doc_name, doc_id AS vector_id, CASE WHEN doc_id%3=0 THEN lang ELSE lang||' > part' END AS path FROM documents")
+def section_pairs(spark, sf_dir):
+    third = F.col("doc_id") % 3 == 0
+    rows = docs_of(spark, sf_dir).select(F.col("source").alias("doc_name"), F.col("doc_id").alias("vector_id"), F.when(third, F.col("lang")).alias("section_path_str"), F.array("lang", F.lit("part")).alias("section_path"))
+    return chunking.section_pairs(rows)
+
+
+@query("SELECT source AS tenant, count(*) AS n, min(vid) AS first_id, max(vid) AS last_id FROM (SELECT source, row_number() OVER (ORDER BY source, doc_id)-1 AS vid FROM documents WHERE source IN ('src1','src2','src3')) GROUP BY source")
+def tenant_union(spark, sf_dir):
+    """Stores of three tenants as one, numbered anew."""
+    d = docs_of(spark, sf_dir)
+    stores = [d.where(F.col("source") == t).select(F.col("source").alias("tenant"), F.col("doc_id").alias("vector_id")) for t in ("src2", "src1", "src3")]
+    merged = ingest.merge(ingest.merge(stores[0], stores[1]), stores[2].withColumn("extra", F.lit(1)))
+    ids = chunking.renumber(merged, ("tenant", "vector_id"), 4)
+    return ids.groupBy("tenant").agg(F.count("*").alias("n"), F.min("vector_id").alias("first_id"), F.max("vector_id").alias("last_id"))
+
+
+@query("SELECT '/x/exp_'||doc_id||'.zip' AS path FROM documents WHERE doc_id%2=0 AND doc_id%6<>0")
+def stale_bundles(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "/x/exp_").otherwise("/x/log_"), F.col("doc_id").cast("string"), F.lit(".zip"))
+    files = d.select(path.alias("path"), "doc_id")
+    states = files.where("doc_id % 3 = 0").select(F.when(F.col("doc_id") % 2 == 0, "ready").otherwise("failed").alias("state"), F.col("path").alias("zip_path"))
+    return ingest.stale_bundles(files.select("path"), states, "exp_")
+
+
+@query("SELECT source AS slug, row_number() OVER (ORDER BY m) AS ordinal FROM (SELECT source, min(doc_id) AS m FROM documents GROUP BY source)")
+def queue_positions(spark, sf_dir):
+    q = docs_of(spark, sf_dir).groupBy(F.col("source").alias("slug")).agg(F.min("doc_id").alias("position"))
+    return ingest.queue_positions(q).select("slug", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+@query(f"WITH {fx.STORED} SELECT count(*) AS docs_total, count(*) FILTER (action='process') AS docs_processed, count(*) FILTER (action='keep') AS docs_reused, (SELECT count(*) FROM embeddings) AS num_chunks, 64::BIGINT AS dim FROM f_plan")
+def usage_statistics(spark, sf_dir):
+    plan = ingest.incremental_plan(*fx.stored(spark, sf_dir))
+    stats = ingest.usage_statistics(plan, read_table(spark, sf_dir, "embeddings"))
+    return stats.withColumn("dim", F.col("dim").cast("bigint"))
+
+
+@query(f"WITH {fx.CHUNKS}, t AS (SELECT *, contains(text,'|') AND contains(text,'---') AS tab FROM f_chunk) SELECT doc_id, count(*) AS n, count(*) FILTER (tab) AS tables FROM t GROUP BY doc_id")
+def chunk_tables(spark, sf_dir):
+    c = fx.chunks(spark, sf_dir)
+    return c.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(X.is_table(F.col("text"))).alias("tables"))
+
+
+@query(f"WITH {fx.MESSAGES} SELECT session_id, 'Doc_'||(session_id%5)||'.PDF' AS doc, '/p/'||max(id) AS doc_path FROM f_message WHERE role='assistant' GROUP BY session_id UNION ALL SELECT session_id, 'Doc_'||(session_id%5)||'.PDF', NULL FROM f_message GROUP BY session_id HAVING count(*) FILTER (role='assistant')=0")
+def cited_sources(spark, sf_dir):
+    """The newest assistant message of a session whose sources name the cited document."""
+    m = fx.messages(spark, sf_dir)
+    name = F.concat(F.lit("/x/doc_"), (F.col("session_id") % 5).cast("string"), F.lit(".pdf"))
+    m = m.withColumn("sources_json", F.to_json(F.array(F.struct(name.alias("doc_name"), F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("doc_path")))))
+    cited = m.select("session_id").distinct().withColumn("doc", F.concat(F.lit("Doc_"), (F.col("session_id") % 5).cast("string"), F.lit(".PDF")))
+    return chat.resolve_cited(m, cited).select("session_id", "doc", "doc_path")
+
+
+# ---------------------------------------------------------------- relational shapes over the star tables
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS orders, round(coalesce(sum(o_totalprice),0),2) AS spent FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY c_custkey ORDER BY orders DESC, c_custkey LIMIT 50")
+def busiest_customers(spark, sf_dir):
+    """Left join, group and top k: the shape of the session list."""
+    c, o = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
+    joined = c.select("c_custkey").join(o, c.c_custkey == o.o_custkey, "left")
+    grouped = joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("spent"))
+    return grouped.orderBy(F.desc("orders"), "c_custkey").limit(50)
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS sum_qty, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))

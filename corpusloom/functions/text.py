@@ -468,3 +468,36 @@ def config_value(raw: Column, kind: str, default) -> Column:
         low = F.lower(pystrip(raw))
         return F.when(raw.isNull(), F.lit(default)).otherwise(low.isin("1", "true", "yes", "y", "on"))
     return F.coalesce(raw.try_cast("double").cast(kind) if kind == "int" else raw.try_cast(kind), F.lit(default))
+
+
+def assemble_prompt(question: Column, context: Column, language: Column, part: Column, parts: Column, rules: str) -> Column:
+    """A fixed block of rules first, so that it can be cached, then notes on part and language, the question and the context."""
+    part_note = F.when(parts > 1, F.concat(F.lit("This is part "), part.cast("string"), F.lit(" of "), parts.cast("string"), F.lit("; don't repeat earlier parts.")))
+    language_note = F.when(language != "English", F.concat(F.lit("Answer in "), language, F.lit(".")))
+    return F.concat_ws("\n\n", F.lit(rules), part_note, language_note, F.concat(F.lit("Question: "), question), F.concat(F.lit("Context:\n"), context))
+
+
+def inline_bullets(line: Column) -> Column:
+    """A line with two bullets or more inside as one line each; others as they are."""
+    parts = F.filter(F.transform(F.split(line, "•"), pystrip), lambda x: x != "")
+    bullets = F.regexp_count(line, F.lit("•"))
+    head = F.when(F.startswith(pystrip(line), F.lit("•")), F.array().cast("array<string>")).otherwise(F.slice(parts, 1, 1))
+    rest = F.when(F.startswith(pystrip(line), F.lit("•")), parts).otherwise(F.slice(parts, 2, 10_000))
+    return F.when(bullets < 2, line).otherwise(F.array_join(F.concat(head, F.transform(rest, lambda x: F.concat(F.lit("• "), x))), "\n"))
+
+
+def file_id(path: Column) -> Column:
+    """URL-safe base64 of a path, without padding."""
+    return F.regexp_replace(F.translate(F.base64(path.cast("binary")), "+/", "-_"), "=+$", "")
+
+
+def path_of(file_id_: Column) -> Column:
+    """The path of a file id; null if it is none."""
+    plain = F.translate(file_id_, "-_", "+/")
+    padded = F.concat(plain, F.repeat(F.lit("="), (4 - F.char_length(plain) % 4) % 4))
+    return F.try_to_binary(padded, F.lit("base64")).cast("string")
+
+
+def inside(path: Column, folder: str) -> Column:
+    """Whether a path lies in a folder, without steps upwards."""
+    return F.startswith(path, F.lit(folder.rstrip("/") + "/")) & ~F.rlike(path, F.lit(r"(^|/)\.\.(/|$)"))

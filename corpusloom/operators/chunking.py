@@ -259,3 +259,19 @@ def block_chunks(blocks: DataFrame, size: int = 1200) -> DataFrame:
 
     schema = "doc_name string, chunk_id string, text string, section_path_str string, page_number bigint, chunk_type string"
     return located.groupBy("doc_name").applyInPandas(lambda frame: next(per_document(iter([frame]))), schema)
+
+
+def patch_ground_ids(chunks: DataFrame, replies: DataFrame, size: int = 100, overlap: int = 10) -> DataFrame:
+    """A store's chunks with ``ground_id`` from the replies for the windows over each document."""
+    pairs = section_pairs(chunks).withColumn("pos", F.row_number().over(W.partitionBy("doc_name").orderBy("vector_id")) - 1)
+    windows = ground_windows(pairs, size, overlap)
+    labelled = merge_windows(parse_assignments(replies, windows), pairs.select("doc_name", "vector_id"))
+    return chunks.drop("ground_id").join(ground_ids(labelled).select("doc_name", "vector_id", "ground_id"), ["doc_name", "vector_id"], "left")
+
+
+def require_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """``chunks``, or an error that names a document without any."""
+    empty = docs.select("doc_name").join(chunks, "doc_name", "left_anti").select("doc_name").head(1)
+    if empty:
+        raise ValueError(f"no chunks: {empty[0].doc_name}")
+    return chunks
