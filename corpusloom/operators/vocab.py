@@ -23,9 +23,11 @@ def token_counters(chunks: DataFrame) -> DataFrame:
     """Five counts a token: title_hits, title_docs, body_hits, long_body_hits, short_header_hits."""
     n = F.char_length(X.pystrip(X.text_of("text")))
     doc = X.pystrip(X.text_of("doc_name"))
-    titles = chunks.select(doc.alias("doc"), (n < 100).alias("short"), F.explode(F.array_distinct(X.title_tokens(F.col("doc_name"), F.col("section_path_str")))).alias("token"))
+    # flags are worked out before tokens are exploded, once a chunk and not once a token
     body = F.filter(F.array_distinct(X.bm25_tokens(F.col("text"))), lambda t: F.char_length(t) >= 3)
-    bodies = chunks.select((n >= 120).alias("long"), F.explode(body).alias("token"))
+    flagged = chunks.select(doc.alias("doc"), (n < 100).alias("short"), (n >= 120).alias("long"), F.array_distinct(X.title_tokens(F.col("doc_name"), F.col("section_path_str"))).alias("in_title"), body.alias("in_body"))
+    titles = flagged.select("doc", "short", F.explode("in_title").alias("token"))
+    bodies = flagged.select("long", F.explode("in_body").alias("token"))
     title_counts = titles.groupBy("token").agg(F.count("*").alias("title_hits"), F.countDistinct("doc").alias("title_docs"), F.count_if("short").alias("short_header_hits"))
     body_counts = bodies.groupBy("token").agg(F.count("*").alias("body_hits"), F.count_if("long").alias("long_body_hits"))
     joined = title_counts.join(body_counts, "token", "full")
