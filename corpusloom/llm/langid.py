@@ -32,7 +32,7 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 def presence(text: str | None, dims: int = DIMS) -> np.ndarray:
     """Sorted places of the n-grams that a text has, out of ``dims`` hashed ones; none if it has no letter."""
     letters = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # superscript digits and the like are no letters
         return np.zeros(0, np.int32)
     found = np.zeros(dims, bool)
     for at in range(0, len(letters), 1 << 20):  # bounded memory; pieces overlap by two
