@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,33 +114,52 @@ def test_language_edges(edge_docs, no_docs):
 # -- PPM
 
 
-def brute_ppm(train, texts, depth=2):
+def brute_ppm(train, texts, depth=6):
+    """Run by run with dictionaries: white space, word, ..., white space, and an empty word."""
+
+    def runs(t):
+        parts = re.split(rb"([\x20\x09-\x0D]+)", t)
+        if len(parts) == 1:
+            parts = [b"", parts[0], b""] if parts[0] else [b""]
+        else:
+            words, spaces = parts[0::2], parts[1::2]
+            if not words[0]:
+                words = words[1:]
+            else:
+                spaces = [b"", *spaces]
+            if words and not words[-1]:
+                words = words[:-1]
+            elif words:
+                spaces = [*spaces, b""]
+            parts = [spaces[0]] + [x for pair in zip(words, spaces[1:], strict=True) for x in pair]
+        return [("s" if i % 2 == 0 else "w", x) for i, x in enumerate(parts)] + [("w", b"")]
+
     tables = [defaultdict(Counter) for _ in range(depth + 1)]
+
+    def coded(kind, run):
+        s = ["pad"] * (depth - 1) + [kind, *run, "end"]
+        return [(s[j - depth : j], s[j]) for j in range(depth, len(s))]
+
     for t in train:
-        s = b"\0" * depth + t + b"\0"
-        for j in range(depth, len(s)):
-            for order in range(depth + 1):
-                tables[order][s[j - order : j]][s[j]] += 1
-    out = []
-    for t in texts:
-        s, total = b"\0" * depth + t + b"\0", 0.0
-        for j in range(depth, len(s)):
-            excluded = set()
-            for order in range(depth, -2, -1):
-                if order < 0:
-                    total -= math.log10(256 - len(excluded))
-                    break
-                seen = {k: v for k, v in tables[order].get(s[j - order : j], {}).items() if k not in excluded}
-                if not seen:
-                    continue
-                whole = sum(seen.values()) + (len(seen) if len(seen) + len(excluded) < 256 else 0)
-                if s[j] in seen:
-                    total += math.log10(seen[s[j]] / whole)
-                    break
-                total += math.log10(len(seen) / whole)
-                excluded |= set(seen)
-        out.append(total)
-    return out
+        for kind, run in runs(t):
+            for before, x in coded(kind, run):
+                for order in range(depth + 1):
+                    tables[order][tuple(before[depth - order :])][x] += 1
+
+    def length(before, x):
+        total, excluded = 0.0, set()
+        for order in range(depth, -1, -1):
+            seen = {k: v for k, v in tables[order].get(tuple(before[depth - order :]), {}).items() if k not in excluded}
+            if not seen:
+                continue
+            whole = sum(seen.values()) + (len(seen) if len(seen) + len(excluded) < 257 else 0)
+            if x in seen:
+                return total + math.log10(seen[x] / whole)
+            total += math.log10(len(seen) / whole)
+            excluded |= set(seen)
+        return total - math.log10(257 - len(excluded))
+
+    return [sum(length(*g) for kind, run in runs(t) for g in coded(kind, run)) for t in texts]
 
 
 def check_scores(rows, docs):
@@ -168,14 +188,33 @@ def test_ppm_edges(spark, edge_docs, no_docs):
     check_scores(ppm.score(short).collect(), [(r.doc_id, r.text) for r in short.collect()])
     assert ppm.score(edge_docs).count() == edge_docs.count()
     assert ppm.score(no_docs).count() == 0
-    # 4 is held out (its crc32 leaves 2): a table without training rows
+    # a table without training rows: "", "ab", " ", "c", "" and the empty word, each with its end
     held = next(i for i in range(100) if remainder(i, 7) == 2)
     rows = ppm.score(spark.createDataFrame([(held, "ab c")], "doc_id long, text string")).collect()
-    assert rows[0].score == pytest.approx(-5 * math.log10(256)) and rows[0].n_known == 0 and rows[0].train_tokens == 0
+    assert rows[0].score == pytest.approx(-10 * math.log10(257)) and rows[0].n_known == 0 and rows[0].train_tokens == 0
 
 
 def test_probabilities_of_a_context_sum_to_one():
+    """All symbols in a context, seen or not."""
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, 1 << 24, 3000))
-    trie = ppm.Trie(codes, rng.integers(1, 9, len(codes)))
-    assert np.allclose((10.0**trie.table).sum(axis=1), 1)
+    words = [bytes(rng.choice(list(b"abc"), rng.integers(0, 7)).tolist()) for _ in range(300)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    codes, counts = np.unique(ppm.grams_of(data, np.array(list(map(len, words))), np.zeros(len(words), np.int64)), return_counts=True)
+    order1 = np.zeros((260, 260))
+    np.add.at(order1, ((codes >> 9) & 511, codes & 511), counts)
+    groups = (codes >> 9) & ((1 << 18) - 1)
+    for g in np.unique(groups):
+        mine, n = codes[groups == g], counts[groups == g]
+        for context in (mine[0] >> 9, int(g)):  # one that was seen, and its last two symbols behind others
+            every = (int(context) << 9) | np.array([*range(256), ppm.END])
+            grams = np.union1d(mine, every)
+            full = np.zeros(len(grams))
+            full[np.searchsorted(grams, mine)] = n
+            lengths = ppm.code_lengths(grams, full, order1)
+            assert np.isclose((10 ** lengths[np.searchsorted(grams, every)]).sum(), 1)
+
+
+def test_runs_put_the_text_back():
+    for text in (b"", b" ", b"a", b" a", b"a ", b"a  b\n", b"\t\x0b", b"x\xc2\xa0y z"):
+        words, spaces = ppm.runs_of(text)
+        assert len(spaces) == len(words) + 1 and b"".join(x for pair in zip(spaces, [*words, b""], strict=True) for x in pair) == text
