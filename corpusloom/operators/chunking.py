@@ -45,7 +45,12 @@ def chunk_array(text: Column, size: int, overlap: int) -> Column:
             .otherwise(F.struct(flushed(state).alias("done"), p.alias("open")))
         )
 
-    return F.aggregate(paragraphs, start, step, flushed)
+    def chunks(ps: Column) -> Column:
+        short = lambda joined: F.when(F.char_length(joined) <= size, F.when(joined == "", empty).otherwise(F.array(joined)))
+        # what fits as a whole needs no fold
+        return F.coalesce(X.bind(F.array_join(ps, "\n\n"), short), F.aggregate(ps, start, step, flushed))
+
+    return X.bind(paragraphs, chunks)
 
 
 def chunk_markdown(docs: DataFrame, size: int = 1200, overlap: int = 150, md_col: str = "md") -> DataFrame:
@@ -55,7 +60,7 @@ def chunk_markdown(docs: DataFrame, size: int = 1200, overlap: int = 150, md_col
     """
     keep = [c for c in docs.columns if c != md_col]
     pages = docs.withColumn("_md", X.strip_embedded_images(X.text_of(md_col))).select(*keep, F.posexplode(F.split("_md", X.PAGE_BREAK)).alias("_page", "_text"))
-    sections = pages.select(*keep, "_page", F.posexplode(F.split(X.pystrip(F.col("_text")), r"(?m)(?=^#{1,6}\s+\S)")).alias("_sec", "_section"))
+    sections = pages.select(*keep, "_page", F.posexplode(F.when(F.contains("_text", F.lit("#")), F.split(X.pystrip(F.col("_text")), r"(?m)^(?=#{1,6}\s+\S)")).otherwise(F.array("_text"))).alias("_sec", "_section"))
     sections = sections.withColumn("_section", X.pystrip(F.col("_section"))).where(F.col("_section") != "")
     pieces = sections.withColumn("section_heading", X.first_heading(F.col("_section"))).select(*keep, "_page", "_sec", "section_heading", F.posexplode(chunk_array(F.col("_section"), size, overlap) if size > 0 else F.array("_section")).alias("_piece", "content"))
     order = F.struct("_page", "_sec", "_piece")

@@ -63,7 +63,7 @@ def test_answers(spark):
     assert values(spark, ["hello there (typed by user)", " ", "y" * 900], X.chat_title) == [("hello there",), ("(empty)",), ("y" * 799 + "…",)]
     assert values(spark, ["p1 p2  real"], lambda t: X.strip_markers(t, ("p1", "p2"))) == [("real",)]
     assert values(spark, ["2024-01-05T14:03:09Z", "not a time at all, really"], X.request_time) == [("Jan 05, 2024 2:03 PM",), ("not a time at all, ",)]
-    assert values(spark, ["Hi, I'm an  Equipment Intelligence assistant", "no"], X.out_of_domain) == [(True,), (False,)]
+    assert values(spark, ["Hi, I'm a  pump assistant", "no"], lambda t: X.out_of_domain(t, ("i'm a pump assistant",))) == [(True,), (False,)]
     assert values(spark, ["1:02", "1:02:03", "61:00", "1:60", "x", ""], X.parse_clock) == [(62,), (3723,), (3660,), (None,), (None,), (None,)]
     assert values(spark, ["3", "x", None, "2.9"], lambda t: X.config_value(t, "int", 7), lambda t: X.config_value(t, "boolean", True)) == [(3, False), (7, False), (7, True), (2, False)]
 
