@@ -26,7 +26,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return simhash.near_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,12 @@ threshold, would need about 650 replicas. The 64th bit is left to the comparison
 A ball of radius 2 holds at most 2 * 2017 fingerprints, so no anchor's group is larger, whatever the
 data. Equal fingerprints are collapsed before they are replicated, so a group of copies costs one row.
 
+That is the contract of ``op3`` (``near_fingerprints``). Two bits mean nearly equal texts, so where no contract says
+otherwise ``near_duplicates`` links by the texts themselves: pairs whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more. Bands of minimum hashes only propose pairs; each is then verified on
+the whole sets of 64-bit shingle hashes. A pair at exactly 0.8 shares none of the 24 bands of 5 with
+probability 0.00007, and a more similar one with less.
+
 Null texts count as empty; without a word the fingerprint is 0, linked like any other. Repeated rows
 come back each; an empty table gives an empty result; extra columns are ignored.
 """
@@ -23,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +39,25 @@ from .common import stash, unstash
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each word shingle in turn; a shorter text is one shingle, and without a word there is none."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z change, only 0x20 and 0x09-0x0D separate
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned fingerprint of one text."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     votes = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):  # bounded memory for texts of any length
         bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -155,11 +168,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, within: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links."""
-    prints = stash(fingerprints(docs, id_col, text_col, shingle), "prints")
+def _named(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id of what ``roots`` puts together."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), within))
     tied = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # only fingerprints with a link need their component's smallest id; the rest have their own
     best = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("least").alias("best"))
@@ -167,3 +178,146 @@ def near_duplicates(docs: DataFrame, within: int = 2, shingle: int = 3, id_col:
     named = stash(tied.join(best, "root", "left").select("fp", F.coalesce("best", "least").alias("component_id")), "named")
     # both sides are now exchanged for this join, and the rows of a hot fingerprint can be split
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_fingerprints(docs: DataFrame, within: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links of ``within`` bits."""
+    prints = stash(fingerprints(docs, id_col, text_col, shingle), "prints")
+    return _named(prints, components(links(prints.select("fp").distinct(), within)))
+
+
+# Bands of minimum hashes: BANDS x ROWS multiplications of the shingle hashes by odd constants.
+BANDS, ROWS = 24, 5
+_MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+
+#: In a bucket of up to 2 * REACH + 1 all pairs are proposed at once; in a larger one first the next REACH of each
+#: member in a circle, then every pair that these have left in different components.
+REACH = 8
+
+#: Rows that a worker gives back at once.
+SLICE = 256
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of the minimum hashes of one set."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):  # bounded memory for texts of any length
+        np.minimum(least, ((hashes[at : at + 4096] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * _MIX[1, 0, 0]
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, and of the set of shingle hashes a hash ``fp`` (0 without words), its size and its bands."""
+
+    def batches(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in it:
+            for at in range(0, len(texts), SLICE):
+                out = []
+                for t in texts.iloc[at : at + SLICE]:
+                    own = np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle))
+                    fp = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+                    out.append((fp - (fp >> 63 << 64), len(own), bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64)))
+                yield pd.DataFrame(out, columns=["fp", "size", "bands"])
+
+    found = F.pandas_udf(batches, "fp long, size int, bands array<long>")(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), found.alias("_s"))
+    return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """fp and its whole set of shingle hashes."""
+
+    def batches(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in it:
+            for at in range(0, len(batch), SLICE):
+                yield pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.iloc[at : at + SLICE]])
+
+    return texts.select("fp", F.pandas_udf(batches, "array<long>")(F.col("text")).alias("hashes"))
+
+
+def _proposals(groups: DataFrame, similarity: float, pairs_of) -> DataFrame:
+    """Distinct (a, b), a < b, of what ``pairs_of(members)`` pairs in each bucket and the sizes of the sets allow."""
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (a, b)], names=["a", "b"])
+
+        for batch in batches:
+            column, a, b, n = batch.column(0), [], [], 0
+            offsets = column.offsets.to_numpy()
+            flat = {f.name: pc.struct_field(column.values, f.name).to_numpy(zero_copy_only=False) for f in column.type.value_type}
+            for at in range(len(column)):
+                own = {k: v[offsets[at] : offsets[at + 1]] for k, v in flat.items()}
+                fp, size = own["fp"], own["size"]
+                for i, j in pairs_of(own):
+                    fits = (fp[i] != fp[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
+                    x, y = fp[i][fits], fp[j][fits]
+                    a.append(np.minimum(x, y))
+                    b.append(np.maximum(x, y))
+                    n += len(x)
+                    if n > 500_000:
+                        yield told()
+                        a, b, n = [], [], 0
+            yield told()
+
+    return groups.mapInArrow(propose, "a long, b long").distinct()
+
+
+def _circle(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n = len(own["fp"])
+    bits = own["fp"].view(np.uint64)
+    i = np.argsort((bits ^ bits.sum(dtype=np.uint64)) * _MIX[1, 0, 0])  # other neighbours in each bucket
+    for d in range(1, min(REACH, n // 2) + 1):
+        yield i, np.roll(i, -d)
+
+
+def _across(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different components: one of the two is outside the bucket's largest."""
+    roots, at, count = np.unique(own["root"], return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(at != count.argmax()):
+        j = np.flatnonzero(at != at[i])
+        yield np.full(len(j), i), j
+
+
+def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): links between sets with the components of all pairs at the similarity or above.
+
+    Only the texts of proposed pairs are read again; ``texts`` has them with their ``text_hash``.
+    """
+    one = prints.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("size").alias("size"))
+    keys = one.select("fp", "size", F.explode("bands").alias("key"))
+    groups = keys.groupBy("key").agg(F.collect_list(F.struct("fp", "size")).alias("members")).where(F.size("members") > 1)
+    groups = stash(groups, "buckets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stash(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        named = prints.select("fp", "text_hash").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+        read = texts.join(stash(named, "asked"), "text_hash").groupBy("fp").agg(F.first("text").alias("text"))
+        sets = stash(shingle_sets(read, shingle), "sets")
+        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        both = both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-6)
+        return stash(both.select("a", "b"), "similar")
+
+    first = verified(_proposals(groups.select("members"), similarity, _circle))
+    large = groups.where(F.size("members") > 2 * REACH + 1).select("key", F.explode("members").alias("m")).select("key", "m.fp", "m.size")
+    if large.isEmpty():
+        return first
+    roots = components(first)
+    large = large.join(roots, large.fp == roots.node, "left").select("key", F.struct("fp", "size", F.coalesce("root", "fp").alias("root")).alias("m"))
+    left = large.groupBy("key").agg(F.collect_list("m").alias("members")).where(F.size(F.array_distinct("members.root")) > 1)
+    return first.unionByName(verified(_proposals(left.select("members"), similarity, _across)))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, of the set of shingles) and component_id, the smallest id reachable over pairs at the similarity or above."""
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("the bands reach pairs at a similarity of 0.8 or more")
+    prints = stash(shingle_prints(docs, shingle, id_col, text_col), "prints")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return _named(prints.select("doc_id", "fp"), components(similar_links(prints, texts, similarity, shingle)))

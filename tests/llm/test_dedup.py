@@ -99,6 +99,57 @@ def test_edges(edge_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_near_copies_are_linked_by_shingle_similarity(spark):
+    """Groups of near copies, one too large for all pairs of a bucket at once, against brute force over all pairs."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(900)]
+    passage = [f"p{i}" for i in range(30)]  # shared by all, but too short to make them near
+    texts = []
+    for size, copies, edits in ((120, 60, 2), (200, 12, 3), (90, 8, 1), (60, 5, 2)):
+        base = list(rng.choice(vocabulary, size)) + passage
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.integers(0, size, rng.integers(0, edits + 1)).tolist():
+                words[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(words))
+    texts += ["one two three", "One  two\tthree", "one two four", "", None]
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len({find(i) for i in range(85)}) < 20
+
+
+def test_copies_near_their_original_only(spark):
+    """Two halves of a bucket that only the last step joins: each copy is at 0.8 of the original and below that of the others."""
+    base = [f"b{i}" for i in range(204)]
+    texts = [" ".join(base)]
+    for k in range(40):
+        words = list(base)
+        for e in range(4):
+            words[5 * k + e * 6 if k < 36 else 150 + k + 6 * e - 20] = f"x{k}_{e}"
+        texts.append(" ".join(words))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(200)} for t in texts]
+    assert all(len(s & sets[0]) >= 0.8 * len(s | sets[0]) for s in sets)
+    assert sum(len(x & y) < 0.8 * len(x | y) for x in sets[1:] for y in sets[1:]) > 600
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 # -- op4
 
 
