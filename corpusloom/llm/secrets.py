@@ -2,8 +2,8 @@
 
 One pass finds spans in whole texts: three base kinds, and opaque tokens as further candidates. Hashes
 of the matched values are counted over the corpus by distinct repositories and owners. A candidate that
-few owners hold looks live and becomes a span; one that many hold is a copied example. Base spans stay
-whatever their frequency.
+few owners hold looks live and becomes a span, however many documents of theirs have it; one that many
+owners hold is a copied example. Base spans stay whatever their frequency.
 
 Null and empty texts have no spans. A null owner or repository counts as one of its own. Repeated rows
 are scanned and returned each. An empty table gives an empty result; extra columns are ignored.
@@ -31,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same spans as runs of
 KINDS = ("assign", "access", "hex", "opaque")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")  # maximal runs of any length
 OPAQUE_MIN_BITS = 3.5
 
 FOUND = "kinds array<string>, starts array<int>, ends array<int>, hashes array<long>"
@@ -79,12 +79,12 @@ def _scan_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1, max_repos: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 1) -> DataFrame:
     """One row a document: ``doc_id``, ``text_hash`` and ``spans``, an array of (kind, start, end, owners, repos, live) by start and kind.
 
     ``repo_col`` defaults to the id, so that each document counts as a repository. ``live`` holds where
-    at most ``max_owners`` owners and ``max_repos`` repositories have the value. Candidates that aren't
-    live are left out; base spans never are.
+    at most ``max_owners`` owners have the value; ``repos`` only informs, since copies and files of one
+    owner make no example of its key. Candidates that aren't live are left out; base spans never are.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -103,7 +103,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = spans.groupBy("hash", "_owner", "_repo").agg(F.lit(1).alias("one"))
     owners = pairs.groupBy("hash", "_owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     owners = stash(owners, "owners")  # the join below then has two exchanges, and a value held by many rows is split
-    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    live = F.col("owners") <= max_owners
     judged = spans.join(owners, "hash").withColumn("live", live).where((F.col("kind") != "opaque") | F.col("live"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     per_row = judged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "owners", "repos", "live"))).alias("spans"))
