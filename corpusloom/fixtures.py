@@ -81,9 +81,11 @@ f_plan AS (SELECT doc_name, CASE WHEN doc_id%3<>0 AND doc_id%11<>0 AND doc_id%10
 
 
 def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown: a heading a page, the second page after a page break, a blank page between."""
+    """Documents as Markdown: the whole text in halves, a heading a page, the second page after a page break, a blank page between."""
     docs = read_table(spark, sf_dir, "documents")
-    head = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.left("text", F.lit(300)))
-    tail = F.concat(F.lit("## Part "), F.col("lang"), F.lit("\n"), F.right("text", F.lit(200)))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    half += F.char_length(F.regexp_extract(F.substr("text", half + 1), r"^[\s#]*", 0))  # no mark inside a line becomes a heading
+    head = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.left("text", half))
+    tail = F.concat(F.lit("## Part "), F.col("lang"), F.lit("\n"), F.substr("text", half + 1))
     brk = F.lit("\n<!-- page break -->\n")
     return docs.select(F.col("doc_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_name"), F.concat(head, brk, F.lit("  "), brk, tail).alias("md"))

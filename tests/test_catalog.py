@@ -45,3 +45,10 @@ def test_query_equals_sql(name, spark, sf, duck):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_query_without_sql_has_rows(name, spark, sf):
     assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+def test_marked_up_holds_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in catalog.fx.marked_up(spark, sf).collect():
+        first, _, second = r.md.split("\n<!-- page break -->\n")
+        assert first.split("\n\n", 1)[1] + second.split("\n", 1)[1] == texts[r.doc_id]
