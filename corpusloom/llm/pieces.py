@@ -4,7 +4,7 @@ The model file is read here and nothing is trained. Text goes through a lattice
 for each end position one backpointer is kept, so a path is a chain of backpointers. Only positions
 within one maximum piece length can still be continued; as soon as the chains of all of them meet at
 one boundary, the ids before it are final, are emitted, and their part of the window is forgotten.
-Memory is a window however long a text is.
+Memory is a window however long a text is, and each run that isn't in the memo goes through that search.
 
 What a backpointer is chosen by depends on the model's type, so that ids equal the library's:
 
@@ -177,93 +177,138 @@ class PieceModel:
 
 
 class Stream:
-    """The search over one text, fed by characters; final ids appear in ``out``.
+    """The search over one text, fed in parts of any size; final ids appear in ``out``.
 
-    A start whose position is reached walks down the trie with each character until no piece goes on; so
-    each position looks only at pieces that do end there. For BPE at most one of them fits.
+    Starts are taken in turn, each as soon as one maximum piece length lies ahead of it: it walks down
+    the trie and offers itself as the backpointer of every position where a piece ends. For BPE at most
+    one piece fits a position; for unigram models the best sum of scores stays. Positions ahead of the
+    starts taken so far are the ends of all paths that survive; where their chains meet, what lies before
+    is emitted and leaves the window.
     """
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
         self.out = array("i")
-        self._restart()
-
-    def _restart(self) -> None:
-        self.window = ""  # characters from the last boundary that all paths share
-        self.last: list[tuple[int, int, float] | None] = [(-1, 0, 0.0)]  # for each position of the window: piece, its length, score
-        self.walks: list[tuple[int, dict]] = []  # starts in the window and how far down the trie they are
-
-    def push(self, char: str) -> None:
-        model, last = self.model, self.last
-        end = len(last)
-        bpe = model.kind == BPE
-        if bpe and char not in model.trie:
-            # no piece has this character: what came before is final, and the character stands alone
-            self._emit(end - 1)
-            self._raw(char)
-            self._restart()
-            return
-        self.window += char
-        if last[-1] is not None:
-            self.walks.append((end - 1, model.trie))
-        walks, found = [], None
-        for start, node in self.walks:  # the longest piece first
-            node = node.get(char)
-            if node is None:
-                continue
-            walks.append((start, node))
-            i = node.get("")
-            if i is None:
-                continue
-            before = last[start]
-            if bpe:
-                if found is None and (before[0] < 0 or model.apart(before[0], i)):
-                    found = (i, end - start, 0.0)
-            elif found is None or before[2] + model.scores[i] > found[2]:
-                found = (i, end - start, before[2] + model.scores[i])
-        if not bpe and last[-1] is not None and char not in model.ids:
-            score = last[-1][2] + model.unknown_score
-            if found is None or score > found[2]:
-                found = (-2, 1, score)
-        self.walks = walks
-        last.append(found)
-        if end > model.longest:
+        self.fed = 0  # characters so far
+        self._restart("")
+
+    def _restart(self, window: str) -> None:
+        self.window = window  # characters from the last boundary that all paths share
+        self.at = 0  # the next start
+        self.piece: list[int | None] = [-1] + [None] * len(window)  # by position: the piece that ends there, -1 before all
+        self.start = [0] * (len(window) + 1)
+        self.score = [0.0] * (len(window) + 1)
+
+    def feed(self, chars: str) -> None:
+        self.fed += len(chars)
+        self.window += chars
+        self.piece += [None] * len(chars)
+        self.start += [0] * len(chars)
+        self.score += [0.0] * len(chars)
+        longest = self.model.longest
+        while len(self.window) - self.at > 2 * longest:
+            self._advance(self.at + longest)
+            self._commit()
+
+    def close(self) -> array:
+        longest = self.model.longest
+        while len(self.window) - self.at > longest:
+            self._advance(self.at + longest)
             self._commit()
+        self._advance(len(self.window))
+        self._emit(len(self.window))
+        self._restart("")
+        return self.out
+
+    def _advance(self, to: int) -> None:
+        """Take the starts before ``to``; characters ahead of them suffice for the longest piece, or the text ends."""
+        (self._merges if self.model.kind == BPE else self._sums)(to)
+
+    def _merges(self, to: int) -> None:
+        model, trie = self.model, self.model.trie
+        known, apart = model.fits.get, model.apart
+        window, piece, back = self.window, self.piece, self.start
+        for start in range(self.at, to):
+            before = piece[start]
+            if window[start] not in trie:
+                # no piece has this character: what came before is final, and the character stands alone
+                self._emit(start)
+                self._raw(window[start])
+                self._restart(window[start + 1 :])
+                return self._merges(min(to - start - 1, len(self.window))) if to > start + 1 else None
+            node, end = trie, start
+            for char in window[start : start + model.longest]:
+                node = node.get(char)
+                if node is None:
+                    break
+                end += 1
+                if piece[end] is not None:
+                    continue
+                i = node.get("")
+                if i is None:
+                    continue
+                if before >= 0:
+                    fit = known(before << 32 | i)
+                    if not (apart(before, i) if fit is None else fit):
+                        continue
+                piece[end] = i
+                back[end] = start
+        self.at = to
+
+    def _sums(self, to: int) -> None:
+        model, trie = self.model, self.model.trie
+        window, piece, back, score = self.window, self.piece, self.start, self.score
+        for start in range(self.at, to):
+            if piece[start] is None:
+                continue
+            so_far = score[start]
+            if window[start] not in model.ids:
+                told = so_far + model.unknown_score
+                if piece[start + 1] is None or told > score[start + 1]:
+                    piece[start + 1], back[start + 1], score[start + 1] = -2, start, told
+            node, end = trie, start
+            for char in window[start : start + model.longest]:
+                node = node.get(char)
+                if node is None:
+                    break
+                end += 1
+                i = node.get("")
+                if i is not None:
+                    told = so_far + model.scores[i]
+                    if piece[end] is None or told > score[end]:
+                        piece[end], back[end], score[end] = i, start, told
+        self.at = to
 
     def _commit(self) -> None:
-        """Emit what all paths share: follow the chains of the positions still in reach until they meet."""
-        end = len(self.window)
-        alive = sorted({p for p in range(end - self.model.longest + 1, end + 1) if self.last[p] is not None}, reverse=True)
+        """Emit what all paths share: follow the chains of the surviving ends until they meet."""
+        alive = [p for p in range(self.at, min(self.at + self.model.longest, len(self.window)) + 1) if self.piece[p] is not None]
+        alive.reverse()
         while len(alive) > 1:  # the farthest one steps back; positions are merged where chains meet
-            p = alive.pop(0)
-            q = p - self.last[p][1]
+            q = self.start[alive.pop(0)]
             if q not in alive:
                 alive.append(q)
                 alive.sort(reverse=True)
-        if alive and alive[0] > 0:
-            self._cut(alive[0])
-
-    def _cut(self, at: int) -> None:
-        self._emit(at)
-        base = self.last[at][2]
-        first = (self.last[at][0], 0, 0.0)  # the piece before the boundary still decides what may follow
-        self.window = self.window[at:]
-        self.last = [first, *((x[0], x[1], x[2] - base) if x else None for x in self.last[at + 1 :])]
-        self.walks = [(start - at, node) for start, node in self.walks if start >= at]
-
-    def _chain(self, end: int) -> list[tuple[int, int]]:
-        chain, p = [], end
-        while p > 0:
-            i, size, _ = self.last[p]
-            chain.append((i, p - size))
-            p -= size
-        chain.reverse()
-        return chain
+        if not alive or not alive[0]:
+            return
+        cut = alive[0]
+        self._emit(cut)
+        base = self.score[cut]
+        self.window, self.at = self.window[cut:], self.at - cut
+        if self.at < 0:  # a single path ends ahead of the starts taken; the positions before its end are on no path
+            self.at = 0
+        self.piece = self.piece[cut:]  # the piece before the boundary still decides what may follow
+        self.start = [max(0, x - cut) for x in self.start[cut:]]
+        self.score = [x - base for x in self.score[cut:]]
 
     def _emit(self, end: int) -> None:
-        for i, start in self._chain(end):
+        chain, p = [], end
+        while p > 0:
+            chain.append(p)
+            p = self.start[p]
+        for p in reversed(chain):
+            i = self.piece[p]
             if i == -2:
-                self._raw(self.window[start])
+                self._raw(self.window[self.start[p]])
             else:
                 self.out.append(i)
 
@@ -274,11 +319,6 @@ class Stream:
         elif not (model.kind == UNIGRAM and len(self.out) and self.out[-1] == model.unknown):
             self.out.append(model.unknown)
 
-    def close(self) -> array:
-        self._emit(len(self.window))
-        self._restart()
-        return self.out
-
 
 class Codec:
     """Encoder and decoder with a bounded memo of the runs between word-start marks, in two generations."""
@@ -302,64 +342,15 @@ class Codec:
     def _run(self, key: str, run: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
-            short = self.model.kind == BPE and len(run) <= self.memo_run
-            ids = (self._short(run) if short else self._stream(run)).tobytes()
-        if len(run) <= self.memo_run:
+            stream = Stream(self.model)
+            stream.feed(run)
+            ids = stream.close().tobytes()
+        if len(run) <= self.memo_run:  # long runs are seldom seen again
             if len(self.young) >= self.memo_size:
                 self.old, self.young = self.young, {}
             self.young[key] = ids
         return ids
 
-    def _stream(self, run: str) -> array:
-        stream = Stream(self.model)
-        for char in run:
-            stream.push(char)
-        return stream.close()
-
-    def _short(self, run: str) -> array:
-        """The BPE search over a run that is one window: the same arcs, start by start, with nothing to commit before its end."""
-        model, trie = self.model, self.model.trie
-        known, apart = model.fits.get, model.apart
-        out, base, n = array("i"), 0, len(run)
-        pieces, starts = [None] * (n + 1), [0] * (n + 1)  # by end: the piece and where it starts
-        pieces[0] = -1
-        for start in range(n):
-            before = pieces[start]
-            if run[start] not in trie:
-                out.extend(self._back(pieces, starts, base, start))
-                out.extend(model.bytes_[b] for b in run[start].encode("utf-8", "replace")) if model.bytes_ else out.append(model.unknown)
-                base = start + 1
-                pieces[base] = -1
-                continue
-            node, end = trie, start
-            for char in run[start:]:
-                node = node.get(char)
-                if node is None:
-                    break
-                end += 1
-                if pieces[end] is not None:
-                    continue
-                i = node.get("")
-                if i is None:
-                    continue
-                if before >= 0:
-                    fit = known(before << 32 | i)
-                    if not (apart(before, i) if fit is None else fit):
-                        continue
-                pieces[end] = i
-                starts[end] = start
-        out.extend(self._back(pieces, starts, base, n))
-        return out
-
-    @staticmethod
-    def _back(pieces: list, starts: list[int], base: int, end: int) -> list[int]:
-        chain = []
-        while end > base:
-            chain.append(pieces[end])
-            end = starts[end]
-        chain.reverse()
-        return chain
-
     def encode(self, text: str) -> array:
         out = array("i")
         if not text:

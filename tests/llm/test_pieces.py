@@ -47,13 +47,31 @@ def test_one_stream_over_a_text_commits_early_and_agrees(kind, request, docs):
     for text in [*TEXTS[3:], *random_texts(200, 2), *(r.text[:1500] for r in docs.limit(10).collect())]:
         stream, widest = pieces.Stream(model), 0
         for char in pieces.MARK + text.replace(" ", pieces.MARK):
-            stream.push(char)
+            stream.feed(char)
             widest = max(widest, len(stream.window))
         assert list(stream.close()) == library.encode(text)
         if " " * 20 not in text and "aaaa" not in text and "xxxx" not in text:
             assert widest <= 4 * model.longest, text[:40]
 
 
+def test_every_run_goes_through_the_stream(bpe, docs, monkeypatch):
+    """Each distinct run is searched once, by the streaming search, whatever its length."""
+    fed = []
+
+    class Counted(pieces.Stream):
+        def close(self):
+            fed.append(self.fed)
+            return super().close()
+
+    monkeypatch.setattr(pieces, "Stream", Counted)
+    texts = [r.text for r in docs.limit(80).collect()] + ["y" * 70 + " " + "z" * 5000]
+    codec = pieces.Codec(bpe)
+    for text in texts:
+        codec.encode(text)
+    runs = {w for t in texts for w in t.replace("  ", " ").split(" ")}
+    assert len(fed) >= len(runs) - 2 and {71, 5001} <= set(fed)
+
+
 def test_query_round_trips(spark, sf, docs):
     rows = queries()["op2_sentencepiece"](spark, sf).collect()
     assert len(rows) == docs.count() and all(r.round_trip and r.n_ids == len(r.ids) for r in rows)
