@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of the word contracts: a space and the bytes 0x09 to 0x0D.
-SPACES = "[\\x20\\x09-\\x0D]+"
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+from ..session import read_table
+from ..sources.shared import mark, stash, sweep, unstash
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a fresh temporary folder is chosen and put into the session.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.corpusloom.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.corpusloom.shared.dir", found)
-    return found.rstrip("/")
+__all__ = ["SPACES", "crc_mod", "mark", "read_table", "stash", "sweep", "text_or_empty", "unstash"]
 
-
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The rows are then computed once, their lineage ends in replicated storage, and a lost executor
-    costs the re-read of its files only. Non-deterministic columns become fixed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstash(df: DataFrame) -> None:
-    """Delete a stashed table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
+#: White space of the word contracts: a space and the bytes 0x09 to 0x0D.
+SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def text_or_empty(column: str = "text") -> Column:
