@@ -152,11 +152,12 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["words", "swapped", "without", "named", "text_hash"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, max_words: int = 2_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sample_words: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
     """Fit on at most ``sample`` labelled documents, those whose id hashes lowest.
 
-    A document gives at most ``max_words`` distinct words, those that hash lowest, so that the driver
-    holds a bounded sample; scoring uses all words of all texts.
+    The driver holds the sample. It is bounded by ``sample`` and by ``sample_words``, the distinct words
+    of all its documents and their counterfactuals together: a document that would pass that bound is not
+    drawn. One that is drawn counts with all its words, and scoring uses all words of all texts.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
@@ -164,13 +165,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, max_words: i
     # the sample is drawn from ids alone; texts are read for the drawn ones only
     drawn = known.orderBy(order, "doc_id").limit(sample)
     feature = F.pandas_udf(_features, "words array<long>, swapped array<long>, without array<long>, named boolean, text_hash long")
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "_toxic", feature("_text").alias("f"))
-    rows = rows.select("doc_id", "_toxic", F.slice("f.words", 1, max_words).alias("words"), F.slice("f.swapped", 1, max_words).alias("swapped"), F.slice("f.without", 1, max_words).alias("without"), "f.named", F.col("f.text_hash").alias("text_hash"))
-    by_text: dict[int, list] = {}
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("_toxic", feature("_text").alias("f")).select("_toxic", "f.*")
+    # repeated rows of a document are one row from here on
+    rows = rows.groupBy("text_hash", "words", "swapped", "without", "named").agg(F.sum((F.col("_toxic") > 0).cast("long")).alias("toxic"), F.count("*").alias("n"))
+    own: list[tuple] = []
+    held = 0
     for r in rows.toLocalIterator():
-        known_row = by_text.setdefault(r.text_hash, [np.array(r.words, np.int64), [np.array(x, np.int64) for x in (r.swapped, r.without) if r.named], []])
-        known_row[2].append(float(r._toxic > 0))
-    return fit([(w, o, sum(t) / len(t)) for _, (w, o, t) in sorted(by_text.items())], **options)
+        size = len(r.words) + len(r.swapped) + len(r.without)
+        if held + size > sample_words:
+            continue
+        held += size
+        others = [np.array(x, np.int64) for x in (r.swapped, r.without) if r.named]
+        own.append((r.text_hash, np.array(r.words, np.int64), others, r.toxic / r.n))
+    return fit([x[1:] for x in sorted(own, key=lambda x: x[0])], **options)
 
 
 def score_column(model: Model, text: Column) -> Column:
