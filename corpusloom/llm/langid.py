@@ -1,13 +1,14 @@
 """Language identification with string kernels.
 
 A text is the set of its character n-grams of one to three letters of words (blended spectrum,
-presence). The kernel of two texts is the number of n-grams they share, over the root of the product of
+presence; n-grams are hashed to DIMS places). The kernel of two texts is the number of n-grams they share, over the root of the product of
 their own numbers. Landmarks drawn from the training sample give a Nyström map, and one-versus-rest
 kernel ridge regression gives a weight to each landmark and language. Texts are scored in batches by
 matrix products: the product of landmarks and weights is formed once, as it doesn't depend on a text.
 
 A text that is null or has no letter is ``und`` with score 0; without training rows all are. A language
-is learned if any usable training row has it. Repeated rows are scored each; an empty table gives an
+is learned if any usable training row has it, whatever their number; the model grows by one column of
+DIMS weights a language. Repeated rows are scored each; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -96,23 +97,26 @@ def _presences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([presence(t) for t in texts])
 
 
-def train(docs: DataFrame, per_lang: int = 256, max_langs: int = 400, sample: int = 8192, **options) -> Model:
-    """Fit on up to ``per_lang`` documents of each language, and about ``sample`` in all.
+def train(docs: DataFrame, per_lang: int = 256, sample: int = 8192, **options) -> Model:
+    """Fit on up to ``per_lang`` rows of each language, fewer where that makes more than ``sample`` in all, but at least one.
 
-    A language's documents fall into that many hash buckets; of each the one that hashes lowest is drawn.
-    At most ``max_langs`` languages are learned, those with the most rows. So the driver's sample (sets of
-    at most DIMS places) and the broadcast of its ids are bounded.
+    Every language is learned. A language's rows fall into as many hash buckets as it may have rows in
+    the sample, and of each the one that hashes lowest is drawn. So the driver's sample (sets of at most
+    DIMS places) and the broadcast of its keys have at most ``sample`` rows, or one a language if there
+    are more languages than that.
     """
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", order.alias("_h"))
-    langs = [r.lang for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    share = max(1, min(per_lang, sample // max(1, len(langs))))
-    by_bucket = usable.where(F.col("lang").isin(langs)).groupBy("lang", F.pmod("_h", F.lit(share)).alias("_b"))
-    drawn = by_bucket.agg(F.min_by("doc_id", F.struct("_h", "doc_id")).alias("doc_id")).select("doc_id", "lang")
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    rows = texts.select("doc_id", "lang", F.pandas_udf(_presences, "array<int>")("text").alias("places")).orderBy("lang", "doc_id").toLocalIterator()
+    key = F.struct(F.xxhash64(F.col("doc_id"), F.lit(11)).alias("h"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", key.alias("key"))
+    n_langs = usable.agg(F.count_distinct("lang")).first()[0]
+    share = max(1, min(per_lang, sample // max(1, n_langs)))
+    drawn = usable.groupBy("lang", F.pmod("key.h", F.lit(share)).alias("_b")).agg(F.min("key").alias("key"))
+    drawn = drawn.select(F.col("lang").alias("_lang"), F.col("key.id").alias("_id"), F.col("key.t").alias("_text"))
+    # a row is drawn by its id, language and text, so a repeated id doesn't bring in rows of other languages
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_text"))
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(drawn), same).select("doc_id", "lang", "_text", F.pandas_udf(_presences, "array<int>")("text").alias("places"))
+    rows = rows.groupBy("lang", "doc_id", "_text").agg(F.first("places").alias("places"))  # of repeated rows one
     sets, langs = [], []
-    for r in rows:
+    for r in rows.orderBy("lang", "doc_id", "_text").toLocalIterator():
         sets.append(np.array(r.places, np.int32))
         langs.append(r.lang)
     return fit(sets, langs, **options)
