@@ -97,6 +97,17 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_id")
 
 
+def smallest_only(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` without the texts of a repeated id but its smallest, whose head the edit takes."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return pairs
+    least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    least = least.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_least"))
+    return pairs.join(least, F.col("doc_id") == F.col("_id"), "left").where(F.col("_least").isNull() | (F.col("_least") == F.col("text_hash"))).drop("_id", "_least")
+
+
 def compare_edits(docs: DataFrame, search_every: int = 50, radius: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
 
@@ -110,7 +121,8 @@ def compare_edits(docs: DataFrame, search_every: int = 50, radius: int = 3) -> D
     prints = fingerprint_of(term_rows(each, [*keys, "kind"], "t"), [*keys, "kind"])
     own = lambda k: F.max(F.when(F.col("kind") == k, F.col("fp")))
     pairs = stash(prints.groupBy(*keys).agg(own(0).alias("fp"), own(1).alias("edited_fp"), F.max("rows").alias("rows")), "prints")
-    following = pairs.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
+    counted = smallest_only(docs, pairs)
+    following = counted.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
     asked = pairs.where(F.col("doc_id") % search_every == 0).select(F.col("doc_id").alias("_id"), F.col("fp").alias("query")).distinct()
     weight = pairs.groupBy("fp").agg(F.sum("rows").alias("n"))
     found = within_radius(asked.select(F.col("query").alias("fp")), pairs.select("fp"), radius).join(weight, "fp").groupBy("query").agg(F.sum("n").alias("n_near"))

@@ -175,6 +175,15 @@ def test_edit_columns(spark, sf, docs):
     assert np.mean([r.near_edited for r in got.values()]) > 0.7 > 0.6 > np.mean([r.near_next for r in got.values()])
 
 
+def test_the_smallest_text_of_a_repeated_next_id_counts(spark):
+    first = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, first), (2, "zulu yankee xray whiskey victor uniform"), (2, "bravo charlie echo foxtrot golf hotel"), (3, "end of all")]
+    got = fingerprints.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    alone = fingerprints.compare_edits(spark.createDataFrame([r for r in rows if "zulu" not in r[1]], "doc_id long, text string")).collect()
+    pick = lambda found: [(r.edited_sha256, r.near_next) for r in found if r.doc_id == 1]
+    assert pick(got) == pick(alone) and len(got) == 4
+
+
 def test_weighted_votes_by_hand(spark):
     """Votes recomputed one by one from the term rows."""
     df = spark.createDataFrame([(1, "Alpha beta of Gamma alpha"), (2, ""), (3, "one")], "doc_id long, t string")
