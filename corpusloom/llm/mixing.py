@@ -2,12 +2,13 @@
 
 Sizes are words. Targets come from weights by water filling; equal-token blocks are then dealt to the
 sources by highest quotients (Sainte-Laguë), and each source's blocks to its hash shards in the same
-way, so that a hot source is spread. A shard's quota is filled by whole passes over its documents and
-one partial pass in a seeded order.
+way. A source has as many shards as its size asks for, so that a shard holds about ``shard_words`` words
+however large a hot source is. A shard's quota is filled by whole passes over its documents and one
+partial pass in a seeded order.
 
 A null source is a source of its own, last in order; null texts have size 0 and take nothing; repeated
-rows are rows of their own; an empty table gives an empty result; further columns are ignored. The
-driver holds one size for each source and shard, ``sources * shards`` numbers.
+rows are rows of their own; an empty table gives an empty result; further columns are ignored. Nothing
+is gathered by the driver. One task sees one row a source, and one task of each source one row a shard.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import text_or_empty
+from .common import stash, text_or_empty
 
 
 def words_in(column: str = "text") -> Column:
@@ -80,38 +81,56 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return given
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_tokens: int = 16, shards: int = 64, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+#: Shards are multiples of these finest parts of the hash space.
+PARTS = 1 << 20
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_tokens: int = 16, shard_words: int = 1_000_000, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, size, source, source_size, target, taken, and the columns in ``keep``.
 
     ``most`` must be a whole number: a document is taken at most that many times.
     """
     passes = math.floor(most)
-    rows = docs.select("doc_id", words_in("text").alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"), F.crc32(text_or_empty().cast("binary")).alias("_crc"), *keep)
-    rows = rows.withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int"))
-    parts = rows.groupBy("source", "_shard").agg(F.sum("size").alias("size")).collect()
-    spark = docs.sparkSession
-    by_source: dict[str | None, dict[int, int]] = {}
-    for r in parts:
-        by_source.setdefault(r.source, {})[r._shard] = r.size
-    names = sorted(by_source, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
-    sizes = [sum(by_source[s].values()) for s in names]
-    goals = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes), most)
-    blocks = sainte_lague(np.array(goals), round(sum(goals) / block_tokens), np.array([-(-math.floor(most * s) // block_tokens) for s in sizes]))
-    table = []
-    for name, size, goal, n in zip(names, sizes, goals, blocks, strict=True):
-        inner = sorted(by_source[name])
-        held = np.array([by_source[name][k] for k in inner], np.int64)
-        quota = sainte_lague(held.astype(float), int(n), -(-passes * held // block_tokens))
-        for k, words, q in zip(inner, held.tolist(), quota.tolist(), strict=True):
-            table.append((name, k, size, float(goal), words, min(q * block_tokens, passes * words)))
-    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_k", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_words", T.LongType()), T.StructField("_quota", T.LongType())])
-    plan = spark.createDataFrame(table, schema)
+    columns = [F.col("doc_id"), words_in("text").alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"), F.crc32(text_or_empty().cast("binary")).alias("_crc")]
+    rows = docs.select(*columns, *keep)
+    if not keep:
+        rows = stash(rows, "sizes")  # words are counted once
+    part = F.pmod("_h", F.lit(PARTS)).cast("int")
+    parts = stash(rows.select("source", "size", part.alias("part")).groupBy("source", "part").agg(F.sum("size").alias("size")), "parts")
+
+    def targets(frame: pd.DataFrame) -> pd.DataFrame:
+        """Targets and blocks of the sources, and how many shards each has."""
+        frame = frame.loc[sorted(frame.index, key=lambda i: (frame.source[i] is None, (frame.source[i] or "").encode("utf-8", "surrogatepass")))]
+        sizes = frame["size"].tolist()
+        goals = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
+        blocks = sainte_lague(np.array(goals), round(sum(goals) / block_tokens), np.array([-(-math.floor(most * s) // block_tokens) for s in sizes]))
+        shards = [min(PARTS, 1 << max(0, math.ceil(s / shard_words) - 1).bit_length()) for s in sizes]
+        return pd.DataFrame({"source": frame["source"], "source_size": sizes, "target": goals, "blocks": blocks, "shards": shards})
+
+    sources = parts.groupBy("source").agg(F.sum("size").alias("size"))
+    sources = stash(sources.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(targets, "source string, source_size long, target double, blocks long, shards int"), "sources")
+
+    def quotas(frame: pd.DataFrame) -> pd.DataFrame:
+        """Tokens that each shard of one source gives."""
+        frame = frame.sort_values("shard")
+        held = frame["words"].to_numpy(np.int64)
+        quota = sainte_lague(held.astype(float), int(frame["blocks"].iloc[0]), -(-passes * held // block_tokens))
+        return frame.assign(quota=np.minimum(quota * block_tokens, passes * held)).drop(columns="blocks")
+
+    same_source = F.col("source").eqNullSafe(F.col("_s"))
+    named = sources.withColumnRenamed("source", "_s")
+    shards = parts.join(named, same_source).groupBy("source", "source_size", "target", "blocks", "shards", F.pmod("part", "shards").alias("shard")).agg(F.sum("size").alias("words"))
+    plan = shards.groupBy("source").applyInPandas(quotas, "source string, source_size long, target double, shards int, shard int, words long, quota long")
+    plan = stash(plan, "plan")  # so that its size is known: it is broadcast only below the session's threshold
+    plan = plan.select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "source_size", "target", F.col("words").alias("_words"), F.col("quota").alias("_quota"))
+    # the shard counts of sources come first, so that a row can name its shard; both joins are split if a source is hot
+    rows = rows.join(named.select("_s", "shards"), same_source).withColumn("_shard", F.pmod(part, "shards")).drop("_s", "shards")
     order = W.partitionBy("source", "_shard").orderBy("_h", "doc_id", "_crc", "size")
     before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     whole = F.when(F.col("_words") > 0, F.floor(F.col("_quota") / F.col("_words"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("_quota") - whole * F.col("_words")
     return (
-        rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k")))  # sources * shards rows
+        rows.join(plan, same_source & (F.col("_shard") == F.col("_k")))
         .withColumn("_before", before)
         .withColumn("taken", (whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_before")))).cast("long"))
         .select("doc_id", "size", "source", "source_size", "target", "taken", *keep)

@@ -124,6 +124,33 @@ def test_only_changed_shards_are_rewritten(spark, docs, tmp_path):
     assert back.count() == placed.where(F.col("shard").isin(*changed)).count()
 
 
+def test_hot_ids_and_equal_rows_are_divided(spark):
+    """A third of the rows are equal and have no id; another third share an id."""
+    rows = [(None, "same text " * 5) for _ in range(3000)] + [(7, f"text {i} " * 6) for i in range(3000)] + [(i, f"other {i} " * 5) for i in range(100, 3100)]
+    placed = sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), blocks=64).collect()
+    loads, slots = {}, {}
+    for r in placed:
+        loads[r.shard] = loads.get(r.shard, 0) + r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(placed) == 9000 and len(loads) == 40
+    assert max(loads.values()) - min(loads.values()) <= 0.02 * sum(loads.values()) / 40
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_query_moves_about_the_fewest_bytes(spark):
+    """Bytes moved by the whole query against the least that the capacities allow, and the spread against a mean shard."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries()["op7_resharding"](spark, sf).collect()
+    old, new, moved = [0] * 32, [0] * 40, 0
+    for r in rows:
+        old[r.old_shard] += r["size"]
+        new[r.shard] += r["size"]
+        moved += r["size"] * (r.old_shard != r.shard)
+    least = sum(old) - sum(min(a, b) for a, b in zip(old, sharding.capacities_for(sum(old), 40), strict=False))
+    assert max(new) - min(new) <= 0.011 * sum(new) / 40
+    assert moved <= 1.01 * least
+
+
 def test_reshard_edges(edge_docs, no_docs):
     rows = sharding.reshard(edge_docs).collect()
     assert len(rows) == edge_docs.count()
@@ -177,6 +204,42 @@ def test_mix_query(spark, sf, docs):
         assert abs(sum(r.taken for r in by[n]) - g) <= max(64, 0.03 * g)
 
 
+def test_mix_equals_brute_force(spark, docs):
+    """Every column, redone from the documents in plain Python; only the seeded hash comes from Spark."""
+    block, shard_words = 16, 2_000
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", F.lit(42)).alias("h")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append((r.h, r.doc_id, zlib.crc32((r.text or "").encode()), len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(x[3] for x in by[n]) for n in names]
+    goals = mixing.water_fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2)
+    seats = brute_sainte_lague(goals, round(sum(goals) / block), [-(-2 * s // block) for s in sizes])
+    want = {}
+    for name, size, goal, n in zip(names, sizes, goals, seats, strict=True):
+        shards = 1
+        while shards * shard_words < size:
+            shards *= 2
+        held = [[x for x in sorted(by[name]) if x[0] % mixing.PARTS % shards == k] for k in range(shards)]
+        words = [sum(x[3] for x in h) for h in held]
+        for own, w, q in zip(held, words, brute_sainte_lague([float(w) for w in words], n, [-(-2 * w // block) for w in words]), strict=True):
+            quota = min(q * block, 2 * w)
+            whole, rest = divmod(quota, w) if w else (0, 0)
+            for _, i, _, s in own:
+                want[i] = (s, size, pytest.approx(goal), whole * s + min(s, rest))
+                rest -= min(s, rest)
+    got = mixing.mix(docs, shard_words=shard_words).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["size"], r.source_size, r.target, r.taken) == want[r.doc_id]
+
+
+def test_many_sources(spark):
+    rows = [(i, "a b c d e f g h i j", f"s{i % 3000}") for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=1).collect()
+    assert len(got) == 6000 and sum(r.taken for r in got) == 90_000
+
+
 def test_mix_edges(edge_docs, no_docs):
     rows = mixing.mix(edge_docs).collect()
     assert len(rows) == edge_docs.count()
