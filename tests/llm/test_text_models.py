@@ -72,9 +72,61 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert {r.score for r in toxicity.classify(edge_docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_long_training_texts_count_whole(spark):
+    """A word that tells, in texts of 5,000 distinct words; and rows past the bound on words are left out whole."""
+    rows = [(i, " ".join(f"w{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(5000)) + (" vile" if i % 2 else " kind"), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.score("vile") > 0.5 > model.score("kind")
+    assert len(toxicity.train(docs, labels, sample_words=4_000).weights) == 0
+    assert toxicity.train(docs, labels, sample_words=4_000).fitted is False
+
+
+def test_scores_equal_the_formula(spark, sf, docs):
+    """The whole query against the fitted weights, applied in plain Python."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    learned = [r for r in labels.collect() if r.doc_id is not None and remainder(r.doc_id, 5) != 0]
+    model = toxicity.train(docs, spark.createDataFrame(learned, labels.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries()["op1_toxicity"](spark, sf).collect():
+        words = set(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()))
+        z = model.intercept + math.fsum(model.weights.get(i, 0.0) for i in toxicity.word_ids(words))
+        assert r.score == 1 / (1 + math.exp(-z)) and r.predicted == (r.score >= 0.5)
+
+
 # -- language
 
 
+def test_predictions_equal_the_kernel(spark, sf, docs):
+    """The whole query against one-versus-rest scores worked out row by row from the fitted weights."""
+    model = langid.train(docs.where(langid.crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries()["op8_language_id"](spark, sf).collect():
+        places = langid.presence(texts[r.doc_id])
+        f = model.weights[places].astype(float).sum(axis=0) / math.sqrt(max(1, len(places)))
+        if not len(places):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            best = f.max()
+            assert f[model.languages.index(r.lang_pred)] > best - 1e-4 and abs(r.score - min(1, max(0, (best + 1) / 2))) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows, each with a word of its own."""
+    name = lambda i: "q" + "".join(chr(97 + int(d)) * 2 for d in str(i))
+    rows = [(i, f"{name(i % 450)} {name(i % 450)}", f"l{i % 450}") for i in range(900)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100, landmarks=450)
+    assert len(model.languages) == 450
+
+
+def test_a_repeated_id_teaches_each_text_its_own_language(spark):
+    rows = [(1, "the house and the dog", "en"), (1, "le chien dans la maison", "fr"), (1, "le chien dans la maison", "fr"), (2, "a dog of the house", "en"), (3, "la maison et le chien", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.text: r.lang_pred for r in langid.identify(df, langid.train(df)).collect()}
+    assert got == {t: lang for _, t, lang in rows}
+
+
 def test_language_on_held_out_rows(spark):
     rows = queries()["op8_language_id"](spark, SF).collect()
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
