@@ -19,7 +19,8 @@ the whole sets of 64-bit shingle hashes. A pair at exactly 0.8 shares none of th
 probability 0.00007, and a more similar one with less.
 
 Null texts count as empty; without a word the fingerprint is 0, linked like any other. Repeated rows
-come back each; an empty table gives an empty result; extra columns are ignored.
+come back each; an empty table gives an empty result; extra columns are ignored. In ``near_duplicates`` and
+``representatives`` a null text has no shingles, so that it is a near duplicate of texts without a word.
 """
 
 from __future__ import annotations
@@ -198,11 +199,21 @@ REACH = 8
 SLICE = 256
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of the minimum hashes of one set."""
+#: Two sets at the similarity share at least this many of the BANDS * ROWS low bytes of minimum hashes, but for a
+#: probability of 4e-6 at most (Chernoff's bound at 0.8), less than what the bands leave out.
+ALIKE = 72
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The minimum hashes of one set."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 4096):  # bounded memory for texts of any length
         np.minimum(least, ((hashes[at : at + 4096] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band of minimum hashes."""
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         keys = (keys ^ row) * _MIX[1, 0, 0]
@@ -211,7 +222,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, and of the set of shingle hashes a hash ``fp`` (0 without words), its size and its bands."""
+    """doc_id, text_hash, and of the set of shingle hashes a hash ``fp`` (0 without words), its size, its bands and ``low``, the low bytes of its minimum hashes."""
 
     def batches(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
@@ -220,12 +231,14 @@ def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_c
                 for t in texts.iloc[at : at + SLICE]:
                     own = np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle))
                     fp = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
-                    out.append((fp - (fp >> 63 << 64), len(own), bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64)))
-                yield pd.DataFrame(out, columns=["fp", "size", "bands"])
+                    least = least_hashes(own)
+                    keys = bands(least).view(np.int64) if len(own) else np.zeros(0, np.int64)
+                    out.append((fp - (fp >> 63 << 64), len(own), keys, (least >> np.uint64(56)).astype(np.uint8).tobytes()))
+                yield pd.DataFrame(out, columns=["fp", "size", "bands", "low"])
 
-    found = F.pandas_udf(batches, "fp long, size int, bands array<long>")(F.col(text_col))
+    found = F.pandas_udf(batches, "fp long, size int, bands array<long>, low binary")(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), found.alias("_s"))
-    return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands")
+    return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands", "_s.low")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -239,6 +252,13 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("fp", F.pandas_udf(batches, "array<long>")(F.col("text")).alias("hashes"))
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """Numbers as they are; binaries, all of one length, as rows of bytes."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _proposals(groups: DataFrame, similarity: float, pairs_of) -> DataFrame:
     """Distinct (a, b), a < b, of what ``pairs_of(members)`` pairs in each bucket and the sizes of the sets allow."""
 
@@ -249,7 +269,7 @@ def _proposals(groups: DataFrame, similarity: float, pairs_of) -> DataFrame:
         for batch in batches:
             column, a, b, n = batch.column(0), [], [], 0
             offsets = column.offsets.to_numpy()
-            flat = {f.name: pc.struct_field(column.values, f.name).to_numpy(zero_copy_only=False) for f in column.type.value_type}
+            flat = {f.name: _values(pc.struct_field(column.values, f.name)) for f in column.type.value_type}
             for at in range(len(column)):
                 own = {k: v[offsets[at] : offsets[at + 1]] for k, v in flat.items()}
                 fp, size = own["fp"], own["size"]
@@ -276,11 +296,17 @@ def _circle(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _across(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different components: one of the two is outside the bucket's largest."""
+    """All pairs of different components that their low bytes let pass: one of the two is outside the bucket's largest."""
     roots, at, count = np.unique(own["root"], return_inverse=True, return_counts=True)
-    for i in np.flatnonzero(at != count.argmax()):
-        j = np.flatnonzero(at != at[i])
-        yield np.full(len(j), i), j
+    low = own["low"]
+    outside = at != count.argmax()
+    for i in np.flatnonzero(outside):
+        # a pair within ``outside`` comes once, from its smaller place
+        for j0 in range(0, len(at), 65_536):
+            j = np.arange(j0, min(j0 + 65_536, len(at)))
+            j = j[(at[j] != at[i]) & (~outside[j] | (j > i))]
+            j = j[(low[j] == low[i]).sum(axis=1) >= ALIKE]
+            yield np.full(len(j), i), j
 
 
 def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -309,15 +335,32 @@ def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingl
     if large.isEmpty():
         return first
     roots = components(first)
-    large = large.join(roots, large.fp == roots.node, "left").select("key", F.struct("fp", "size", F.coalesce("root", "fp").alias("root")).alias("m"))
+    low = prints.join(large.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("low").alias("low"))
+    low = stash(low.join(roots, low.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "low")
+    large = large.join(low, "fp").select("key", F.struct("fp", "size", "root", "low").alias("m"))
     left = large.groupBy("key").agg(F.collect_list("m").alias("members")).where(F.size(F.array_distinct("members.root")) > 1)
     return first.unionByName(verified(_proposals(left.select("members"), similarity, _across)))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits, of the set of shingles) and component_id, the smallest id reachable over pairs at the similarity or above."""
+def _linked(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The prints of all rows, and (node, root) of the sets that have a link."""
     if not 0.8 <= similarity <= 1:
         raise ValueError("the bands reach pairs at a similarity of 0.8 or more")
     prints = stash(shingle_prints(docs, shingle, id_col, text_col), "prints")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return _named(prints.select("doc_id", "fp"), components(similar_links(prints, texts, similarity, shingle)))
+    return prints, components(similar_links(prints, texts, similarity, shingle))
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text_hash of one row of each group of near duplicates: the smallest id, null ids last, and of its texts that of the smallest hash."""
+    prints, roots = _linked(docs, similarity, shingle, id_col, text_col)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = stash(prints.groupBy("fp").agg(F.min(row).alias("row")), "least")  # a group of copies is one row from here on
+    tied = least.join(roots, least.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
+    return tied.select("row.doc_id", "row.text_hash")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, of the set of shingles) and component_id, the smallest id reachable over pairs at the similarity or above."""
+    prints, roots = _linked(docs, similarity, shingle, id_col, text_col)
+    return _named(prints.select("doc_id", "fp"), roots)

@@ -48,3 +48,13 @@ def test_repeated_rows_leave_one(spark, sf, edge_docs):
     kept = corpus_pipeline.drop_near_duplicates(spark, edge_docs, sf)
     assert [r.doc_id for r in kept.where(F.col("doc_id") == 1).collect()] == [1]
     assert kept.where("doc_id in (3, 4, 8)").count() == 0
+
+
+def test_no_document_is_lost_for_its_id(spark, sf):
+    """Null ids, and ids with several texts: each text that no other is like stays, once."""
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (5, words("c")), (5, words("d")), (5, words("d")), (6, words("d")), (7, words("e")), (None, words("e")), (8, words("f") + " tail"), (9, words("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    key = lambda r: (r[0] or -1, r[1])
+    assert sorted(got, key=key) == sorted([(None, words("a")), (None, words("b")), (5, words("c")), (5, words("d")), (7, words("e")), (8, words("f") + " tail")], key=key)
