@@ -63,10 +63,9 @@ f_rrf AS (SELECT *, 1.0/(58+dense_rank)+1.0/(58+bm25_rank) AS rrf FROM f_rank)""
 POOL = "f_pool AS (SELECT * FROM f_dense ORDER BY dense DESC, vector_id LIMIT 100)"
 
 
-def dense_pool(spark: SparkSession, sf_dir: str, k: int | None = 100) -> tuple[DataFrame, DataFrame]:
+def dense_pool(spark: SparkSession, sf_dir: str, k: int = 100) -> tuple[DataFrame, DataFrame]:
     q = first_question(spark, sf_dir)
-    v = fx.vectors(spark, sf_dir)
-    return q, rank.dense_topk(v, q.select("query_id", "query_vec"), k if k else 2**31 - 1)
+    return q, rank.dense_topk(fx.vectors(spark, sf_dir), q.select("query_id", "query_vec"), k)
 
 
 # ---------------------------------------------------------------- retrieval
@@ -75,9 +74,8 @@ def dense_pool(spark: SparkSession, sf_dir: str, k: int | None = 100) -> tuple[D
 @query(f"WITH {fx.VECTORS}, {DENSE}, f_pool AS (SELECT * FROM f_dense), {BM25}, {RRF} SELECT vector_id, round(dense,6) AS dense, round(bm25,6) AS bm25, round(rrf,8) AS rrf FROM f_rrf ORDER BY rrf DESC, vector_id LIMIT 20")
 def hybrid_topk(spark, sf_dir):
     """Dense ranking and BM25 over the corpus, joined by reciprocal ranks."""
-    q, pool = dense_pool(spark, sf_dir, None)
-    rows = rank.fuse(rank.bm25(pool, q))
-    return rows.orderBy(F.desc("rrf"), "vector_id").limit(20).select("vector_id", r6("dense").alias("dense"), r6("bm25").alias("bm25"), r6("rrf", 8).alias("rrf"))
+    q = first_question(spark, sf_dir).drop("question")
+    return rank.hybrid_search(fx.vectors(spark, sf_dir), q, 20).select("vector_id", r6("dense").alias("dense"), r6("bm25").alias("bm25"), r6("rrf", 8).alias("rrf"))
 
 
 @query(f"WITH {fx.VECTORS}, {DENSE} SELECT vector_id, round(dense,6) AS dense, row_number() OVER (ORDER BY dense DESC, vector_id)-1 AS dense_rank FROM f_dense QUALIFY dense_rank < 20")
@@ -113,8 +111,8 @@ def mean_vectors(spark, sf_dir):
 
 @query(f"WITH {fx.VECTORS}, {DENSE}, f_pool AS (SELECT * FROM f_dense), {BM25} SELECT vector_id, round(bm25,6) AS bm25 FROM f_scored WHERE bm25 > 0")
 def bm25_corpus(spark, sf_dir):
-    q, pool = dense_pool(spark, sf_dir, None)
-    return rank.bm25(pool, q).where("bm25 > 0").select("vector_id", r6("bm25").alias("bm25"))
+    q = first_question(spark, sf_dir).select("query_id", "bm25_terms")
+    return rank.corpus_scores(fx.vectors(spark, sf_dir), q).where("bm25 > 0").select("vector_id", r6("bm25").alias("bm25"))
 
 
 @query(f"WITH {fx.VECTORS}, {DENSE}, {POOL}, {BM25} SELECT vector_id, round(bm25,6) AS bm25 FROM f_scored")

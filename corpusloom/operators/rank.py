@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..sources.shared import stash
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,35 +42,113 @@ def pool_sizes(n: int, top_k: int, pool: int, multiplier: int) -> tuple[int, int
 MOST_QUERIES = 10_000
 
 
+def _slices(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of at most MOST_QUERIES, so that each may be broadcast."""
+    n = queries.count()
+    if n <= MOST_QUERIES:
+        return [queries]
+    parts = -(-n // MOST_QUERIES)
+    while True:
+        own = F.pmod(F.xxhash64(*queries.columns), F.lit(parts))
+        if queries.groupBy(own.alias("s")).count().agg(F.max("count")).first()[0] <= MOST_QUERIES:
+            return [queries.where(own == i) for i in range(parts)]
+        parts *= 2
+
+
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id") -> DataFrame:
     """The ``k`` chunks of largest inner product for each query, with ``dense`` and ``dense_rank`` from 0.
 
-    A batch of questions is broadcast against one scan of the chunks, after its size was checked; ranks
-    are limited in each task before the shuffle.
+    A batch of questions is broadcast against one scan of the chunks, after its size was checked; a
+    larger one is asked in slices. Ranks are limited in each task before the shuffle.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries in a batch")
-    scored = chunks.crossJoin(F.broadcast(queries)).withColumn("dense", dot(F.col("embedding"), F.col("query_vec"))).drop("query_vec")
-    ranked = scored.withColumn("dense_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("dense"), id_col)) - 1)
-    return ranked.where(F.col("dense_rank") < k)
+    found = None
+    for part in _slices(queries):
+        scored = chunks.crossJoin(F.broadcast(part)).withColumn("dense", dot(F.col("embedding"), F.col("query_vec"))).drop("query_vec")
+        ranked = scored.withColumn("dense_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("dense"), id_col)) - 1)
+        ranked = ranked.where(F.col("dense_rank") < k)
+        found = ranked if found is None else found.unionByName(ranked)
+    return found
+
+
+def _term_lists(queries: DataFrame) -> DataFrame:
+    """query_id with ``_terms``, its distinct query terms, and ``_times``, how often it has each."""
+    rows = queries.select("query_id", "bm25_terms", F.array_sort(F.array_distinct("bm25_terms")).alias("_terms"))
+    return rows.select("query_id", "_terms", F.transform("_terms", lambda t: F.size(F.filter("bm25_terms", lambda x: x == t))).alias("_times"))
+
+
+def _counted(text: Column) -> Column:
+    """Of one text its length in tokens (1 at least) and how often it has each of ``_terms``; tokens are cut once."""
+    count = lambda tokens: F.transform("_terms", lambda t: F.size(F.filter(tokens, lambda x: x == t)))
+    return F.transform(F.array(X.bm25_tokens(text)), lambda k: F.struct(F.greatest(F.lit(1), F.size(k)).alias("dl"), count(k).alias("tf")))[0]
+
+
+def _bm25_weights(rows: DataFrame, terms: DataFrame, k1: float) -> DataFrame:
+    """query_id, ``_avgdl`` and ``_weights``, what each of its terms counts, from the rows of each query: one row a query."""
+    size = rows.groupBy("query_id").agg(F.count("*").alias("n"), (F.avg("_c.dl") + 1e-6).alias("_avgdl"))
+    df = rows.select("query_id", F.posexplode("_c.tf").alias("i", "f")).where("f > 0").groupBy("query_id", "i").agg(F.count("*").alias("df"))
+    df = df.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "df"))).alias("df"))
+    known = size.join(df, "query_id", "left").join(terms, "query_id")
+    def weight(times: Column, i: Column) -> Column:
+        seen = F.coalesce(F.col("df")[i], F.lit(0))
+        return times * (k1 + 1) * F.ln((F.col("n") - seen + 0.5) / (seen + 0.5) + 1.0)
+
+    return known.select("query_id", "_avgdl", F.transform("_times", weight).alias("_weights"))
 
 
-def bm25(pool: DataFrame, queries: DataFrame, id_col: str = "vector_id", k1: float = 1.2, b: float = 0.75, text_col: str = "text") -> DataFrame:
+def _bm25_score(k1: float, b: float) -> Column:
+    norm = k1 * (1 - b + b * F.col("_c.dl") / F.col("_avgdl")) + 1e-8
+    return F.aggregate(F.zip_with("_c.tf", "_weights", lambda f, w: w * f / (f + norm)), F.lit(0.0), lambda s, x: s + x)
+
+
+def bm25(pool: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, text_col: str = "text") -> DataFrame:
     """``pool`` with ``bm25``: statistics are of each query's own pool; query terms count as often as they stand in ``bm25_terms``.
 
-    With one query and all chunks in its pool this is BM25 over the corpus.
+    Terms are counted row by row; only the statistics, one row a query, are joined back.
     """
-    wanted = queries.select("query_id", F.explode("bm25_terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tokens = X.bm25_tokens(F.col(text_col))
-    lengths = pool.select("query_id", id_col, F.greatest(F.lit(1), F.size(tokens)).alias("dl"))
-    size = lengths.groupBy("query_id").agg(F.count("*").alias("n"), (F.avg("dl") + 1e-6).alias("avgdl"))
-    frequency = pool.select("query_id", id_col, F.explode(tokens).alias("term")).join(F.broadcast(wanted), ["query_id", "term"]).groupBy("query_id", id_col, "term", "times").agg(F.count("*").alias("f"))
-    df = frequency.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    stats = frequency.join(F.broadcast(df), ["query_id", "term"]).join(lengths, ["query_id", id_col]).join(F.broadcast(size), "query_id")
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + 1e-8)
-    scores = stats.groupBy("query_id", id_col).agg(F.sum(F.col("times") * part).alias("bm25"))
-    return pool.join(scores, ["query_id", id_col], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    terms = _term_lists(queries)
+    rows = pool.join(terms, "query_id").withColumn("_c", _counted(F.col(text_col)))
+    scored = rows.join(_bm25_weights(rows.select("query_id", "_c"), terms, k1), "query_id").withColumn("bm25", _bm25_score(k1, b))
+    return scored.select(*pool.columns, "bm25")
+
+
+def corpus_scores(chunks: DataFrame, queries: DataFrame, id_col: str = "vector_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, bm25, and ``dense`` where queries have a ``query_vec``) of every chunk, with statistics of the corpus.
+
+    One scan of texts and embeddings leaves an id and a few numbers a chunk, which are written once.
+    """
+    found = None
+    for part in _slices(queries):
+        own = part.drop("bm25_terms").join(_term_lists(part), "query_id")
+        dense = [dot(F.col("embedding"), F.col("query_vec")).alias("dense")] if "query_vec" in part.columns else []
+        rows = stash(chunks.crossJoin(F.broadcast(own)).select("query_id", id_col, *dense, _counted(F.col("text")).alias("_c")), "scores")
+        weights = _bm25_weights(rows, _term_lists(part), k1)
+        scored = rows.join(F.broadcast(weights), "query_id").withColumn("bm25", _bm25_score(k1, b)).drop("_c", "_avgdl", "_weights")  # one row a query
+        found = scored if found is None else found.unionByName(scored)
+    return found
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id", rrf_k: int = 58) -> DataFrame:
+    """(query_id, id, dense, bm25, dense_rank, bm25_rank, rrf) of the ``k`` best chunks of the whole corpus by reciprocal ranks.
+
+    Exact without ranking the corpus: a chunk in neither list's first 2 k + rrf_k has at most
+    2 / (2 k + 2 rrf_k), less than the k-th of the dense list has from that list alone. Ranks of those
+    few in the other list are counts of better chunks, added up in one pass over (id, scores).
+    """
+    n = 2 * k + rrf_k
+    scores = stash(corpus_scores(chunks, queries, id_col), "scored")
+    first = lambda c: scores.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(c), id_col))).where(F.col("_r") <= n).drop("_r")
+    candidates = stash(first("dense").unionByName(first("bm25")).dropDuplicates(["query_id", id_col]), "candidates")
+    names = {"query_id": "_q", id_col: "_id", "dense": "_dense", "bm25": "_bm25"}
+    asked = F.broadcast(candidates.withColumnsRenamed(names))  # at most 2 n rows a query
+    better = lambda c: (F.col(c) > F.col(f"_{c}")) | ((F.col(c) == F.col(f"_{c}")) & (F.col(id_col) < F.col("_id")))
+    counted = scores.join(asked, (F.col("query_id") == F.col("_q")) & (better("dense") | better("bm25")))
+    counted = counted.groupBy("_q", "_id").agg(F.count_if(better("dense")).alias("dense_rank"), F.count_if(better("bm25")).alias("bm25_rank"))
+    none = F.lit(0).cast("long")
+    ranked = candidates.join(counted, (F.col("query_id") == F.col("_q")) & (F.col(id_col) == F.col("_id")), "left")
+    ranked = ranked.select("query_id", id_col, "dense", "bm25", F.coalesce("dense_rank", none).alias("dense_rank"), F.coalesce("bm25_rank", none).alias("bm25_rank"))
+    ranked = ranked.withColumn("rrf", 1.0 / (rrf_k + F.col("dense_rank")) + 1.0 / (rrf_k + F.col("bm25_rank")))
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rrf"), id_col))
+    return ranked.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
 
 
 def minmax(column: str) -> Column:
@@ -80,7 +159,10 @@ def minmax(column: str) -> Column:
 
 
 def fuse(pool: DataFrame, bm25_weight: float = 0.65, blend: float = 0.25, id_col: str = "vector_id", k: float = 58.0) -> DataFrame:
-    """``rrf`` of the dense and BM25 ranks, and ``fused``: a weighted mean of the normalised scores, blended with it."""
+    """``rrf`` of the dense and BM25 ranks, and ``fused``: a weighted mean of the normalised scores, blended with it.
+
+    For pools that a first stage has cut to some hundred rows a query; for whole corpora see ``hybrid_search``.
+    """
     w, beta = min(max(bm25_weight, 0.0), 0.95), min(max(blend, 0.0), 0.95)
     rank = lambda c: F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(c), id_col)) - 1
     ranked = pool.withColumn("dense_rank", rank("dense")).withColumn("bm25_rank", rank("bm25"))

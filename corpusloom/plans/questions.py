@@ -17,17 +17,38 @@ FOCUS = (
 )
 # Triggers (substrings of the question) and what is added to its words for them.
 EXPANSIONS = (
-    ("voltage|volt|vac|vdc|electrical|power supply|line voltage|mains|frequency|hz|amp|current", "rated input voltage AC DC electrical specifications power consumption frequency"),
-    ("troubleshoot|troubleshooting|not light|does not light|indicator|power indicator|lamp|fault|not working|doesn't work|won't turn", "troubleshooting diagnostic fault repair power connection indicator lamp supply"),
-    ("safe|safety|hazard|precaution|warning|ppe|protective|eye", "safety hazard warning precaution operation protective equipment"),
-    ("weight|kg|dimension|size|mass", "physical specifications weight dimensions"),
-    ("calibrat|verification|qualification|validation protocol| as-found|as-left|iq |oq |pq ", "calibration verification qualification adjustment tolerance specification check procedure"),
-    ("temperature|humidity|dew point|relative humidity|rh |pressure| psi| bar| kpa| mpa", "environmental operating conditions range limits specifications"),
     (
-        "chromatograph|hplc|uhplc|lc-ms|gc-ms|2d-lc|2d lc|two-dimensional|heart-cut|heart cut|heart-cutting|multiple heart|comprehensive 2d|lc x lc|lclc",
+        ("voltage", "volt", "vac", "vdc", "electrical", "power supply", "line voltage", "mains", "frequency", "hz", "amp", "current"),
+        "rated input voltage AC DC electrical specifications power consumption frequency",
+    ),
+    (
+        ("troubleshoot", "troubleshooting", "not light", "does not light", "indicator", "power indicator", "lamp", "fault", "not working", "doesn't work", "won't turn"),
+        "troubleshooting diagnostic fault repair power connection indicator lamp supply",
+    ),
+    (
+        ("safe", "safety", "hazard", "precaution", "warning", "ppe", "protective", "eye"),
+        "safety hazard warning precaution operation protective equipment",
+    ),
+    (
+        ("weight", "kg", "dimension", "size", "mass"),
+        "physical specifications weight dimensions",
+    ),
+    (
+        ("calibrat", "verification", "qualification", "validation protocol", " as-found", "as-left", "iq ", "oq ", "pq "),
+        "calibration verification qualification adjustment tolerance specification check procedure",
+    ),
+    (
+        ("temperature", "humidity", "dew point", "relative humidity", "rh ", "pressure", " psi", " bar", " kpa", " mpa"),
+        "environmental operating conditions range limits specifications",
+    ),
+    (
+        ("chromatograph", "hplc", "uhplc", "lc-ms", "gc-ms", "2d-lc", "2d lc", "two-dimensional", "heart-cut", "heart cut", "heart-cutting", "multiple heart", "comprehensive 2d", "lc x lc", "lclc"),
         "separation column valve sample loop injection modulation multidimensional chromatography method principle backward reverse order contamination flush gradient parking deck peak lost occupied loop analysis",
     ),
-    ("what is|define|definition|principle|principles|overview|purpose of", "characteristics description notes operation overview"),
+    (
+        ("what is", "define", "definition", "principle", "principles", "overview", "purpose of"),
+        "characteristics description notes operation overview",
+    ),
 )
 BM25_QUERY_CHARS = 900
 
@@ -45,6 +66,11 @@ def lexical_terms(s: str, generic: Iterable[str]) -> list[str]:
     return [t for t in re.findall(r"[a-z]{3,}", s.lower()) if t not in noise]
 
 
+def words_asked(questions: Iterable[str]) -> list[str]:
+    """All words that any step looks up in the list of generic terms."""
+    return sorted({t for q in questions for t in [*tokens(q), *re.findall(r"[a-z]{3,}", q.lower())]})
+
+
 def focus_of(question: str) -> str | None:
     flat = " ".join(question.split())
     for pattern in FOCUS:
@@ -78,7 +104,7 @@ def variants(question: str, generic: Iterable[str] = BASELINE_GENERIC, clean: bo
         return ["equipment manual"]
     base = retrieval_query(raw, generic, clean) or raw
     low = raw.lower()
-    every = [base, *([raw] if clean else []), *(f"{base} {added}" for triggers, added in EXPANSIONS if any(t in low for t in triggers.split("|")))]
+    every = [base, *([raw] if clean else []), *(f"{base} {added}" for triggers, added in EXPANSIONS if any(t in low for t in triggers))]
     return list({v.lower(): v for v in reversed(every)}.values())[::-1]
 
 

@@ -11,7 +11,7 @@ from ..functions.text import BASELINE_GENERIC
 from ..operators import expand, rank, vocab
 from ..sources.shared import stash
 from .config import RetrievalConfig
-from .questions import question_rows
+from .questions import question_rows, words_asked
 
 # Documents that keywords of a question hint at.
 DOCUMENT_HINTS: dict[str, tuple[str, ...]] = {
@@ -32,12 +32,11 @@ class Retrieved:
     context: DataFrame
 
 
-def generic_words(chunks: DataFrame, config: RetrievalConfig, most: int = 5_000) -> list[str]:
-    """Words without signal in this corpus, for use on the driver; their number is checked."""
-    found = [r.token for r in vocab.generic_terms(chunks, config.retrieval_generic_terms, config.retrieval_generic_terms_exclude, config.retrieval_corpus_vocab_enabled).limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} generic terms")
-    return sorted(found)
+def generic_words(chunks: DataFrame, config: RetrievalConfig, questions: list[str]) -> list[str]:
+    """The words of the questions that have no signal in this corpus; the list of all such words stays a table."""
+    asked = chunks.sparkSession.createDataFrame([(w,) for w in words_asked(questions)], "token string")
+    found = vocab.generic_terms(chunks, config.retrieval_generic_terms, config.retrieval_generic_terms_exclude, config.retrieval_corpus_vocab_enabled)
+    return sorted(r.token for r in found.join(asked, "token", "left_semi").collect())
 
 
 def retrieve(chunks: DataFrame, questions: list[tuple], config: RetrievalConfig | None = None, generic: list[str] | None = None, n_chunks: int | None = None) -> Retrieved:
