@@ -269,22 +269,83 @@ def test_recall_of_the_query(spark):
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert set(got) == set(want)
     hits = sum(len({v for v, _ in got[q].values()} & {v for v, _ in want[q]}) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.95
+    assert hits / sum(map(len, want.values())) >= 0.9
     for ranks in got.values():
         ordered = [ranks[i + 1] for i in range(len(ranks))]
         assert ordered == sorted(ordered, key=lambda x: (-x[1], x[0]))
 
 
-def test_blocks_ties_and_longer_vectors(spark):
-    rng = np.random.default_rng(1)
-    vectors = np.repeat(rng.standard_normal((150, 8)) * rng.uniform(0.1, 5, (150, 1)), 4, axis=0)  # ties and unequal norms
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    want = truth(np.arange(len(vectors)), vectors, 20, 20)
+def as_table(spark, ids, vectors):
+    return spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+
+
+def results(found):
     got = {}
-    for r in forest.nearest(table, block_rows=200, miss=1e-9).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    for q, rows in got.items():
-        assert [v for _, v, _ in sorted(rows)] == [v for v, _ in want[q]]
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+@pytest.mark.parametrize("magnitude", [1.0, 1e-30, 1e30, 1e120])
+def test_ties_and_unequal_norms_at_any_magnitude(spark, magnitude):
+    """With a fitted recall of 1 on all queries the answers are those of brute force."""
+    rng = np.random.default_rng(1)
+    vectors = np.repeat(rng.standard_normal((300, 8)) * rng.uniform(0.5, 2, (300, 1)), 4, axis=0) * magnitude
+    ids = np.arange(len(vectors))
+    want, got = truth(ids, vectors, 20, 20), results(forest.nearest(as_table(spark, ids, vectors), recall=1.0))
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+    for q, x in got.items():
+        assert [s for _, s in x] == pytest.approx([s for _, s in want[q]], rel=1e-12)
+
+
+def test_clustered_vectors_are_found_in_few(spark, monkeypatch):
+    """Recall, and the entries under the prefixes of a query as a share of all vectors (those scored are fewer, since trees overlap)."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((150, 32))
+    vectors = np.repeat(centres, 40, axis=0) + 0.25 * rng.standard_normal((6000, 32))
+    ids = rng.permutation(6000)
+    shares, fit = [], forest.fit_wanted
+
+    def watched(routes, strings, *rest):
+        wanted = fit(routes, strings, *rest)
+        held = routes.entries(strings)
+        shares.append(held[np.arange(len(held)), routes.levels(held, wanted)].mean() / 6000)
+        return wanted
+
+    monkeypatch.setattr(forest, "fit_wanted", watched)
+    found = forest.nearest(as_table(spark, ids, vectors), leaf_rows=512)
+    want, got = truth(ids, vectors, 20, 20), results(found)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    print(f"recall {hits:.3f}, share of vectors under a query's prefixes {shares[0]:.3f}")
+    assert hits >= 0.9 and shares[0] < 0.3
+
+
+def test_common_vectors_crowded_leaves_and_deep_prefixes(spark):
+    """A third of the rows are one vector, a third lie close together; leaves are far too small for them."""
+    rng = np.random.default_rng(6)
+    hot, near = rng.standard_normal(16), rng.standard_normal(16)
+    vectors = np.concatenate((np.tile(hot, (700, 1)), near + 1e-3 * rng.standard_normal((700, 16)), rng.standard_normal((700, 16))))
+    ids = rng.permutation(2100)
+    want = truth(ids, vectors, 20, 20)
+    got = results(forest.nearest(as_table(spark, ids, vectors), leaf_rows=16, recall=1.0))
+    assert set(got) == set(want)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    assert hits >= 0.95
+    of_hot = [q for q in want if (vectors[np.flatnonzero(ids == q)[0]] == hot).all()]
+    assert of_hot and all([v for v, _ in got[q]] == [v for v, _ in want[q]] for q in of_hot)
+
+
+def test_leaves_cover_all_prefixes():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 30, (3, 64)) * (rng.random((3, 64)) < 0.5)
+    counts[1, 5] = 500
+    routes = forest.Routes.of(counts, 12, 100)
+    for t in range(3):
+        held = np.bincount(routes.leaf[t], weights=counts[t])
+        assert (np.diff(routes.leaf[t]) >= 0).all() and all(n <= 100 or (t, i) in routes.parts for i, n in enumerate(held))
+    strings = rng.integers(0, 1 << 12, (20, 3))
+    brute = [[sum(counts[t][p] for t in range(3) for p in range(64) if p >> (6 - level) == s[t] >> (12 - level)) for level in range(7)] for s in strings]
+    assert routes.entries(strings).tolist() == brute
 
 
 def test_vectors_that_take_no_part(spark):
