@@ -353,13 +353,58 @@ def key_points_spacing(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)(?<=\S)[ \t]*\n+(?=key points:)", "\n\n")
 
 
-def answer_for_display(text: Column) -> Column:
-    """Disclaimers and rules go, dashes become bullets, single breaks become hard breaks."""
-    t = without_disclaimers(text)
-    t = F.regexp_replace(t, r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", "")
+# List marks that get a line of their own in a long answer without breaks.
+LIST_BREAKS = (
+    (r"(?i)\s+(adjustment to the\s+\w+\s+manipulator\s*:)", "\n\n$1"),
+    (r"(?i)\s+(adjustment to automatic tube feeder\s*:)", "\n\n$1"),
+    (r"(?m)(^|[:;])\s*(\d+\))\s+", "$1\n$2 "),
+    (r"(?m)(^|[:;])\s*(\d{1,2}\.)\s+(?!\d)", "$1\n$2 "),
+    (r"(?im)(^|[:;])\s*([a-h]\.)\s+", "$1\n  $2 "),
+)
+
+
+def question_apart(text: Column) -> Column:
+    """A closing question of one line gets a paragraph of its own, if it starts within 260 characters of its mark and ends within 180 of the end."""
+    n = F.char_length(text)
+
+    def split(mark_from_end: Column) -> Column:
+        head = F.left(text, n - mark_from_end)
+        size = F.char_length(head)
+        # the last ". " or "! " before the mark
+        ends = [F.locate(x, F.reverse(head)) for x in (" .", " !")]
+        start = F.greatest(*[F.when(e > 0, size - e).otherwise(F.lit(0)) for e in ends])
+        apart = (start > 0) & (start < size) & (size - start <= 260) & (mark_from_end <= 180)
+        both = F.concat(F.regexp_replace(F.left(text, start), r"\s+$", ""), F.lit("\n\n"), F.regexp_replace(F.substring(text, start + 1, n), r"^\s+", ""))
+        return F.when(apart, pystrip(both)).otherwise(text)
+
+    return F.when(F.contains(text, F.lit("\n")) | ~F.contains(text, F.lit("?")), text).otherwise(bind(F.locate("?", F.reverse(text)), split))
+
+
+def lists_apart(text: Column) -> Column:
+    """Items of a list inside a long line get lines of their own."""
+    out = text
+    for pattern, to in LIST_BREAKS:
+        out = F.regexp_replace(out, pattern, to)
+    long_ = ~F.contains(text, F.lit("\n")) & (F.char_length(text) >= 320)
+    return F.when(long_, pystrip(F.regexp_replace(out, r"\n{3,}", "\n\n"))).otherwise(text)
+
+
+def answer_for_display(text: Column, denial: tuple[str, ...] = ()) -> Column:
+    """Disclaimers and rules go, dashes become bullets, a question and lists get lines of their own, single breaks become hard breaks.
+
+    Lines equal to one of ``denial`` (lower case) go where the answer has other lines.
+    """
+    t = without_disclaimers(pystrip(text_of(text)))
+    t = F.regexp_replace(t, r"(?m)^\s*(?:-{3,}|\*{3,}|_{3,})\s*$", "")
     t = key_points_spacing(run_on_bullets(t))
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)the correct answer.*?:", ""), r"(?m)^(\s*)- (?=\S)", "$1• ")
-    t = F.regexp_replace(F.translate(t, "●", "•"), r"(?<!\n)\n(?!\n)", "  \n")
+    t = F.regexp_replace(t, r"(?i)the correct answer.*?:", "")
+    dash = r"^(\s*)- (\S.*)$"
+    rows = F.transform(lines(t), lambda x: F.when(F.rlike(x, F.lit(dash)), F.regexp_replace(x, dash, "$1• $2")).otherwise(F.translate(x, "●", "•")))
+    if denial:
+        own = lambda x: F.lower(pystrip(x)).isin(*denial)
+        rows = bind(rows, lambda r: F.when(F.size(F.filter(r, lambda x: pystrip(x) != "")) > 1, F.filter(r, lambda x: ~own(x))).otherwise(r))
+    t = bind(bind(F.array_join(rows, "\n"), question_apart), lists_apart)
+    t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", "  \n")
     return pystrip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
@@ -456,12 +501,60 @@ def gate_reply(reply: Column) -> Column:
     return ~F.contains(F.upper(text_of(reply)), F.lit("IRRELEVANT"))
 
 
-def citations(text: Column) -> Column:
-    """Distinct ``file.ext, page N`` citations as structs (doc, page)."""
-    pattern = r"(\w[\w .-]*\.(?:pdf|docx|txt|md|mp4)),\s*page\s+(\d+)"
-    found = F.array_distinct(F.regexp_extract_all(text_of(text), F.lit("(?i)" + pattern), F.lit(0)))
-    part = lambda x, i: F.regexp_extract(x, "(?i)" + pattern, i)
-    return F.transform(found, lambda x: F.struct(pystrip(part(x, 1)).alias("doc"), part(x, 2).try_cast("bigint").alias("page")))
+# The shapes of citations. Emphasis marks may stand around each part.
+CITED_PAGE = r"(?i)([^\[\],;\n]+\.pdf)\s*\*{0,2}\s*[,;]\s*\*{0,2}\s*page\s+(\d+)\b"
+CITED_TIME = r"(?i)([^\[\],;\n]+\.(?:mp4|mov|mkv|avi|webm))\s*\*{0,2}\s*[,;]\s*\*{0,2}\s*(?:(?:timestamp|time|at)\s*\*{0,2}\s+)?\*{0,2}\s*(\d{1,2}:\d{2}(?::\d{2})?\s*[–—-]\s*\d{1,2}:\d{2}(?::\d{2})?)"
+CITED_PASSAGE = r"(?i)\[\s*\*{0,2}Passage\s+(\d+)\s*\*{0,2}\s*(?:,|\]\s*,?)\s*\*{0,2}\s*page\s+(\d+)\b"
+BARE_PAGE = r"(?i)(?<![A-Za-z0-9_])\[?\s*(?:page|pg|p\.)\s*[:#-]?\s*(\d{1,4})\s*\]?(?![A-Za-z0-9_])"
+BARE_TIME = r"(\d{1,2}:\d{2}(?::\d{2})?\s*[–—-]\s*\d{1,2}:\d{2}(?::\d{2})?)"
+LEADING_PHRASE = r"(?i)^(?:according\s+to|from|in|per|see|refer\s+to)\s+"
+
+
+def cited_name(raw: Column, known: Column | None = None) -> Column:
+    """A document's name out of what stands before a page or time: without marks and a leading phrase.
+
+    ``known`` (an array of names) tells where prose ends and the name begins: the longest name that ends it; null if none does.
+    """
+    bare = pystrip(F.regexp_replace(raw, r"^[\s*(]+|[\s*]+$", ""))
+    name = pystrip(F.regexp_replace(bare, LEADING_PHRASE, ""))
+    if known is None:
+        return name
+    ends = F.filter(known, lambda k: F.endswith(F.lower(name), F.lower(k)) & F.rlike(F.left(name, F.char_length(name) - F.char_length(k)), F.lit(r"(^|[\s*(])$")))
+    return F.array_max(F.transform(ends, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("k"))))["k"]
+
+
+def citations(text: Column, known: Column | None = None, sole: Column | None = None) -> Column:
+    """Distinct citations as structs (doc, page, passage, start_sec, time), shape by shape.
+
+    Documents with a page, videos with a time range, and numbered passages with a page, inside or behind
+    their bracket. Where ``sole`` names the only document of an answer, passages and bare pages or times
+    are that document's.
+    """
+    t = text_of(text)
+    none = F.lit(None)
+    doc_of = (lambda: F.lit(None).cast("string")) if sole is None else (lambda: sole)
+
+    def cited(doc: Column, page=none, passage=none, time=none) -> Column:
+        label = F.regexp_replace(time.cast("string"), r"\s*[–—-]\s*", "-")
+        return F.struct(doc.alias("doc"), page.try_cast("bigint").alias("page"), passage.try_cast("bigint").alias("passage"), parse_clock(F.substring_index(label, "-", 1)).alias("start_sec"), label.alias("time"))
+
+    def every(pattern: str, make) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda x: make(lambda i: F.regexp_extract(x, pattern, i)))
+
+    shapes = [
+        every(CITED_PAGE, lambda part: cited(cited_name(part(1), known), page=part(2))),
+        every(CITED_TIME, lambda part: cited(cited_name(part(1), known), time=part(2))),
+        every(CITED_PASSAGE, lambda part: cited(doc_of(), page=part(2), passage=part(1))),
+    ]
+    if sole is not None:
+        rest = t
+        for pattern in (CITED_PAGE, CITED_TIME, CITED_PASSAGE):
+            rest = F.regexp_replace(rest, pattern, " ")
+        for pattern, make in ((BARE_PAGE, lambda x: cited(sole, page=x)), (BARE_TIME, lambda x: cited(sole, time=x))):
+            shapes.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(1)), make))
+    found = F.array_distinct(F.concat(*shapes))
+    return found if known is None else F.filter(found, lambda c: c["doc"].isNotNull() | c["passage"].isNotNull())
 
 
 def delta_slices(text: Column, width: int = 56) -> Column:

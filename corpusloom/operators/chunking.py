@@ -191,6 +191,11 @@ def ground_ids(labelled: DataFrame, prefix: Column | None = None) -> DataFrame:
     return labelled.join(numbered.select("doc_name", "label", "ground_id"), ["doc_name", "label"])
 
 
+def ground_id_counts(rows: DataFrame, keys: tuple[str, ...] = ("doc_name",)) -> DataFrame:
+    """How many distinct ground ids each document has; rows without one count as none."""
+    return rows.groupBy(*keys).agg(F.count_distinct("ground_id").alias("ground_ids"))
+
+
 def split_batches(windows: DataFrame, n: int, order: str = "start_i") -> DataFrame:
     return windows.withColumn("batch", F.ntile(n).over(W.partitionBy("doc_name").orderBy(order)) - 1)
 

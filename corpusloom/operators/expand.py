@@ -125,18 +125,39 @@ def never_empty(packed: DataFrame, rows: DataFrame, budget: int) -> DataFrame:
     return packed.unionByName(saved.select("query_id", F.lit(1).alias("position"), "r.vector_id", F.left("r.text", F.lit(budget if budget > 0 else 8001)).alias("text")))
 
 
-def shrink_to_fit(packed: DataFrame, limit: int, factors: tuple[float, ...] = (1.0, 0.92, 0.85, 0.75, 0.65, 0.55), floor: int = 200) -> DataFrame:
-    """The first factor by which all texts of a query are cut (to ``floor`` at least) so that they fit; the last one if none does."""
-    cut = lambda f: F.greatest(F.lit(floor), F.floor(F.char_length("text") * f)).cast("int") if f < 1 else F.char_length("text")
-    own = W.partitionBy("query_id")
-    rows = packed
-    chosen = F.lit(factors[-1])
+def shrink_to_fit(packed: DataFrame, limit: int, factors: tuple[float, ...] = (1.0, 0.92, 0.85, 0.75, 0.65, 0.55), floor: int = 200, length=F.char_length, order: str = "position") -> DataFrame:
+    """As many first texts of a query as fit, and ``factor``, the first one by which all of them are cut (to ``floor`` at least) for that.
+
+    A text that doesn't fit alone is cut to its longest prefix that does, of ``floor`` characters at
+    least; its factor is null. ``length`` measures a text as the limit does, in tokens for instance; a
+    longer prefix must not be shorter by it. Texts of blanks are left as they are.
+    """
+    blank = X.pystrip(X.text_of("text")) == ""
+    cut = lambda f: F.when(blank, F.col("text")).otherwise(F.left("text", F.greatest(F.lit(floor), F.floor(F.char_length("text") * f)).cast("int"))) if f < 1 else F.col("text")
+    upto = W.partitionBy("query_id").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = packed.withColumn("_p", F.row_number().over(W.partitionBy("query_id").orderBy(order)))
+    fits = F.lit(None).cast("double")
     for f in reversed(factors):
-        total = F.sum(F.least(F.char_length("text"), cut(f))).over(own)
-        chosen = F.when(total <= limit, F.lit(f)).otherwise(chosen)
-    rows = rows.withColumn("_f", chosen)
-    length = F.when(F.col("_f") >= 1, F.char_length("text")).otherwise(F.greatest(F.lit(floor), F.floor(F.char_length("text") * F.col("_f"))).cast("int"))
-    return rows.withColumn("text", F.left("text", length)).withColumnRenamed("_f", "factor")
+        total = F.sum(length(cut(f))).over(upto)
+        fits = F.when((total <= limit) & ((F.col("_p") > 1) | F.lit(f >= 1)), F.lit(float(f))).otherwise(fits)
+    rows = rows.withColumn("_fits", fits)
+    own = W.partitionBy("query_id")
+    rows = rows.withColumn("_last", F.coalesce(F.max(F.when(F.col("_fits").isNotNull(), F.col("_p"))).over(own), F.lit(1)))
+    rows = rows.withColumn("factor", F.max(F.when(F.col("_p") == F.col("_last"), F.col("_fits"))).over(own)).where(F.col("_p") <= F.col("_last"))
+    steps = F.sequence(F.lit(1), F.lit(32))
+    start = F.struct(F.lit(floor).alias("low"), F.char_length("text").alias("high"))
+
+    def halve(s, _):  # the longest prefix that fits lies from low to high
+        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        fine = length(F.left("text", mid)) <= limit
+        open_ = s["low"] < s["high"]
+        return F.struct(F.when(open_ & fine, mid).otherwise(s["low"]).alias("low"), F.when(open_ & ~fine, mid - 1).otherwise(s["high"]).alias("high"))
+
+    prefix = F.left("text", F.aggregate(steps, start, halve, lambda s: s["low"]))
+    text = F.when(F.col("factor").isNull(), prefix)
+    for f in factors:
+        text = text.when(F.col("factor") == float(f), cut(f))
+    return rows.withColumn("text", text).drop("_p", "_fits", "_last")
 
 
 def serialize(context: DataFrame) -> DataFrame:

@@ -170,10 +170,31 @@ def test_packing(spark):
     assert saved.where("query_id = 1").first().text == "x" * 100
 
 
-def test_shrinking(spark):
-    df = spark.createDataFrame([(0, 1, 1, "x" * 1000), (0, 2, 2, "y" * 1000), (1, 1, 3, "z" * 50)], "query_id long, position int, vector_id long, text string")
-    got = {(r.query_id, r.position): (r.factor, len(r.text)) for r in expand.shrink_to_fit(df, 1750).collect()}
-    assert got == {(0, 1): (0.85, 850), (0, 2): (0.85, 850), (1, 1): (1.0, 50)}
+def plain_shrink(texts, limit, length, floor=200, factors=(0.92, 0.85, 0.75, 0.65, 0.55)):
+    """Cut evenly, else leave out the last text, until what is left fits."""
+    texts = list(texts)
+    while True:
+        if sum(map(length, texts)) <= limit:
+            return texts
+        if len(texts) == 1:
+            fine = [n for n in range(floor, len(texts[0]) + 1) if length(texts[0][:n]) <= limit]
+            return [texts[0][: max(fine, default=floor)]]
+        for f in factors:
+            trial = [t if not t.strip() else t[: max(floor, int(len(t) * f))] for t in texts]
+            if sum(map(length, trial)) <= limit:
+                return trial
+        texts.pop()
+
+
+@pytest.mark.parametrize("limit", [60, 700, 1750, 2500])
+def test_shrinking(spark, limit):
+    cases = [("x" * 1000, "y" * 1000), ("z" * 50,), ("a b " * 300, " " * 600, "c" * 900, "d e" * 70), ("q" * 3000, "r"), (" " * 900,)]
+    df = spark.createDataFrame([(q, i, 10 * q + i, t) for q, c in enumerate(cases) for i, t in enumerate(c)], "query_id long, position int, vector_id long, text string")
+    for length, plain in ((F.char_length, len), (lambda c: F.regexp_count(c, F.lit(r"\S+")) * 5, lambda t: 5 * len(t.split()))):
+        got = {}
+        for r in expand.shrink_to_fit(df, limit, length=length).orderBy("query_id", "position").collect():
+            got.setdefault(r.query_id, []).append(r.text)
+        assert got == {q: plain_shrink(c, limit, plain) for q, c in enumerate(cases)}
 
 
 def test_questions():

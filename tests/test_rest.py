@@ -55,10 +55,19 @@ def test_embedding_text_and_tables(spark):
 def test_answers(spark):
     text = "Intro\n---\n- one\n- two\nNot found in the provided context"
     assert values(spark, [text], X.answer_for_display) == [("Intro\n\n• one  \n• two",)]
-    assert values(spark, ["same line\nSame  line.\nother [Passage 2, page 3]"], answers.clean_answer) == [("same line\nother",)]
+    assert values(spark, ["same line\n\nSame  line.\nother"], answers.clean_answer) == [("same line\nother",)]
+    assert values(spark, ["Rated 1.2 kW\nRated 12 kW", "Answer: x\nAnswer: y", "User query: a\n[1] source: b\nAs an assistant, I say c\nWould you like to know:"], answers.clean_answer) == [("Rated 1.2 kW\nRated 12 kW",), ("y",), ("I say c",)]
+    assert values(spark, ["I am a PUMP assistant. please ask about pumps\nmore", "a pump assistant"], lambda t: answers.clean_answer(t, "No.", ("pump assistant", "please ask"))) == [("No.",), ("a pump assistant",)]
+    finished = ["Bullet points:\n• a\nBullet points:\n• b", "• a\nBullet point:\n- b", "x\nKey points:\n• a\nKey points:\n• b", "done [Source: chunk 4] so [Passage 2, page 3]\nOk\nthanks", "body\nWould you like to know more?", "hi"]
+    assert values(spark, finished, answers.finished_answer) == [("• a",), ("• a",), ("x\n\nKey points:\n• a",), ("done so",), ("body",), ("hi",)]
+    long_ = "w " * 160 + "steps: 1) open 2) close; 3) end"
+    shown = values(spark, ["It is 5 V. Do you need more?", long_, "fine\nAsk about pumps", "Ask about pumps"], lambda t: X.answer_for_display(t, ("ask about pumps",)))
+    assert shown == [("It is 5 V.\n\nDo you need more?",), (("w " * 160 + "steps:  \n1) open 2) close;  \n3) end"),), ("fine",), ("Ask about pumps",)]
+    assert values(spark, ["one"], lambda t: answers.rolling_drafts(F.array(t, F.lit(" "), F.lit("two"), F.lit("three")))) == [(["", "one", "one", "one\n\ntwo"],)]
     assert values(spark, ["prose only", "1. new thing here\n2. old"], lambda t: answers.novel_items(t, F.lit("7. old"))) == [(None,), ("8. new thing here",)]
     assert values(spark, ["One. Two! " + "w" * 30 + ". End"], lambda t: answers.packed_sentences(t, 12)) == [(["One. Two!", "w" * 24, "w" * 6 + ". End"],)]
-    assert values(spark, ["abcdef", "xyz"], lambda t: answers.suppress_repeat(F.lit("abc"), t)) == [("def",), ("xyz",)]
+    assert values(spark, ["abcdef", "xyz", "abx", "abc \n d", "abc", None], lambda t: answers.suppress_repeat(F.lit("abc"), t)) == [("def",), ("xyz",), ("x",), ("d",), ("",), ("",)]
+    assert values(spark, [" as is"], lambda t: answers.suppress_repeat(F.lit(""), t)) == [(" as is",)]
     assert values(spark, ["x", None], X.gate_reply) == [(True,), (True,)] and values(spark, ["irrelevant!"], X.gate_reply) == [(False,)]
     assert values(spark, ["hello there (typed by user)", " ", "y" * 900], X.chat_title) == [("hello there",), ("(empty)",), ("y" * 799 + "…",)]
     assert values(spark, ["p1 p2  real"], lambda t: X.strip_markers(t, ("p1", "p2"))) == [("real",)]
@@ -68,6 +77,16 @@ def test_answers(spark):
     assert values(spark, ["3", "x", None, "2.9"], lambda t: X.config_value(t, "int", 7), lambda t: X.config_value(t, "boolean", True)) == [(3, False), (7, False), (7, True), (2, False)]
 
 
+def test_citations(spark):
+    cite = lambda text, **k: [tuple(c) for c in values(spark, [text], lambda t: X.citations(t, **{n: F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for n, v in k.items()}))[0][0]]
+    assert cite("see Manual A.pdf, page 3; [**Manual B.pdf**; **page 4**] [B.pdf, page 4]") == [("Manual A.pdf", 3, None, None, None), ("Manual B.pdf", 4, None, None, None), ("B.pdf", 4, None, None, None)]
+    assert cite("[Passage 2, page 5] and [Passage 3], **page 6**") == [(None, 5, 2, None, None), (None, 6, 3, None, None)]
+    assert cite("Clip.mp4, timestamp 01:00 – 02:00 or [b.mkv, 1:00:05-1:00:09]") == [("Clip.mp4", None, None, 60, "01:00-02:00"), ("b.mkv", None, None, 3605, "1:00:05-1:00:09")]
+    assert cite("it is told in the Manual A.pdf, page 3 but not x.pdf, page 1", known=["manual a.pdf", "A.pdf"]) == [("manual a.pdf", 3, None, None, None)]
+    assert cite("turn it. page 16\n8. check [Page 12] [Passage 1, page 2] at 00:10-00:20", sole="M.pdf") == [("M.pdf", 2, 1, None, None), ("M.pdf", 16, None, None, None), ("M.pdf", 12, None, None, None), ("M.pdf", None, None, 10, "00:10-00:20")]
+    assert cite("nothing here") == []
+
+
 def test_speech(spark):
     assert values(spark, ["", "aaaaaaa bbb", "go go go go go"], speech.quality_penalty) == [(1000.0,), (4.0,), (pytest.approx(2.0),)]
     assert values(spark, ["press start", "سلام", "", "zz zz"], lambda t: speech.good_enough(t, F.lit("fr"))) == [(True,), (False,), (False,), (True,)]
