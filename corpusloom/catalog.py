@@ -83,12 +83,12 @@ def dense_topk(spark, sf_dir):
     return dense_pool(spark, sf_dir, 20)[1].select("vector_id", r6("dense").alias("dense"), F.col("dense_rank").cast("bigint").alias("dense_rank"))
 
 
-@query(f"""WITH {fx.VECTORS}, q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20),
+@query(f"""WITH {fx.VECTORS}, q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vector_id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dense FROM f_vec v, q)
 SELECT query_id, vector_id, round(dense,6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vector_id)-1 AS dense_rank FROM s QUALIFY dense_rank < 10""")
 def dense_topk_batch(spark, sf_dir):
-    """Twenty queries in one plan."""
-    q = read_table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vec"))
+    """Every vector whose id is divisible by 50 asks, in one plan."""
+    q = read_table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vec"))
     return rank.dense_topk(fx.vectors(spark, sf_dir), q, 10).select("query_id", "vector_id", r6("dense").alias("dense"), F.col("dense_rank").cast("bigint").alias("dense_rank"))
 
 
@@ -172,15 +172,19 @@ def thin_chunk(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", X.thin_chunk(F.col("text")).alias("m"))
 
 
-@query(f"""WITH {fx.VECTORS} SELECT vector_id, CASE WHEN n<100 AND section_path_str LIKE 'Model %' THEN 0.45 WHEN n<80 THEN 0.55 ELSE 1.0 END::DOUBLE AS m
-FROM (SELECT *, length(regexp_replace(text,'^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$','','g')) AS n FROM f_vec WHERE vector_id%7 IN (0,1))""")
+STRIP = "regexp_replace({},'^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$','','g')"
+NORM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({}),'^#+\\s*',''),'^[ivxlc]+\\.\\s*',''),'[^a-z0-9\\s]',' ','g'),'\\s+',' ','g'))".format(STRIP.format("section_path_str"))
+
+
+@query(f"""WITH {fx.VECTORS} SELECT vector_id, CASE WHEN n<100 AND regexp_matches(norm,'^model\\b') THEN 0.45 WHEN n<80 THEN 0.55 ELSE 1.0 END::DOUBLE AS m
+FROM (SELECT *, length({STRIP.format("text")}) AS n, {NORM} AS norm FROM f_vec)""")
 def title_only(spark, sf_dir):
-    return fx.vectors(spark, sf_dir).where("vector_id % 7 in (0, 1)").select("vector_id", X.title_only(F.col("section_path_str"), F.col("text")).alias("m"))
+    return fx.vectors(spark, sf_dir).select("vector_id", X.title_only(F.col("section_path_str"), F.col("text")).alias("m"))
 
 
-@query("""SELECT doc_id, round(0.78+0.5*((CASE WHEN contains(t,'onen') THEN 1 ELSE 0 END)+(CASE WHEN contains(t,'ther') THEN 1 ELSE 0 END)+(CASE WHEN contains(t,'ight') THEN 1 ELSE 0 END))/3,6) AS m FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE t <> ''""")
+@query("""SELECT doc_id, CASE WHEN t = '' THEN 1.0 ELSE round(0.78+0.5*((CASE WHEN contains(t,'onen') THEN 1 ELSE 0 END)+(CASE WHEN contains(t,'ther') THEN 1 ELSE 0 END)+(CASE WHEN contains(t,'ight') THEN 1 ELSE 0 END))/3,6) END::DOUBLE AS m FROM (SELECT doc_id, lower(coalesce(text,'')) AS t FROM documents)""")
 def term_coverage(spark, sf_dir):
-    return docs_of(spark, sf_dir).where("text <> ''").select("doc_id", r6(X.term_coverage(F.col("text"), X.words(("onen", "ther", "ight", "onen")))).alias("m"))
+    return docs_of(spark, sf_dir).select("doc_id", r6(X.term_coverage(F.col("text"), X.words(("onen", "ther", "ight", "onen")))).alias("m"))
 
 
 NOISE_SQL = X.NOISE_PATTERN[4:].replace("'", "''")
@@ -253,9 +257,9 @@ f_bc AS (SELECT token, count(*) AS body_hits, count(*) FILTER (n>=120) AS long_b
 f_c AS (SELECT token, coalesce(title_hits,0) AS title_hits, coalesce(title_docs,0) AS title_docs, coalesce(body_hits,0) AS body_hits, coalesce(long_body_hits,0) AS long_body_hits, coalesce(short_header_hits,0) AS short_header_hits FROM f_tc FULL JOIN f_bc USING(token))"""
 
 
-@query(f"WITH {fx.CHUNKS}, {COUNTERS} SELECT * FROM f_c WHERE title_hits > 0")
+@query(f"WITH {fx.CHUNKS}, {COUNTERS} SELECT * FROM f_c")
 def vocab_counters(spark, sf_dir):
-    return vocab.token_counters(fx.chunks(spark, sf_dir)).where("title_hits > 0")
+    return vocab.token_counters(fx.chunks(spark, sf_dir))
 
 
 RULES = f"""f_r AS (SELECT token, title_docs >= greatest(2, floor(nd*0.4)) AS r1, short_header_hits>=2 AND long_body_hits < greatest(2, short_header_hits*0.25) AND title_hits>=2 AS r2,
@@ -320,10 +324,18 @@ def language_routes(spark, sf_dir):
     return read_table(spark, sf_dir, "benchmark").select("item_id", X.language_route(q).alias("lang"))
 
 
-@query("SELECT item_id, 'keep '||text AS answer FROM benchmark WHERE NOT contains(text, chr(10))")
+SPLIT = "regexp_split_to_array({}, '\\r\\n|\\r|\\n')"
+DISCLAIMED = " OR ".join(f"contains(lower(x),'{d}')" for d in X.DISCLAIMERS)
+NEGATIVE_SQL = X.NEGATIVE_LINE[4:]
+
+
+@query(f"""WITH a AS (SELECT item_id, {STRIP.format(f"array_to_string(list_filter({SPLIT.format('t')}, lambda x: NOT ({DISCLAIMED})), chr(10))")} AS t FROM
+(SELECT item_id, 'This is NOT specified in the provided context.'||chr(10)||'keep '||text||chr(10)||'End of answer'||chr(10)||'It does not mention '||text AS t FROM benchmark))
+SELECT item_id, {STRIP.format(f"array_to_string(list_filter({SPLIT.format('t')}, lambda x: NOT regexp_matches(x,'(?i){NEGATIVE_SQL}')), chr(10))")} AS answer FROM a""")
 def disclaimers_dropped(spark, sf_dir):
-    b = read_table(spark, sf_dir, "benchmark").where(~F.contains("text", F.lit("\n")))
-    t = F.concat(F.lit("This is NOT specified in the provided context.\nkeep "), F.col("text"), F.lit("\nEnd of answer"))
+    """Whole texts, line by line: some lines hold disclaimers or say that nothing is told."""
+    b = read_table(spark, sf_dir, "benchmark")
+    t = F.concat(F.lit("This is NOT specified in the provided context.\nkeep "), F.col("text"), F.lit("\nEnd of answer\nIt does not mention "), F.col("text"))
     return b.select("item_id", X.without_negative_lines(X.without_disclaimers(t)).alias("answer"))
 
 
@@ -342,10 +354,16 @@ def turn_redundancy(spark, sf_dir):
     return r.select("a", "b", r6("r.jaccard").alias("jaccard"), r6("r.coverage").alias("coverage"), F.col("r.redundant").alias("redundant"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text)<=1400 THEN text ELSE right(text,1400) END AS tail FROM (SELECT doc_id, regexp_replace(text,'^[\\s\\p{Z}]+|[\\s\\p{Z}]+$','','g') AS text FROM documents) WHERE length(text) < 1400")
+@query(f"SELECT doc_id, {STRIP.format('right(t,1400)')} AS tail FROM (SELECT doc_id, {STRIP.format('text')} AS t FROM documents)")
 def draft_tails(spark, sf_dir):
-    d = docs_of(spark, sf_dir).withColumn("t", X.pystrip(F.col("text"))).where(F.char_length("t") < 1400)
-    return d.select("doc_id", X.draft_tail(F.col("t")).alias("tail"))
+    return docs_of(spark, sf_dir).select("doc_id", X.draft_tail(F.col("text")).alias("tail"))
+
+
+@query()
+def rolling_drafts(spark, sf_dir):
+    """What each line of a text is told of the lines before it, as parts of an answer are; a fold, so its test redoes it in plain Python."""
+    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(answers.rolling_drafts(F.split("text", "\n"), 40)).alias("part", "draft"))
+    return rows.select("doc_id", F.col("part").cast("bigint").alias("part"), "draft")
 
 
 @query("SELECT doc_id, sha256(text) AS fp FROM documents")
@@ -362,10 +380,10 @@ def delta_slices(spark, sf_dir):
 # ---------------------------------------------------------------- chunking
 
 
-@query("""SELECT doc_id, i::BIGINT AS pos, substr(t, i*180+1, 200) AS n_text FROM (SELECT doc_id, substr(regexp_replace(text,'[\\s\\p{Z}]+','x','g'),1,5000) AS t FROM documents) d, unnest(generate_series(0, greatest(0,(length(t)-20-1))//180)) s(i) WHERE length(t) > 200""")
+@query("""SELECT doc_id, i::BIGINT AS pos, substr(t, i*180+1, 200) AS n_text FROM (SELECT doc_id, regexp_replace(text,'[\\s\\p{Z}]+','x','g') AS t FROM documents) d, unnest(generate_series(0, greatest(0,(length(t)-20-1))//180)) s(i) WHERE length(t) > 200""")
 def chunk_hard_slice(spark, sf_dir):
-    """One long paragraph: slices of 200 characters that overlap by 20."""
-    d = docs_of(spark, sf_dir).select("doc_id", F.left(F.regexp_replace("text", r"[\s\p{Z}]+", "x"), F.lit(5000)).alias("t")).where(F.char_length("t") > 200)
+    """Each whole text as one paragraph: slices of 200 characters that overlap by 20; shorter texts have none."""
+    d = docs_of(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[\s\p{Z}]+", "x").alias("t")).where(F.char_length("t") > 200)
     return d.select("doc_id", F.posexplode(chunking.chunk_array(F.col("t"), 200, 20)).alias("pos", "n_text")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "n_text")
 
 
@@ -395,14 +413,10 @@ def minute_buckets(spark, sf_dir):
     return chunking.minute_buckets(fx.segments(spark, sf_dir)).select("doc_name", "content", "page_number", "start_sec", "end_sec")
 
 
-CLOCK = """CASE WHEN s>=3600 THEN lpad((s//3600)::VARCHAR,2,'0')||':' ELSE '' END||lpad(((s//60)%60)::VARCHAR,2,'0')||':'||lpad((s%60)::VARCHAR,2,'0')"""
-
-
-@query(f"SELECT event_id, {CLOCK.replace('s>', 'event_id>').replace('(s', '(event_id').replace('((s', '((event_id')} AS clock, event_id AS back FROM events WHERE event_id < 9000")
+@query("SELECT event_id, CASE WHEN event_id>=3600 THEN format('{:02d}:', event_id//3600) ELSE '' END||format('{:02d}:{:02d}', (event_id//60)%60, event_id%60) AS clock, event_id AS back FROM events")
 def clock_labels(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").where("event_id < 9000")
     label = F.substring_index(X.range_label(F.col("event_id"), F.col("event_id")), "-", 1)
-    return e.select("event_id", label.alias("clock"), X.parse_clock(label).alias("back"))
+    return read_table(spark, sf_dir, "events").select("event_id", label.alias("clock"), X.parse_clock(label).alias("back"))
 
 
 @query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id)-1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents)
@@ -440,11 +454,11 @@ def split_batches(spark, sf_dir):
 # ---------------------------------------------------------------- neighbours and packing
 
 
-SEEDS = "f_seed AS (SELECT * FROM f_chunk WHERE doc_id < 40 AND chunk_index = 2)"
+SEEDS = "f_seed AS (SELECT * FROM f_chunk WHERE doc_id % 50 = 0 AND chunk_index = 2)"
 
 
 def seeds(spark, sf_dir):
-    rows = fx.chunks(spark, sf_dir).where("doc_id < 40 and chunk_index = 2")
+    rows = fx.chunks(spark, sf_dir).where("doc_id % 50 = 0 and chunk_index = 2")
     return rows.withColumn("query_id", F.lit(0).cast("bigint")).withColumn("score", F.lit(1.0)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("vector_id")))
 
 
@@ -454,8 +468,8 @@ def neighbour_expand(spark, sf_dir):
     return rows.select("vector_id", (F.col("ord.kind") == 0).alias("seed"))
 
 
-@query(f"""WITH {fx.CHUNKS}, f AS (SELECT *, 'sec_'||(chunk_index//4) AS sec FROM f_chunk), s AS (SELECT DISTINCT tenant, doc_name, sec FROM f WHERE doc_id<40 AND chunk_index=2)
-SELECT vector_id, doc_id<40 AND chunk_index=2 AS seed FROM f JOIN s USING(tenant, doc_name, sec)""")
+@query(f"""WITH {fx.CHUNKS}, f AS (SELECT *, 'sec_'||(chunk_index//4) AS sec FROM f_chunk), s AS (SELECT DISTINCT tenant, doc_name, sec FROM f WHERE doc_id%50=0 AND chunk_index=2)
+SELECT vector_id, doc_id%50=0 AND chunk_index=2 AS seed FROM f JOIN s USING(tenant, doc_name, sec)""")
 def section_expand(spark, sf_dir):
     own = F.concat(F.lit("sec_"), F.floor(F.col("chunk_index") / 4).cast("string"))
     chunks = fx.chunks(spark, sf_dir).withColumn("section_path_str", own)
@@ -548,10 +562,9 @@ def chat_search(spark, sf_dir):
     return chat.search(fx.messages(spark, sf_dir), " ONEN ", ("content", "session_id")).select("session_id", "id")
 
 
-@query(f"WITH {fx.MESSAGES} SELECT id, CASE WHEN t='' THEN '(empty)' WHEN length(t)>800 THEN left(t,799)||'…' ELSE t END AS title FROM (SELECT id, regexp_replace(replace(content,chr(10),' '),'^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$','','g') AS t FROM f_message WHERE NOT contains(content, ')'))")
+@query(f"WITH {fx.MESSAGES} SELECT id, CASE WHEN t='' THEN '(empty)' WHEN length(t)>800 THEN left(t,799)||'…' ELSE t END AS title FROM (SELECT id, regexp_replace(replace(content,chr(10),' '),'^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$','','g') AS t FROM f_message)")
 def chat_titles(spark, sf_dir):
-    m = fx.messages(spark, sf_dir).where(~F.contains("content", F.lit(")")))
-    return m.select("id", X.chat_title(F.concat(F.col("content"), F.lit(" (asked before)"))).alias("title"))
+    return fx.messages(spark, sf_dir).select("id", X.chat_title(F.concat(F.col("content"), F.lit(" (asked before)"))).alias("title"))
 
 
 # ---------------------------------------------------------------- ingestion and dashboards
@@ -580,11 +593,11 @@ def delete_document(spark, sf_dir):
     return ingest.delete_document(rows, "src3").select("doc_id", "lang")
 
 
-@query("SELECT source AS tenant, 'f'||(doc_id%5000)||'.'||CASE doc_id%4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'exe' ELSE 'md' END AS name, doc_id%4<>1 AND doc_id%6<>0 AS saved FROM documents WHERE doc_id < 5000")
+@query("SELECT source AS tenant, 'f'||doc_id||'.'||CASE doc_id%4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'exe' ELSE 'md' END AS name, doc_id%4<>1 AND doc_id%6<>0 AS saved FROM documents")
 def accept_uploads(spark, sf_dir):
-    d = docs_of(spark, sf_dir).where("doc_id < 5000")
+    d = docs_of(spark, sf_dir)
     k = F.col("doc_id") % 4
-    rows = d.select(F.col("source").alias("tenant"), F.concat(F.lit("f"), (F.col("doc_id") % 5000).cast("string"), F.lit("."), F.when(k == 0, "PDF").when(k == 1, "exe").otherwise("md")).alias("name"), "doc_id")
+    rows = d.select(F.col("source").alias("tenant"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), F.when(k == 0, "PDF").when(k == 1, "exe").otherwise("md")).alias("name"), "doc_id")
     return ingest.accept_uploads(rows, rows.where("doc_id % 6 = 0")).select("tenant", "name", "saved")
 
 
@@ -670,7 +683,7 @@ def caption_images(spark, sf_dir):
     """Images made of documents: the ranking's own test redoes its rules in plain Python."""
     q, pool = dense_pool(spark, sf_dir, 24)
     png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D4948445200000100000001000802000000"), F.repeat(F.lit("00"), 2600)))
-    found = pool.select("query_id", F.col("dense").alias("vec_score"), F.concat(F.lit("img-"), F.col("vector_id").cast("string")).alias("image_uuid"), F.when(F.col("vector_id") % 3 == 0, "").otherwise(F.left("text", F.lit(80))).alias("caption"), F.lit("").alias("text"), F.lit("").alias("doc_name"), png.alias("image"))
+    found = pool.select("query_id", F.col("dense").alias("vec_score"), F.concat(F.lit("img-"), F.col("vector_id").cast("string")).alias("image_uuid"), F.when(F.col("vector_id") % 3 == 0, "").otherwise(F.col("text")).alias("caption"), F.lit("").alias("text"), F.lit("").alias("doc_name"), png.alias("image"))
     found = found.withColumn("_s", images.png_size(F.col("image"))).withColumn("width", F.col("_s.width")).withColumn("height", F.col("_s.height")).drop("_s")
     asked = q.select("query_id", F.lit("onen therion the").alias("question"), F.lit("onen therion the").alias("caption_query"), F.lit("").alias("chunk_ctx"), F.lit("").alias("top_doc"))
     return images.retrieve_images(found, asked).select("query_id", F.col("image_rank").cast("bigint").alias("image_rank"), "image_uuid", "kind", r6("score").alias("score"))
@@ -684,11 +697,15 @@ def extract_images(spark, sf_dir):
     return images.extract_images(docs).select(F.col("doc_name").cast("bigint").alias("item_id"), F.when(F.startswith("caption", F.lit("Fig")), F.lower("caption")).otherwise(F.col("caption")).alias("caption"), "image_index", "image_mime", F.length("image").cast("bigint").alias("n_bytes"))
 
 
-@query("""SELECT doc_id, round(CASE WHEN n=0 THEN 0 ELSE (CASE WHEN d/n<0.45 THEN (0.45-d/n)*8 ELSE 0 END)+(CASE WHEN a/n>18 THEN least(3.0,(a/n-18)*0.5) ELSE 0 END) END,6) AS penalty FROM
-(SELECT doc_id, len(w) AS n, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS d, list_sum(list_transform(w, lambda x: length(x))) AS a FROM (SELECT doc_id, regexp_extract_all(text,'[\\p{L}\\p{N}_]+') AS w, text FROM documents) WHERE len(w)>0 AND NOT regexp_matches(text,'a{6}|e{6}|[!*#.x_-]{6}|0{6}|1{6}|2{6}|3{6}|4{6}|5{6}|6{6}|7{6}|8{6}|9{6}|%{6}|&{6}|\\${6}'))""")
+@query(f"""WITH t AS (SELECT doc_id, {STRIP.format("coalesce(text,'')")} AS t FROM documents),
+c AS (SELECT doc_id, i, substr(t, i, 1) AS c FROM t, unnest(generate_series(1, length(t))) s(i)),
+r AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run FROM c WHERE ord(c) NOT IN (10, 13, 133, 8232, 8233)),
+n AS (SELECT doc_id, count(*) AS runs FROM (SELECT doc_id FROM r GROUP BY doc_id, c, run HAVING count(*) >= 6) GROUP BY doc_id),
+w AS (SELECT doc_id, t, len(w) AS n, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS d, list_sum(list_transform(w, lambda x: length(x))) AS a FROM (SELECT doc_id, t, regexp_extract_all(t,'[\\p{{L}}\\p{{N}}_]+') AS w FROM t))
+SELECT doc_id, CASE WHEN t='' THEN 1000.0 ELSE round(4.0*coalesce(runs,0)+CASE WHEN n=0 THEN 0 ELSE (CASE WHEN d/n<0.45 THEN (0.45-d/n)*8 ELSE 0 END)+(CASE WHEN a/n>18 THEN least(3.0,(a/n-18)*0.5) ELSE 0 END) END,6) END::DOUBLE AS penalty FROM w LEFT JOIN n USING(doc_id)""")
 def quality_penalty(spark, sf_dir):
-    d = docs_of(spark, sf_dir).where(F.rlike("text", F.lit(r"[\p{L}\p{N}_]")) & ~F.rlike("text", F.lit(r"a{6}|e{6}|[!*#.x_-]{6}|0{6}|1{6}|2{6}|3{6}|4{6}|5{6}|6{6}|7{6}|8{6}|9{6}|%{6}|&{6}|\${6}")))
-    return d.select("doc_id", r6(speech.quality_penalty(F.col("text"))).alias("penalty"))
+    """Runs of one character are counted as islands in the SQL, since its patterns can't refer back."""
+    return docs_of(spark, sf_dir).select("doc_id", r6(speech.quality_penalty(F.col("text"))).alias("penalty"))
 
 
 @query()
@@ -715,11 +732,41 @@ def judge_scores(spark, sf_dir):
     return rows.select("item_id", F.col("j.score").cast("bigint").alias("score"), F.col("j.error").isNull().alias("ok"))
 
 
-@query("SELECT item_id, 'Manual A.pdf' AS doc, item_id%30+1 AS page FROM benchmark UNION ALL SELECT item_id, 'clip.mp4', 2 FROM benchmark WHERE item_id%30+1>0")
+CITED = "'see '||replace(replace(text,chr(10),' '),'.',',')||', Manual '||(item_id%30)||'.pdf, page '||(item_id%40+1)||'; ['||text||'] [**Guide.pdf**; **page 7**]'||chr(10)||'[Passage 2, page '||(item_id%9)||'], [Passage 3] **page 4**, clip.mp4, time 00:10 - 01:'||(item_id%50+10)"
+
+
+@query(f"""WITH t AS (SELECT item_id, {CITED} AS t FROM benchmark)
+SELECT item_id, trim(regexp_replace(trim(regexp_extract(c,'(?i)([^\\[\\],;\\n]+\\.pdf)',1), ' *('),'(?i)^(according\\s+to|from|in|per|see|refer\\s+to)\\s+','')) AS doc, regexp_extract(c,'(\\d+)$',1)::BIGINT AS page, NULL::BIGINT AS passage, NULL::VARCHAR AS time
+FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(t,'(?i)[^\\[\\],;\\n]+\\.pdf\\s*\\*{{0,2}}\\s*[,;]\\s*\\*{{0,2}}\\s*page\\s+\\d+'))) AS c FROM t)
+UNION ALL SELECT item_id, NULL, item_id%9, 2, NULL FROM benchmark UNION ALL SELECT item_id, NULL, 4, 3, NULL FROM benchmark UNION ALL SELECT item_id, 'clip.mp4', NULL, NULL, '00:10-01:'||(item_id%50+10) FROM benchmark""")
 def citations(spark, sf_dir):
-    t = F.concat(F.lit("[Manual A.pdf, page "), (F.col("item_id") % 30 + 1).cast("string"), F.lit("] and (clip.mp4, page 2); again [clip.mp4, page 2]"))
+    """Citations of all shapes in and behind whole texts."""
+    i = lambda n, plus=0: (F.col("item_id") % n + plus).cast("string")
+    flat = F.translate(F.regexp_replace("text", "\n", " "), ".", ",")
+    t = F.concat(F.lit("see "), flat, F.lit(", Manual "), i(30), F.lit(".pdf, page "), i(40, 1), F.lit("; ["), F.col("text"), F.lit("] [**Guide.pdf**; **page 7**]\n[Passage 2, page "), i(9), F.lit("], [Passage 3] **page 4**, clip.mp4, time 00:10 - 01:"), i(50, 10))
     rows = read_table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.citations(t)).alias("c"))
-    return rows.select("item_id", F.col("c.doc").alias("doc"), F.col("c.page").alias("page"))
+    return rows.select("item_id", "c.doc", "c.page", "c.passage", "c.time")
+
+
+ANSWER = "'User query: x'||chr(10)||'draft Answer: no'||chr(10)||'Answer: '||text||chr(10)||'[2] Source: y'||chr(10)||replace(text,' ','  ')||'..'||chr(10)||'Rated 1.2 kW'||chr(10)||'Rated 12 kW'"
+
+
+@query(f"""WITH t AS (SELECT item_id, regexp_replace({ANSWER}, '(?is)^.*answer:', '') AS t FROM benchmark),
+l AS (SELECT item_id, i, {STRIP.format("p[i]")} AS x FROM (SELECT item_id, {SPLIT.format('t')} AS p FROM t), unnest(generate_series(1, len(p))) u(i)),
+k AS (SELECT item_id, i, x, trim(regexp_replace(lower(x), '[\\s\\p{{Z}}]+', ' ', 'g'), ' .') AS k FROM l WHERE x <> '' AND NOT regexp_matches(lower(x), '^(user query:|retrieved context:|rag input contract|\\[\\d+\\]\\s+source:\\s)'))
+SELECT item_id, string_agg(x, chr(10) ORDER BY i) AS answer FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY item_id, k ORDER BY i) = 1) GROUP BY item_id""")
+def clean_answers(spark, sf_dir):
+    """Whole texts as answers, with echoes of the prompt, repeats, and numbers that differ by a dot."""
+    text = F.col("text")
+    t = F.concat(F.lit("User query: x\ndraft Answer: no\nAnswer: "), text, F.lit("\n[2] Source: y\n"), F.replace(text, F.lit(" "), F.lit("  ")), F.lit("..\nRated 1.2 kW\nRated 12 kW"))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", answers.clean_answer(t).alias("answer"))
+
+
+@query(f"WITH {fx.MESSAGES}, l AS (SELECT id, lag(content) OVER (PARTITION BY session_id ORDER BY id) AS before, content FROM f_message) SELECT id, CASE WHEN before='' THEN chr(10)||' '||content ELSE regexp_replace(content,'^\\s+','') END AS rest FROM l WHERE before IS NOT NULL")
+def repeats_suppressed(spark, sf_dir):
+    """Each message with the one before it in front: the part that was emitted already goes."""
+    m = fx.messages(spark, sf_dir).withColumn("before", F.lag("content").over(W.partitionBy("session_id").orderBy("id")))
+    return m.where(F.col("before").isNotNull()).select("id", answers.suppress_repeat(F.col("before"), F.concat("before", F.lit("\n "), "content")).alias("rest"))
 
 
 @query("""SELECT item_id, CASE item_id%2 WHEN 0 THEN '4. check zinc valve' ELSE '' END AS novel FROM benchmark""")
@@ -761,10 +808,20 @@ def top_fused(spark, sf_dir):
     return rank.top_fused(rank.fuse(rank.bm25(pool, q)), 10).select("vector_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("SELECT doc_id AS query_id, CASE WHEN length(text)<=1500 THEN 1.0 WHEN f92<=1500 THEN 0.92 WHEN f85<=1500 THEN 0.85 WHEN f75<=1500 THEN 0.75 WHEN f65<=1500 THEN 0.65 ELSE 0.55 END::DOUBLE AS factor FROM (SELECT *, least(length(text),greatest(200,floor(length(text)*0.92::DOUBLE))) AS f92, least(length(text),greatest(200,floor(length(text)*0.85::DOUBLE))) AS f85, least(length(text),greatest(200,floor(length(text)*0.75::DOUBLE))) AS f75, least(length(text),greatest(200,floor(length(text)*0.65::DOUBLE))) AS f65 FROM documents)")
+_CUTS = {"f92": 0.92, "f85": 0.85, "f75": 0.75, "f65": 0.65, "f55": 0.55}
+_CUT = lambda f: f"CASE WHEN blank THEN n ELSE least(n,greatest(200,floor(n*{f}::DOUBLE))) END"
+
+
+@query(f"""WITH {fx.CHUNKS}, c AS (SELECT doc_id, chunk_index, length(text) AS n, {STRIP.format("text")}='' AS blank FROM f_chunk),
+r AS (SELECT *, chunk_index+1 AS p, sum(n) OVER w AS f100, {", ".join(f"sum({_CUT(f)}) OVER w AS {name}" for name, f in _CUTS.items())} FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN f100<=1500 THEN 1.0 {" ".join(f"WHEN p>1 AND {name}<=1500 THEN {f}" for name, f in _CUTS.items())} END AS factor FROM r),
+m AS (SELECT *, max(CASE WHEN factor IS NOT NULL THEN p END) OVER (PARTITION BY doc_id) AS last FROM g)
+SELECT doc_id AS query_id, p AS kept, factor::DOUBLE AS factor, (CASE WHEN factor IS NULL THEN least(n, 1500) WHEN factor=1 THEN f100 {" ".join(f"WHEN factor={f} THEN {name}" for name, f in _CUTS.items())} END)::BIGINT AS n_chars FROM m WHERE p=coalesce(last,1)""")
 def shrink_factors(spark, sf_dir):
-    rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "text")
-    return expand.shrink_to_fit(rows, 1500).select("query_id", "factor")
+    """The lines of each document as its passages, fitted into 1500 characters."""
+    rows = fx.chunks(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("chunk_index").alias("position"), "text")
+    fitted = expand.shrink_to_fit(rows, 1500)
+    return fitted.groupBy("query_id").agg(F.count("*").alias("kept"), F.first("factor").alias("factor"), F.sum(F.char_length("text")).cast("bigint").alias("n_chars"))
 
 
 @query("SELECT doc_id AS query_id, count(*) AS pages FROM (SELECT DISTINCT doc_id, i//3 AS p FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents), unnest(generate_series(0, len(parts)-1)) t(i)) GROUP BY doc_id")
@@ -773,28 +830,27 @@ def context_pages(spark, sf_dir):
     return fx.chunks(spark, sf_dir).groupBy(F.col("doc_id").alias("query_id")).agg(F.size(F.array_sort(F.collect_set("page_number"))).cast("bigint").alias("pages"))
 
 
-@query("""SELECT doc_id AS query_id, CASE WHEN doc_id%3=0 THEN sum(CASE WHEN length(t)>=80 THEN length(t) ELSE 0 END)>=120 ELSE FALSE END AS override FROM
-(SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))),'^[\\s\\p{Z}]+|[\\s\\p{Z}]+$','','g') AS t FROM documents WHERE NOT contains(text,'#')) GROUP BY doc_id""")
+@query(f"""SELECT doc_id AS query_id, CASE WHEN doc_id%3=0 THEN sum(CASE WHEN length(t)>=80 THEN length(t) ELSE 0 END)>=120 ELSE FALSE END AS override FROM
+(SELECT doc_id, {STRIP.format("regexp_replace(x,'(?m)^\\s*#+\\s*','','g')")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)) GROUP BY doc_id""")
 def domain_override(spark, sf_dir):
-    rows = fx.chunks(spark, sf_dir).join(docs_of(spark, sf_dir).where(~F.contains("text", F.lit("#"))).select("doc_id"), "doc_id", "left_semi")
-    rows = rows.withColumn("query_id", F.col("doc_id")).withColumn("ingest_mode", F.when(F.col("doc_id") % 3 == 0, "video_transcript"))
+    rows = fx.chunks(spark, sf_dir).withColumn("query_id", F.col("doc_id")).withColumn("ingest_mode", F.when(F.col("doc_id") % 3 == 0, "video_transcript"))
     return expand.domain_override(rows)
 
 
-@query("SELECT doc_id AS query_id, 'From doc_'||doc_id||' (page 1): '||left(t,420)||CASE WHEN length(t)>420 THEN '…' ELSE '' END AS answer FROM (SELECT doc_id, regexp_replace(text,'^[\\s\\p{Z}]+|[\\s\\p{Z}]+$','','g') AS t FROM documents) WHERE t<>''")
+@query("SELECT doc_id AS query_id, 'From doc_'||doc_id||' (page 1): '||left(t,420)||CASE WHEN length(t)>420 THEN '…' ELSE '' END AS answer FROM (SELECT doc_id, regexp_replace(text,'^[\\s\\p{Z}]+|[\\s\\p{Z}]+$','','g') AS t FROM documents)")
 def fallback_answers(spark, sf_dir):
     rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.lit(1).alias("position"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_name"), F.lit(1).alias("page_number"), F.lit("").alias("section_path_str"), X.pystrip(F.col("text")).alias("text"))
-    return expand.fallback_answer(rows.where("text <> ''"))
+    return expand.fallback_answer(rows)
 
 
 # ---------------------------------------------------------------- more text
 
 
-@query("SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w,b.w))/len(list_distinct(a.w||b.w)),6) AS j FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text),'[ \\t\\n\\r\\f\\v]+'), lambda x: x<>'')) AS w FROM documents) a JOIN (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text),'[ \\t\\n\\r\\f\\v]+'), lambda x: x<>'')) AS w FROM documents) b ON b.doc_id=a.doc_id+1 WHERE len(a.w)>0 AND len(b.w)>0")
+@query("SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.w)=0 OR len(b.w)=0 THEN 0 ELSE len(list_intersect(a.w,b.w))/len(list_distinct(a.w||b.w)) END,6) AS j FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text),'[ \\t\\n\\r\\f\\v]+'), lambda x: x<>'')) AS w FROM documents) a JOIN (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text),'[ \\t\\n\\r\\f\\v]+'), lambda x: x<>'')) AS w FROM documents) b ON b.doc_id=a.doc_id+1")
 def neighbour_jaccard(spark, sf_dir):
     """Word overlap of each document with the next one."""
     a, b = docs_of(spark, sf_dir).select(F.col("doc_id").alias("a"), F.col("text").alias("x")), docs_of(spark, sf_dir).select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    rows = a.join(b, F.col("b") == F.col("a") + 1).where(F.rlike("x", F.lit(r"\S")) & F.rlike("y", F.lit(r"\S")))
+    rows = a.join(b, F.col("b") == F.col("a") + 1)
     return rows.select("a", "b", r6(X.word_jaccard(F.col("x"), F.col("y"))).alias("j"))
 
 
@@ -878,16 +934,22 @@ def section_pairs(spark, sf_dir):
     return chunking.section_pairs(rows)
 
 
-@query("SELECT source AS tenant, count(*) AS n, min(vid) AS first_id, max(vid) AS last_id FROM (SELECT source, row_number() OVER (ORDER BY source, doc_id)-1 AS vid FROM documents WHERE source IN ('src1','src2','src3')) GROUP BY source")
+@query("SELECT tenant, count(*) AS n, min(vid) AS first_id, max(vid) AS last_id FROM (SELECT tenant, row_number() OVER (ORDER BY tenant, doc_id)-1 AS vid FROM (SELECT coalesce(source,'none') AS tenant, doc_id FROM documents)) GROUP BY tenant")
 def tenant_union(spark, sf_dir):
-    """Stores of three tenants as one, numbered anew."""
-    d = docs_of(spark, sf_dir)
-    stores = [d.where(F.col("source") == t).select(F.col("source").alias("tenant"), F.col("doc_id").alias("vector_id")) for t in ("src2", "src1", "src3")]
-    merged = ingest.merge(ingest.merge(stores[0], stores[1]), stores[2].withColumn("extra", F.lit(1)))
+    """Three stores that hold all sources between them, as one, numbered anew."""
+    d = docs_of(spark, sf_dir).select(F.coalesce("source", F.lit("none")).alias("tenant"), F.col("doc_id").alias("vector_id"))
+    own = F.pmod(F.crc32(F.col("tenant").cast("binary")), F.lit(3))
+    merged = ingest.merge(ingest.merge(d.where(own == 2), d.where(own == 1)), d.where(own == 0).withColumn("extra", F.lit(1)))
     ids = chunking.renumber(merged, ("tenant", "vector_id"), 4)
     return ids.groupBy("tenant").agg(F.count("*").alias("n"), F.min("vector_id").alias("first_id"), F.max("vector_id").alias("last_id"))
 
 
+@query("SELECT lang AS doc_name, count(DISTINCT doc_id%13) AS ground_ids FROM documents GROUP BY lang")
+def ground_id_counts(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).select(F.col("lang").alias("doc_name"), F.col("doc_id").alias("vector_id"), F.concat(F.lit("l"), (F.col("doc_id") % 13).cast("string")).alias("label"))
+    return chunking.ground_id_counts(chunking.ground_ids(rows))
+
+
 @query("SELECT '/x/exp_'||doc_id||'.zip' AS path FROM documents WHERE doc_id%2=0 AND doc_id%6<>0")
 def stale_bundles(spark, sf_dir):
     d = docs_of(spark, sf_dir)
@@ -924,21 +986,3 @@ def cited_sources(spark, sf_dir):
     m = m.withColumn("sources_json", F.to_json(F.array(F.struct(name.alias("doc_name"), F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("doc_path")))))
     cited = m.select("session_id").distinct().withColumn("doc", F.concat(F.lit("Doc_"), (F.col("session_id") % 5).cast("string"), F.lit(".PDF")))
     return chat.resolve_cited(m, cited).select("session_id", "doc", "doc_path")
-
-
-# ---------------------------------------------------------------- relational shapes over the star tables
-
-
-@query("SELECT c_custkey, count(o_orderkey) AS orders, round(coalesce(sum(o_totalprice),0),2) AS spent FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY c_custkey ORDER BY orders DESC, c_custkey LIMIT 50")
-def busiest_customers(spark, sf_dir):
-    """Left join, group and top k: the shape of the session list."""
-    c, o = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
-    joined = c.select("c_custkey").join(o, c.c_custkey == o.o_custkey, "left")
-    grouped = joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("spent"))
-    return grouped.orderBy(F.desc("orders"), "c_custkey").limit(50)
-
-
-@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS sum_qty, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
-def pricing_summary(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))

@@ -453,7 +453,7 @@ def range_label(start: Column, end: Column) -> Column:
     """MM:SS-MM:SS, with hours from one hour on."""
 
     def one(sec: Column) -> Column:
-        pad = lambda x: F.lpad(x.cast("string"), 2, "0")
+        pad = lambda x: F.format_string("%02d", x.cast("bigint"))
         h, m, s = F.floor(sec / 3600), F.floor(sec / 60) % 60, sec % 60
         return F.when(sec >= 3600, F.concat_ws(":", pad(h), pad(m), pad(s))).otherwise(F.concat_ws(":", pad(m), pad(s)))
 

@@ -52,3 +52,17 @@ def test_marked_up_holds_whole_texts(spark, sf):
     for r in catalog.fx.marked_up(spark, sf).collect():
         first, _, second = r.md.split("\n<!-- page break -->\n")
         assert first.split("\n\n", 1)[1] + second.split("\n", 1)[1] == texts[r.doc_id]
+
+
+def test_rolling_drafts_equal_plain_python(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in catalog.QUERIES["rolling_drafts"](spark, sf).orderBy("doc_id", "part").collect():
+        got.setdefault(r.doc_id, []).append(r.draft)
+    for i, text in texts.items():
+        draft, want = "", []
+        for part in text.split("\n"):
+            want.append(draft)
+            if part.strip():
+                draft = (f"{draft}\n\n{part}" if draft else part).strip()[-40:].strip()
+        assert got[i] == want, i
