@@ -199,21 +199,29 @@ REACH = 8
 SLICE = 256
 
 
-#: Two sets at the similarity share at least this many of the BANDS * ROWS low bytes of minimum hashes, but for a
-#: probability of 4e-6 at most (Chernoff's bound at 0.8), less than what the bands leave out.
-ALIKE = 72
+# A finer sketch, a byte of each of SKETCH minimum hashes, for members of large buckets only. Two sets at a similarity of
+# 0.8 agree in fewer than ALIKE of its bytes with probability 0.00001 (binomial, 512 draws), less than what the bands
+# leave out; two at 0.7 agree in as many with probability 0.1, two at 0.65 with 0.0003.
+SKETCH, ALIKE = 512, 370
+_FINE = np.random.default_rng(SEED + 1).integers(0, 2**64, (2, SKETCH, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
+def least_hashes(hashes: np.ndarray, mix: np.ndarray) -> np.ndarray:
     """The minimum hashes of one set."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    least = np.full(mix.shape[1], 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 4096):  # bounded memory for texts of any length
-        np.minimum(least, ((hashes[at : at + 4096] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=least)
+        np.minimum(least, ((hashes[at : at + 4096] ^ mix[0]) * mix[1]).min(axis=1), out=least)
     return least
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    """A key for each band of minimum hashes."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """Bytes that two sets share as often as they are similar, and one in 256 times else."""
+    return (least_hashes(hashes, _FINE) >> np.uint64(20)).astype(np.uint8).tobytes()
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of the minimum hashes of one set."""
+    least = least_hashes(hashes, _MIX)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         keys = (keys ^ row) * _MIX[1, 0, 0]
@@ -222,7 +230,7 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, and of the set of shingle hashes a hash ``fp`` (0 without words), its size, its bands and ``low``, the low bytes of its minimum hashes."""
+    """doc_id, text_hash, and of the set of shingle hashes a hash ``fp`` (0 without words), its size and its bands."""
 
     def batches(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
@@ -231,14 +239,12 @@ def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_c
                 for t in texts.iloc[at : at + SLICE]:
                     own = np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle))
                     fp = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
-                    least = least_hashes(own)
-                    keys = bands(least).view(np.int64) if len(own) else np.zeros(0, np.int64)
-                    out.append((fp - (fp >> 63 << 64), len(own), keys, (least >> np.uint64(56)).astype(np.uint8).tobytes()))
-                yield pd.DataFrame(out, columns=["fp", "size", "bands", "low"])
+                    out.append((fp - (fp >> 63 << 64), len(own), bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64)))
+                yield pd.DataFrame(out, columns=["fp", "size", "bands"])
 
-    found = F.pandas_udf(batches, "fp long, size int, bands array<long>, low binary")(F.col(text_col))
+    found = F.pandas_udf(batches, "fp long, size int, bands array<long>")(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), found.alias("_s"))
-    return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands", "_s.low")
+    return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -252,6 +258,16 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("fp", F.pandas_udf(batches, "array<long>")(F.col("text")).alias("hashes"))
 
 
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """fp and its sketch."""
+
+    def batches(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in it:
+            yield pd.Series([sketch(np.unique(shingle_hashes(t, shingle))) for t in batch])
+
+    return texts.select("fp", F.pandas_udf(batches, "binary")(F.col("text")).alias("sketch"))
+
+
 def _values(column: pa.Array) -> np.ndarray:
     """Numbers as they are; binaries, all of one length, as rows of bytes."""
     if not pa.types.is_binary(column.type):
@@ -296,16 +312,16 @@ def _circle(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _across(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different components that their low bytes let pass: one of the two is outside the bucket's largest."""
+    """All pairs of different components that their sketches let pass: one of the two is outside the bucket's largest."""
     roots, at, count = np.unique(own["root"], return_inverse=True, return_counts=True)
-    low = own["low"]
+    sketched = own["sketch"]
     outside = at != count.argmax()
     for i in np.flatnonzero(outside):
         # a pair within ``outside`` comes once, from its smaller place
         for j0 in range(0, len(at), 65_536):
             j = np.arange(j0, min(j0 + 65_536, len(at)))
             j = j[(at[j] != at[i]) & (~outside[j] | (j > i))]
-            j = j[(low[j] == low[i]).sum(axis=1) >= ALIKE]
+            j = j[(sketched[j] == sketched[i]).sum(axis=1) >= ALIKE]
             yield np.full(len(j), i), j
 
 
@@ -319,12 +335,14 @@ def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingl
     groups = keys.groupBy("key").agg(F.collect_list(F.struct("fp", "size")).alias("members")).where(F.size("members") > 1)
     groups = stash(groups, "buckets")
 
+    def read(asked: DataFrame) -> DataFrame:
+        """A text for each of the sets."""
+        named = prints.select("fp", "text_hash").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+        return texts.join(stash(named, "asked"), "text_hash").groupBy("fp").agg(F.first("text").alias("text"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        named = prints.select("fp", "text_hash").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
-        read = texts.join(stash(named, "asked"), "text_hash").groupBy("fp").agg(F.first("text").alias("text"))
-        sets = stash(shingle_sets(read, shingle), "sets")
+        sets = stash(shingle_sets(read(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), shingle), "sets")
         both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         both = both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-6)
@@ -335,10 +353,13 @@ def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingl
     if large.isEmpty():
         return first
     roots = components(first)
-    low = prints.join(large.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("low").alias("low"))
-    low = stash(low.join(roots, low.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "low")
-    large = large.join(low, "fp").select("key", F.struct("fp", "size", "root", "low").alias("m"))
-    left = large.groupBy("key").agg(F.collect_list("m").alias("members")).where(F.size(F.array_distinct("members.root")) > 1)
+    tied = large.join(roots, large.fp == roots.node, "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    tied = stash(tied, "tied")
+    mixed = tied.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    tied = stash(tied.join(mixed, "key", "left_semi"), "mixed")
+    fine = stash(sketches(read(tied.select("fp").distinct()), shingle), "sketches")
+    large = tied.join(fine, "fp").select("key", F.struct("fp", "size", "root", "sketch").alias("m"))
+    left = large.groupBy("key").agg(F.collect_list("m").alias("members"))
     return first.unionByName(verified(_proposals(left.select("members"), similarity, _across)))
 
 

@@ -166,18 +166,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sample_words
     drawn = known.orderBy(order, "doc_id").limit(sample)
     feature = F.pandas_udf(_features, "words array<long>, swapped array<long>, without array<long>, named boolean, text_hash long")
     rows = texts.join(F.broadcast(drawn), "doc_id").select("_toxic", feature("_text").alias("f")).select("_toxic", "f.*")
-    # repeated rows of a document are one row from here on
-    rows = rows.groupBy("text_hash", "words", "swapped", "without", "named").agg(F.sum((F.col("_toxic") > 0).cast("long")).alias("toxic"), F.count("*").alias("n"))
-    own: list[tuple] = []
+    own: dict[int, list] = {}
     held = 0
     for r in rows.toLocalIterator():
-        size = len(r.words) + len(r.swapped) + len(r.without)
-        if held + size > sample_words:
-            continue
-        held += size
-        others = [np.array(x, np.int64) for x in (r.swapped, r.without) if r.named]
-        own.append((r.text_hash, np.array(r.words, np.int64), others, r.toxic / r.n))
-    return fit([x[1:] for x in sorted(own, key=lambda x: x[0])], **options)
+        if r.text_hash not in own:
+            size = len(r.words) + len(r.swapped) + len(r.without)
+            if held + size > sample_words:
+                continue
+            held += size
+            others = [np.array(x, np.int64) for x in (r.swapped, r.without) if r.named]
+            own[r.text_hash] = [np.array(r.words, np.int64), others, 0, 0]
+        own[r.text_hash][2] += r._toxic > 0
+        own[r.text_hash][3] += 1
+    return fit([(words, others, toxic / n) for _, (words, others, toxic, n) in sorted(own.items())], **options)
 
 
 def score_column(model: Model, text: Column) -> Column:
