@@ -193,7 +193,7 @@ _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtyp
 
 #: In a bucket of up to 2 * REACH + 1 all pairs are proposed at once; in a larger one first the next REACH of each
 #: member in a circle, then every pair that these have left in different components.
-REACH = 8
+REACH = 4
 
 #: Rows that a worker gives back at once.
 SLICE = 256
