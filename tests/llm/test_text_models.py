@@ -252,17 +252,17 @@ def test_probabilities_of_a_context_sum_to_one():
     words = [bytes(rng.choice(list(b"abc"), rng.integers(0, 7)).tolist()) for _ in range(300)]
     data = np.frombuffer(b"".join(words), np.uint8)
     codes, counts = np.unique(ppm.grams_of(data, np.array(list(map(len, words))), np.zeros(len(words), np.int64)), return_counts=True)
-    order1 = np.zeros((260, 260))
-    np.add.at(order1, ((codes >> 9) & 511, codes & 511), counts)
-    groups = (codes >> 9) & ((1 << 18) - 1)
+    grams3, to = np.unique(codes & ((1 << 27) - 1), return_inverse=True)
+    low = ppm.LowOrders(grams3, np.bincount(to, weights=counts))
+    groups = (codes >> 9) & ((1 << 27) - 1)
     for g in np.unique(groups):
         mine, n = codes[groups == g], counts[groups == g]
-        for context in (mine[0] >> 9, int(g)):  # one that was seen, and its last two symbols behind others
+        for context in (mine[0] >> 9, int(g)):  # one that was seen, and its last three symbols behind others
             every = (int(context) << 9) | np.array([*range(256), ppm.END])
             grams = np.union1d(mine, every)
             full = np.zeros(len(grams))
             full[np.searchsorted(grams, mine)] = n
-            lengths = ppm.code_lengths(grams, full, order1)
+            lengths = ppm.code_lengths(grams, full, low)
             assert np.isclose((10 ** lengths[np.searchsorted(grams, every)]).sum(), 1)
 
 
