@@ -186,25 +186,30 @@ class Stream:
     is emitted and leaves the window.
     """
 
-    def __init__(self, model: PieceModel) -> None:
+    __slots__ = ("at", "fed", "model", "out", "piece", "score", "start", "window")
+
+    def __init__(self, model: PieceModel, text: str = "") -> None:
         self.model = model
         self.out = array("i")
-        self.fed = 0  # characters so far
-        self._restart("")
+        self.fed = len(text)  # characters so far
+        self._restart(text)
 
     def _restart(self, window: str) -> None:
         self.window = window  # characters from the last boundary that all paths share
         self.at = 0  # the next start
-        self.piece: list[int | None] = [-1] + [None] * len(window)  # by position: the piece that ends there, -1 before all
-        self.start = [0] * (len(window) + 1)
-        self.score = [0.0] * (len(window) + 1)
+        n = len(window) + 1
+        self.piece: list[int | None] = [None] * n  # by position: the piece that ends there, -1 before all
+        self.piece[0] = -1
+        self.start = [0] * n
+        self.score = [0.0] * n if self.model.kind == UNIGRAM else []
 
     def feed(self, chars: str) -> None:
         self.fed += len(chars)
         self.window += chars
         self.piece += [None] * len(chars)
         self.start += [0] * len(chars)
-        self.score += [0.0] * len(chars)
+        if self.model.kind == UNIGRAM:
+            self.score += [0.0] * len(chars)
         longest = self.model.longest
         while len(self.window) - self.at > 2 * longest:
             self._advance(self.at + longest)
@@ -217,7 +222,6 @@ class Stream:
             self._commit()
         self._advance(len(self.window))
         self._emit(len(self.window))
-        self._restart("")
         return self.out
 
     def _advance(self, to: int) -> None:
@@ -226,33 +230,28 @@ class Stream:
 
     def _merges(self, to: int) -> None:
         model, trie = self.model, self.model.trie
-        known, apart = model.fits.get, model.apart
+        known, apart, longest = model.fits.get, model.apart, model.longest
         window, piece, back = self.window, self.piece, self.start
         for start in range(self.at, to):
-            before = piece[start]
             if window[start] not in trie:
                 # no piece has this character: what came before is final, and the character stands alone
                 self._emit(start)
                 self._raw(window[start])
                 self._restart(window[start + 1 :])
                 return self._merges(min(to - start - 1, len(self.window))) if to > start + 1 else None
-            node, end = trie, start
-            for char in window[start : start + model.longest]:
-                node = node.get(char)
-                if node is None:
+            before, node, end = piece[start], trie, start
+            pair = before << 32
+            for char in window[start : start + longest]:
+                if char not in node:
                     break
+                node = node[char]
                 end += 1
-                if piece[end] is not None:
-                    continue
-                i = node.get("")
-                if i is None:
-                    continue
-                if before >= 0:
-                    fit = known(before << 32 | i)
-                    if not (apart(before, i) if fit is None else fit):
-                        continue
-                piece[end] = i
-                back[end] = start
+                if piece[end] is None and "" in node:
+                    i = node[""]
+                    fit = before < 0 or known(pair | i)
+                    if apart(before, i) if fit is None else fit:
+                        piece[end] = i
+                        back[end] = start
         self.at = to
 
     def _sums(self, to: int) -> None:
@@ -292,13 +291,12 @@ class Stream:
             return
         cut = alive[0]
         self._emit(cut)
-        base = self.score[cut]
         self.window, self.at = self.window[cut:], self.at - cut
         if self.at < 0:  # a single path ends ahead of the starts taken; the positions before its end are on no path
             self.at = 0
         self.piece = self.piece[cut:]  # the piece before the boundary still decides what may follow
         self.start = [max(0, x - cut) for x in self.start[cut:]]
-        self.score = [x - base for x in self.score[cut:]]
+        self.score = [x - self.score[cut] for x in self.score[cut:]]
 
     def _emit(self, end: int) -> None:
         chain, p = [], end
@@ -320,12 +318,16 @@ class Stream:
             self.out.append(model.unknown)
 
 
+#: Runs that a worker remembers.
+MEMO = 400_000
+
+
 class Codec:
     """Encoder and decoder with a bounded memo of the runs between word-start marks, in two generations."""
 
     RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-    def __init__(self, data: bytes, memo: int = 400_000, memo_run: int = 64) -> None:
+    def __init__(self, data: bytes, memo: int = MEMO, memo_run: int = 64) -> None:
         self.model = PieceModel.parse(data)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -342,9 +344,7 @@ class Codec:
     def _run(self, key: str, run: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
-            stream = Stream(self.model)
-            stream.feed(run)
-            ids = stream.close().tobytes()
+            ids = Stream(self.model, run).close().tobytes()
         if len(run) <= self.memo_run:  # long runs are seldom seen again
             if len(self.young) >= self.memo_size:
                 self.old, self.young = self.young, {}
@@ -359,18 +359,20 @@ class Codec:
         plain = prefix and MARK not in text and "  " not in text and text[0] != " "
         # where every mark stands before one word, the word is the key: narrow strings take half the memory
         keys = text.split(" ") if plain else self.RUN.findall(prefix + text.replace(" ", MARK))
-        known, extend = self.young.get, out.frombytes
-        for key in keys:
-            ids = known(key)
-            if ids is None:
-                ids = self._run(key, prefix + key if plain else key)
-                known = self.young.get  # a full generation may have been put away
-            extend(ids)
+        for at in range(0, len(keys), 65_536):
+            some = keys[at : at + 65_536]
+            found = list(map(self.young.get, some))
+            if None in found:
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        ids = self.young.get(some[i])  # it may have come up since
+                        found[i] = self._run(some[i], prefix + some[i] if plain else some[i]) if ids is None else ids
+            out.frombytes(b"".join(found))
         return out
 
     def decode(self, ids) -> str:
         table = self.bytes_of
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -379,21 +381,22 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-_CODECS: dict[bytes, Codec] = {}
+_CODECS: dict[tuple[bytes, int], Codec] = {}
 
 
-def codec_for(model: bytes) -> Codec:
+def codec_for(model: bytes, memo: int = MEMO) -> Codec:
     """One codec a Python worker, so that later tasks find the memo warm."""
-    if model not in _CODECS:
+    if (model, memo) not in _CODECS:
         _CODECS.clear()
-        _CODECS[model] = Codec(model)
-    return _CODECS[model]
+        _CODECS[model, memo] = Codec(model, memo)
+    return _CODECS[model, memo]
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, memo: int = MEMO) -> DataFrame:
     """``docs`` with ``ids_col`` added, and if named, ``check_col``: whether decoding gives the text back.
 
-    The model (a file of fixed size, read by the driver) travels with the task. Columns of these names
+    The model (a file of fixed size, read by the driver) travels with the task. A worker remembers up to
+    ``memo`` runs, some 200 bytes each. Columns of these names
     that are there already are replaced.
     """
     docs = docs.drop(ids_col, *([check_col] if check_col else []))
@@ -402,7 +405,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
     names = docs.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(model)
+        codec = codec_for(model, memo)
         for batch in it:
             column = batch.column(names.index(text_col))
             for start in range(0, batch.num_rows, 256):  # small outputs: ids of a batch of long texts are many

@@ -21,7 +21,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.encode(docs, pieces.model_bytes(PIECE_MODEL), check_col="round_trip")
+    coded = pieces.encode(docs, pieces.model_bytes(PIECE_MODEL), check_col="round_trip", memo=900_000)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
