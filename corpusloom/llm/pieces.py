@@ -176,6 +176,10 @@ class PieceModel:
         return ok
 
 
+#: Characters that a stream takes in at once.
+PART = 256
+
+
 class Stream:
     """The search over one text, fed in parts of any size; final ids appear in ``out``.
 
@@ -205,15 +209,17 @@ class Stream:
 
     def feed(self, chars: str) -> None:
         self.fed += len(chars)
-        self.window += chars
-        self.piece += [None] * len(chars)
-        self.start += [0] * len(chars)
-        if self.model.kind == UNIGRAM:
-            self.score += [0.0] * len(chars)
         longest = self.model.longest
-        while len(self.window) - self.at > 2 * longest:
-            self._advance(self.at + longest)
-            self._commit()
+        for at in range(0, len(chars), PART):  # the window stays small, so that moving it on is cheap
+            part = chars[at : at + PART]
+            self.window += part
+            self.piece += [None] * len(part)
+            self.start += [0] * len(part)
+            if self.model.kind == UNIGRAM:
+                self.score += [0.0] * len(part)
+            while len(self.window) - self.at > 2 * longest:
+                self._advance(self.at + longest)
+                self._commit()
 
     def close(self) -> array:
         longest = self.model.longest
@@ -344,7 +350,10 @@ class Codec:
     def _run(self, key: str, run: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
-            ids = Stream(self.model, run).close().tobytes()
+            stream = Stream(self.model, run if len(run) <= PART else "")
+            if len(run) > PART:
+                stream.feed(run)
+            ids = stream.close().tobytes()
         if len(run) <= self.memo_run:  # long runs are seldom seen again
             if len(self.young) >= self.memo_size:
                 self.old, self.young = self.young, {}

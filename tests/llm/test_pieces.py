@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 
 import pytest
 import sentencepiece
@@ -72,6 +73,18 @@ def test_every_run_goes_through_the_stream(bpe, docs, monkeypatch):
     assert len(fed) >= len(runs) - 2 and {71, 5001} <= set(fed)
 
 
+def test_long_runs_take_time_in_proportion(bpe):
+    """Runs without a blank: known pieces, and characters that no piece has."""
+    codec, library = pieces.Codec(bpe), sentencepiece.SentencePieceProcessor(model_proto=bpe)
+    rng = random.Random(3)
+    for alphabet in ("abcdefgh0123456789+/", "𝔸𝔹ℂ😀", "a😀"):
+        text = "".join(rng.choice(alphabet) for _ in range(200_000))
+        began = time.process_time()
+        ids = codec.encode(text)
+        assert time.process_time() - began < 20
+        assert list(ids) == library.encode(text)
+
+
 def test_query_round_trips(spark, sf, docs):
     rows = queries()["op2_sentencepiece"](spark, sf).collect()
     assert len(rows) == docs.count() and all(r.round_trip and r.n_ids == len(r.ids) for r in rows)
