@@ -195,6 +195,8 @@ _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtyp
 #: member in a circle, then every pair that these have left in different components.
 REACH = 4
 
+NO_KEY = np.iinfo(np.int64).min
+
 #: Rows that a worker gives back at once.
 SLICE = 256
 
@@ -269,10 +271,15 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _values(column: pa.Array) -> np.ndarray:
-    """Numbers as they are; binaries, all of one length, as rows of bytes."""
-    if not pa.types.is_binary(column.type):
-        return column.to_numpy(zero_copy_only=False)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    """Numbers as they are; binaries of one length as rows of bytes; lists as rows, filled up with NO_KEY."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    if pa.types.is_list(column.type):
+        sizes = np.diff(column.offsets.to_numpy())
+        out = np.full((len(column), max(1, sizes.max(initial=0))), NO_KEY)
+        out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = column.flatten().to_numpy()
+        return out
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _proposals(groups: DataFrame, similarity: float, pairs_of) -> DataFrame:
@@ -312,7 +319,11 @@ def _circle(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _across(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different components that their sketches let pass: one of the two is outside the bucket's largest."""
+    """All pairs of different components that their sketches let pass: one of the two is outside the bucket's largest.
+
+    A pair that meets in several buckets is proposed in that of the smallest key.
+    """
+    keys, here = own["keys"], own["key"][0]
     roots, at, count = np.unique(own["root"], return_inverse=True, return_counts=True)
     sketched = own["sketch"]
     outside = at != count.argmax()
@@ -322,6 +333,8 @@ def _across(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             j = np.arange(j0, min(j0 + 65_536, len(at)))
             j = j[(at[j] != at[i]) & (~outside[j] | (j > i))]
             j = j[(sketched[j] == sketched[i]).sum(axis=1) >= ALIKE]
+            shared = np.isin(keys[j], keys[i]) & (keys[j] != NO_KEY)
+            j = j[np.where(shared, keys[j], here).min(axis=1, initial=here) == here]
             yield np.full(len(j), i), j
 
 
@@ -358,7 +371,9 @@ def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingl
     mixed = tied.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     tied = stash(tied.join(mixed, "key", "left_semi"), "mixed")
     fine = stash(sketches(read(tied.select("fp").distinct()), shingle), "sketches")
-    large = tied.join(fine, "fp").select("key", F.struct("fp", "size", "root", "sketch").alias("m"))
+    keys = tied.groupBy("fp").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+    known = stash(fine.join(keys, "fp"), "known")
+    large = tied.join(known, "fp").select("key", F.struct("fp", "size", "root", "sketch", "keys", "key").alias("m"))
     left = large.groupBy("key").agg(F.collect_list("m").alias("members"))
     return first.unionByName(verified(_proposals(left.select("members"), similarity, _across)))
 
