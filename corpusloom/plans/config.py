@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
@@ -42,7 +43,7 @@ class RetrievalConfig:
                 if isinstance(f.default, bool):
                     values[f.name] = value if isinstance(value, bool) else str(value).strip().lower() in TRUE
                 elif isinstance(f.default, tuple):
-                    values[f.name] = tuple(value)
+                    values[f.name] = tuple(json.loads(value) if isinstance(value, str) else value)
                 elif isinstance(f.default, int):
                     values[f.name] = int(float(value))
                 else:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as X
 from ..operators.ingest import EXTENSIONS
+from ..plans.config import RetrievalConfig
 
 
 def extension(path: Column) -> Column:
@@ -67,17 +68,36 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str, tenants: list[str] | None = None) -> DataFrame:
-    """A chunk store, partitioned by tenant and index; naming tenants prunes partitions."""
-    rows = schemas.conform(spark.read.option("mergeSchema", "true").parquet(path), schemas.CHUNK)
+    """A chunk store, partitioned by tenant and index; naming tenants prunes partitions. Columns that files lack are null."""
+    rows = schemas.conform(spark.read.schema(schemas.CHUNK).parquet(path), schemas.CHUNK)
     return rows.where(F.col("tenant").isin(tenants)) if tenants is not None else rows
 
 
+def open_store(spark: SparkSession, path: str, tenants: list[str] | None = None) -> tuple[DataFrame, RetrievalConfig]:
+    """The chunks of all usable tenants, and the settings of the first of them by name.
+
+    A tenant is usable if it has a config; its number of chunks must be the one that was written.
+    """
+    store = read_store(spark, path, tenants)
+    facts = spark.read.schema("tenant string, key string, value string").parquet(path.rstrip("/") + "_config")
+    told = facts.where(F.col("key") == "num_chunks").select("tenant", F.col("value").cast("bigint").alias("told"))
+    state = store.groupBy("tenant").agg(F.count("*").alias("found")).join(told, "tenant")
+    wrong = state.where("found <> told").orderBy("tenant").first()
+    if wrong:
+        raise ValueError(f"tenant {wrong.tenant} has {wrong.found} chunks, its config says {wrong.told}")
+    first = state.agg(F.min("tenant")).first()[0]
+    if first is None:
+        raise FileNotFoundError(f"no usable tenant in {path}")
+    own = {r.key: r.value for r in facts.where(F.col("tenant") == first).collect()}  # a few settings
+    return store.join(told.select("tenant"), "tenant", "left_semi"), RetrievalConfig.of(own)
+
+
 def tenants_of(store: DataFrame) -> DataFrame:
     return store.select("tenant").distinct().orderBy("tenant")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return schemas.conform(spark.read.option("mergeSchema", "true").parquet(path), schemas.IMAGE)
+    return schemas.conform(spark.read.schema(schemas.IMAGE).parquet(path), schemas.IMAGE)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:

@@ -21,22 +21,30 @@ def _path(df: DataFrame, path: str):
 
 
 def save_store(chunks: DataFrame, path: str, config: Mapping[str, object], rows_per_file: int = 200_000) -> bool:
-    """Write a chunk store by tenant and index with its config beside it; an empty store removes the folder.
+    """Write a chunk store by tenant and index, and beside it each tenant's config with its number of chunks; an empty store removes the folder.
 
-    Only the tenants and indexes in ``chunks`` are overwritten. Returns whether a store is there.
+    Only the tenants and indexes in ``chunks`` are overwritten. Returns whether a store is there. What
+    was written is counted, so the rows are worked out once.
     """
+    spark = chunks.sparkSession
     at, fs = _path(chunks, path)
     rows = schemas.conform(chunks, schemas.CHUNK)
-    n = rows.count()
-    if n == 0:
+    if rows.isEmpty():
         fs.delete(at, True)
+        fs.delete(_path(chunks, config_path(path))[0], True)
         return False
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("tenant", "index_name").parquet(path)
-    facts = [(k, str(v)) for k, v in {**config, "num_chunks": n}.items()]
-    chunks.sparkSession.createDataFrame(facts, "key string, value string").coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "_config")
+    told = spark.createDataFrame([(k, json.dumps(list(v)) if isinstance(v, (list, tuple)) else str(v)) for k, v in config.items() if k != "num_chunks"], "key string, value string")
+    counted = spark.read.schema(schemas.CHUNK).parquet(path).groupBy("tenant").agg(F.count("*").cast("string").alias("value")).withColumn("key", F.lit("num_chunks"))
+    facts = counted.select("tenant", "key", "value").unionByName(counted.select("tenant").crossJoin(F.broadcast(told)))  # a few settings for each tenant
+    facts.write.mode("overwrite").parquet(config_path(path))
     return True
 
 
+def config_path(path: str) -> str:
+    return path.rstrip("/") + "_config"
+
+
 def delete_tenant(any_frame: DataFrame, path: str, tenant: str) -> int:
     """Remove a tenant's partition; returns how many files went."""
     at, fs = _path(any_frame, f"{path.rstrip('/')}/tenant={tenant}")

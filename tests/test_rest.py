@@ -237,6 +237,15 @@ def test_readers_and_writers(spark, tmp_path):
     assert back.columns == [n for n, _ in schemas.columns_of(schemas.CHUNK)] and back.count() == 2
     assert documents.read_store(spark, store, ["t2"]).first().doc_name == "e"
     assert [r.tenant for r in documents.tenants_of(back).collect()] == ["t1", "t2"]
+    opened, config = documents.open_store(spark, store)
+    assert opened.count() == 2 and config.top_k == RetrievalConfig().top_k
+    assert sinks.save_store(rows.where("tenant = 't2'").withColumn("index_name", F.lit("j")), store, {"top_k": 5, "bm25_weight": 0.5, "retrieval_generic_terms": ("a", "b")})
+    assert documents.open_store(spark, store, ["t2"])[1] == RetrievalConfig(top_k=5, bm25_weight=0.5, retrieval_generic_terms=("a", "b")) and documents.open_store(spark, store)[0].count() == 3
+    rows.where("tenant = 't2'").withColumn("vector_id", F.lit(9).cast("long")).drop("tenant", "index_name").write.mode("append").parquet(f"{store}/tenant=t2/index_name=j")
+    with pytest.raises(ValueError, match="tenant t2 has 3 chunks, its config says 2"):
+        documents.open_store(spark, store)
+    assert sinks.save_store(rows.where("tenant = 't2'"), store, {}) and sinks.delete_tenant(rows, store, "t2") > 0
+    assert sinks.save_store(rows.where("tenant = 't2'"), store, {})
     assert sinks.delete_tenant(rows, store, "t1") > 0 and documents.read_store(spark, store).count() == 1
     assert not sinks.save_store(rows.limit(0), store, {})
     assert sinks.zip_folder(str(folder), str(tmp_path / "z.zip")) == 3 and len(zipfile.ZipFile(tmp_path / "z.zip").namelist()) == 3
