@@ -211,8 +211,9 @@ _FINE = np.random.default_rng(SEED + 1).integers(0, 2**64, (2, SKETCH, 1), dtype
 def least_hashes(hashes: np.ndarray, mix: np.ndarray) -> np.ndarray:
     """The minimum hashes of one set."""
     least = np.full(mix.shape[1], 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 4096):  # bounded memory for texts of any length
-        np.minimum(least, ((hashes[at : at + 4096] ^ mix[0]) * mix[1]).min(axis=1), out=least)
+    some = 400_000 // mix.shape[1]
+    for at in range(0, len(hashes), some):  # bounded memory for texts of any length
+        np.minimum(least, ((hashes[at : at + some] ^ mix[0]) * mix[1]).min(axis=1), out=least)
     return least
 
 
