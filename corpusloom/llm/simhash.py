@@ -184,7 +184,9 @@ def _named(prints: DataFrame, roots: DataFrame) -> DataFrame:
 def near_fingerprints(docs: DataFrame, within: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links of ``within`` bits."""
     prints = stash(fingerprints(docs, id_col, text_col, shingle), "prints")
-    return _named(prints, components(links(prints.select("fp").distinct(), within)))
+    # each fingerprint becomes 32 rows, so the few bytes it has must not be taken for few rows to come
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _named(prints, components(links(prints.select("fp").distinct().repartition(parts, "fp"), within)))
 
 
 # Bands of minimum hashes: BANDS x ROWS multiplications of the shingle hashes by odd constants.
