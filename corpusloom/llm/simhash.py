@@ -186,7 +186,7 @@ def near_fingerprints(docs: DataFrame, within: int = 2, shingle: int = 3, id_col
     prints = stash(fingerprints(docs, id_col, text_col, shingle), "prints")
     # each fingerprint becomes 32 rows, so the few bytes it has must not be taken for few rows to come
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _named(prints, components(links(prints.select("fp").distinct().repartition(parts, "fp"), within)))
+    return _named(prints, components(links(prints.select("fp").distinct().repartition(parts), within)))
 
 
 # Bands of minimum hashes: BANDS x ROWS multiplications of the shingle hashes by odd constants.
