@@ -27,19 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stash(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and read it back.
 
     The rows are then computed once, their lineage ends in replicated storage, and a lost executor
     costs the re-read of its files only. Non-deterministic columns become fixed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
+    df.write.partitionBy(*by).parquet(path)
+    drop_later(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_later(path: str) -> None:
+    """Count a folder among those that ``sweep`` deletes."""
+    _WRITTEN.append(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
