@@ -5,6 +5,8 @@ Every function keys its work by ``query_id``, so that a batch of questions is on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..sources.shared import stash
+from . import topk
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,34 +45,80 @@ def pool_sizes(n: int, top_k: int, pool: int, multiplier: int) -> tuple[int, int
 MOST_QUERIES = 10_000
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with dense numbers from 0: the number within its part, which Spark's increasing id holds, plus the sizes of parts before."""
+    rows = stash(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    joined = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row a part
+    return joined.withColumn(column, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
 def _slices(queries: DataFrame) -> list[DataFrame]:
     """The queries in parts of at most MOST_QUERIES, so that each may be broadcast."""
     n = queries.count()
     if n <= MOST_QUERIES:
         return [queries]
-    parts = -(-n // MOST_QUERIES)
-    while True:
-        own = F.pmod(F.xxhash64(*queries.columns), F.lit(parts))
-        if queries.groupBy(own.alias("s")).count().agg(F.max("count")).first()[0] <= MOST_QUERIES:
-            return [queries.where(own == i) for i in range(parts)]
-        parts *= 2
+    rows = stash(numbered(queries, "_no"), "queries")
+    slice_of = F.floor(F.col("_no") / MOST_QUERIES)
+    return [rows.where(slice_of == i).drop("_no") for i in range(-(-n // MOST_QUERIES))]
 
 
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id") -> DataFrame:
-    """The ``k`` chunks of largest inner product for each query, with ``dense`` and ``dense_rank`` from 0.
+def query_matrices(queries: DataFrame) -> Iterator[tuple[DataFrame, np.ndarray]]:
+    """(q, query_id) and the matrix whose row ``q`` is that query's vector: for each slice of queries and length of vectors."""
+    kind = dict(queries.dtypes)["query_id"]
+    for part in _slices(queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec")):
+        by_length: dict[int, list] = {}
+        for r in part.collect():  # at most MOST_QUERIES
+            by_length.setdefault(len(r.query_vec), []).append(r)
+        for length, own in sorted(by_length.items()):
+            names = queries.sparkSession.createDataFrame([(i, r.query_id) for i, r in enumerate(own)], f"q bigint, query_id {kind}")
+            yield names, np.array([r.query_vec for r in own], np.float64).reshape(len(own), length)
+
 
-    A batch of questions is broadcast against one scan of the chunks, after its size was checked; a
-    larger one is asked in slices. Ranks are limited in each task before the shuffle.
+def _keys(chunks: DataFrame, id_col: str) -> list[str]:
+    return [c for c in ("tenant", id_col) if c in chunks.columns]
+
+
+def nearest_ids(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id") -> DataFrame:
+    """(query_id, tenant and id, dense, dense_rank from 0) of the ``k`` chunks of largest inner product for each query.
+
+    Reads ids and embeddings only. A task keeps ``k`` rows a question; see ``topk``.
     """
-    found = None
-    for part in _slices(queries):
-        scored = chunks.crossJoin(F.broadcast(part)).withColumn("dense", dot(F.col("embedding"), F.col("query_vec"))).drop("query_vec")
-        ranked = scored.withColumn("dense_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("dense"), id_col)) - 1)
-        ranked = ranked.where(F.col("dense_rank") < k)
+    keys, found = _keys(chunks, id_col), None
+    for names, vectors in query_matrices(queries):
+        ranked = topk.best(chunks, vectors, k, keys, id_col).join(F.broadcast(names), "q")  # at most MOST_QUERIES names
+        ranked = ranked.select("query_id", *keys, F.col("score").alias("dense"), F.col("rank").alias("dense_rank"))
         found = ranked if found is None else found.unionByName(ranked)
+    if found is None:
+        kinds = {**dict(chunks.dtypes), **dict(queries.dtypes)}
+        found = chunks.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, " + ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", dense double, dense_rank int")
     return found
 
 
+#: Rows of an answer that are broadcast to fetch their chunks; more are joined by a shuffle.
+MOST_FETCHED = 500_000
+
+
+def fetch(chunks: DataFrame, found: DataFrame, queries: int, k: int, keys: list[str]) -> DataFrame:
+    """The chunks of an answer (keys and its own columns) of at most ``queries * k`` rows, whose size decides how they are joined."""
+    small = found.withColumnsRenamed({c: f"_{c}" for c in keys})
+    small = F.broadcast(small) if queries * k <= MOST_FETCHED else small
+    same = [chunks[c].eqNullSafe(small[f"_{c}"]) for c in keys]
+    return chunks.join(small, same, "inner").drop(*[f"_{c}" for c in keys])
+
+
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id") -> DataFrame:
+    """The ``k`` chunks of largest inner product for each query, with ``dense`` and ``dense_rank`` from 0.
+
+    Ids and scores are found by ``nearest_ids``; the chunks themselves are read for these only.
+    """
+    keys = _keys(chunks, id_col)
+    return fetch(chunks, nearest_ids(chunks, queries, k, id_col), queries.count(), k, keys)
+
+
 def _term_lists(queries: DataFrame) -> DataFrame:
     """query_id with ``_terms``, its distinct query terms, and ``_times``, how often it has each."""
     rows = queries.select("query_id", "bm25_terms", F.array_sort(F.array_distinct("bm25_terms")).alias("_terms"))
