@@ -13,6 +13,7 @@ from . import fixtures as fx
 from .functions import answers, speech
 from .functions import text as X
 from .operators import chat, chunking, dashboard, expand, images, ingest, rank, vocab
+from .operators.postings import PostingsIndex
 from .operators.vector_index import VectorIndex
 from .plans.config import RetrievalConfig
 from .plans.questions import question_rows
@@ -146,6 +147,27 @@ def bm25_corpus(spark, sf_dir):
     return rank.corpus_scores(fx.vectors(spark, sf_dir), q).where("bm25 > 0").select("vector_id", r6("bm25").alias("bm25"))
 
 
+def stored_postings(spark, sf_dir: str, segment: int = 64) -> PostingsIndex:
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    drop_later(path)
+    drop_later(path + "_facts")
+    return PostingsIndex.build(fx.vectors(spark, sf_dir), path, buckets=16, segment=segment)
+
+
+@query(f"WITH {fx.VECTORS}, {DENSE}, f_pool AS (SELECT * FROM f_dense), {BM25} SELECT vector_id, round(bm25,6) AS bm25 FROM f_scored WHERE bm25 > 0")
+def bm25_postings(spark, sf_dir):
+    """All chunks with a term, from the stored postings: the rows of ``bm25_corpus``."""
+    q = first_question(spark, sf_dir).select("query_id", "bm25_terms")
+    return stored_postings(spark, sf_dir).search(q, None).select(F.col("id").alias("vector_id"), r6("bm25").alias("bm25"))
+
+
+@query(f"WITH {fx.VECTORS}, {DENSE}, f_pool AS (SELECT * FROM f_dense), {BM25} SELECT vector_id, round(bm25,6) AS bm25 FROM f_scored WHERE bm25 > 0 ORDER BY f_scored.bm25 DESC, vector_id LIMIT 20")
+def bm25_postings_topk(spark, sf_dir):
+    """The best of them, with segments skipped by their bounds."""
+    q = first_question(spark, sf_dir).select("query_id", "bm25_terms")
+    return stored_postings(spark, sf_dir, 16).search(q, 20).select(F.col("id").alias("vector_id"), r6("bm25").alias("bm25"))
+
+
 @query(f"WITH {fx.VECTORS}, {DENSE}, {POOL}, {BM25} SELECT vector_id, round(bm25,6) AS bm25 FROM f_scored")
 def bm25_pool(spark, sf_dir):
     q, pool = dense_pool(spark, sf_dir)
