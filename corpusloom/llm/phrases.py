@@ -1,13 +1,14 @@
 """Phrase collocations: candidates from sketch upper bounds, counted exactly by automata.
 
-Three passes, none of which sends a phrase anywhere before it is known to be able to pass:
+Passes over the texts, none of which sends a phrase anywhere before it is known to be able to pass:
 
-1. Every task adds its n-grams to a sketch, one row of counters, which ends as one bit a counter: can
-   what falls into it reach ``least``? Counters are added up block by block of them, saturated at
-   ``least``, which loses nothing for that question. The bits are at most ``2 ** most_bits``, a
-   parameter, and are all that the driver sees.
+1. Every task adds its n-grams to a count-min sketch of two rows, which ends as one bit a counter: can
+   what falls into it reach ``least``? An n-gram can if it does in both rows. Counters are added up block
+   by block of them, saturated at ``least``, which loses nothing for that question. The bits are at most
+   ``2 ** most_bits``, a parameter, and are all that the driver sees. Words and pairs go first; longer
+   phrases are added to a second sketch if every pair of words in them can pass.
 2. A task cuts its texts into shards of some megabytes. A phrase is a candidate in a shard if it stands
-   there and its own bit and those of all phrases within it are set. The candidates of a shard are
+   there and its own bits and those of all phrases within it are set. The candidates of a shard are
    compiled into an Aho-Corasick automaton of strings guarded by a delimiter on either side, which then
    scans the shard and counts every match, overlapping ones too. A shard with more candidates than
    ``most_patterns`` is halved, so an automaton is bounded whatever the corpus is. The counts of a
@@ -43,6 +44,8 @@ BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcde
 BREAK = b" \n "
 BASE = 0x9E3779B97F4A7C15
 MIX, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Languages whose numbers of words are broadcast; more are joined by a shuffle.
+MOST_LANGS = 10_000
 #: Counters that go as one row through the exchange.
 BLOCK = 1 << 16
 
@@ -101,22 +104,47 @@ class Hasher:
             valid.append(valid[-1][:n] & whole[m : m + n])
         return gaps, hashes, valid
 
-    @staticmethod
-    def cell(h: np.ndarray, bits: int) -> np.ndarray:
-        return (h * MIX >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def sketch(texts: DataFrame, least: int, bits: int, size: int) -> bytes:
-    """A bit for each of ``2 ** bits`` counters: whether the n-grams that fall into it are ``least`` or more together."""
+    def passing(self, s: bytes, lang: str, bits: int, pairs: np.ndarray, longer: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """``grams`` with, in place of whether no break lies in between, whether the sketches let the n-gram and all within it pass; None lets all pass."""
+        gaps, hashes, valid = self.grams(s, lang)
+        can: list[np.ndarray] = []
+        for m, (h, ok) in enumerate(zip(hashes, valid, strict=True)):
+            if m:
+                ok = ok & can[-1][:-1] & can[-1][1:]
+            heavy = pairs if m < 2 else longer
+            if heavy is not None:
+                at = np.flatnonzero(ok)
+                for row in range(2):
+                    cell = cells_of(h[at], bits)[row]
+                    at = at[(heavy[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
+                ok = np.zeros(len(ok), bool)
+                ok[at] = True
+            can.append(ok)
+        return gaps, hashes, can
+
+
+def cells_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of an n-gram in the two rows, which share ``2 ** bits`` counters."""
+    row = np.uint64(64 - bits + 1)
+    return (h * MIX >> row).astype(np.int64), (h * STEP >> row).astype(np.int64) + (1 << bits - 1)
+
+
+def sketch(texts: DataFrame, least: int, bits: int, size: int, pairs=None) -> bytes:
+    """A bit for each of ``2 ** bits`` counters: whether the n-grams that fall into it are ``least`` or more together.
+
+    Words and pairs of words are counted, or, given their bits, the longer phrases that these let pass.
+    """
     kind = np.uint8 if least < 256 else np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, cells = Hasher(), np.zeros(1 << bits, np.uint32)
+        known = None if pairs is None else np.frombuffer(pairs.value, np.uint8)
         for shard in shards(batches, size):
             for lang, s in shard.items():
-                _, hashes, valid = hasher.grams(s, lang)
-                for h, ok in zip(hashes, valid, strict=True):
-                    np.add.at(cells, hasher.cell(h[ok], bits), np.uint32(1))
+                _, hashes, ok = hasher.grams(s, lang) if known is None else hasher.passing(s, lang, bits, known, None)
+                for m in range(2) if known is None else range(2, MOST_WORDS):
+                    for cell in cells_of(hashes[m][ok[m]], bits):
+                        np.add.at(cells, cell, np.uint32(1))
         for i in range(0, len(cells), BLOCK):
             block = cells[i : i + BLOCK]
             if block.any():
@@ -150,25 +178,20 @@ def matches(s: str, patterns: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(s)), np.int64), minlength=len(patterns))
 
 
-def scan(s: bytes, lang: str, hasher: Hasher, bits: int, heavy: np.ndarray, most_patterns: int, totals: dict) -> None:
+def scan(s: bytes, lang: str, hasher: Hasher, bits: int, heavy: tuple[np.ndarray, np.ndarray], most_patterns: int, totals: dict) -> None:
     """Add the counts of a shard's candidates, and of its words under the empty phrase, to ``totals``."""
-    gaps, hashes, valid = hasher.grams(s, lang)
+    gaps, _, can = hasher.passing(s, lang, bits, *heavy)
     text = s.decode("latin-1")  # a character a byte
-    passed, found = None, set()
-    for m, (h, ok) in enumerate(zip(hashes, valid, strict=True)):
-        cell = hasher.cell(h, bits)
-        can = ok & (heavy[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-        if passed is not None:
-            can &= passed[:-1] & passed[1:] if len(passed) > 1 else False
-        at = np.flatnonzero(can)
+    found = set()
+    for m, ok in enumerate(can):
+        at = np.flatnonzero(ok)
         found.update(text[i:j] for i, j in zip(gaps[at].tolist(), (gaps[at + m + 1] + 1).tolist(), strict=True))
-        passed = can
     middle = s.find(BREAK, len(s) // 2)
     if len(found) > most_patterns and middle > 0:
         scan(s[: middle + 1], lang, hasher, bits, heavy, most_patterns, totals)
         scan(s[middle + 2 :], lang, hasher, bits, heavy, most_patterns, totals)
         return
-    totals[lang, ""] = totals.get((lang, ""), 0) + int(valid[0].sum())
+    totals[lang, ""] = totals.get((lang, ""), 0) + len(gaps) - 1 - s.count(b"\n")
     if found:
         patterns = list(found)
         for p, n in zip(patterns, matches(text, patterns).tolist(), strict=True):
@@ -180,11 +203,13 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_bits: int = 24, size:
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(most_bits, max(16, (total // 8).bit_length()))
-    heavy = texts.sparkSession.sparkContext.broadcast(sketch(texts, least, bits, size))  # at most 2 ** most_bits bits
+    share = texts.sparkSession.sparkContext.broadcast  # at most 2 ** most_bits bits
+    pairs = share(sketch(texts, least, bits, size))
+    longer = share(sketch(texts, least, bits, size, pairs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, totals = Hasher(), {}
-        bitmap = np.frombuffer(heavy.value, np.uint8)
+        heavy = np.frombuffer(pairs.value, np.uint8), np.frombuffer(longer.value, np.uint8)
 
         def rows() -> pa.RecordBatch:
             langs, phrases = [k[0] for k in totals], [k[1].strip(" ").encode("latin-1") for k in totals]
@@ -194,8 +219,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_bits: int = 24, size:
 
         for shard in shards(batches, size):
             for lang, s in shard.items():
-                scan(s, lang, hasher, bits, bitmap, most_patterns, totals)
-            if len(totals) > most_patterns:
+                scan(s, lang, hasher, bits, heavy, most_patterns, totals)
+            if len(totals) > 2 * most_patterns:
                 yield rows()
         if totals:
             yield rows()
@@ -213,6 +238,8 @@ def collocations(counts: DataFrame, top: int = 2000, inside: int = 100) -> DataF
     longer one at least, so it is a candidate and has that share itself.
     """
     n = counts.where("n_words = 0").select("lang", F.col("a").alias("n"))
+    if n.count() <= MOST_LANGS:
+        n = F.broadcast(n)
     words = F.split("phrase", " ")
     cand = counts.where("n_words > 1").select("lang", "phrase", "n_words", "a", words.alias("w"))
     part = lambda first, length: F.array_join(F.slice("w", first, length), " ")
