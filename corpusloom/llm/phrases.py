@@ -12,7 +12,7 @@ Passes over the texts, none of which sends a phrase anywhere before it is known
    compiled into an Aho-Corasick automaton of strings guarded by a delimiter on either side, which then
    scans the shard and counts every match, overlapping ones too. A shard with more candidates than
    ``most_patterns`` is halved, so an automaton is bounded whatever the corpus is. The counts of a
-   task's shards are added up before they are shuffled, and summed by phrase.
+   task's shards are added up before they are shuffled, packed by buckets of phrases, and summed.
 3. Thresholds and scores are joins of the counts with themselves: both parts of a candidate are as
    frequent as it is, so they were counted too.
 
@@ -26,6 +26,7 @@ the text and the language are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -207,25 +208,50 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_bits: int = 24, size:
     pairs = share(sketch(texts, least, bits, size))
     longer = share(sketch(texts, least, bits, size, pairs))
 
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(np.unpackbits(np.frombuffer(pairs.value + longer.value, np.uint8)).sum()) // 100_000))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of a task's shards, packed to a row for each bucket of phrases."""
         hasher, totals = Hasher(), {}
         heavy = np.frombuffer(pairs.value, np.uint8), np.frombuffer(longer.value, np.uint8)
 
-        def rows() -> pa.RecordBatch:
-            langs, phrases = [k[0] for k in totals], [k[1].strip(" ").encode("latin-1") for k in totals]
-            batch = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "a"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            dealt: dict[int, list] = {}
+            for (lang, p), a in totals.items():
+                phrase = p.strip(" ").encode("latin-1")
+                dealt.setdefault(zlib.crc32(phrase) % buckets, []).append((lang, phrase, a))
             totals.clear()
-            return batch
+            for bucket, own in dealt.items():
+                columns = [pa.array([list(x)], pa.list_(kind)) for x, kind in zip(zip(*own, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *columns], names=["bucket", "lang", "phrase", "a"])
 
         for shard in shards(batches, size):
             for lang, s in shard.items():
                 scan(s, lang, hasher, bits, heavy, most_patterns, totals)
             if len(totals) > 2 * most_patterns:
+                yield from rows()
+        yield from rows()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the packed counts; a task that holds very many phrases gives partial ones."""
+        totals: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.binary()), pa.array(list(totals.values()), pa.int64())]
+            totals.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
+
+        for batch in batches:
+            for lang, phrase, a in zip(*(batch.column(c).flatten().to_pylist() for c in ("lang", "phrase", "a")), strict=True):
+                totals[lang, phrase] += a
+            if len(totals) > 10 * most_patterns:
                 yield rows()
         if totals:
             yield rows()
 
-    counted = texts.mapInArrow(count, "lang string, phrase binary, a long").groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a"))
+    packed = texts.mapInArrow(count, "bucket int, lang array<string>, phrase array<binary>, a array<long>")
+    counted = packed.repartition("bucket").mapInArrow(add, "lang string, phrase binary, a long")
+    counted = counted.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return counted.where((F.col("a") >= least) | (F.col("phrase") == "")).select("lang", "phrase", words.alias("n_words"), "a")
 
