@@ -140,3 +140,19 @@ def rolling_drafts(parts: Column, most: int = 1400) -> Column:
         return F.struct(told.alias("draft"), F.array_append(state["seen"], state["draft"]).alias("seen"))
 
     return F.aggregate(parts, none, step, lambda s: s["seen"])
+
+
+def streamed_parts(parts: Column, most: int = 1400) -> Column:
+    """For each part of an answer struct(draft, text): what it is told of the parts before, and what of it is no repeat of that."""
+    kind = "array<struct<draft:string,text:string>>"
+    none = F.struct(F.lit("").alias("draft"), F.array().cast(kind).alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        def told(text: Column) -> Column:
+            draft = X.draft_tail(F.concat_ws("\n\n", F.nullif(state["draft"], F.lit("")), text), most)
+            seen = F.array_append(state["out"], F.struct(state["draft"].alias("draft"), text.alias("text"))).cast(kind)
+            return F.struct(F.when(X.pystrip(text) == "", state["draft"]).otherwise(draft).alias("draft"), seen.alias("out"))
+
+        return X.bind(suppress_repeat(state["draft"], part), told)
+
+    return F.aggregate(parts, none, step, lambda s: s["out"])

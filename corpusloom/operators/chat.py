@@ -38,6 +38,15 @@ def source_rows(messages: DataFrame) -> DataFrame:
     return each.where((name != "") | (path != "")).select("message_id", F.when(name == "", "(unknown)").otherwise(name).alias("doc_name"), path.alias("doc_path"))
 
 
+def insert_or_ignore(rows: DataFrame, stored: DataFrame, keys: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose keys aren't stored yet, the first of each key; a batch that is offered again gives none."""
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*(order or keys)))
+    fresh = rows.withColumn("_n", first).where(F.col("_n") == 1).drop("_n")
+    known = stored.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [fresh[k].eqNullSafe(known[f"_{k}"]) for k in keys]
+    return fresh.join(known, same, "left_anti")
+
+
 def document_usage(messages: DataFrame, sources: DataFrame) -> DataFrame:
     joined = messages.select(F.col("id").alias("message_id")).join(sources, "message_id")
     return joined.groupBy("doc_name", "doc_path").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "doc_name", "doc_path")

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest
+from .. import schemas
+from ..operators import chat, ingest
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -41,3 +42,31 @@ def store_signature(spark: SparkSession, folder: str) -> DataFrame:
     """One row that changes with any file of a store: for readers that reload on change."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("modificationTime").alias("newest"))
+
+
+def chat_log(messages: DataFrame, path: str, checkpoint: str, delay: str = "1 hour"):
+    """Messages of a stream are appended to the tables under ``path``, with their session and sources, each once.
+
+    Repeats within ``delay`` are dropped by the stream's state, older ones and those of a replayed batch by an
+    anti-join with what is stored. Sources go first and messages last, so a batch that was cut off is
+    finished when it comes again. ``id`` tells messages apart.
+    """
+    spark = messages.sparkSession
+    table = lambda name, ddl: spark.read.schema(ddl).parquet(f"{path}/{name}")
+
+    def one(batch: DataFrame, number: int) -> None:
+        for name, ddl in (("sessions", schemas.SESSION), ("messages", schemas.MESSAGE), ("sources", schemas.MESSAGE_SOURCE)):
+            schemas.conform(batch.limit(0), ddl).write.mode("ignore").parquet(f"{path}/{name}")
+        rows = chat.insert_or_ignore(schemas.conform(batch, schemas.MESSAGE), table("messages", schemas.MESSAGE), ("id",), ("created_at", "session_id", "content")).persist()
+        try:
+            cited = chat.source_rows(rows).withColumn("id", F.lit(None).cast("bigint")).dropDuplicates(["message_id", "doc_name", "doc_path"])
+            known = table("sources", schemas.MESSAGE_SOURCE)
+            chat.insert_or_ignore(cited, known, ("message_id", "doc_name", "doc_path")).select("id", "message_id", "doc_name", "doc_path").write.mode("append").parquet(f"{path}/sources")
+            opened = rows.groupBy("session_id").agg(F.min("created_at").alias("created_at"))
+            chat.insert_or_ignore(opened, table("sessions", schemas.SESSION), ("session_id",)).write.mode("append").parquet(f"{path}/sessions")
+            rows.write.mode("append").parquet(f"{path}/messages")
+        finally:
+            rows.unpersist()
+
+    timed = messages.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
+    return timed.dropDuplicatesWithinWatermark(["id"]).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
