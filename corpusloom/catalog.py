@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from . import fixtures as fx
 from .functions import answers, speech
 from .functions import text as X
-from .operators import chat, chunking, dashboard, expand, images, ingest, rank, vocab
+from .operators import chat, chunking, dashboard, expand, exports, images, ingest, rank, vocab
 from .operators.postings import PostingsIndex
 from .operators.vector_index import VectorIndex
 from .plans.config import RetrievalConfig
@@ -419,6 +419,13 @@ def rolling_drafts(spark, sf_dir):
     return rows.select("doc_id", F.col("part").cast("bigint").alias("part"), "draft")
 
 
+@query()
+def answer_parts(spark, sf_dir):
+    """What each line of a text lets through after what came before, as parts of an answer do; the stream's test has the same rows in pieces."""
+    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(answers.streamed_parts(F.split("text", "\n"), 40)).alias("part", "s"))
+    return rows.select("doc_id", F.col("part").cast("bigint").alias("part"), "s.draft", "s.text")
+
+
 @query("SELECT doc_id, sha256(text) AS fp FROM documents")
 def fingerprints(spark, sf_dir):
     return ingest.fingerprint(docs_of(spark, sf_dir), "text").select("doc_id", F.col("doc_fingerprint").alias("fp"))
@@ -728,6 +735,27 @@ def export_states(spark, sf_dir):
     return ingest.upsert_states(slugs, changes)
 
 
+def export_events(spark, sf_dir: str) -> DataFrame:
+    """Events as logs of twenty export queues, a slug a user."""
+    kinds = {"view": "requested", "click": "built", "purchase": "fetched", "error": "failed", "signup": "removed"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()])
+    slug = F.concat(F.lit("s"), F.col("user_id").cast("string"))
+    return read_table(spark, sf_dir, "events").select(F.concat(F.lit("q"), (F.col("user_id") % 20).cast("string")).alias("queue"), F.col("event_id").alias("seq"), kind.alias("kind"), slug.alias("slug"), F.concat(F.lit("/"), slug).alias("zip_path"), F.lit(1).cast("bigint").alias("zip_size"), F.lit("").alias("error"))
+
+
+@query()
+def export_log(spark, sf_dir):
+    """What each event of an export queue leads to: a fold over its log, redone with SQLite in its test."""
+    return exports.fold(export_events(spark, sf_dir)).select("queue", "seq", "kind", "slug", "state", "position", "started")
+
+
+@query(f"WITH {fx.MESSAGES} SELECT id, session_id, role FROM f_message WHERE id % 3 <> 0")
+def messages_inserted(spark, sf_dir):
+    """Every message is offered twice to a store that has a third of them: what is inserted."""
+    m = fx.messages(spark, sf_dir)
+    return chat.insert_or_ignore(m.unionByName(m), m.where("id % 3 = 0"), ("id",)).select("id", "session_id", "role")
+
+
 # ---------------------------------------------------------------- images, speech
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..sources.shared import stash
+from .scans import PART, in_parts, running
 
 
 def chunk_array(text: Column, size: int, overlap: int) -> Column:
@@ -83,11 +84,14 @@ def chunk_rows(chunks: DataFrame, ingest_mode: str = "markdown") -> DataFrame:
     )
 
 
-def forward_fill_sections(chunks: DataFrame, doc_cols: tuple[str, ...] = ("doc_name",), order_col: str = "chunk_index") -> DataFrame:
-    """Rows without a section take the last one of their document, and its path goes before their text unless they start with it."""
-    own = X.pystrip(X.text_of("section_path_str"))
-    so_far = W.partitionBy(*doc_cols).orderBy(order_col).rowsBetween(W.unboundedPreceding, 0)
-    filled = chunks.withColumn("_own", own).withColumn("_path", F.last(F.nullif("_own", F.lit("")), ignorenulls=True).over(so_far))
+def forward_fill_sections(chunks: DataFrame, doc_cols: tuple[str, ...] = ("doc_name",), order_col: str = "chunk_index", parts: int | None = None) -> DataFrame:
+    """Rows without a section take the last one of their document, and its path goes before their text unless they start with it.
+
+    A document may lie in several tasks; the section that is open where one ends is carried to the next.
+    """
+    parts = parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = in_parts(chunks.withColumn("_own", X.pystrip(X.text_of("section_path_str"))), doc_cols, order_col, parts)
+    filled = running(ranged, doc_cols, order_col, lasts={"_path": F.nullif("_own", F.lit(""))}).drop(PART)
     raw = F.coalesce("raw_content", "text") if "raw_content" in chunks.columns else F.col("text")
     inherits = (F.col("_own") == "") & F.col("_path").isNotNull()
     repeats = X.first_line_plain(X.text_of(raw)) == F.lower(F.col("_path"))
@@ -222,21 +226,26 @@ def numeric_heading(line: Column) -> Column:
     return F.when(~bad, F.struct(F.regexp_replace(number, r"\.$", "").alias("number"), title.alias("title"), level.alias("level")))
 
 
-def section_stack(blocks: DataFrame) -> DataFrame:
-    """``section_path`` of each block (doc_name, block_no, content): parents up to the heading's level, and itself."""
-    h = numeric_heading(F.col("content"))
-    listed = blocks.groupBy("doc_name").agg(F.array_sort(F.collect_list(F.struct("block_no", "content", h.alias("h")))).alias("_b"))
-    path_type = "array<string>"
-    start = F.struct(F.array().cast(path_type).alias("now"), F.array().cast(f"array<{path_type}>").alias("all"))
+def section_stack(blocks: DataFrame, parts: int | None = None) -> DataFrame:
+    """``section_path`` of each block (doc_name, block_no, content): parents up to the heading's level, and itself.
 
-    def step(state: Column, b: Column) -> Column:
-        entry = F.concat(F.lit("Section "), b["h"]["number"], F.lit(" "), b["h"]["title"])
-        now = F.when(b["h"].isNotNull(), F.array_append(F.slice(state["now"], F.lit(1), F.least(F.size(state["now"]), b["h"]["level"] - 1)), entry)).otherwise(state["now"])
-        return F.struct(now.alias("now"), F.array_append(state["all"], now).alias("all"))
-
-    paths = listed.withColumn("_p", F.aggregate("_b", start, step, lambda s: s["all"]))
-    rows = paths.select("doc_name", F.explode(F.arrays_zip("_b", "_p")).alias("z"))
-    return rows.select("doc_name", "z._b.block_no", "z._b.content", F.col("z._b.h").isNotNull().alias("is_heading"), F.col("z._p").alias("section_path"), F.array_join("z._p", " > ").alias("section_path_str"))
+    A heading of level L keeps the first L - 1 entries of the path and adds itself, so with the i-th
+    heading the path has min(length before, L - 1) + 1 entries, which is i + min(0, least L_j - j so far).
+    Its p-th entry is the last heading that ended a path of p entries. All of these are running values,
+    so a document may lie in any number of tasks. There is a running value for each length that occurs.
+    """
+    key, at = ("doc_name",), "block_no"
+    parts = parts or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = in_parts(blocks.select("doc_name", "block_no", "content").withColumn("_h", numeric_heading(F.col("content"))), key, at, parts)
+    counted = running(ranged, key, at, sums={"_i": F.col("_h").isNotNull().cast("long")})
+    counted = running(counted, key, at, mins={"_least": F.when(F.col("_h").isNotNull(), F.col("_h.level") - F.col("_i"))})
+    rows = stash(counted.withColumn("_depth", F.col("_i") + F.least(F.lit(0), F.coalesce("_least", F.lit(0)))), "depths")
+    deepest = rows.agg(F.max("_depth")).first()[0] or 0
+    entry = F.concat(F.lit("Section "), F.col("_h.number"), F.lit(" "), F.col("_h.title"))
+    ends = {f"_p{p}": F.when(F.col("_h").isNotNull() & (F.col("_depth") == p), entry) for p in range(1, deepest + 1)}
+    found = running(rows, key, at, lasts=ends) if ends else rows
+    path = F.slice(F.array(*ends).cast("array<string>"), F.lit(1), F.col("_depth").cast("int"))
+    return found.select("doc_name", "block_no", "content", F.col("_h").isNotNull().alias("is_heading"), path.alias("section_path"), F.array_join(path, " > ").alias("section_path_str"))
 
 
 def block_chunks(blocks: DataFrame, size: int = 1200) -> DataFrame:
