@@ -69,10 +69,35 @@ def _append(seeds: DataFrame, extra: DataFrame, kind: int) -> DataFrame:
 LEAST_SLICE = 280
 
 
-def _listed(rows: DataFrame, order: Column) -> DataFrame:
-    own = rows.where(X.pystrip(X.text_of("text")) != "")
-    entry = F.struct(order.alias("o"), F.col("vector_id").alias("vector_id"), F.col("text").alias("text"))
-    return own.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+def _in_reach(rows: DataFrame, order: Column, budget: int, skips: bool) -> DataFrame:
+    """(query_id, _o, vector_id, text) of the rows that packing can get to, in any number of tasks.
+
+    Rows are taken in order until one is too long for what is left; of those there are no more than the
+    budget has characters. Where packing then skips what is too long (with less than ``LEAST_SLICE`` left),
+    rows behind that are not longer than what is left may follow: of one length n no more than fit, since
+    once one of them is skipped so are all later ones. Texts are cut to the budget and one character, which
+    is as much too long as the whole is.
+    """
+    most = max(budget, 0) + 1
+    own = rows.where(X.pystrip(X.text_of("text")) != "").select("query_id", order.alias("_o"), "vector_id", F.left("text", F.lit(most)).alias("text"))
+    own = own.withColumn("_n", F.char_length("text"))
+    by_order = W.partitionBy("query_id").orderBy("_o")
+    head = own.withColumn("_r", F.row_number().over(by_order)).where(F.col("_r") <= most)  # limited in each task before the shuffle
+    head = head.withColumn("_sum", F.sum("_n").over(by_order.rowsBetween(W.unboundedPreceding, 0)))
+    head = head.where(F.col("_sum") - F.col("_n") <= budget)  # the first that is too long included
+    taken = head.select("query_id", "_o", "vector_id", "text")
+    if not skips:
+        return taken
+    full = head.where(F.col("_sum") > budget).groupBy("query_id").agg(F.min(F.struct("_o", (F.lit(budget) - F.col("_sum") + F.col("_n")).alias("left"))).alias("f"))
+    later = own.join(full.where(F.col("f.left") < LEAST_SLICE), "query_id").where((F.col("_o") > F.col("f._o")) & (F.col("_n") <= F.col("f.left")))
+    later = later.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "_n").orderBy("_o"))).where(F.col("_r") <= LEAST_SLICE)
+    later = later.where(F.col("_r") * F.col("_n") <= F.col("f.left"))
+    return taken.unionByName(later.select("query_id", "_o", "vector_id", "text"))
+
+
+def _listed(reached: DataFrame) -> DataFrame:
+    entry = F.struct(F.col("_o").alias("o"), F.col("vector_id").alias("vector_id"), F.col("text").alias("text"))
+    return reached.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
 
 
 def _pack(rows: Column, budget: int, stop_when_full: bool, most: int) -> Column:
@@ -105,16 +130,18 @@ def pack_mixed(rows: DataFrame, budget: int, most: int = 0) -> DataFrame:
     """(query_id, position, vector_id, text) in the order of ``ord``; ``most`` first rows only if above 0."""
     if most > 0:
         rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
-    return _unfold(_listed(rows, F.col("ord")).select("query_id", _pack(F.col("_rows"), budget, False, 0).alias("_out")))
+    reached = _in_reach(rows, F.col("ord"), budget, True)
+    return _unfold(_listed(reached).select("query_id", _pack(F.col("_rows"), budget, False, 0).alias("_out")))
 
 
 def pack_top_document(rows: DataFrame, budget: int, most: int = 0) -> DataFrame:
     """The first document's chunks by page, chunk index and id, until the budget is full."""
-    first = F.first(F.struct(*DOC)).over(W.partitionBy("query_id").orderBy("ord").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    own = rows.withColumn("_top", first).where(F.struct(*DOC) == F.col("_top")).dropDuplicates(["query_id", *DOC, "vector_id"])
+    first = rows.groupBy("query_id").agg(F.min_by(F.struct(*DOC), "ord").alias("_top"))  # a row a question
+    own = rows.join(first, "query_id").where(F.struct(*DOC) == F.col("_top")).dropDuplicates(["query_id", *DOC, "vector_id"])
     last = F.lit(10**9).cast("bigint")
     order = F.struct(F.coalesce(X.parse_page(F.col("page_number")), last).alias("p"), F.coalesce("chunk_index", last).alias("ci"), F.col("vector_id").alias("vid"))
-    return _unfold(_listed(own, order).select("query_id", _pack(F.col("_rows"), budget, True, most).alias("_out")))
+    reached = _in_reach(own, order, budget, False)
+    return _unfold(_listed(reached).select("query_id", _pack(F.col("_rows"), budget, True, most).alias("_out")))
 
 
 def never_empty(packed: DataFrame, rows: DataFrame, budget: int) -> DataFrame:

@@ -212,3 +212,21 @@ def test_stems_agree_on_both_sides(spark):
     words = "calibration calibrating valves organization measurements nations sing string running bed beds national measures gas a operability".split()
     got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem(F.col("w")).alias("s")).collect()}
     assert got == {w: questions.stem(w) for w in words}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_reaches_no_more_than_the_budget_allows(spark, seed):
+    """Thousands of candidates a question: equal to the plain fold, and few rows are gathered."""
+    rng = random.Random(seed)
+    sizes = {q: [rng.choice([1, 3, 20, 60, 200, 279, 280, 281, 900, 5000] if q % 2 else [30, 31, 270, 400]) for _ in range(1500)] for q in range(4)}
+    rows = [(q, i, "x" * n if n != 60 else " " * 60, "t", "d", 1, i) for q, ns in sizes.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "query_id bigint, vector_id bigint, text string, tenant string, doc_name string, page_number bigint, chunk_index bigint").withColumn("ord", F.col("vector_id"))
+    for budget in (-1, 0, 100, 777, 3700):
+        for pack, stop in ((expand.pack_mixed, False), (expand.pack_top_document, True)):
+            got = {}
+            for r in pack(df, budget).orderBy("query_id", "position").collect():
+                got.setdefault(r.query_id, []).append((r.vector_id, r.text))
+            for q, ns in sizes.items():
+                assert got.get(q, []) == plain_pack([(i, "x" * n) for i, n in enumerate(ns) if n != 60], budget, stop), (budget, stop, q)
+        reached = expand._in_reach(df, F.col("ord"), budget, True).groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+        assert reached <= max(budget, 0) + 1 + 1700
