@@ -56,14 +56,14 @@ def numbered(df: DataFrame, column: str) -> DataFrame:
     return joined.withColumn(column, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
 
 
-def _slices(queries: DataFrame) -> list[DataFrame]:
-    """The queries in parts of at most MOST_QUERIES, so that each may be broadcast."""
-    n = queries.count()
-    if n <= MOST_QUERIES:
+def _slices(queries: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """The queries in parts of at most ``most`` (MOST_QUERIES), so that each may be broadcast."""
+    n, most = queries.count(), min(most or MOST_QUERIES, MOST_QUERIES)
+    if n <= most:
         return [queries]
     rows = stash(numbered(queries, "_no"), "queries")
-    slice_of = F.floor(F.col("_no") / MOST_QUERIES)
-    return [rows.where(slice_of == i).drop("_no") for i in range(-(-n // MOST_QUERIES))]
+    slice_of = F.floor(F.col("_no") / most)
+    return [rows.where(slice_of == i).drop("_no") for i in range(-(-n // most))]
 
 
 def query_matrices(queries: DataFrame) -> Iterator[tuple[DataFrame, np.ndarray]]:
@@ -160,18 +160,54 @@ def bm25(pool: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     return scored.select(*pool.columns, "bm25")
 
 
+def _counts(chunks: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, the length and the counts of the queries' terms of every chunk, written once: a row a chunk, however many questions there are."""
+    asked = queries.select(F.explode("bm25_terms").alias("t")).distinct().collect()  # the terms of at most MOST_QUERIES questions
+    terms = F.array(*[F.lit(r.t) for r in asked]).cast("array<string>")
+
+    def counted(k: Column) -> Column:
+        entry = lambda t: F.struct(t.alias("t"), F.size(F.filter(k, lambda x: x == t)).alias("f"))
+        return F.struct(F.greatest(F.lit(1), F.size(k)).alias("dl"), F.transform(F.array_intersect(k, terms), entry).alias("tf"))
+
+    own = F.transform(F.array(X.bm25_tokens(F.col("text"))), counted)[0]
+    return stash(chunks.select(*columns, own.alias("_c")), "counts")
+
+
+def _weighted(counts: DataFrame, queries: DataFrame, k1: float) -> DataFrame:
+    """The queries with ``_weights``, struct(term, what it counts), and the corpus' ``_avgdl``: one row a query."""
+    size = counts.agg(F.count("*").alias("n"), (F.avg("_c.dl") + 1e-6).alias("_avgdl"))
+    df = counts.select(F.explode("_c.tf.t").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    rows = _term_lists(queries).select("query_id", F.explode(F.arrays_zip("_terms", "_times")).alias("e")).select("query_id", F.col("e._terms").alias("t"), F.col("e._times").alias("times"))
+    rows = rows.join(df, "t").join(F.broadcast(size))  # one row
+    weight = F.col("times") * (k1 + 1) * F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    weights = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("t", weight.alias("w")))).alias("_weights"))
+    vectors = ["query_vec"] if "query_vec" in queries.columns else []
+    return queries.select("query_id", *vectors).join(weights, "query_id", "left").join(F.broadcast(size.select("_avgdl")))  # one row
+
+
+def _pair_scores(counts: DataFrame, weighted: DataFrame, id_col: str, k1: float, b: float) -> DataFrame:
+    """(query_id, id, bm25, and ``dense`` where there are vectors) of each question and chunk, worked out where they are used and not stored."""
+    pairs = counts.crossJoin(F.broadcast(weighted))  # at most MOST_QUERIES rows
+    norm = k1 * (1 - b + b * F.col("_c.dl") / F.col("_avgdl")) + 1e-8
+
+    def part(w: Column) -> Column:
+        f = F.coalesce(F.get(F.filter("_c.tf", lambda e: e["t"] == w["t"]), F.lit(0))["f"], F.lit(0))
+        return w["w"] * f / (f + norm)
+
+    score = F.coalesce(F.aggregate("_weights", F.lit(0.0), lambda s, w: s + part(w)), F.lit(0.0))
+    dense = [dot(F.col("embedding"), F.col("query_vec")).alias("dense")] if "query_vec" in weighted.columns else []
+    return pairs.select("query_id", id_col, *dense, score.alias("bm25"))
+
+
 def corpus_scores(chunks: DataFrame, queries: DataFrame, id_col: str = "vector_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, bm25, and ``dense`` where queries have a ``query_vec``) of every chunk, with statistics of the corpus.
 
-    One scan of texts and embeddings leaves an id and a few numbers a chunk, which are written once.
+    One scan of texts leaves a row a chunk, which is written once; scores of pairs aren't.
     """
     found = None
     for part in _slices(queries):
-        own = part.drop("bm25_terms").join(_term_lists(part), "query_id")
-        dense = [dot(F.col("embedding"), F.col("query_vec")).alias("dense")] if "query_vec" in part.columns else []
-        rows = stash(chunks.crossJoin(F.broadcast(own)).select("query_id", id_col, *dense, _counted(F.col("text")).alias("_c")), "scores")
-        weights = _bm25_weights(rows, _term_lists(part), k1)
-        scored = rows.join(F.broadcast(weights), "query_id").withColumn("bm25", _bm25_score(k1, b)).drop("_c", "_avgdl", "_weights")  # one row a query
+        counts = _counts(chunks, part, [id_col, *(["embedding"] if "query_vec" in part.columns else [])])
+        scored = _pair_scores(counts, _weighted(counts, part, k1), id_col, k1, b)
         found = scored if found is None else found.unionByName(scored)
     return found
 
@@ -181,23 +217,33 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "
 
     Exact without ranking the corpus: a chunk in neither list's first 2 k + rrf_k has at most
     2 / (2 k + 2 rrf_k), less than the k-th of the dense list has from that list alone. Ranks of those
-    few in the other list are counts of better chunks, added up in one pass over (id, scores).
+    few in the other list are counts of better chunks, added up in one pass. Questions come in slices
+    whose candidates may be broadcast, and scores of pairs are never stored.
     """
-    n = 2 * k + rrf_k
-    scores = stash(corpus_scores(chunks, queries, id_col), "scored")
+    n, found = 2 * k + rrf_k, None
+    for part in _slices(queries, max(1, MOST_FETCHED // (2 * n))):
+        ranked = _hybrid(chunks, part, n, id_col, rrf_k)
+        found = ranked if found is None else found.unionByName(ranked)
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rrf"), id_col))
+    return found.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
+
+
+def _hybrid(chunks: DataFrame, queries: DataFrame, n: int, id_col: str, rrf_k: int) -> DataFrame:
+    """The candidates of a slice of questions, ranked in both lists."""
+    counts = _counts(chunks, queries, [id_col, "embedding"])
+    weighted = stash(_weighted(counts, queries, 1.2), "weighted")
+    scores = _pair_scores(counts, weighted, id_col, 1.2, 0.75)
     first = lambda c: scores.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(c), id_col))).where(F.col("_r") <= n).drop("_r")
     candidates = stash(first("dense").unionByName(first("bm25")).dropDuplicates(["query_id", id_col]), "candidates")
     names = {"query_id": "_q", id_col: "_id", "dense": "_dense", "bm25": "_bm25"}
-    asked = F.broadcast(candidates.withColumnsRenamed(names))  # at most 2 n rows a query
+    asked = F.broadcast(candidates.withColumnsRenamed(names))  # at most 2 n rows a query, MOST_FETCHED in all
     better = lambda c: (F.col(c) > F.col(f"_{c}")) | ((F.col(c) == F.col(f"_{c}")) & (F.col(id_col) < F.col("_id")))
     counted = scores.join(asked, (F.col("query_id") == F.col("_q")) & (better("dense") | better("bm25")))
     counted = counted.groupBy("_q", "_id").agg(F.count_if(better("dense")).alias("dense_rank"), F.count_if(better("bm25")).alias("bm25_rank"))
     none = F.lit(0).cast("long")
     ranked = candidates.join(counted, (F.col("query_id") == F.col("_q")) & (F.col(id_col) == F.col("_id")), "left")
     ranked = ranked.select("query_id", id_col, "dense", "bm25", F.coalesce("dense_rank", none).alias("dense_rank"), F.coalesce("bm25_rank", none).alias("bm25_rank"))
-    ranked = ranked.withColumn("rrf", 1.0 / (rrf_k + F.col("dense_rank")) + 1.0 / (rrf_k + F.col("bm25_rank")))
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rrf"), id_col))
-    return ranked.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
+    return ranked.withColumn("rrf", 1.0 / (rrf_k + F.col("dense_rank")) + 1.0 / (rrf_k + F.col("bm25_rank")))
 
 
 def minmax(column: str) -> Column:
