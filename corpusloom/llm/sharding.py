@@ -234,13 +234,23 @@ def affected_shards(placement: DataFrame) -> DataFrame:
 def rewrite_affected(docs: DataFrame, placement: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the rows of shards that change under ``path/shard=N``; shards without moves are not touched.
 
-    Rows are matched by id and text; the copies of a row, equal in both, are numbered on either side.
+    The new rows are written beside the old ones first, so ``docs`` may be read from ``path``; then each
+    changed shard's folder is replaced, and that of a shard that lost all its rows is deleted. Rows are
+    matched by id and text; the copies of a row, equal in both, are numbered on either side.
     """
-    changed = F.broadcast(affected_shards(placement).select("shard"))  # at most one row a shard
-    numbered = lambda df, order: df.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(*order)))
-    where = placement.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "shard", "slot")
-    where = numbered(where, ("shard", "slot")).join(changed, "shard")
-    rows = numbered(docs.withColumn("_id", F.col(id_col)).withColumn("_hash", F.xxhash64(text_or_empty(text_col))), ("_id",))
-    same = rows["_id"].eqNullSafe(where["_id"]) & (rows["_hash"] == where["_hash"]) & (rows["_n"] == where["_n"])
-    found = rows.join(where, same).select(*[rows[c] for c in docs.columns if c not in ("shard", "slot")], where["shard"], where["slot"])
-    found.write.partitionBy("shard").mode("overwrite").parquet(path)
+    spark = docs.sparkSession
+    changed = stash(affected_shards(placement).select("shard"), "affected")  # at most one row a shard
+    numbered = lambda df, order: df.withColumn("n", F.row_number().over(W.partitionBy("id", "hash").orderBy(*order)))
+    where = placement.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "shard", "slot")
+    where = numbered(where, ("shard", "slot")).join(F.broadcast(changed), "shard")
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
+    rows = numbered(rows, ("id",))
+    same = rows["id"].eqNullSafe(where["id"]) & (rows["hash"] == where["hash"]) & (rows["n"] == where["n"])
+    found = rows.join(where, same).select(*[rows["doc"][f"c{i}"].alias(c) for i, c in enumerate(own)], where["slot"], where["shard"])
+    beside = stash(found, "rewritten")
+    beside.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    filled = {r.shard for r in beside.select("shard").distinct().collect()}
+    for shard in sorted({r.shard for r in changed.collect()} - filled):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={shard}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
