@@ -60,9 +60,12 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_MIN]
     found += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    base = sorted((a, b) for _, a, b, _ in found)
-    for m in OPAQUE.finditer(text):
-        if opaque(m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
+    base, at = sorted((a, b) for _, a, b, _ in found), 0
+    reach = 0  # the end of the base spans passed so far
+    for m in OPAQUE.finditer(text):  # tokens and base spans both go from left to right
+        while at < len(base) and base[at][0] < m.end():
+            reach, at = max(reach, base[at][1]), at + 1
+        if reach <= m.start() and opaque(m[0]):
             found.append(("opaque", m.start(), m.end(), m[0]))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -128,29 +131,40 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The texts with their spans (start, end, live; by start) replaced; of overlapping ones the first."""
+    for texts, spans in batches:
+        out = []
+        for text, own in zip(texts, spans, strict=True):
+            if own is None or text is None:
+                out.append(None)
+                continue
+            parts, at = [], 0
+            for s in own:
+                if s["start"] >= at:
+                    parts += [text[at : s["start"]], "<SECRET>" if s["live"] else "<EXAMPLE>"]
+                at = max(at, s["end"])
+            out.append("".join([*parts, text[at:]]))
+        yield pd.Series(out, dtype=object)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with every span replaced: live ones by <SECRET>, copied ones by <EXAMPLE>; n_chars follows.
 
     Overlapping spans are replaced by the first of them. Documents without spans pass as they are, and a
-    null text stays null. Only rows with spans are rebuilt.
+    null text stays null. Only texts with spans are rebuilt, in one go from left to right. Repeated rows
+    are treated alike, an empty table stays empty, and columns keep their names whatever these are.
     """
     spans = find_secrets(docs, id_col, text_col, **options).where(F.size("spans") > 0)
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    text = F.col(text_col)
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(state, span):
-        tag = F.when(span["live"], F.lit("<SECRET>")).otherwise(F.lit("<EXAMPLE>"))
-        fresh = span["start"] >= state["at"]
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        out = F.when(fresh, F.concat(state["out"], gap, tag)).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.greatest(state["at"], span["end"].cast("long")).alias("at"))
-
-    built = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
-    cleaned = F.when(F.col("_spans").isNull(), text).otherwise(built)
-    columns = {c: F.col(c) for c in docs.columns} | {text_col: cleaned.alias(text_col)}
-    out = joined.select(*[columns[c].alias(c) for c in docs.columns])
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out
+    few = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["live"].alias("live")))
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.first(few).alias("spans"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of a column meets one used here
+    packed = docs.select(F.struct(*[F.col(c).alias(k) for c, k in names.items()]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+    joined = packed.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    text = F.col("doc")[names[text_col]]
+    asked = F.when(F.col("spans").isNotNull(), text)
+    joined = joined.select("doc", F.coalesce(F.pandas_udf(_replaced, "string")(asked, "spans"), text).alias("clean"))
+    columns = {c: F.col("doc")[k] for c, k in names.items()} | {text_col: F.col("clean")}
+    if "n_chars" in names:
+        columns["n_chars"] = F.when(F.col("clean").isNull(), columns["n_chars"]).otherwise(F.char_length("clean").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[columns[c].alias(c) for c in docs.columns])
