@@ -153,32 +153,49 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sample_words: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
-    """Fit on at most ``sample`` labelled documents, those whose id hashes lowest.
+    """Fit on at most ``sample`` labelled documents, those whose id hashes lowest, and of an id with several texts those of the lowest hashes.
 
-    The driver holds the sample. It is bounded by ``sample`` and by ``sample_words``, the distinct words
-    of all its documents and their counterfactuals together: a document that would pass that bound is not
-    drawn. One that is drawn counts with all its words, and scoring uses all words of all texts.
+    The driver holds the sample. It is bounded by ``sample`` rows and by ``sample_words``, the distinct
+    words of all its documents and their counterfactuals together: a document that would pass that bound,
+    in the order of the texts' hashes, is not drawn. One that is drawn counts with all its words, and
+    scoring uses all words of all texts. Of rows equal in id and text, one is drawn if the rows of the
+    drawn ids are more than the sample.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     # the sample is drawn from ids alone; texts are read for the drawn ones only
     drawn = known.orderBy(order, "doc_id").limit(sample)
+    own = texts.join(F.broadcast(drawn), "doc_id")
+    if docs.select(F.col(id_col).alias("doc_id")).join(F.broadcast(drawn), "doc_id").count() > sample:  # ids with several rows
+        pairs = own.groupBy("doc_id", F.xxhash64("_text").alias("_hash")).count().orderBy(order, "doc_id", "_hash").limit(sample)
+        pairs = F.broadcast(pairs.select(F.col("doc_id").alias("_id"), "_hash"))
+        own = own.join(pairs, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))).dropDuplicates(["_id", "_hash"])
     feature = F.pandas_udf(_features, "words array<long>, swapped array<long>, without array<long>, named boolean, text_hash long")
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("_toxic", feature("_text").alias("f")).select("_toxic", "f.*")
+    rows = own.select("_toxic", feature("_text").alias("f")).select("_toxic", "f.*")
+    found = _gathered(rows, sample_words)
+    if found is None:
+        found = _gathered(rows.orderBy("text_hash"), sample_words, leave_out=True)
+    return fit([(words, others, toxic / n) for _, (words, others, toxic, n) in sorted(found.items())], **options)
+
+
+def _gathered(rows: DataFrame, most: int, leave_out: bool = False) -> dict[int, list] | None:
+    """Words, counterfactuals, toxic rows and rows by text; where these hold more than ``most`` words, None, or without those that pass it."""
     own: dict[int, list] = {}
     held = 0
     for r in rows.toLocalIterator():
         if r.text_hash not in own:
             size = len(r.words) + len(r.swapped) + len(r.without)
-            if held + size > sample_words:
-                continue
+            if held + size > most:
+                if leave_out:
+                    continue
+                return None
             held += size
             others = [np.array(x, np.int64) for x in (r.swapped, r.without) if r.named]
             own[r.text_hash] = [np.array(r.words, np.int64), others, 0, 0]
         own[r.text_hash][2] += r._toxic > 0
         own[r.text_hash][3] += 1
-    return fit([(words, others, toxic / n) for _, (words, others, toxic, n) in sorted(own.items())], **options)
+    return own
 
 
 def score_column(model: Model, text: Column) -> Column:
