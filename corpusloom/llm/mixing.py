@@ -88,10 +88,11 @@ PARTS = 1 << 20
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_tokens: int = 16, shard_words: int = 1_000_000, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, size, source, source_size, target, taken, and the columns in ``keep``.
 
-    ``most`` must be a whole number: a document is taken at most that many times.
+    ``most`` must be a whole number: a document is taken at most that many times. Rows are dealt to shards by
+    id and text, so an id or the null id with many texts lies in as many shards as they need.
     """
     passes = math.floor(most)
-    columns = [F.col("doc_id"), words_in("text").alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"), F.crc32(text_or_empty().cast("binary")).alias("_crc")]
+    columns = [F.col("doc_id"), words_in("text").alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("_h"), F.crc32(text_or_empty().cast("binary")).alias("_crc")]
     rows = docs.select(*columns, *keep)
     if not keep:
         rows = stash(rows, "sizes")  # words are counted once
