@@ -207,7 +207,7 @@ def test_mix_query(spark, sf, docs):
 def test_mix_equals_brute_force(spark, docs):
     """Every column, redone from the documents in plain Python; only the seeded hash comes from Spark."""
     block, shard_words = 16, 2_000
-    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", F.lit(42)).alias("h")).collect()
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(42)).alias("h")).collect()
     by = {}
     for r in rows:
         by.setdefault(r.source, []).append((r.h, r.doc_id, zlib.crc32((r.text or "").encode()), len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))))
