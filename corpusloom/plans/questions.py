@@ -1,12 +1,14 @@
-"""What a question asks for: strings worked out on the driver, one small row a question."""
+"""What a question asks for: for a caller's few questions on the driver, for a table of them as columns."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.text import BASELINE_GENERIC, OVERLAP_STOPS, QUESTION_STOPS, SUFFIXES
 
 # How a question names an attribute of a thing.
@@ -140,3 +142,100 @@ def question_rows(spark: SparkSession, questions: Iterable[tuple], generic: Iter
         out.append((query_id, question, [float(x) for x in vec], active, terms, phrases, focus_of(question) is not None, tokens(bm25_query(question, generic, clean)), sorted(set(terms)) or sorted(set(overlap))))
     schema = "query_id bigint, question string, query_vec array<double>, active string, terms array<string>, phrases array<string>, has_focus boolean, bm25_terms array<string>, rerank_terms array<string>"
     return spark.createDataFrame(out, schema)
+
+
+# ---------------------------------------------------------------- as columns
+
+
+def focus_column(question: Column) -> Column:
+    """``focus_of`` as a column; null without a focus."""
+    flat = X.pystrip(F.regexp_replace(F.translate(question, X.WHITE, " " * len(X.WHITE)), " +", " "))
+    found = [F.regexp_replace(X.pystrip(F.regexp_extract(flat, f"(?i){pattern}", 1)), r"[?.!,;:]+$", "") for pattern in FOCUS]
+    return F.coalesce(*[F.when(F.char_length(f) >= 3, f) for f in found])
+
+
+def _informative(t: Column) -> Column:
+    return (F.char_length(t) >= 3) | ((F.char_length(t) == 2) & F.rlike(t, F.lit("[0-9]")))
+
+
+def _known(words: Column, listed) -> Column:
+    """``words`` that aren't listed; ``listed`` is a column of words or a sequence."""
+    stop = listed if isinstance(listed, Column) else X.words(tuple(listed))
+    return F.filter(words, lambda t: ~F.array_contains(stop, t))
+
+
+def lexical_column(c: Column, generic) -> Column:
+    return _known(_known(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), QUESTION_STOPS), generic)
+
+
+def retrieval_column(question: Column, generic, clean: bool = True) -> Column:
+    """``retrieval_query`` as a column."""
+    if not clean:
+        return X.pystrip(question)
+
+    def words_of(q: Column) -> Column:
+        raw, focus = q["raw"], q["focus"]
+        asked = lambda c: F.array_join(F.filter(_known(X.bm25_tokens(c), QUESTION_STOPS), _informative), " ")
+        plain = F.regexp_replace(F.translate(F.lower(focus), X.WHITE, " " * len(X.WHITE)), " +", " ")
+        focused = F.coalesce(F.nullif(asked(focus), F.lit("")), X.pystrip(plain))
+        terms = lexical_column(raw, generic)
+        kept = F.array_join(F.filter(_known(_known(X.bm25_tokens(raw), QUESTION_STOPS), generic), _informative), " ")
+        free = F.when(F.size(terms) >= 2, F.array_join(terms, " ")).otherwise(F.coalesce(F.nullif(kept, F.lit("")), raw))
+        return F.when(raw == "", raw).when(focus.isNotNull(), focused).otherwise(free)
+
+    raw = X.pystrip(question)
+    return X.bind(F.struct(raw.alias("raw"), focus_column(raw).alias("focus")), words_of)
+
+
+def variant_columns(question: Column, generic, clean: bool = True) -> Column:
+    """``variants`` as an array column."""
+
+    def listed(q: Column) -> Column:
+        raw, low = q["raw"], F.lower(q["raw"])
+        base = F.coalesce(F.nullif(q["base"], F.lit("")), raw)
+        added = [F.when(X.contains_any(low, triggers), F.concat(base, F.lit(f" {more}"))) for triggers, more in EXPANSIONS]
+        every = F.filter(F.array(base, *([raw] if clean else []), *added), lambda v: v.isNotNull())
+        lower = F.transform(every, F.lower)
+        first = F.filter(every, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1)
+        return F.when(raw == "", F.array(F.lit("equipment manual"))).otherwise(first)
+
+    raw = X.pystrip(question)
+    return X.bind(F.struct(raw.alias("raw"), retrieval_column(raw, generic, clean).alias("base")), listed)
+
+
+def bm25_column(question: Column, generic, clean: bool = True) -> Column:
+    """``bm25_query`` as a column."""
+    joined = lambda v: F.left(F.array_join(F.transform(F.slice(v, 1, 2), X.pystrip), " "), F.lit(BM25_QUERY_CHARS))
+    return retrieval_column(X.bind(variant_columns(question, generic, clean), joined), generic, clean)
+
+
+def generic_of(questions: DataFrame, generic: DataFrame) -> DataFrame:
+    """(query_id, question, query_vec, _generic): of a table of generic words (token) those that some step looks up for the question."""
+    added = sorted({t for _, more in EXPANSIONS for t in [*tokens(more), *re.findall(r"[a-z]{3,}", more.lower())]})
+    asked = F.array_union(X.bm25_tokens(F.col("question")), F.regexp_extract_all(F.lower(X.text_of("question")), F.lit("[a-z]{3,}"), F.lit(0)))
+    each = questions.select("query_id", F.explode(F.array_union(asked, X.words(tuple(added)))).alias("token"))
+    held = each.join(generic.select("token").distinct(), "token").groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("_generic"))
+    return questions.join(held, "query_id", "left").withColumn("_generic", F.coalesce("_generic", F.array().cast("array<string>")))
+
+
+def question_columns(questions: DataFrame, generic: Iterable[str] | DataFrame = BASELINE_GENERIC, clean: bool = True) -> DataFrame:
+    """The rows of ``question_rows`` for a table of (query_id, question, query_vec) of any size; a null question is an empty one.
+
+    ``generic`` is a list, or a table with ``token``, of which a question is joined with the words it needs.
+    """
+    rows = generic_of(questions, generic) if isinstance(generic, DataFrame) else questions
+    known = F.col("_generic") if isinstance(generic, DataFrame) else sorted(set(generic))
+    question = X.text_of("question")
+    # each step is a projection of its own kind of row, so that nothing is worked out twice
+    rows = rows.select("query_id", question.alias("question"), F.col("query_vec").cast("array<double>").alias("query_vec"), retrieval_column(question, known, clean).alias("active"), *(["_generic"] if isinstance(generic, DataFrame) else []))
+    terms = lexical_column(F.col("active"), known)
+
+    def analysed(t: Column) -> Column:
+        grams = lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        overlap = F.array_sort(F.array_distinct(X.overlap_tokens(F.col("active"))))
+        rerank = F.when(F.size(t) > 0, F.array_sort(F.array_distinct(t))).otherwise(overlap)
+        return F.struct(t.alias("terms"), F.concat(grams(3), grams(2)).alias("phrases"), rerank.alias("rerank_terms"))
+
+    found = rows.withColumn("_a", X.bind(terms, analysed))
+    bm25 = X.bm25_tokens(bm25_column(F.col("question"), known, clean))
+    return found.select("query_id", "question", "query_vec", "active", "_a.terms", "_a.phrases", focus_column(F.col("question")).isNotNull().alias("has_focus"), bm25.alias("bm25_terms"), "_a.rerank_terms")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BASELINE_GENERIC
 from ..operators import expand, rank, vocab
+from ..operators.vector_index import VectorIndex
 from ..sources.shared import stash
 from .config import RetrievalConfig
-from .questions import question_rows, words_asked
+from .questions import question_columns, question_rows, words_asked
 
 # Documents that keywords of a question hint at.
 DOCUMENT_HINTS: dict[str, tuple[str, ...]] = {
@@ -39,21 +40,52 @@ def generic_words(chunks: DataFrame, config: RetrievalConfig, questions: list[st
     return sorted(r.token for r in found.join(asked, "token", "left_semi").collect())
 
 
-def retrieve(chunks: DataFrame, questions: list[tuple], config: RetrievalConfig | None = None, generic: list[str] | None = None, n_chunks: int | None = None) -> Retrieved:
-    """Answer contexts for (query_id, question, query vector) tuples from a chunk table with embeddings.
+def one_vector_each(questions: DataFrame) -> DataFrame:
+    """(query_id, question, query_vec) of a table that may have several variants a question."""
+    if "variant" not in questions.columns:
+        return questions
+    texts = questions.groupBy("query_id").agg(F.min_by("question", "variant").alias("question"))
+    means = rank.fused_query_vectors(questions.select("query_id", F.col("query_vec").alias("embedding")))
+    return texts.join(means, "query_id")
+
+
+def retrieve(
+    chunks: DataFrame,
+    questions: list[tuple] | DataFrame,
+    config: RetrievalConfig | None = None,
+    generic: list[str] | DataFrame | None = None,
+    n_chunks: int | None = None,
+    index: VectorIndex | None = None,
+    probe: int | None = None,
+) -> Retrieved:
+    """Answer contexts for questions, from a chunk table with embeddings.
+
+    Questions are (query_id, question, query vector) tuples, or a table with the columns query_id,
+    question and query_vec, or with several rows of them a question, one for each variant: the mean of
+    a question's vectors is looked for, and of its texts the first by ``variant``. With a stored ``index`` of
+    the chunks the dense stage reads its cells instead: all that may matter, or ``probe`` of them.
 
     Embeddings and raw contents are read by the dense stage alone; from there on a query has at most a
     few hundred rows. What later stages use several times (the pool, the cut, the ranking) is written
     once, so that the scan isn't repeated for each use.
     """
     c = config or RetrievalConfig()
-    q = question_rows(chunks.sparkSession, questions, BASELINE_GENERIC if generic is None else generic, c.retrieval_query_clean_enabled)
+    known = BASELINE_GENERIC if generic is None else generic
+    if isinstance(questions, DataFrame):
+        q = stash(question_columns(one_vector_each(questions), known, c.retrieval_query_clean_enabled), "questions")
+    else:
+        q = question_rows(chunks.sparkSession, questions, known, c.retrieval_query_clean_enabled)
     n = chunks.count() if n_chunks is None else n_chunks
     pool_k, initial_k = rank.pool_sizes(n, c.top_k, c.retrieval_pool_k, c.initial_pool_multiplier)
     columns = ["tenant", "doc_name", "doc_path", "chunk_index", "vector_id", "text", "section_path_str", "page_number", "timestamp", "ingest_mode"]
     present = [x for x in columns if x in chunks.columns]
     base = chunks.select(*present, "embedding", *[F.lit(None).cast("bigint" if x == "page_number" else "string").alias(x) for x in columns if x not in present])
-    pool = stash(rank.dense_topk(base, q.select("query_id", "query_vec"), initial_k), "pool")
+    if index is None:
+        pool = stash(rank.dense_topk(base, q.select("query_id", "query_vec"), initial_k), "pool")
+    else:
+        asked = q.select("query_id", "query_vec")
+        found = index.fetch(index.search(asked, initial_k, probe), asked.count(), initial_k)
+        pool = stash(found.select("query_id", *[F.col(x) if x in found.columns else F.lit(None).cast(base.schema[x].dataType).alias(x) for x in base.columns], "dense", "dense_rank"), "pool")
     scored = rank.adjust(rank.fuse(rank.bm25(pool, q), c.bm25_weight, c.rrf_linear_blend), q)
     cut = stash(rank.cut_and_dedupe(scored, pool_k), "cut")
     take = min(c.mmr_k, pool_k)
