@@ -331,6 +331,25 @@ for _k in ("r1", "r2", "r3"):
     _rule(_k)
 
 
+@query(f"WITH {fx.TITLED}, {COUNTERS}, {RULES} SELECT token, r1, r2, r3 FROM f_r WHERE r1 OR r2 OR r3")
+def corpus_vocab_titled(spark, sf_dir):
+    """Documents that are all named alike: their words are in all titles and hardly in bodies, so that every rule has something to name."""
+    return vocab.generic_rules(fx.titled(spark, sf_dir)).where("r1 or r2 or r3")
+
+
+@query(f"WITH {fx.TITLED.replace('FROM documents)', 'FROM documents WHERE doc_id % 5 <> 0)')}, {COUNTERS} SELECT * FROM f_c")
+def vocab_kept_up_to_date(spark, sf_dir):
+    """The counters after documents came in two changes and some went in a third, one of them offered twice."""
+    path = f"{shared_dir(spark)}/vocabulary-{uuid.uuid4().hex}"
+    drop_later(path)
+    log, chunks = vocab.VocabularyLog(spark, path), fx.titled(spark, sf_dir)
+    log.change("first", chunks.where("doc_id % 3 <> 0"))
+    for _ in range(2):
+        log.change("second", chunks.where("doc_id % 3 = 0"))
+    log.change("third", removed=chunks.where("doc_id % 5 = 0"))
+    return log.counters()
+
+
 @query(f"WITH {fx.CHUNKS}, {COUNTERS}, {RULES} SELECT DISTINCT token FROM (SELECT token FROM f_r WHERE r1 OR r2 OR r3 UNION ALL SELECT unnest({_stops([*X.BASELINE_GENERIC, 'widget'])}) AS token) WHERE token NOT IN ('manual')")
 def generic_terms(spark, sf_dir):
     return vocab.generic_terms(fx.chunks(spark, sf_dir), (" Widget ",), ("manual",))
@@ -440,10 +459,10 @@ def delta_slices(spark, sf_dir):
 # ---------------------------------------------------------------- chunking
 
 
-@query("""SELECT doc_id, i::BIGINT AS pos, substr(t, i*180+1, 200) AS n_text FROM (SELECT doc_id, regexp_replace(text,'[\\s\\p{Z}]+','x','g') AS t FROM documents) d, unnest(generate_series(0, greatest(0,(length(t)-20-1))//180)) s(i) WHERE length(t) > 200""")
+@query("""SELECT doc_id, i::BIGINT AS pos, substr(t, i*180+1, 200) AS n_text FROM (SELECT doc_id, regexp_replace(text,'[\\s\\p{Z}]+','x','g') AS t FROM documents) d, unnest(generate_series(0, greatest(0,(length(t)-20-1))//180)) s(i) WHERE length(t) > 0""")
 def chunk_hard_slice(spark, sf_dir):
-    """Each whole text as one paragraph: slices of 200 characters that overlap by 20; shorter texts have none."""
-    d = docs_of(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[\s\p{Z}]+", "x").alias("t")).where(F.char_length("t") > 200)
+    """Each whole text as one paragraph: slices of 200 characters that overlap by 20; shorter texts are a chunk each."""
+    d = docs_of(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[\s\p{Z}]+", "x").alias("t"))
     return d.select("doc_id", F.posexplode(chunking.chunk_array(F.col("t"), 200, 20)).alias("pos", "n_text")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "n_text")
 
 

@@ -21,6 +21,14 @@ CHUNKS = """f_chunk AS (SELECT source AS tenant, doc_id, 'doc_'||doc_id AS doc_n
   FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) t(i))"""
 
 
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of documents whose names say what they are about, as manuals' names do."""
+    return chunks(spark, sf_dir).withColumn("doc_name", F.concat(F.lit("Vacuum_pump-"), F.col("tenant"), F.lit(" "), F.col("doc_id").cast("string"), F.lit(".pdf")))
+
+
+TITLED = CHUNKS.replace("'doc_'||doc_id AS doc_name", "'Vacuum_pump-'||source||' '||doc_id||'.pdf' AS doc_name")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their vector, one chunk each."""
     docs, vecs = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings")

@@ -10,14 +10,29 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------- fixed values
 
 QUESTION_STOPS = (
-    "what the is are was were does did do how when where why which who this that for with from have has should would could can will been being "
-    "into about your any all and or not but of in on at to an explain describe tell show give please detail detailed"
-).split()
-BASELINE_GENERIC = "automatic machine manual equipment device system document procedure process overview instruction instructions operation operations guide section chapter content".split()
-TITLE_SKIP = "pdf mp4 doc docx xlsx pptx file page copy draft final rev version img image video".split()
-OVERLAP_STOPS = "a an the is are was were to of in on for and or with by what who which when where why how does do did be as at from that this it into".split()
-SUFFIXES = "ization isation ational ating ation ments ment ingly ness able ible ized ised izer iser ical ally ing ers ies ied ed es s".split()
-CAPTION_STOPS = "the and for with from show please about what how when where machine manual diagram image images picture pictures figure".split()
+    "what", "the", "is", "are", "was", "were", "does", "did", "do", "how", "when", "where", "why", "which", "who", "this", "that", "for", "with",
+    "from", "have", "has", "should", "would", "could", "can", "will", "been", "being", "into", "about", "your", "any", "all", "and", "or", "not",
+    "but", "of", "in", "on", "at", "to", "an", "explain", "describe", "tell", "show", "give", "please", "detail", "detailed",
+)
+BASELINE_GENERIC = (
+    "automatic", "machine", "manual", "equipment", "device", "system", "document", "procedure", "process", "overview", "instruction", "instructions",
+    "operation", "operations", "guide", "section", "chapter", "content",
+)
+TITLE_SKIP = (
+    "pdf", "mp4", "doc", "docx", "xlsx", "pptx", "file", "page", "copy", "draft", "final", "rev", "version", "img", "image", "video",
+)
+OVERLAP_STOPS = (
+    "a", "an", "the", "is", "are", "was", "were", "to", "of", "in", "on", "for", "and", "or", "with", "by", "what", "who", "which", "when", "where",
+    "why", "how", "does", "do", "did", "be", "as", "at", "from", "that", "this", "it", "into",
+)
+SUFFIXES = (
+    "ization", "isation", "ational", "ating", "ation", "ments", "ment", "ingly", "ness", "able", "ible", "ized", "ised", "izer", "iser", "ical",
+    "ally", "ing", "ers", "ies", "ied", "ed", "es", "s",
+)
+CAPTION_STOPS = (
+    "the", "and", "for", "with", "from", "show", "please", "about", "what", "how", "when", "where", "machine", "manual", "diagram", "image",
+    "images", "picture", "pictures", "figure",
+)
 GENERIC_ALT = ("image", "img", "picture", "figure")
 BAD_CAPTIONS = ("image", "img", "picture", "figure", "user's manual", "users manual", "user manual", "manual", "our superior")
 BAD_CAPTION_PATTERN = r"(?i)<!--\s*page\s+break\s*-->|!\[[^\]]*\]\(\s*data:image/|\bdata:image/[a-z0-9.+-]+;base64,|\b(?:www\.|https?://|\.com\b|\.net\b|\.org\b)"
@@ -42,10 +57,13 @@ NEGATIVE_LINE = (
     r"|not\s+specified\s+in\s+the\s+provided\s+context|not\s+found\s+in\s+the\s+provided\s+context|cannot\s+be\s+determined\s+from\s+the\s+provided\s+context)\b"
 )
 HINGLISH = (
-    "kya kyun kyunki kaise kahan kab kaun kitna kitni kitne hai hain hota hoti hote ho hoga hua ka ke ki ko se mein main me aur ya par lekin "
-    "batao batana samjhao karo kar karna de do nahi nhi na chahiye machine manual alarm reset dimension rating specification"
-).split()
-HINGLISH_TRIGGERS = "kya kaise kitna kitni kitne hota hoti hai ka ki ko aur".split()
+    "kya", "kyun", "kyunki", "kaise", "kahan", "kab", "kaun", "kitna", "kitni", "kitne", "hai", "hain", "hota", "hoti", "hote", "ho", "hoga", "hua",
+    "ka", "ke", "ki", "ko", "se", "mein", "main", "me", "aur", "ya", "par", "lekin", "batao", "batana", "samjhao", "karo", "kar", "karna", "de",
+    "do", "nahi", "nhi", "na", "chahiye", "machine", "manual", "alarm", "reset", "dimension", "rating", "specification",
+)
+HINGLISH_TRIGGERS = (
+    "kya", "kaise", "kitna", "kitni", "kitne", "hota", "hoti", "hai", "ka", "ki", "ko", "aur",
+)
 SYNONYMS = (
     ("suction", "suck", "sucking", "vacuum", "vacuo"),
     ("form", "forming", "formed", "unformed", "former"),

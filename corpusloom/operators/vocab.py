@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -19,26 +19,46 @@ def document_frequencies(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(F.explode(F.array_distinct(X.bm25_tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def token_counters(chunks: DataFrame) -> DataFrame:
-    """Five counts a token: title_hits, title_docs, body_hits, long_body_hits, short_header_hits."""
+COUNTS = ("title_hits", "body_hits", "long_body_hits", "short_header_hits")
+
+
+def token_hits(chunks: DataFrame) -> DataFrame:
+    """(token, doc, title_hits, body_hits, long_body_hits, short_header_hits): what a document's chunks add to a token's counts."""
     n = F.char_length(X.pystrip(X.text_of("text")))
     doc = X.pystrip(X.text_of("doc_name"))
     # flags are worked out before tokens are exploded, once a chunk and not once a token
     body = F.filter(F.array_distinct(X.bm25_tokens(F.col("text"))), lambda t: F.char_length(t) >= 3)
-    flagged = chunks.select(doc.alias("doc"), (n < 100).alias("short"), (n >= 120).alias("long"), F.array_distinct(X.title_tokens(F.col("doc_name"), F.col("section_path_str"))).alias("in_title"), body.alias("in_body"))
-    titles = flagged.select("doc", "short", F.explode("in_title").alias("token"))
-    bodies = flagged.select("long", F.explode("in_body").alias("token"))
-    title_counts = titles.groupBy("token").agg(F.count("*").alias("title_hits"), F.countDistinct("doc").alias("title_docs"), F.count_if("short").alias("short_header_hits"))
-    body_counts = bodies.groupBy("token").agg(F.count("*").alias("body_hits"), F.count_if("long").alias("long_body_hits"))
-    joined = title_counts.join(body_counts, "token", "full")
-    return joined.select("token", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("title_hits", "title_docs", "body_hits", "long_body_hits", "short_header_hits")])
+    title = F.array_distinct(X.title_tokens(F.col("doc_name"), F.col("section_path_str")))
+    each = lambda tokens, where: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(where).alias("where")))
+    rows = chunks.select(doc.alias("doc"), (n < 100).alias("short"), (n >= 120).alias("long"), F.explode(F.concat(each(title, "title"), each(body, "body"))).alias("e"))
+    in_title, in_body = F.col("e.where") == "title", F.col("e.where") == "body"
+    counts = [F.count_if(in_title), F.count_if(in_body), F.count_if(in_body & F.col("long")), F.count_if(in_title & F.col("short"))]
+    return rows.groupBy(F.col("e.token").alias("token"), "doc").agg(*[c.alias(name) for c, name in zip(counts, COUNTS, strict=True)])
+
+
+def _counters(hits: DataFrame) -> DataFrame:
+    per = hits.groupBy("token").agg(F.count_if(F.col("title_hits") > 0).alias("title_docs"), *[F.sum(c).alias(c) for c in COUNTS])
+    return per.select("token", *[F.col(c).cast("bigint").alias(c) for c in ("title_hits", "title_docs", "body_hits", "long_body_hits", "short_header_hits")])
+
+
+def token_counters(chunks: DataFrame) -> DataFrame:
+    """Five counts a token: title_hits, title_docs, body_hits, long_body_hits, short_header_hits."""
+    return _counters(token_hits(chunks))
+
+
+def corpus_sizes(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct(F.nullif(X.pystrip(X.text_of("doc_name")), F.lit(""))).alias("n_docs"))
 
 
 def generic_rules(chunks: DataFrame) -> DataFrame:
     """(token, r1, r2, r3): in many documents' titles; in short headers but hardly in bodies; in many titles but few bodies."""
-    sizes = chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct(F.nullif(X.pystrip(X.text_of("doc_name")), F.lit(""))).alias("n_docs"))
-    c = token_counters(chunks).join(F.broadcast(sizes))  # one row
-    usable = ~F.col("token").isin(X.QUESTION_STOPS) & (F.col("n_docs") > 0)
+    return rules_of(token_counters(chunks), corpus_sizes(chunks))
+
+
+def rules_of(counters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rules for given counts and sizes (n_chunks, n_docs; one row)."""
+    c = counters.join(F.broadcast(sizes))  # one row
+    usable = ~F.col("token").isin(*X.QUESTION_STOPS) & (F.col("n_docs") > 0)
     r1 = F.col("title_docs") >= F.greatest(F.lit(2), F.floor(F.col("n_docs") * 0.4))
     short = F.col("short_header_hits")
     r2 = (short >= 2) & (F.col("long_body_hits") < F.greatest(F.lit(2.0), short * 0.25)) & (F.col("title_hits") >= 2)
@@ -47,6 +67,66 @@ def generic_rules(chunks: DataFrame) -> DataFrame:
     return c.select("token", (usable & r1).alias("r1"), (usable & r2).alias("r2"), (usable & r3).alias("r3"))
 
 
+class VocabularyLog:
+    """The counts of a corpus kept up to date by signed deltas, a folder each under ``path``.
+
+    A change is the chunks that came and those that went; only these are read. Its name makes it take
+    effect once: the same change written again replaces itself. ``compact`` sums the deltas into one.
+    Distinct documents of a token's titles need the counts by document, so a delta has a row for each
+    token and document it touches.
+    """
+
+    HITS = "token string, doc string, title_hits bigint, body_hits bigint, long_body_hits bigint, short_header_hits bigint"
+    SIZES = "doc string, n_chunks bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def change(self, name: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        hits, sizes = None, None
+        for chunks, sign in ((added, 1), (removed, -1)):
+            if chunks is None:
+                continue
+            own = token_hits(chunks).select("token", "doc", *[(F.col(c) * sign).alias(c) for c in COUNTS])
+            size = chunks.groupBy(X.pystrip(X.text_of("doc_name")).alias("doc")).agg((F.count("*") * sign).alias("n_chunks"))
+            hits, sizes = (own, size) if hits is None else (hits.unionByName(own), sizes.unionByName(size))
+        if hits is not None:
+            self._write(name, hits, sizes)
+
+    def _write(self, name: str, hits: DataFrame, sizes: DataFrame) -> None:
+        """Sizes go last: a delta counts once they are there."""
+        hits = hits.groupBy("token", "doc").agg(*[F.sum(c).alias(c) for c in COUNTS])
+        hits.where(" or ".join(f"{c} <> 0" for c in COUNTS)).write.mode("overwrite").parquet(f"{self.path}/hits/delta={name}")
+        sizes.groupBy("doc").agg(F.sum("n_chunks").alias("n_chunks")).write.mode("overwrite").parquet(f"{self.path}/sizes/delta={name}")
+
+    def _read(self, what: str, kind: str) -> DataFrame:
+        return self.spark.read.schema(f"{kind}, delta string").parquet(f"{self.path}/{what}")
+
+    def _now(self) -> tuple[DataFrame, DataFrame]:
+        sizes = self._read("sizes", self.SIZES)
+        done = sizes.select("delta").distinct()
+        return self._read("hits", self.HITS).join(done, "delta", "left_semi"), sizes
+
+    def counters(self) -> DataFrame:
+        """As ``token_counters`` of the whole corpus."""
+        hits = self._now()[0].groupBy("token", "doc").agg(*[F.sum(c).alias(c) for c in COUNTS])
+        return _counters(hits).where(" or ".join(f"{c} <> 0" for c in COUNTS))
+
+    def sizes(self) -> DataFrame:
+        per = self._now()[1].groupBy("doc").agg(F.sum("n_chunks").alias("n")).where("n <> 0")
+        return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.count_if(F.col("doc") != "").alias("n_docs"))
+
+    def rules(self) -> DataFrame:
+        return rules_of(self.counters(), self.sizes())
+
+    def compact(self, path: str, name: str = "base") -> VocabularyLog:
+        """The same counts as one delta under another path, from which changes can go on."""
+        hits, sizes = self._now()
+        fresh = VocabularyLog(self.spark, path)
+        fresh._write(name, hits.drop("delta"), sizes.drop("delta"))
+        return fresh
+
+
 def generic_terms(chunks: DataFrame, extras: tuple[str, ...] = (), exclude: tuple[str, ...] = (), enabled: bool = True) -> DataFrame:
     """(token): the baseline, tokens that a rule names, and extras, without the excluded."""
     spark = chunks.sparkSession

@@ -98,9 +98,11 @@ def retrieve(
     if c.restrict_top_document:
         ranked = expand.restrict_to_top_document(expand.scope_to_hint(ranked, q, DOCUMENT_HINTS, c.top_k))
     ranked = stash(expand.above(ranked, c.min_hybrid_rerank_score), "ranked")
-    rows = expand.chunk_neighbours(ranked, base.drop("embedding"), c.top_doc_chunk_neighbors_before, c.top_doc_chunk_neighbors_after)
+    # the documents of the ranked chunks, read once for both kinds of neighbours
+    near = stash(base.drop("embedding").join(ranked.select(*expand.DOC).distinct(), list(expand.DOC), "left_semi"), "near")
+    rows = expand.chunk_neighbours(ranked, near, c.top_doc_chunk_neighbors_before, c.top_doc_chunk_neighbors_after)
     if c.top_doc_section_expand:
-        rows = expand.section_mates(rows, base.drop("embedding"))
+        rows = expand.section_mates(rows, near)
     pack = expand.pack_top_document if c.restrict_top_document else expand.pack_mixed
     packed = expand.never_empty(pack(rows, c.max_context_chars, c.max_chunks_for_prompt), rows, c.max_context_chars)
     facts = rows.select("query_id", "vector_id", "tenant", "doc_name", "doc_path", "chunk_index", "section_path_str", "page_number", "timestamp", "ingest_mode", "score").dropDuplicates(["query_id", "vector_id"])

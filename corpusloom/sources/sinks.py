@@ -8,7 +8,7 @@ import shutil
 import zipfile
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -60,10 +60,14 @@ def append_messages(messages: DataFrame, path: str) -> None:
 
 
 def write_status(status: DataFrame, path: str, updated_at: str) -> None:
-    """One JSON document: when it was updated, and a map from document to its state."""
-    entry = F.struct("doc_name", F.struct("status", "chunks", "mode", "error").alias("v"))
-    whole = status.agg(F.map_from_entries(F.collect_list(F.struct(entry["doc_name"], entry["v"]))).alias("documents")).select(F.lit(updated_at).alias("updated_at"), "documents")
-    whole.coalesce(1).write.mode("overwrite").json(path)
+    """A JSON line for each document with its state and when it was told; as many files as tasks, so no task sees all."""
+    status.select(F.lit(updated_at).alias("updated_at"), "doc_name", "status", "chunks", "mode", "error").write.mode("overwrite").json(path)
+
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_status`` wrote; a line that isn't JSON gives no row."""
+    kind = "updated_at string, doc_name string, status string, chunks bigint, mode string, error string"
+    return spark.read.schema(kind).option("mode", "DROPMALFORMED").json(path)
 
 
 def zip_folder(folder: str, target: str) -> int:
