@@ -152,20 +152,22 @@ def never_empty(packed: DataFrame, rows: DataFrame, budget: int) -> DataFrame:
     return packed.unionByName(saved.select("query_id", F.lit(1).alias("position"), "r.vector_id", F.left("r.text", F.lit(budget if budget > 0 else 8001)).alias("text")))
 
 
-def shrink_to_fit(packed: DataFrame, limit: int, factors: tuple[float, ...] = (1.0, 0.92, 0.85, 0.75, 0.65, 0.55), floor: int = 200, length=F.char_length, order: str = "position") -> DataFrame:
+def shrink_to_fit(packed: DataFrame, limit: int | Column, factors: tuple[float, ...] = (1.0, 0.92, 0.85, 0.75, 0.65, 0.55), floor: int = 200, length=F.char_length, order: str = "position", around: Column | None = None) -> DataFrame:
     """As many first texts of a query as fit, and ``factor``, the first one by which all of them are cut (to ``floor`` at least) for that.
 
     A text that doesn't fit alone is cut to its longest prefix that does, of ``floor`` characters at
     least; its factor is null. ``length`` measures a text as the limit does, in tokens for instance; a
-    longer prefix must not be shorter by it. Texts of blanks are left as they are.
+    longer prefix must not be shorter by it. Texts of blanks are left as they are. ``around`` is what each
+    text takes besides itself, and ``limit`` may be a column, the same for all rows of a query.
     """
+    around = F.lit(0) if around is None else around
     blank = X.pystrip(X.text_of("text")) == ""
     cut = lambda f: F.when(blank, F.col("text")).otherwise(F.left("text", F.greatest(F.lit(floor), F.floor(F.char_length("text") * f)).cast("int"))) if f < 1 else F.col("text")
     upto = W.partitionBy("query_id").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     rows = packed.withColumn("_p", F.row_number().over(W.partitionBy("query_id").orderBy(order)))
     fits = F.lit(None).cast("double")
     for f in reversed(factors):
-        total = F.sum(length(cut(f))).over(upto)
+        total = F.sum(length(cut(f)) + around).over(upto)
         fits = F.when((total <= limit) & ((F.col("_p") > 1) | F.lit(f >= 1)), F.lit(float(f))).otherwise(fits)
     rows = rows.withColumn("_fits", fits)
     own = W.partitionBy("query_id")
@@ -176,7 +178,7 @@ def shrink_to_fit(packed: DataFrame, limit: int, factors: tuple[float, ...] = (1
 
     def halve(s, _):  # the longest prefix that fits lies from low to high
         mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
-        fine = length(F.left("text", mid)) <= limit
+        fine = length(F.left("text", mid)) + around <= limit
         open_ = s["low"] < s["high"]
         return F.struct(F.when(open_ & fine, mid).otherwise(s["low"]).alias("low"), F.when(open_ & ~fine, mid - 1).otherwise(s["high"]).alias("high"))
 
@@ -187,11 +189,16 @@ def shrink_to_fit(packed: DataFrame, limit: int, factors: tuple[float, ...] = (1
     return rows.withColumn("text", text).drop("_p", "_fits", "_last")
 
 
-def serialize(context: DataFrame) -> DataFrame:
-    """(query_id, context): numbered passages with document, page or time, and section."""
+def passage_head() -> Column:
+    """What stands above a passage: its number, document, page or time, and section."""
     where = F.when(F.col("timestamp").isNotNull(), F.concat(F.lit(" | timestamp "), F.col("timestamp"))).otherwise(F.coalesce(F.concat(F.lit(" | page "), F.col("page_number").cast("string")), F.lit("")))
     section = F.when(X.text_of("section_path_str") != "", F.concat(F.lit(" | section: "), F.col("section_path_str"))).otherwise("")
-    passage = F.concat(F.lit("Passage ["), F.col("position").cast("string"), F.lit("] — Document: "), X.text_of("doc_name"), where, section, F.lit("\n"), F.col("text"))
+    return F.concat(F.lit("Passage ["), F.col("position").cast("string"), F.lit("] — Document: "), X.text_of("doc_name"), where, section, F.lit("\n"))
+
+
+def serialize(context: DataFrame) -> DataFrame:
+    """(query_id, context): numbered passages, each under its head."""
+    passage = F.concat(passage_head(), F.col("text"))
     listed = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", passage.alias("p")))).alias("_p"))
     return listed.select("query_id", F.array_join(F.transform("_p", lambda x: x["p"]), "\n\n").alias("context"))
 
