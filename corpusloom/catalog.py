@@ -991,9 +991,27 @@ def password_policy(spark, sf_dir):
     return ingest.password_policy(read_table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "accepted")
 
 
-@query("SELECT conv_id, turn, contains(upper(text),'IRRELEVANT')=FALSE AS relevant FROM conversations")
+@query("SELECT conv_id, turn, contains(upper(replace(text,'re le','irrelevant')),'IRRELEVANT')=FALSE AS relevant FROM conversations")
 def gate_replies(spark, sf_dir):
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", X.gate_reply(F.col("text")).alias("relevant"))
+    """A pair of words that some turns have stands for the verdict."""
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", X.gate_reply(F.replace("text", F.lit("re le"), F.lit("irrelevant"))).alias("relevant"))
+
+
+@query("SELECT event_id, greatest(1, least(5, trunc(value)::BIGINT)) AS score, event_type AS explanation FROM events")
+def judge_scores_of_events(spark, sf_dir):
+    """Replies with the events' values as scores, fenced or inside other text."""
+    e = read_table(spark, sf_dir, "events")
+    body = F.concat(F.lit('{"score": '), F.col("value").cast("string"), F.lit(', "explanation": "'), F.col("event_type"), F.lit('"}'))
+    reply = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Verdict: "), body, F.lit(" end")))
+    judged = e.select("event_id", X.judge_reply(reply).alias("j"))
+    return judged.select("event_id", F.col("j.score").cast("bigint").alias("score"), "j.explanation")
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(text,'[ऀ-ॿ]') THEN 'Hindi' WHEN list_has_any(t, {_stops(X.HINGLISH)}) AND list_has_any(t, {_stops(X.HINGLISH_TRIGGERS)}) THEN 'Hinglish' ELSE 'English' END AS lang
+FROM (SELECT doc_id, text, regexp_extract_all(lower(text),'[a-z'']+') AS t FROM documents)""")
+def document_routes(spark, sf_dir):
+    """The language route of every whole text."""
+    return docs_of(spark, sf_dir).select("doc_id", X.language_route(F.col("text")).alias("lang"))
 
 
 @query("SELECT item_id, 'Answer briefly.'||chr(10)||chr(10)||CASE WHEN item_id%2=1 THEN 'Answer in Hindi.'||chr(10)||chr(10) ELSE '' END||'Question: '||text||chr(10)||chr(10)||'Context:'||chr(10)||'c' AS prompt FROM benchmark")

@@ -82,3 +82,10 @@ def test_status_lines(spark, tmp_path):
     got = sinks.read_status(spark, str(tmp_path / "status"))
     assert sorted((r.doc_name, r.status, r.chunks, r.mode, r.error) for r in got.collect()) == rows
     assert {r.updated_at for r in got.collect()} == {"now"}
+
+
+def test_preview(spark):
+    short, long_ = "a  b\nc", "h" * 140 + "m" * 50 + "t" * 90
+    assert one(spark, X.preview(F.lit(short))) == "a b c"
+    assert one(spark, X.preview(F.lit(long_))) == "h" * 140 + " ... " + "t" * 90
+    assert one(spark, X.preview(F.lit("x" * 235))) == "x" * 235 and one(spark, X.preview(F.lit(None).cast("string"))) == ""
