@@ -943,6 +943,16 @@ def fallback_answers(spark, sf_dir):
     return expand.fallback_answer(rows)
 
 
+@query("""SELECT doc_id AS query_id, contains(lower(regexp_replace(text,'[\\s\\p{Z}]+',' ','g')),'re le') OR contains(lower(text),'tion') AS replaced,
+CASE WHEN contains(lower(regexp_replace(text,'[\\s\\p{Z}]+',' ','g')),'re le') OR contains(lower(text),'tion') THEN 'From doc_'||doc_id||': the text' ELSE 'x' END AS answer FROM documents""")
+def answers_shown(spark, sf_dir):
+    """Whole texts as raw answers with two pieces of words as stock phrases; what isn't replaced is marked only, since its format has queries of its own."""
+    d = docs_of(spark, sf_dir)
+    context = d.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("position"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_name"), F.lit(None).cast("bigint").alias("page_number"), F.lit("").alias("section_path_str"), F.lit("the text").alias("text"))
+    shown = expand.shown_answers(d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer")), context, ("re le", "tion"))
+    return shown.select("query_id", "replaced", F.when(F.col("replaced"), F.col("answer")).otherwise("x").alias("answer"))
+
+
 # ---------------------------------------------------------------- more text
 
 

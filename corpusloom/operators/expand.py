@@ -226,6 +226,19 @@ def fallback_answer(context: DataFrame) -> DataFrame:
     return first.select("query_id", F.concat(F.lit("From "), X.text_of("doc_name"), F.when(where != "", F.concat(F.lit(" ("), where, F.lit(")"))).otherwise(""), F.lit(": "), F.left(X.pystrip(F.col("text")), F.lit(420)), tail).alias("answer"))
 
 
+def shown_answers(raw: DataFrame, context: DataFrame, stock: tuple[str, ...], denial: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, answer, replaced): what is shown for each raw answer.
+
+    It is formatted; where it then holds one of the assistant's own ``stock`` phrases (lower case), the answer
+    from the first passage stands in its place, if there is one. Lines equal to one of ``denial`` go where
+    the answer has others.
+    """
+    shown = raw.select("query_id", X.answer_for_display(F.col("answer"), denial).alias("_shown"))
+    instead = fallback_answer(context).withColumnRenamed("answer", "_instead")
+    joined = shown.join(instead, "query_id", "left").withColumn("replaced", X.out_of_domain(F.col("_shown"), stock) & F.col("_instead").isNotNull())
+    return joined.select("query_id", F.when(F.col("replaced"), F.col("_instead")).otherwise(F.col("_shown")).alias("answer"), "replaced")
+
+
 def domain_override(context: DataFrame) -> DataFrame:
     """(query_id, override): some chunk is a video's, and chunks of 80 characters or more hold 120 in all."""
     video = (X.text_of("ingest_mode") == "video_transcript") | F.rlike(F.lower(X.text_of("doc_name")), F.lit(r"\.(mp4|mov|mkv|avi|webm)$"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions import text as X
-from corpusloom.operators import chunking, images
+from corpusloom.operators import chunking, expand, images
 from corpusloom.sources import documents, sinks
 
 
@@ -89,3 +89,11 @@ def test_preview(spark):
     assert one(spark, X.preview(F.lit(short))) == "a b c"
     assert one(spark, X.preview(F.lit(long_))) == "h" * 140 + " ... " + "t" * 90
     assert one(spark, X.preview(F.lit("x" * 235))) == "x" * 235 and one(spark, X.preview(F.lit(None).cast("string"))) == ""
+
+
+def test_shown_answers(spark):
+    raw = spark.createDataFrame([(1, "- a\n- b"), (2, "I'm  the Help Desk."), (3, "I am the help desk"), (4, None)], "query_id bigint, answer string")
+    context = spark.createDataFrame([(2, 1, "m.pdf", 4, "Seals", " Check it. "), (2, 2, "n.pdf", 1, "", "other")], "query_id bigint, position int, doc_name string, page_number bigint, section_path_str string, text string")
+    stock = ("i'm the help desk", "i am the help desk")
+    got = {r.query_id: (r.answer, r.replaced) for r in expand.shown_answers(raw, context, stock).collect()}
+    assert got == {1: ("• a  \n• b", False), 2: ("From m.pdf (page 4, section Seals): Check it.", True), 3: ("I am the help desk", False), 4: ("", False)}
