@@ -55,7 +55,8 @@ class PostingsIndex:
         lists = counted.groupBy("term", "segment").agg(entry.alias("_e"), most.alias("most"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_dl"), F.count("*").alias("df"))
         split = [F.col(f"_e.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")]
         lists = lists.select(cls._bucket(F.col("term"), buckets).alias("bucket"), "term", "segment", "df", "most", "most_tf", "least_dl", *split)
-        lists.repartition("bucket", "term").sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # by ranges, so that a term that stands everywhere is written by as many tasks as its segments need
+        lists.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(path)
         told = spark.createDataFrame([(facts.n, float(facts.avgdl), buckets, k1, b)], "n bigint, avgdl double, buckets int, k1 double, b double")
         told.coalesce(1).write.mode("overwrite").parquet(path.rstrip("/") + "_facts")
         return cls(spark, path, facts.n, float(facts.avgdl), buckets, k1, b)
