@@ -16,7 +16,6 @@ from .operators import chat, chunking, dashboard, expand, exports, images, inges
 from .operators.postings import PostingsIndex
 from .operators.vector_index import VectorIndex
 from .plans.config import RetrievalConfig
-from .plans.questions import question_rows
 from .plans.retrieval import retrieve
 from .session import read_table
 from .sources.shared import drop_later, shared_dir
@@ -210,10 +209,10 @@ def mmr_select(spark, sf_dir):
 
 @query()
 def retrieve_context(spark, sf_dir):
-    """The whole plan for five questions."""
-    vec = {r.vec_id: r.embedding for r in read_table(spark, sf_dir, "embeddings").where("vec_id < 5").collect()}
-    asked = ("what is the onen of the machine", "the nd shthe onening erth", "explain the safety of thor", "technical specification thenst eren", "troubleshoot onen and ingesh")
-    found = retrieve(fx.vectors(spark, sf_dir), [(i, asked[i], vec[i]) for i in range(5)], RetrievalConfig(min_hybrid_rerank_score=0.0))
+    """The whole plan for a table of questions: every fiftieth chunk's vector, with its section as what is asked for."""
+    chunks = fx.vectors(spark, sf_dir)
+    asked = chunks.where("vector_id % 50 = 0").select(F.col("vector_id").alias("query_id"), F.concat(F.lit("what is the "), F.col("section_path_str"), F.lit(" of the machine")).alias("question"), F.col("embedding").cast("array<double>").alias("query_vec"))
+    found = retrieve(chunks, asked, RetrievalConfig(min_hybrid_rerank_score=0.0))
     return found.context.select("query_id", "position", "vector_id", "doc_name", F.char_length("text").alias("n_chars"), r6("score", 5).alias("score"))
 
 

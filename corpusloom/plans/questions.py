@@ -150,8 +150,8 @@ def question_rows(spark: SparkSession, questions: Iterable[tuple], generic: Iter
 def focus_column(question: Column) -> Column:
     """``focus_of`` as a column; null without a focus."""
     flat = X.pystrip(F.regexp_replace(F.translate(question, X.WHITE, " " * len(X.WHITE)), " +", " "))
-    found = [F.regexp_replace(X.pystrip(F.regexp_extract(flat, f"(?i){pattern}", 1)), r"[?.!,;:]+$", "") for pattern in FOCUS]
-    return F.coalesce(*[F.when(F.char_length(f) >= 3, f) for f in found])
+    named = lambda f: F.array(*[F.regexp_replace(X.pystrip(F.regexp_extract(f, f"(?i){pattern}", 1)), r"[?.!,;:]+$", "") for pattern in FOCUS])
+    return F.get(F.filter(X.bind(flat, named), lambda f: F.char_length(f) >= 3), F.lit(0))
 
 
 def _informative(t: Column) -> Column:
@@ -183,8 +183,7 @@ def retrieval_column(question: Column, generic, clean: bool = True) -> Column:
         free = F.when(F.size(terms) >= 2, F.array_join(terms, " ")).otherwise(F.coalesce(F.nullif(kept, F.lit("")), raw))
         return F.when(raw == "", raw).when(focus.isNotNull(), focused).otherwise(free)
 
-    raw = X.pystrip(question)
-    return X.bind(F.struct(raw.alias("raw"), focus_column(raw).alias("focus")), words_of)
+    return X.bind(X.pystrip(question), lambda raw: X.bind(F.struct(raw.alias("raw"), focus_column(raw).alias("focus")), words_of))
 
 
 def variant_columns(question: Column, generic, clean: bool = True) -> Column:
@@ -199,8 +198,7 @@ def variant_columns(question: Column, generic, clean: bool = True) -> Column:
         first = F.filter(every, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1)
         return F.when(raw == "", F.array(F.lit("equipment manual"))).otherwise(first)
 
-    raw = X.pystrip(question)
-    return X.bind(F.struct(raw.alias("raw"), retrieval_column(raw, generic, clean).alias("base")), listed)
+    return X.bind(X.pystrip(question), lambda raw: X.bind(F.struct(raw.alias("raw"), retrieval_column(raw, generic, clean).alias("base")), listed))
 
 
 def bm25_column(question: Column, generic, clean: bool = True) -> Column:
