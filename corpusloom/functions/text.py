@@ -606,8 +606,8 @@ def inline_bullets(line: Column) -> Column:
 
 
 def file_id(path: Column) -> Column:
-    """URL-safe base64 of a path, without padding."""
-    return F.regexp_replace(F.translate(F.base64(path.cast("binary")), "+/", "-_"), "=+$", "")
+    """URL-safe base64 of a path, without padding and without the line breaks that Spark puts after 76 characters."""
+    return F.regexp_replace(F.translate(F.base64(path.cast("binary")), "+/\r\n", "-_"), "=+$", "")
 
 
 def path_of(file_id_: Column) -> Column:
