@@ -4,7 +4,8 @@ A task multiplies blocks of rows by the matrix of all questions and keeps, for e
 best rows so far. A product within the rounding of what would still count is worked out again term by
 term, in the order in which an expression over arrays would add it, so equal vectors have equal scores
 wherever they stand and ties go to the smaller id. Only keys and vectors reach Python. What leaves a
-task is at most questions x k rows, however many it has read.
+task is at most questions x k rows, however many it has read. Of the products of a block only those that
+can be among its own ``k`` best a question, or among the best so far, are paired with rows, PAIRS at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Products held at once.
-PRODUCTS = 1 << 22
+PRODUCTS = 1 << 21
+
+#: Pairs of question and row that are worked out again at once.
+PAIRS = 1 << 18
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,12 +36,28 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, added up from the first component to the last."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += a[:, j] * b[:, j]
+    every = np.arange(len(a))
+    return in_order_at(a, b, every, every)
+
+
+def in_order_at(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same of the rows ``i`` of ``a`` and ``j`` of ``b``, a component at a time, so that no row is repeated."""
+    total = np.zeros(len(i))
+    for c in range(a.shape[1]):
+        total += a[i, c] * b[j, c]
     return total
 
 
+def hopeful(products: np.ndarray, least: np.ndarray, margin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(question, row) of the products that may reach ``least``; of many only those that may be among the block's own ``k`` best. ``margin``: rounding of a product."""
+    reach = least[:, None] - margin
+    fine = products >= reach
+    if products.shape[1] > k and np.count_nonzero(fine) > 2 * k * len(products):
+        kth = np.partition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k]
+        fine &= products >= (kth - margin.max(axis=1))[:, None] - margin
+    return np.nonzero(fine)
+
+
 class Heaps:
     """The best rows of each question so far, as one table (q, score, keys)."""
 
@@ -88,12 +108,14 @@ def scan(batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int, keys:
                     continue
                 v = vectors[at]
                 margin = 1e-12 * np.outer(norms[who], np.sqrt((v * v).sum(1))) + 1e-300
-                q, row = np.nonzero(questions[who] @ v.T >= heaps.least[who][:, None] - margin)
-                score = in_order(questions[who[q]], v[row])
-                good = score >= heaps.least[who[q]]
-                q, row, score = who[q[good]], at[row[good]], score[good]
-                if len(q):
-                    heaps.add(_with_keys(q, score, own.take(pa.array(row))))
+                all_q, all_rows = hopeful(questions[who] @ v.T, heaps.least[who], margin, k)
+                for first in range(0, len(all_q), PAIRS):
+                    q, row = who[all_q[first : first + PAIRS]], all_rows[first : first + PAIRS]
+                    score = in_order_at(questions, v, q, row)
+                    good = score >= heaps.least[q]
+                    if good.any():
+                        heaps.add(_with_keys(q[good], score[good], own.take(pa.array(at[row[good]]))))
+                if len(all_q):
                     if np.isinf(heaps.least[who]).any():
                         heaps.cut()
     found = heaps.cut()

@@ -138,3 +138,24 @@ def test_ann_query_recall_on_the_tables(spark):
     want = brute(rows, asked, 10)
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q, _ in asked)
     assert hits >= 0.9 * sum(len(x) for x in want.values())
+
+
+def test_a_block_without_best_rows_yet_is_bounded_in_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v, asked = rng.standard_normal((2000, 32)), rng.standard_normal((2000, 32))
+    v[500:900] = v[500]  # equal scores
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)[::-1].copy()), pa.array(list(v), pa.list_(pa.float64()))], names=["vector_id", "_v"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(topk.scan(iter([batch]), asked, 9, ["vector_id"], "vector_id"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000
+    for q in (0, 7, 1999):
+        score = topk.in_order(np.repeat(asked[q : q + 1], 2000, 0), v)
+        best = np.lexsort((np.arange(2000)[::-1], -score))[:9]
+        own = got.filter(pa.array(got["q"].to_numpy() == q))
+        assert own["vector_id"].to_pylist() == [1999 - int(i) for i in best] and own["score"].to_pylist() == score[best].tolist()
