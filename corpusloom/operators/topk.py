@@ -89,8 +89,8 @@ class Heaps:
         return rows
 
 
-def scan(batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int, keys: list[str], id_col: str, asked: dict[int, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-    """(q, score, keys) of a task's best rows. ``asked`` gives for each ``cell`` the questions that look into it."""
+def scan(batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int, keys: list[str], id_col: str, asked: dict[int, np.ndarray] | np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(q, score, keys) of a task's best rows. ``asked`` gives for each ``cell`` the questions that look into it, or has a row of bits for each cell."""
     heaps = Heaps(len(questions), k, id_col)
     norms = np.sqrt((questions * questions).sum(1))
     everyone = np.arange(len(questions))
@@ -103,7 +103,12 @@ def scan(batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int, keys:
             own = pa.Table.from_batches([block.select(keys)])
             for cell in np.unique(cells).tolist():
                 at = np.flatnonzero(cells == cell)
-                who = everyone if asked is None else asked.get(cell, everyone[:0])
+                if asked is None:
+                    who = everyone
+                elif isinstance(asked, dict):
+                    who = asked.get(cell, everyone[:0])
+                else:
+                    who = np.flatnonzero(np.unpackbits(asked[cell], count=len(questions)))
                 if not len(who):
                     continue
                 v = vectors[at]
@@ -127,7 +132,7 @@ def _with_keys(q: np.ndarray, score: np.ndarray, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(q), pa.array(score), *rows.columns], names=["q", "score", *rows.column_names])
 
 
-def best(rows: DataFrame, questions: np.ndarray, k: int, keys: list[str], id_col: str, vector_col: str = "embedding", asked: dict[int, np.ndarray] | None = None) -> DataFrame:
+def best(rows: DataFrame, questions: np.ndarray, k: int, keys: list[str], id_col: str, vector_col: str = "embedding", asked: dict[int, np.ndarray] | np.ndarray | None = None) -> DataFrame:
     """(q, score, keys, rank from 0) of the ``k`` best rows of each question, ties to the smaller id.
 
     Rows whose vector is null, or of another length than the questions', have no score.

@@ -116,7 +116,7 @@ class VectorIndex:
     def _scan(self, vectors: np.ndarray, k: int, looks: np.ndarray) -> DataFrame:
         """``looks``: which question looks into which cell."""
         cells = np.flatnonzero(looks.any(0))
-        asked = {int(c): np.flatnonzero(looks[:, c]) for c in cells}
+        asked = np.packbits(looks.T, axis=1)  # a bit for each cell and question
         return topk.best(self.rows(cells), vectors, k, [*self.keys, "cell"], self.id_col, self.vector_col, asked)
 
     def _first(self, vectors: np.ndarray, probe: int) -> np.ndarray:

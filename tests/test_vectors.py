@@ -159,3 +159,16 @@ def test_a_block_without_best_rows_yet_is_bounded_in_memory():
         best = np.lexsort((np.arange(2000)[::-1], -score))[:9]
         own = got.filter(pa.array(got["q"].to_numpy() == q))
         assert own["vector_id"].to_pylist() == [1999 - int(i) for i in best] and own["score"].to_pylist() == score[best].tolist()
+
+
+def test_cells_asked_as_bits_equal_cells_asked_by_lists():
+    import pyarrow as pa
+
+    rows = made(600)
+    cell = np.arange(600, dtype=np.int32) % 5
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array(cell), pa.array([r[3] for r in rows], pa.list_(pa.float32()))], names=["vector_id", "cell", "_v"])
+    asked = np.array([r[3] for r in rows[:43]], np.float64)
+    looks = np.random.default_rng(2).random((43, 5)) < 0.4
+    told = [{c: np.flatnonzero(looks[:, c]) for c in range(5)}, np.packbits(looks.T, axis=1)]
+    a, b = (pa.Table.from_batches(topk.scan(iter([batch]), asked, 7, ["vector_id"], "vector_id", t)) for t in told)
+    assert a.equals(b) and a.num_rows > 200
