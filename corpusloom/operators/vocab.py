@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +27,50 @@ def document_frequencies(texts: DataFrame, text_col: str = "text") -> DataFrame:
 COUNTS = ("title_hits", "body_hits", "long_body_hits", "short_header_hits")
 
 
+#: Tokens that a task counts before it gives them back.
+MOST_TOKENS = 400_000
+
+
+def _body_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, body_hits, long_body_hits) of batches of (lower-cased text, long), added up for MOST_TOKENS tokens at a time; each text counts a token once."""
+    find = re.compile("[a-z0-9]{3,}").findall
+    every, longs = Counter(), Counter()
+
+    def added() -> pa.RecordBatch:
+        names = list(every)
+        counts = [pa.array([c[t] for t in names], pa.int64()) for c in (every, longs)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["token", "body_hits", "long_body_hits"])
+
+    for batch in batches:
+        for text, long in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            tokens = set(find(text.as_py()))
+            every.update(tokens)
+            if long:
+                longs.update(tokens)
+            if len(every) >= MOST_TOKENS:
+                yield added()
+                every.clear()
+                longs.clear()
+    yield added()
+
+
 def token_hits(chunks: DataFrame) -> DataFrame:
-    """(token, doc, title_hits, body_hits, long_body_hits, short_header_hits): what a document's chunks add to a token's counts."""
+    """(token, doc, title_hits, body_hits, long_body_hits, short_header_hits): what chunks add to a token's counts.
+
+    Only titles are counted by document, since only their documents are counted later. Hits in bodies, which are
+    nearly all, have a null ``doc``: a task adds them up by token, so what is shuffled of them is its distinct words.
+    """
     n = F.char_length(X.pystrip(X.text_of("text")))
     doc = X.pystrip(X.text_of("doc_name"))
-    # flags are worked out before tokens are exploded, once a chunk and not once a token
-    body = F.filter(F.array_distinct(X.bm25_tokens(F.col("text"))), lambda t: F.char_length(t) >= 3)
     title = F.array_distinct(X.title_tokens(F.col("doc_name"), F.col("section_path_str")))
-    each = lambda tokens, where: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(where).alias("where")))
-    rows = chunks.select(doc.alias("doc"), (n < 100).alias("short"), (n >= 120).alias("long"), F.explode(F.concat(each(title, "title"), each(body, "body"))).alias("e"))
-    in_title, in_body = F.col("e.where") == "title", F.col("e.where") == "body"
-    counts = [F.count_if(in_title), F.count_if(in_body), F.count_if(in_body & F.col("long")), F.count_if(in_title & F.col("short"))]
-    return rows.groupBy(F.col("e.token").alias("token"), "doc").agg(*[c.alias(name) for c, name in zip(counts, COUNTS, strict=True)])
+    none = F.lit(0).cast("bigint")
+    texts = chunks.select(F.lower(X.text_of("text")).alias("text"), (n >= 120).alias("long"))
+    bodies = texts.mapInArrow(_body_counts, "token string, body_hits bigint, long_body_hits bigint").groupBy("token")
+    bodies = bodies.agg(F.sum("body_hits").alias("body_hits"), F.sum("long_body_hits").alias("long_body_hits"))
+    titles = chunks.select(doc.alias("doc"), (n < 100).alias("short"), F.explode(title).alias("token")).groupBy("token", "doc")
+    titles = titles.agg(F.count("*").alias("title_hits"), F.count_if("short").alias("short_header_hits"))
+    in_titles = titles.select("token", "doc", "title_hits", none.alias("body_hits"), none.alias("long_body_hits"), "short_header_hits")
+    return in_titles.unionByName(bodies.select("token", F.lit(None).cast("string").alias("doc"), none.alias("title_hits"), "body_hits", "long_body_hits", none.alias("short_header_hits")))
 
 
 def _counters(hits: DataFrame) -> DataFrame:
@@ -73,7 +110,7 @@ class VocabularyLog:
     A change is the chunks that came and those that went; only these are read. Its name makes it take
     effect once: the same change written again replaces itself. ``compact`` sums the deltas into one.
     Distinct documents of a token's titles need the counts by document, so a delta has a row for each
-    token and document it touches.
+    token and document whose titles it touches, and one for each token of bodies.
     """
 
     HITS = "token string, doc string, title_hits bigint, body_hits bigint, long_body_hits bigint, short_header_hits bigint"

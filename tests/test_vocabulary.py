@@ -54,3 +54,27 @@ def test_each_rule_fires(spark):
     rows += [(f"Other {i}.pdf", "short", "Settings") for i in range(3)]  # in short headers only
     got = {r.token: (r.r1, r.r2, r.r3) for r in vocab.generic_rules(spark.createDataFrame(rows, CHUNKS)).collect()}
     assert got["vacuum"] == (True, False, True) and got["settings"] == (False, True, True) and got["flow"] == (False, False, False)
+
+
+def test_hits_in_bodies_are_a_row_a_token_whatever_the_number_of_documents(spark):
+    rows = [(f"Pump {i}.pdf", f"Flow flow rate ab {i % 3}77 Überdruck", "") for i in range(30)] + [(None, None, None), ("x", "", "")]
+    chunks = spark.createDataFrame(rows, CHUNKS).coalesce(1)
+    hits = vocab.token_hits(chunks)
+    body = {r.token: r.body_hits for r in hits.where("body_hits > 0").collect()}
+    assert hits.where("body_hits > 0").count() == len(body)
+    assert body == {"flow": 30, "rate": 30, "077": 10, "177": 10, "277": 10, "berdruck": 30}
+    assert {(r.token, r.title_docs) for r in vocab.token_counters(chunks).where("title_docs > 0").collect()} == {("pump", 30)}
+
+
+def test_counts_given_back_in_parts_add_up():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"w{i % 7}00 w{i % 5}00" for i in range(100)]), pa.array([i % 2 == 0 for i in range(100)])], names=["text", "long"])
+    whole = pa.Table.from_batches(vocab._body_counts(iter([batch])))
+    most, vocab.MOST_TOKENS = vocab.MOST_TOKENS, 2
+    try:
+        parts = pa.Table.from_batches(vocab._body_counts(iter([batch])))
+    finally:
+        vocab.MOST_TOKENS = most
+    added = lambda t: sorted(map(tuple, (r.values() for r in t.group_by("token", use_threads=False).aggregate([("body_hits", "sum"), ("long_body_hits", "sum")]).to_pylist())))
+    assert added(parts) == added(whole) and parts.num_rows > whole.num_rows
