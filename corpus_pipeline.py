@@ -33,6 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id (null ids come last).
 
+    Links are those of ``op3_simhash_near_dedup``, fingerprints within 2 bits, and of pairs whose shingle sets are similar.
+
     Rows are known by id and text, so neither a null id nor an id with several texts loses a document
     that no other is like. Of rows equal in both one stays; the tasks drop the others before the shuffle.
     Documents travel as one column, so their columns may have any names, and are dealt out once.

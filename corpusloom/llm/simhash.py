@@ -235,7 +235,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, and of the set of shingle hashes a hash ``fp`` (0 without words), its size and its bands."""
+    """doc_id, text_hash, of the set of shingle hashes a hash ``fp`` (0 without words), its size and its bands, and the text's fingerprint ``simhash``."""
 
     def batches(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
@@ -244,12 +244,13 @@ def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_c
                 for t in texts.iloc[at : at + SLICE]:
                     own = np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle))
                     fp = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
-                    out.append((fp - (fp >> 63 << 64), len(own), bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64)))
-                yield pd.DataFrame(out, columns=["fp", "size", "bands"])
+                    bits = fingerprint(t if isinstance(t, str) else None)
+                    out.append((fp - (fp >> 63 << 64), len(own), bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64), bits - (bits >> 63 << 64)))
+                yield pd.DataFrame(out, columns=["fp", "size", "bands", "simhash"])
 
-    found = F.pandas_udf(batches, "fp long, size int, bands array<long>")(F.col(text_col))
+    found = F.pandas_udf(batches, "fp long, size int, bands array<long>, simhash long")(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), found.alias("_s"))
-    return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands")
+    return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands", "_s.simhash")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -381,17 +382,33 @@ def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingl
     return first.unionByName(verified(_proposals(left.select("members"), similarity, _across)))
 
 
+def fingerprint_links(prints: DataFrame, within: int = 2) -> DataFrame:
+    """(a, b): links between sets with the components of all whose fingerprints differ in ``within`` bits or fewer, by the anchors."""
+    own = stash(prints.select("simhash", "fp").distinct(), "simhashes")
+    first = stash(own.groupBy("simhash").agg(F.min("fp").alias("first")), "simhashes")
+    same = own.join(first, "simhash").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    # each fingerprint becomes 32 rows, so the few bytes it has must not be taken for few rows to come
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = links(first.select(F.col("simhash").alias("fp")).repartition(parts), within)
+    end = lambda c: first.select(F.col("simhash").alias(c), F.col("first").alias(f"of_{c}"))
+    near = near.join(end("a"), "a").join(end("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return same.unionByName(near).where("a <> b")
+
+
 def _linked(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The prints of all rows, and (node, root) of the sets that have a link."""
     if not 0.8 <= similarity <= 1:
         raise ValueError("the bands reach pairs at a similarity of 0.8 or more")
     prints = stash(shingle_prints(docs, shingle, id_col, text_col), "prints")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return prints, components(similar_links(prints, texts, similarity, shingle))
+    return prints, components(fingerprint_links(prints).unionByName(similar_links(prints, texts, similarity, shingle)))
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text_hash of one row of each group of near duplicates: the smallest id, null ids last, and of its texts that of the smallest hash."""
+    """doc_id and text_hash of one row of each group of near duplicates: the smallest id, null ids last, and of its texts that of the smallest hash.
+
+    Near duplicates are linked as by ``near_fingerprints``, and beyond it where their shingle sets are as similar as told.
+    """
     prints, roots = _linked(docs, similarity, shingle, id_col, text_col)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     least = stash(prints.groupBy("fp").agg(F.min(row).alias("row")), "least")  # a group of copies is one row from here on
@@ -400,6 +417,6 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits, of the set of shingles) and component_id, the smallest id reachable over pairs at the similarity or above."""
+    """doc_id, fingerprint (16 hex digits, of the set of shingles) and component_id, the smallest id reachable over pairs within 2 bits of their fingerprints, or at the similarity or above."""
     prints, roots = _linked(docs, similarity, shingle, id_col, text_col)
     return _named(prints.select("doc_id", "fp"), roots)

@@ -58,3 +58,15 @@ def test_no_document_is_lost_for_its_id(spark, sf):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
     key = lambda r: (r[0] or -1, r[1])
     assert sorted(got, key=key) == sorted([(None, words("a")), (None, words("b")), (5, words("c")), (5, words("d")), (7, words("e")), (8, words("f") + " tail")], key=key)
+
+
+def test_what_op3_links_is_one_group_in_the_pipeline(spark, sf):
+    """Texts with one fingerprint whose sets of shingles are not alike leave one document, and so does what else op3 links."""
+    long = lambda k: "pump seal valve " * 200 + " ".join(f"{k}{i}" for i in range(30))
+    docs = [(1, long("a")), (2, long("b")), (3, " ".join(f"c{i}" for i in range(30))), (4, long("d")), (5, " ".join(f"e{i}" for i in range(30)))]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in docs[:2]]
+    assert len(sets[0] & sets[1]) < 0.2 * len(sets[0] | sets[1])
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    op3 = {r.doc_id: r.component_id for r in simhash.near_fingerprints(frame).collect()}
+    assert op3 == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, sf).collect()} == {1, 3, 5}
