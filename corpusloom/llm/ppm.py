@@ -1,20 +1,20 @@
 """LM scoring by prediction by partial matching (PPM), with a unigram base beside it.
 
-A text is coded as runs: white space, word, white space, ..., white space, and an empty word as its end
-(the white space before the first and after the last word may be empty). A run is its bytes and an end
-symbol. The PPM model is a trie of byte contexts of up to DEPTH symbols within a run, its start included,
-pretrained on the runs of the training documents. A symbol is coded in the longest context that was
+A whole text is coded byte by byte, white space as any other, and an end symbol after the last byte. The
+PPM model is a trie of byte contexts of up to DEPTH symbols, the text's start included, pretrained on the
+texts of the training documents. A symbol is coded in the longest context that was
 seen; one that never followed it costs an escape (method C: distinct / (total + distinct)) and is coded
 in the next shorter context, where symbols that the longer one offered are excluded; below order 0 all
 symbols left are equal. As the model is fixed, the code length of a symbol is a function of its gram, the
-symbol and the DEPTH before it, and that of a run is a sum over its grams.
-
-Runs and grams grow with the corpus, so neither is gathered in one place. Runs are counted for each
-chunk of documents; distinct runs meet their corpus counts; grams of distinct runs are counted, coded
-where all grams with the same last three context symbols meet, and asked for by slices of the vocabulary;
-run lengths go back to the chunks. A run is one row a chunk, a gram one row a slice, so that what stands
-in every document stays a few rows. The largest of these meetings holds the distinct grams behind the
-commonest three symbols; it grows with the vocabulary, though not with how often its words occur. The
+symbol and the DEPTH before it, and that of a text is the sum over its grams.
+
+Grams and words grow with the corpus, so neither is gathered in one place. Documents go in chunks of a
+bounded number of bytes; a chunk has each of its distinct grams and words once, dealt to slices by the hash of
+a gram's context or a word. A slice adds up what the chunks have, and codes the grams that training texts hold by their
+whole context. Others need shorter contexts: they meet the counts of order 5, which are plain aggregates, where
+the last four context symbols are equal, and those of order 3 by a join. The answers of a slice
+go back to its chunks. What one group holds is bounded: a chunk by its bytes, a slice as there is one for each
+chunk's bytes of text, and what shares four context symbols by the alphabet. The
 driver sees the counts of orders 0 to 2 only, whose number is bounded by the alphabet.
 
 Null texts count as empty. Repeated rows are scored each. Without training documents every symbol costs
@@ -23,10 +23,10 @@ log10(257). An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, stash, text_or_empty, unstash
 
-CHUNK_BYTES = 16_000_000
-CHUNK_DOCS = 65_535  # places fit 16 bits
-WORD, SPACE, DOCS = 0, 1, 2
+CHUNK_BYTES = 24_000_000
+CHUNK_DOCS = 65_535
+LEVEL = 9  # of compression: what chunks and slices send each other is most of what is written
+BLOCK = 1_000_000  # symbols whose grams are worked out at once
+DOCS, GRAMS, WORDS = 0, 1, 2
 
-#: ``data`` is packed: pairs of 16 bits, the place of a document in its chunk and how often it has a run, run by run;
-#: ``widths`` has the number of pairs of each run.
-PARTIAL = "chunk long, kind int, run int, bytes binary, train long, data binary, widths binary"
-DOC = np.dtype([("id", "<i8"), ("no_id", "?"), ("words", "<i4"), ("train", "?")])
+#: Of a chunk's documents (DOCS) what ``DOC`` holds and their texts; of its grams or words in a slice the names, in order, and how often training texts have them. All packed.
+PARTIAL = "chunk long, kind int, slice int, names binary, data binary"
+
+#: Of a chunk's grams or words in a slice, in order, the counts ``n``; of grams also what they are divided by (0: never seen), and of those never seen the log10 probabilities.
+ANSWER = "of_chunk long, kind int, slice int, n binary, scale binary, rest binary"
+DOC = np.dtype([("id", "<i8"), ("no_id", "?"), ("bytes", "<i8"), ("train", "?")])
 
 DEPTH = 6
 BITS = 9  # of a symbol; DEPTH + 1 symbols fit a long
@@ -50,24 +54,14 @@ START, END, PAD = 256, 258, 259  # START + kind
 MASK = (1 << BITS) - 1
 SYMBOLS = 257  # what can be coded: bytes and END
 
-SPACES = re.compile(rb"[\x20\x09-\x0D]+")
-
 
-def runs_of(text: bytes) -> tuple[list[bytes], list[bytes]]:
-    """The words of a text, and the runs of white space before, between and after them."""
-    words = text.split()  # bytes: separates at 0x20 and 0x09-0x0D only
-    if not words:
-        return words, [text]
-    spaces = SPACES.findall(text)
-    if not text[:1].isspace():
-        spaces.insert(0, b"")
-    if not text[-1:].isspace():
-        spaces.append(b"")
-    return words, spaces
+def symbols_mask(n: int) -> int:
+    """Of the last ``n`` symbols of a gram."""
+    return (1 << BITS * n) - 1
 
 
 def grams_of(data: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Codes of all symbols of runs, ends included, with the DEPTH symbols before each; ``lengths + 1`` of each run."""
+    """Codes of all symbols of texts, ends included, with the DEPTH symbols before each; ``lengths + 1`` of each text."""
     lengths = lengths.astype(np.int64)
     size = lengths + DEPTH + 1
     first = np.cumsum(size) - size
@@ -76,19 +70,67 @@ def grams_of(data: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> np.nda
     within = np.cumsum(lengths) - lengths
     symbols[np.arange(len(data)) + np.repeat(first + DEPTH - within, lengths)] = data
     symbols[first + size - 1] = END
-    coded = lengths + 1
-    at = np.arange(int(coded.sum())) + np.repeat(first + DEPTH - (np.cumsum(coded) - coded), coded)
-    codes = symbols[at]
+    codes = symbols[DEPTH:].copy()
     for k in range(1, DEPTH + 1):
-        codes |= symbols[at - k] << (BITS * k)
-    return codes
-
-
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, lengths) of a binary column without nulls."""
-    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return (np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, np.uint8)), np.diff(bounds)
+        codes |= symbols[DEPTH - k : -k] << (BITS * k)
+    coded = lengths + 1
+    return codes[np.arange(int(coded.sum())) + np.repeat(first - (np.cumsum(coded) - coded), coded)]
+
+
+def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, text of each), in turn, some BLOCK at a time; a longer text comes in pieces."""
+
+    def told(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+        data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+        return grams_of(data, lengths, np.zeros(b - a, np.int64)), np.repeat(np.arange(a, b), lengths + 1)
+
+    first = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > BLOCK:
+            yield told(first, i)
+            first, held = i, 0
+        if len(text) <= BLOCK:
+            held += len(text) + 1
+            continue
+        for at in range(0, len(text), BLOCK):
+            before = min(at, DEPTH)
+            piece = np.frombuffer(text[at - before : at + BLOCK], np.uint8)
+            codes = grams_of(piece, np.array([len(piece)]), np.zeros(1, np.int64))[before:]
+            codes = codes if at + BLOCK >= len(text) else codes[:-1]
+            yield codes, np.full(len(codes), i)
+        first = i + 1
+    if held:
+        yield told(first, len(texts))
+
+
+class Order:
+    """The grams of one order that were seen, in order, and of their contexts the total, the number of symbols, and what these count in the next shorter context."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, shorter: Order | None) -> None:
+        self.order = order
+        seen = counts > 0
+        self.grams, to = np.unique(grams[seen] & symbols_mask(order + 1), return_inverse=True)
+        self.counts = np.bincount(to, weights=counts[seen], minlength=len(self.grams))
+        self.contexts, to = np.unique(self.grams >> BITS, return_inverse=True)
+        shut = np.zeros(len(self.grams)) if shorter is None else shorter.count(self.grams)
+        self.told = [np.bincount(to, weights=w, minlength=len(self.contexts)) for w in (self.counts, np.ones(len(self.grams)), shut)]
+
+    @staticmethod
+    def _found(names: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(names):
+            return np.zeros(len(asked))
+        at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+        return np.where(names[at] == asked, values[at], 0.0)
+
+    def count(self, codes: np.ndarray) -> np.ndarray:
+        """Of the grams of this order that ``codes`` end with."""
+        return self._found(self.grams, codes & symbols_mask(self.order + 1), self.counts)
+
+    def context(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Total, distinct symbols and their counts one order below, of the contexts of ``codes``; 0 where never seen."""
+        context = (codes & symbols_mask(self.order + 1)) >> BITS
+        return [self._found(self.contexts, context, values) for values in self.told]
 
 
 class LowOrders:
@@ -96,218 +138,331 @@ class LowOrders:
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
         """``grams``: codes of a symbol and the two before it."""
-        order = np.argsort(grams)
-        self.grams, self.counts = grams[order], counts[order].astype(np.float64)
-        symbol, last = self.grams & MASK, self.grams >> BITS & MASK
-        self.one = np.bincount(last * (PAD + 1) + symbol, weights=self.counts, minlength=(PAD + 1) ** 2).reshape(PAD + 1, PAD + 1)
+        self.orders: list[Order] = []
+        for order in range(3):
+            self.orders.append(Order(grams, np.asarray(counts, np.float64), order, self.orders[-1] if self.orders else None))
 
-    def rows(self, two: int) -> list[np.ndarray]:
-        """Counts by symbol after the two symbols ``two``, after the last of them, and after any."""
-        low, high = np.searchsorted(self.grams, [two << BITS, two + 1 << BITS])
-        row = np.bincount(self.grams[low:high] & MASK, weights=self.counts[low:high], minlength=PAD + 1)
-        return [row, self.one[two & MASK], self.one.sum(axis=0)]
 
+def code_lengths(codes: np.ndarray, counts: np.ndarray, low: LowOrders, five: tuple[np.ndarray, np.ndarray] | None = None, three: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 probabilities of grams; ``counts`` may be 0.
 
-def code_lengths(codes: np.ndarray, counts: np.ndarray, low: LowOrders) -> np.ndarray:
-    """log10 probabilities of grams that share their last three context symbols; ``counts`` may be 0.
+    ``codes`` holds all that was seen in each of its contexts of DEPTH symbols. ``five`` has grams of order 5 and counts,
+    all that end with the same four context symbols, and ``three`` those of order 3 with the same three; without them,
+    ``codes`` hold all with the same three.
 
     Contexts nest: what a longer context offers, a shorter one does too, so what is excluded at an order
     is what the next longer context has seen.
     """
-    symbol = codes & MASK
-    rows = low.rows(int(codes[0] >> BITS) & ((1 << 2 * BITS) - 1))
+    five = five or (codes & symbols_mask(6), counts)
+    orders = [*low.orders]
+    for order, (grams, n) in ((3, three or five), (4, five), (5, five), (6, (codes, counts))):
+        orders.append(Order(grams, n, order, orders[-1]))
     reach = np.zeros(len(codes))
     out = np.full(len(codes), np.nan)
     open_ = np.ones(len(codes), bool)
     shut_n, shut_d = np.zeros(len(codes)), np.zeros(len(codes))  # of the next longer context: its symbols' counts here, and their number
-
-    def offer(n: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> None:
-        """Code what this order offers anew, and let the rest escape."""
-        nonlocal open_
+    for order in reversed(orders):
+        n = order.count(codes)
+        total, distinct, below = order.context(codes)
         t, d = total - shut_n, distinct - shut_d
         some = open_ & (d > 0)
         scale = np.where(distinct >= SYMBOLS, t, t + d)
         hit = some & (n > 0)
         out[hit] = reach[hit] + np.log10(n[hit] / scale[hit])
-        open_ = open_ & ~hit
+        open_ &= ~hit
         miss = some & ~hit
         reach[miss] += np.log10(d[miss] / scale[miss])
-
-    for order in range(DEPTH, 2, -1):
-        gram = codes & ((1 << BITS * (order + 1)) - 1)
-        grams, to_gram = np.unique(gram, return_inverse=True)
-        contexts, to_context = np.unique(grams >> BITS, return_inverse=True)
-        n = np.bincount(to_gram, weights=counts, minlength=len(grams))
-        total = np.bincount(to_context, weights=n, minlength=len(contexts))
-        distinct = np.bincount(to_context, weights=n > 0, minlength=len(contexts))
-        context = to_context[to_gram]
-        offer(n[to_gram], total[context], distinct[context])
-        # what the next shorter order must leave out for this context
-        if order == 3:
-            shorter = rows[0][grams & MASK]
-        else:
-            names, to_below = np.unique(grams & ((1 << BITS * order) - 1), return_inverse=True)
-            shorter = np.bincount(to_below, weights=n, minlength=len(names))[to_below]
-        shut_n = np.bincount(to_context, weights=np.where(n > 0, shorter, 0), minlength=len(contexts))[context]
-        shut_d = distinct[context]
-    whole = lambda x: np.full(len(codes), float(x))
-    for row, next_ in zip(rows, [*rows[1:], None], strict=True):
-        offer(row[symbol], whole(row.sum()), whole((row > 0).sum()))
-        if next_ is not None:
-            shut_n, shut_d = whole(next_[row > 0].sum()), whole((row > 0).sum())
-    all_ = rows[-1]
-    out[open_] = reach[open_] - np.log10(SYMBOLS - (all_ > 0).sum())
+        shut_n, shut_d = below, distinct
+    out[open_] = reach[open_] - np.log10(SYMBOLS - len(low.orders[0].grams))
     return out
 
 
-def _slices(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(start, lower-cased texts) of runs of rows with at most ``most`` bytes and CHUNK_DOCS rows, or of one row."""
-    start, own, held = 0, [], 0
-    for i, value in enumerate(texts):
-        text = value.as_py().lower()
-        if own and (held + len(text) > most or len(own) == CHUNK_DOCS):
-            yield start, own
-            start, own, held = i, [], 0
-        own.append(text)
-        held += len(text)
-    if own:
-        yield start, own
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.Codec("zstd", LEVEL).compress(data, asbytes=True) if data else b"")
+
+
+def _text(squeezed: bytes) -> bytes:
+    size = int.from_bytes(squeezed[:8], "little")
+    return pa.Codec("zstd").decompress(squeezed[8:], size, asbytes=True) if size else b""
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers compressed, their bytes of equal weight together."""
+    return _squeezed(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(_text(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _packed_grams(codes: np.ndarray) -> bytes:
+    """Codes in order: the contexts, how many symbols follow each, and the symbols."""
+    contexts, sizes = _distinct(codes >> BITS)
+    parts = [_packed(np.diff(contexts, prepend=0)), _packed(sizes.astype(np.int16)), _packed((codes & MASK).astype(np.int16))]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
-def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacked_grams(packed: bytes) -> np.ndarray:
+    parts, at = [], 0
+    for kind in (np.int64, np.int16, np.int16):
+        size = int.from_bytes(packed[at : at + 8], "little")
+        parts.append(_unpacked(packed[at + 8 : at + 8 + size], kind).astype(np.int64))
+        at += 8 + size
+    return np.repeat(np.cumsum(parts[0]), parts[1]) << BITS | parts[2]
+
+
+def _distinct(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of numbers in order, and how often each occurs."""
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[first], np.diff(first, append=len(ordered))
+
+
+def _slice_of(codes: np.ndarray, slices: int) -> np.ndarray:
+    """By the context, so that all that was seen in one is in one slice."""
+    mixed = (codes >> BITS).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(slices)).astype(np.int32)
+
+
+class Tally:
+    """Counts by code, in order; memory for distinct codes only."""
+
+    def __init__(self) -> None:
+        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """``codes`` are distinct and in order."""
+        at = np.searchsorted(self.codes, codes)
+        known = np.zeros(len(codes), bool)
+        inside = at < len(self.codes)
+        known[inside] = self.codes[at[inside]] == codes[inside]
+        self.counts[at[known]] += counts[known]
+        if not known.all():
+            self.counts = np.insert(self.counts, at[~known], counts[~known])
+            self.codes = np.insert(self.codes, at[~known], codes[~known])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bool], list[bytes]]]:
+    """(ids, train, lower-cased texts) of runs of rows with at most ``most`` bytes and CHUNK_DOCS rows, or of one row."""
+    ids, train, texts, held = [], [], [], 0
+    for batch in batches:
+        for own_id, learns, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            text = value.as_py().lower()
+            if texts and (held + len(text) > most or len(texts) == CHUNK_DOCS):
+                yield ids, train, texts
+                ids, train, texts, held = [], [], [], 0
+            ids.append(own_id)
+            train.append(learns)
+            texts.append(text)
+            held += len(text)
+    if texts:
+        yield ids, train, texts
+
+
+def _partials(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
     """Rows of PARTIAL for (doc_id, train, text) batches."""
     from pyspark import TaskContext
 
-    part, n = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        ids, train = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-        for start, texts in _slices(batch.column(2)):
-            chunk, n = part + n, n + 1
-            of_run: tuple[dict[bytes, list[int]], dict[bytes, list[int]]] = ({}, {})
-            sizes = np.zeros(len(texts), np.int32)
-            for i, text in enumerate(texts):
-                words, spaces = runs_of(text)
-                sizes[i] = len(words)
-                words.append(b"")  # the end
-                for kind, own in ((WORD, words), (SPACE, spaces)):
-                    into = of_run[kind]
-                    for run, times in Counter(own).items():
-                        while times > 65_535:
-                            into.setdefault(run, []).extend((i, 65_535))
-                            times -= 65_535
-                        into.setdefault(run, []).extend((i, times))
-            own = train[start : start + len(texts)]
-            names = [*of_run[WORD], *of_run[SPACE]]
-            kinds = np.repeat(np.array([WORD, SPACE], np.int32), [len(of_run[WORD]), len(of_run[SPACE])])
-            lists = [*of_run[WORD].values(), *of_run[SPACE].values()]
-            width = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
-            flat = np.fromiter(chain.from_iterable(lists), np.uint16, 2 * int(width.sum()))
-            times = np.where(own[flat[0::2]], flat[1::2], 0).astype(np.int64)
-            trained = np.add.reduceat(times, np.cumsum(width) - width)
-            del of_run, lists
-            for at in range(0, len(names), 50_000):
-                to = min(at + 50_000, len(names))
-                yield _rows(chunk, kinds[at:to], np.arange(at, to, dtype=np.int32), pa.array(names[at:to], pa.binary()), trained[at:to])
-            doc = np.zeros(len(texts), DOC)
-            own_ids = ids.slice(start, len(texts))
-            doc["id"], doc["no_id"] = own_ids.fill_null(0).to_numpy(), own_ids.is_null().to_numpy(zero_copy_only=False)
-            doc["words"], doc["train"] = sizes, own
-            yield _rows(chunk, np.array([DOCS], np.int32), np.zeros(1, np.int32), pa.array([doc.tobytes()], pa.binary()), np.zeros(1, np.int64), flat.tobytes(), width.astype(np.int32).tobytes())
-
-
-def _rows(chunk: int, kinds: np.ndarray, run: np.ndarray, name: pa.Array, train: np.ndarray, data: bytes | None = None, widths: bytes | None = None) -> pa.RecordBatch:
-    n = len(kinds)
-    packed = [pa.nulls(n, pa.binary()) if x is None else pa.array([x], pa.binary()) for x in (data, widths)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(kinds), pa.array(run), name, pa.array(train), *packed], names=["chunk", "kind", "run", "bytes", "train", "data", "widths"])
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, n) of batches of (kind, bytes, c), added up for a few million grams at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def added() -> pa.RecordBatch:
-        codes, to = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        n = np.bincount(to, weights=np.concatenate([x for _, x in held]))
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
+    part = TaskContext.get().partitionId() << 32
+    for n, (ids, learns, texts) in enumerate(_slices(batches)):
+        chunk, train = part + n, np.array(learns)
+        doc = np.zeros(len(texts), DOC)
+        doc["id"], doc["no_id"] = [i or 0 for i in ids], [i is None for i in ids]
+        doc["bytes"], doc["train"] = list(map(len, texts)), train
+        yield _rows(chunk, DOCS, [(0, doc.tobytes(), _squeezed(b"".join(texts)))])
+        yield _rows(chunk, WORDS, _words_by_slice(texts, train, slices))
+        yield _rows(chunk, GRAMS, _grams_by_slice(texts, train, slices))
+
+
+def _by_slice(words: Iterator[bytes], slices: int) -> dict[int, list[bytes]]:
+    """Distinct words in order, by slice."""
+    by: dict[int, list[bytes]] = {}
+    for word in sorted(words):
+        by.setdefault(zlib.crc32(word) % slices, []).append(word)
+    return by
+
+
+def _words_by_slice(texts: list[bytes], train: np.ndarray, slices: int) -> list[tuple[int, bytes, bytes]]:
+    learned: Counter = Counter()
+    for text, learns in zip(texts, train.tolist(), strict=True):
+        words = text.split()  # bytes: separates at 0x20 and 0x09-0x0D only
+        if learns:
+            learned.update(words)
+        else:
+            learned.update(dict.fromkeys(words, 0))
+    return [(at, _squeezed(b" ".join(words)), _packed(np.array([learned[w] for w in words], np.int64))) for at, words in _by_slice(learned, slices).items()]
+
+
+def _grams_by_slice(texts: list[bytes], train: np.ndarray, slices: int) -> list[tuple[int, bytes, bytes]]:
+    tally = Tally()
+    for block, of in blocks(texts):
+        learns = train[of]
+        for own, weight in ((block[learns], 1), (block[~learns], 0)):
+            names, times = _distinct(np.sort(own))
+            tally.add(names, times * weight)
+    names, times = tally.codes, tally.counts
+    slice_of = _slice_of(names, slices)
+    order = np.argsort(slice_of, kind="stable")
+    bounds = np.searchsorted(slice_of[order], np.arange(slices + 1))
+    some = [(s, order[a:b]) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+    return [(s, _packed_grams(names[at]), _packed(times[at])) for s, at in some]
+
+
+def _rows(chunk: int, kind: int, packed: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    n = len(packed)
+    columns = [pa.array([x[k] for x in packed], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, kind, np.int32)), *columns], names=["chunk", "kind", "slice", "names", "data"])
+
+
+def _merged_grams(rows: list[dict]) -> tuple[list[np.ndarray], Tally, np.ndarray]:
+    """Of a slice: codes by chunk, all counts, and what these are divided by, 0 where a gram was never seen."""
+    own, tally = [_unpacked_grams(r["names"]) for r in rows], Tally()
+    for codes, row in zip(own, rows, strict=True):
+        tally.add(codes, _unpacked(row["data"], np.int64))
+    total, distinct, _ = Order(tally.codes, tally.counts, DEPTH, None).context(tally.codes)
+    scale = np.where(distinct >= SYMBOLS, total, total + distinct)
+    return own, tally, np.where(tally.counts > 0, scale, 0).astype(np.int64)
+
+
+def _merged_words(rows: list[dict]) -> tuple[list[list[bytes]], Counter]:
+    """Of a slice: words by chunk, and the counts of all."""
+    own = [_text(r["names"]).split() for r in rows]
+    counts: Counter = Counter()
+    for words, row in zip(own, rows, strict=True):
+        for word, n in zip(words, _unpacked(row["data"], np.int64).tolist(), strict=True):
+            counts[word] += n
+    return own, counts
+
+
+def _of_kind(table: pa.Table, kind: int) -> list[dict]:
+    return [r for r in table.select(["chunk", "kind", "names", "data"]).to_pylist() if r["kind"] == kind]
+
+
+#: What a slice tells: at order DEPTH its grams in contexts that an unseen one needs, at order 5 counts, at TOLD the distinct training words and their occurrences.
+TOLD = -1
+
+
+def _slice_counts(table: pa.Table) -> pa.Table:
+    """(slice, order, code, n) of a slice."""
+    _, counts = _merged_words(_of_kind(table, WORDS))
+    out = [(TOLD, np.array([sum(n > 0 for n in counts.values())]), np.array([sum(counts.values())]))]
+    tally = _merged_grams(_of_kind(table, GRAMS))[1]
+    codes, n = tally.codes, tally.counts
+    needed = np.isin(codes >> BITS, (codes >> BITS)[n == 0])
+    out.append((DEPTH, codes[needed], n[needed]))
+    names, to = np.unique(codes[n > 0] & symbols_mask(DEPTH), return_inverse=True)
+    out.append((DEPTH - 1, names, np.bincount(to, weights=n[n > 0], minlength=len(names)).astype(np.int64)))
+    size = [len(x[1]) for x in out]
+    at = table["slice"][0].as_py()
+    return pa.table({"slice": np.full(sum(size), at, np.int32), "order": np.repeat(np.array([x[0] for x in out], np.int32), size), "code": np.concatenate([x[1] for x in out]), "n": np.concatenate([x[2] for x in out])})
+
+
+def _answers(table: pa.Table, lengths: pa.Table) -> pa.Table:
+    """Of a slice, for each of its chunks: rows of ANSWER."""
+    out = []
+    rows = _of_kind(table, WORDS)
+    own, counts = _merged_words(rows)
+    for words, row in zip(own, rows, strict=True):
+        out.append((row["chunk"], WORDS, _packed(np.array([counts[w] for w in words], np.int64)), None, None))
+    rows = _of_kind(table, GRAMS)
+    own, tally, scale = _merged_grams(rows)
+    rest = np.zeros(len(scale))
+    rest[np.searchsorted(tally.codes, lengths["code"].to_numpy())] = lengths["len"].to_numpy()
+    for names, row in zip(own, rows, strict=True):
+        at = np.searchsorted(tally.codes, names)
+        out.append((row["chunk"], GRAMS, _packed(tally.counts[at]), _packed(scale[at]), _packed(rest[at][scale[at] == 0])))
+    columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+    at = pa.array(np.full(len(out), table["slice"][0].as_py() if len(table) else 0, np.int32))
+    return pa.table([*columns[:2], at, *columns[2:]], names=["of_chunk", "kind", "slice", "n", "scale", "rest"])
+
+
+def _word_sums(texts: list[bytes], told: dict[int, np.ndarray], slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its words, those that training texts have, and the sum of log10(c + 1)."""
+    logs: dict[bytes, float] = {}
+    for at, words in _by_slice({w for text in texts for w in text.split()}, slices).items():
+        logs.update(zip(words, [math.log10(n + 1) for n in told[at].tolist()], strict=True))
+    out = np.array([(len(own), sum(x > 0 for x in own), math.fsum(own)) for own in ([logs[w] for w in text.split()] for text in texts)])
+    return out[:, 0].astype(np.int64), out[:, 1].astype(np.int64), out[:, 2]
+
+
+def _gram_sums(texts: list[bytes], told: dict[int, np.ndarray], slices: int) -> np.ndarray:
+    """Of each text the sum of the log10 probabilities of its symbols."""
+    tally = Tally()
+    for codes, _ in blocks(texts):
+        tally.add(*_distinct(np.sort(codes)))
+    names = tally.codes
+    length = np.zeros(len(names))
+    length[np.argsort(_slice_of(names, slices), kind="stable")] = np.concatenate([told[s] for s in sorted(told)])
+    out = np.zeros(len(texts))
+    for codes, of in blocks(texts):
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        order = np.argsort(codes)  # looked up in order, neighbours are near in memory
+        each = np.empty(len(codes))
+        each[order] = length[np.searchsorted(names, codes[order])]
+        out[of[starts]] += np.add.reduceat(each, starts)
+    return out
 
-    for batch in batches:
-        data, lengths = _unpacked(batch.column(1))
-        codes = grams_of(data, lengths, batch.column(0).to_numpy())
-        held.append((codes, np.repeat(batch.column(2).to_numpy(), lengths.astype(np.int64) + 1).astype(np.float64)))
-        size += len(codes)
-        if size > 2_000_000:
-            yield added()
-            held, size = [], 0
-    if size:
-        yield added()
-
-
-def _requests(table: pa.Table) -> pa.Table:
-    """The distinct grams of a slice of the vocabulary."""
-    table = table.combine_chunks()
-    data, lengths = _unpacked(table["bytes"].combine_chunks())
-    codes = np.unique(grams_of(data, lengths, table["kind"].to_numpy()))
-    return pa.table({"slice": np.full(len(codes), table["slice"][0].as_py(), np.int64), "code": codes})
-
-
-def _run_lengths(runs: pa.Table, grams: pa.Table) -> pa.Table:
-    """(kind, bytes, c, bits): log10 probabilities of the runs of a slice."""
-    runs = runs.combine_chunks()
-    names = runs["bytes"].combine_chunks()
-    data, lengths = _unpacked(names)
-    codes = grams_of(data, lengths, runs["kind"].to_numpy())
-    known = grams["code"].to_numpy()
-    order = np.argsort(known)
-    each = grams["len"].to_numpy()[order][np.searchsorted(known[order], codes)]
-    coded = lengths.astype(np.int64) + 1
-    return pa.table({"kind": runs["kind"], "bytes": names, "c": runs["c"], "len": np.add.reduceat(each, np.cumsum(coded) - coded)})
-
-
-def _sum_up(docs: pa.Table, runs: pa.Table, tokens: int, distinct: int) -> pa.Table:
-    """Scores of a chunk's documents from its runs with their corpus counts and lengths."""
+
+def _sum_up(docs: pa.Table, answers: pa.Table, slices: int, tokens: int, distinct: int, ends: int) -> pa.Table:
+    """Scores of a chunk's documents from the answers of the slices."""
     row = docs.to_pylist()[0]
-    doc = np.frombuffer(row["bytes"], DOC)
-    flat, widths = np.frombuffer(row["data"], np.uint16), np.frombuffer(row["widths"], np.int32)
-    n, at = len(doc), runs["run"].to_numpy()
-    c, length, is_word = (np.zeros(len(widths)) for _ in range(3))
-    c[at], length[at], is_word[at] = runs["c"].to_numpy(), runs["len"].to_numpy(), runs["kind"].to_numpy() == WORD
-    place, times = flat[0::2], flat[1::2].astype(np.float64)
-    total = lambda weight: np.bincount(place, weights=times * np.repeat(weight, widths), minlength=n)
-    n_tokens = doc["words"].astype(np.int64) + 1
-    base = total(is_word * np.log10(c + 1)) - n_tokens * np.log10(tokens + distinct + 1)
-    return pa.table({"doc_id": pa.array(doc["id"], mask=doc["no_id"]), "held_out": ~doc["train"], "n_tokens": n_tokens, "n_known": total(is_word * (c > 0)).astype(np.int64), "base_score": base, "score": total(length)})
-
-
-def score(docs: DataFrame, fold: int = 7, held: int = 2, slice_runs: int = 100_000) -> DataFrame:
+    doc, whole = np.frombuffer(row["names"], DOC), _text(row["data"])
+    bounds = np.cumsum(doc["bytes"])
+    texts = [whole[b - n : b] for b, n in zip(bounds.tolist(), doc["bytes"].tolist(), strict=True)]
+    of_words, of_grams = {}, {}
+    for told in answers.to_pylist():
+        n = _unpacked(told["n"], np.int64)
+        if told["kind"] == WORDS:
+            of_words[told["slice"]] = n
+        else:
+            scale = _unpacked(told["scale"], np.int64)
+            each = of_grams[told["slice"]] = np.zeros(len(n))
+            each[scale > 0] = np.log10(n[scale > 0] / scale[scale > 0])
+            each[scale == 0] = _unpacked(told["rest"], np.float64)
+    n_words, known, base = _word_sums(texts, of_words, slices)
+    n_tokens, n_known = n_words + 1, known + (ends > 0)
+    base = base + math.log10(ends + 1) - n_tokens * math.log10(tokens + distinct + 1)
+    score = _gram_sums(texts, of_grams, slices)
+    return pa.table({"doc_id": pa.array(doc["id"], mask=doc["no_id"]), "held_out": ~doc["train"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
+
+
+def score(docs: DataFrame, fold: int = 7, held: int = 2, group: int = 500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Training documents are those whose crc32 of the id modulo ``fold`` is not ``held``.
+    Training documents are those whose crc32 of the id modulo ``fold`` is not ``held``; some ``group`` grams are coded at once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", fold) != held).alias("train"), text_or_empty().cast("binary").alias("text"))
-    partial = stash(rows.mapInArrow(_partials, PARTIAL), "partials")
-    runs = partial.where(F.col("kind") != DOCS).select("chunk", "kind", "run", "bytes", "train")
-    counts = stash(runs.groupBy("kind", "bytes").agg(F.sum("train").alias("c")), "counts")
-    is_word = F.col("kind") == WORD
-    told = counts.agg(F.coalesce(F.sum(F.when(is_word, F.col("c"))), F.lit(0)).alias("n"), F.count_if(is_word & (F.col("c") > 0)).alias("v"), F.count("*").alias("runs")).first()
-    tokens, distinct, slices = told.n, told.v, max(1, -(-told.runs // slice_runs))
-
-    grams = counts.mapInArrow(_gram_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    grams = stash(grams, "grams")
-    told_low = grams.groupBy(F.col("code").bitwiseAND(F.lit((1 << 3 * BITS) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # orders 0 to 2: bounded by the alphabet
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("ends")).first()
+    slices, ends = max(1, -(-size["bytes"] // CHUNK_BYTES)), size["ends"]
+    partial = stash(rows.mapInArrow(lambda it: _partials(it, slices), PARTIAL), "partials")
+    parts = partial.where(F.col("kind") != DOCS)
+    told = stash(parts.groupBy("slice").applyInArrow(_slice_counts, "slice int, order int, code long, n long"), "told")
+    words = told.where(F.col("order") == TOLD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("code"), F.lit(0)).alias("v")).first()
+    tokens, distinct = words.n + ends, words.v + (ends > 0)
+
+    last = lambda n: F.col("code").bitwiseAND(F.lit(symbols_mask(n)))
+    five = stash(told.where(F.col("order") == DEPTH - 1).groupBy("code").agg(F.sum("n").alias("n")), "five")
+    told_low = five.groupBy(last(3).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # orders 0 to 2: bounded by the alphabet
     low = LowOrders(told_low["gram"].to_numpy(), told_low["n"].to_numpy())
+    needed = told.where(F.col("order") == DEPTH).select("slice", "order", "code", "n")
+    groups = max(1, -(-(needed.count() + five.count()) // group))
+    context = lambda n: F.shiftright("code", BITS).bitwiseAND(F.lit(symbols_mask(n)))
+    grouped = F.pmod(F.xxhash64(context(4)), F.lit(groups)).cast("int").alias("group")
+    needed = needed.select(grouped, "slice", "order", "code", "n")
+    five = five.select(grouped, F.lit(0).alias("slice"), F.lit(5).alias("order"), "code", "n")
+    three = five.groupBy(last(4).alias("code")).agg(F.sum("n").alias("n")).withColumn("three", context(3))
+    three = five.select("group", context(3).alias("three")).distinct().join(three, "three").select("group", F.lit(0).alias("slice"), F.lit(3).alias("order"), "code", "n")
 
     def coded(table: pa.Table) -> pa.Table:
-        codes = table["code"].to_numpy()
-        return pa.table({"code": codes, "len": code_lengths(codes, table["n"].to_numpy().astype(np.float64), low)})
-
-    last_three = F.shiftright("code", BITS).bitwiseAND(F.lit((1 << 3 * BITS) - 1))
-    lengths = stash(grams.withColumn("three", last_three).groupBy("three").applyInArrow(coded, "code long, len double"), "lengths")
-    sliced = counts.withColumn("slice", F.pmod(F.xxhash64("kind", "bytes"), F.lit(slices)))
-    answers = sliced.groupBy("slice").applyInArrow(_requests, "slice long, code long").join(lengths, "code").select("slice", "code", "len")
-    known = stash(sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_run_lengths, "kind int, bytes binary, c long, len double"), "runs")
-    unstash(counts, grams, lengths)
-    back = runs.drop("train").join(known, ["kind", "bytes"]).select(F.col("chunk").alias("of_chunk"), "kind", "run", "c", "len")
-    chunks = partial.where(F.col("kind") == DOCS).select("chunk", "bytes", "data", "widths")
-    scored = chunks.groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(lambda a, b: _sum_up(a, b, tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        order, at, codes, n = (table[c].to_numpy() for c in ("order", "slice", "code", "n"))
+        whole, fives, threes = (order == k for k in (DEPTH, 5, 3))
+        lengths = code_lengths(codes[whole], n[whole], low, (codes[fives], n[fives]), (codes[threes], n[threes]))
+        new = n[whole] == 0
+        return pa.table({"of_slice": at[whole][new], "code": codes[whole][new], "len": lengths[new]})
+
+    lengths = stash(needed.unionByName(five).unionByName(three).groupBy("group").applyInArrow(coded, "of_slice int, code long, len double"), "lengths")
+    unstash(told)
+    answers = parts.groupBy("slice").cogroup(lengths.groupBy("of_slice")).applyInArrow(_answers, ANSWER)
+    chunks = partial.where(F.col("kind") == DOCS).select("chunk", "names", "data")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(lambda a, b: _sum_up(a, b, slices, tokens, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

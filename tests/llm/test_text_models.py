@@ -167,36 +167,17 @@ def test_language_edges(edge_docs, no_docs):
 
 
 def brute_ppm(train, texts, depth=6):
-    """Run by run with dictionaries: white space, word, ..., white space, and an empty word."""
-
-    def runs(t):
-        parts = re.split(rb"([\x20\x09-\x0D]+)", t)
-        if len(parts) == 1:
-            parts = [b"", parts[0], b""] if parts[0] else [b""]
-        else:
-            words, spaces = parts[0::2], parts[1::2]
-            if not words[0]:
-                words = words[1:]
-            else:
-                spaces = [b"", *spaces]
-            if words and not words[-1]:
-                words = words[:-1]
-            elif words:
-                spaces = [*spaces, b""]
-            parts = [spaces[0]] + [x for pair in zip(words, spaces[1:], strict=True) for x in pair]
-        return [("s" if i % 2 == 0 else "w", x) for i, x in enumerate(parts)] + [("w", b"")]
-
+    """Symbol by symbol over whole texts, white space as any other, with dictionaries."""
     tables = [defaultdict(Counter) for _ in range(depth + 1)]
 
-    def coded(kind, run):
-        s = ["pad"] * (depth - 1) + [kind, *run, "end"]
+    def coded(t):
+        s = ["pad"] * (depth - 1) + ["start", *t, "end"]
         return [(s[j - depth : j], s[j]) for j in range(depth, len(s))]
 
     for t in train:
-        for kind, run in runs(t):
-            for before, x in coded(kind, run):
-                for order in range(depth + 1):
-                    tables[order][tuple(before[depth - order :])][x] += 1
+        for before, x in coded(t):
+            for order in range(depth + 1):
+                tables[order][tuple(before[depth - order :])][x] += 1
 
     def length(before, x):
         total, excluded = 0.0, set()
@@ -211,7 +192,7 @@ def brute_ppm(train, texts, depth=6):
             excluded |= set(seen)
         return total - math.log10(257 - len(excluded))
 
-    return [sum(length(*g) for kind, run in runs(t) for g in coded(kind, run)) for t in texts]
+    return [sum(length(*g) for g in coded(t)) for t in texts]
 
 
 def check_scores(rows, docs):
@@ -240,10 +221,12 @@ def test_ppm_edges(spark, edge_docs, no_docs):
     check_scores(ppm.score(short).collect(), [(r.doc_id, r.text) for r in short.collect()])
     assert ppm.score(edge_docs).count() == edge_docs.count()
     assert ppm.score(no_docs).count() == 0
-    # a table without training rows: "", "ab", " ", "c", "" and the empty word, each with its end
+    empty = ppm.score(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"))
+    check_scores(empty.collect(), [(1, ""), (2, None)])
+    # a table without training rows: "ab c" and its end
     held = next(i for i in range(100) if remainder(i, 7) == 2)
     rows = ppm.score(spark.createDataFrame([(held, "ab c")], "doc_id long, text string")).collect()
-    assert rows[0].score == pytest.approx(-10 * math.log10(257)) and rows[0].n_known == 0 and rows[0].train_tokens == 0
+    assert rows[0].score == pytest.approx(-5 * math.log10(257)) and rows[0].n_known == 0 and rows[0].train_tokens == 0
 
 
 def test_probabilities_of_a_context_sum_to_one():
@@ -266,7 +249,23 @@ def test_probabilities_of_a_context_sum_to_one():
             assert np.isclose((10 ** lengths[np.searchsorted(grams, every)]).sum(), 1)
 
 
-def test_runs_put_the_text_back():
-    for text in (b"", b" ", b"a", b" a", b"a ", b"a  b\n", b"\t\x0b", b"x\xc2\xa0y z"):
-        words, spaces = ppm.runs_of(text)
-        assert len(spaces) == len(words) + 1 and b"".join(x for pair in zip(spaces, [*words, b""], strict=True) for x in pair) == text
+def test_contexts_cross_white_space(spark):
+    """What follows a word depends on the word before it: texts of equal words in another order cost more."""
+    rows = [(i, "red fox. blue hen. ") for i in range(40)] + [(100 + i, t) for i in range(40) for t in ("red fox. blue hen. ", "red hen. blue fox. ")]
+    held = [r for r in rows if r[0] >= 100 and remainder(r[0], 7) == 2]
+    train = [r for r in rows if r[0] < 100]
+    got: dict = {}
+    for r in ppm.score(spark.createDataFrame(train + [(*r,) for r in held], "doc_id long, text string")).collect():
+        if r.doc_id >= 100:
+            got.setdefault((r.doc_id, round(r.base_score, 6)), []).append(r.score)
+    assert got and all(len(s) == 2 and max(s) - min(s) > 1 for s in got.values())
+
+
+def test_blocks_are_cut_anywhere(monkeypatch):
+    texts = [b"", b"a b", b"c" * 3 + b" de f" * 40, b"", b"x y", b"z" * 17]
+    whole = ppm.grams_of(np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts))), np.zeros(len(texts), np.int64))
+    of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    for block in (1, 2, 7, 16, 17, 203, 1000):
+        monkeypatch.setattr(ppm, "BLOCK", block)
+        found = list(ppm.blocks(texts))
+        assert np.array_equal(np.concatenate([c for c, _ in found]), whole) and np.array_equal(np.concatenate([i for _, i in found]), of)
