@@ -19,6 +19,9 @@ from corpusloom.llm.common import crc_mod, mark, read_table, stash, sweep
 #: A public SentencePiece model file.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Runs of text that a worker remembers with their pieces. Workers outlive the stage, so all stages have them beside their own.
+MEMO_RUNS = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5, from a model of the labelled rows outside the held-out fold.
@@ -66,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``ids``, repeated rows each; null texts have null ids. A column of that name is replaced."""
-    return pieces.encode(docs, pieces.model_bytes(PIECE_MODEL))
+    return pieces.encode(docs, pieces.model_bytes(PIECE_MODEL), memo=MEMO_RUNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -253,15 +253,50 @@ def shingle_prints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_c
     return rows.select("doc_id", "text_hash", "_s.fp", "_s.size", "_s.bands", "_s.simhash")
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """fp and its whole set of shingle hashes."""
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """fp and its text, compressed; a set of hashes can't be, and takes three times as much."""
 
     def batches(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = pa.Codec("zstd")
         for batch in it:
-            for at in range(0, len(batch), SLICE):
-                yield pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.iloc[at : at + SLICE]])
+            data = (t.encode("utf-8", "replace") for t in batch)
+            yield pd.Series([len(d).to_bytes(8, "little") + codec.compress(d, asbytes=True) for d in data], dtype=object)
 
-    return texts.select("fp", F.pandas_udf(batches, "array<long>")(F.col("text")).alias("hashes"))
+    return texts.select("fp", F.pandas_udf(batches, "binary")(F.col("text")).alias("packed"))
+
+
+#: Hashes of sets that a task keeps, since pairs of one text come together.
+KEPT_HASHES = 500_000
+
+
+def alike(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b) of those (a, b, x, y), x and y being packed texts, whose whole sets of shingle hashes are as similar."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, kept, held = pa.Codec("zstd"), {}, 0
+
+        def hashes(fp: int, packed: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if fp not in kept:
+                data = packed.as_py()
+                text = codec.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode()
+                kept[fp] = np.unique(shingle_hashes(text, shingle))
+                held += len(kept[fp])
+            own = kept[fp] = kept.pop(fp)
+            while held > KEPT_HASHES and len(kept) > 1:
+                held -= len(kept.pop(next(iter(kept))))
+            return own
+
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = np.zeros(len(a), bool)
+            for i, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                x, y = hashes(u, batch.column(2)[i]), hashes(v, batch.column(3)[i])
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                found[i] = common >= similarity * (len(x) + len(y) - common) - 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
@@ -359,11 +394,9 @@ def similar_links(prints: DataFrame, texts: DataFrame, similarity: float, shingl
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs, "pairs")
-        sets = stash(shingle_sets(read(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), shingle), "sets")
-        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        both = both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-6)
-        return stash(both.select("a", "b"), "similar")
+        sets = stash(packed_texts(read(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())), "sets")
+        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("packed").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("packed").alias("y")), "b")
+        return stash(alike(both, similarity, shingle), "similar")
 
     first = verified(_proposals(groups.select("members"), similarity, _circle))
     large = groups.where(F.size("members") > 2 * REACH + 1).select("key", F.explode("members").alias("m")).select("key", "m.fp", "m.size")

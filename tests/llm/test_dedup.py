@@ -223,3 +223,17 @@ def test_edit_edges(edge_docs, no_docs):
     assert [r.n_chars for r in rows if r.doc_id == 2] == [0]
     assert len([r for r in rows if r.doc_id == 1]) == 2
     assert fingerprints.compare_edits(no_docs).count() == 0
+
+
+def test_pairs_are_verified_on_packed_texts(spark):
+    """Whole sets decide; what travels for a pair is less than its hashes, which can't be compressed."""
+    rng = np.random.default_rng(3)
+    words = [f"wort{i}" for i in range(300)]
+    base = list(rng.choice(words, 900))
+    texts = {1: " ".join(base), 2: " ".join([*base[:860], *rng.choice(words, 40)]), 3: " ".join([*base[:600], *rng.choice(words, 300)]), 4: "ÄÖ ü kurz"}
+    packed = simhash.packed_texts(spark.createDataFrame(list(texts.items()), "fp long, text string"))
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in texts.items()}
+    assert all(len(r.packed) < 0.5 * 8 * len(sets[r.fp]) for r in packed.collect() if r.fp < 4)
+    x, y = (packed.select(packed.fp.alias(k), packed.packed.alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    found = {(r.a, r.b) for r in simhash.alike(x.crossJoin(y).where("a < b"), 0.8, 5).collect()}
+    assert found == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} == {(1, 2)}
