@@ -13,7 +13,7 @@ bounded number of bytes; a chunk has each of its distinct grams and words once,
 a gram's context or a word. A slice adds up what the chunks have, and codes the grams that training texts hold by their
 whole context. Others need shorter contexts: they meet the counts of order 5, which are plain aggregates, where
 the last four context symbols are equal, and those of order 3 by a join. The answers of a slice
-go back to its chunks. What one group holds is bounded: a chunk by its bytes, a slice as there is one for each
+go back to its chunks, with their names. What one group holds is bounded: a chunk by its bytes, a slice as there is one for each
 chunk's bytes of text, and what shares four context symbols by the alphabet. The
 driver sees the counts of orders 0 to 2 only, whose number is bounded by the alphabet.
 
@@ -37,15 +37,15 @@ from .common import crc_mod, stash, text_or_empty, unstash
 
 CHUNK_BYTES = 24_000_000
 CHUNK_DOCS = 65_535
-LEVEL = 9  # of compression: what chunks and slices send each other is most of what is written
+LEVEL = 5  # of compression: what chunks and slices send each other is most of what is written
 BLOCK = 1_000_000  # symbols whose grams are worked out at once
 DOCS, GRAMS, WORDS = 0, 1, 2
 
 #: Of a chunk's documents (DOCS) what ``DOC`` holds and their texts; of its grams or words in a slice the names, in order, and how often training texts have them. All packed.
 PARTIAL = "chunk long, kind int, slice int, names binary, data binary"
 
-#: Of a chunk's grams or words in a slice, in order, the counts ``n``; of grams also what they are divided by (0: never seen), and of those never seen the log10 probabilities.
-ANSWER = "of_chunk long, kind int, slice int, n binary, scale binary, rest binary"
+#: Of a chunk's grams or words in a slice, in order, the names, so that the chunk needn't gather them again, and the counts ``n``; of grams also what they are divided by (0: never seen), and of those never seen the log10 probabilities.
+ANSWER = "of_chunk long, kind int, slice int, names binary, n binary, scale binary, rest binary"
 DOC = np.dtype([("id", "<i8"), ("no_id", "?"), ("bytes", "<i8"), ("train", "?")])
 
 DEPTH = 6
@@ -225,21 +225,30 @@ def _slice_of(codes: np.ndarray, slices: int) -> np.ndarray:
 
 
 class Tally:
-    """Counts by code, in order; memory for distinct codes only."""
+    """Counts by code; memory for distinct codes, those of some parts apart. Parts of like size become one, so that a code is moved a few times only."""
 
     def __init__(self) -> None:
-        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
         """``codes`` are distinct and in order."""
-        at = np.searchsorted(self.codes, codes)
-        known = np.zeros(len(codes), bool)
-        inside = at < len(self.codes)
-        known[inside] = self.codes[at[inside]] == codes[inside]
-        self.counts[at[known]] += counts[known]
-        if not known.all():
-            self.counts = np.insert(self.counts, at[~known], counts[~known])
-            self.codes = np.insert(self.codes, at[~known], codes[~known])
+        while self.parts and len(self.parts[-1][0]) <= 2 * len(codes):
+            codes, counts = self._both(self.parts.pop(), (codes, counts))
+        self.parts.append((codes, counts))
+
+    @staticmethod
+    def _both(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(codes, kind="stable")  # two runs in order: merged in one pass
+        codes = codes[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """All codes in order, and their counts."""
+        while len(self.parts) > 1:
+            self.parts.append(self._both(self.parts.pop(), self.parts.pop()))
+        return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bool], list[bytes]]]:
@@ -274,33 +283,25 @@ def _partials(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.Rec
         yield _rows(chunk, GRAMS, _grams_by_slice(texts, train, slices))
 
 
-def _by_slice(words: Iterator[bytes], slices: int) -> dict[int, list[bytes]]:
-    """Distinct words in order, by slice."""
-    by: dict[int, list[bytes]] = {}
-    for word in sorted(words):
-        by.setdefault(zlib.crc32(word) % slices, []).append(word)
-    return by
-
-
 def _words_by_slice(texts: list[bytes], train: np.ndarray, slices: int) -> list[tuple[int, bytes, bytes]]:
     learned: Counter = Counter()
+    others: set[bytes] = set()
     for text, learns in zip(texts, train.tolist(), strict=True):
-        words = text.split()  # bytes: separates at 0x20 and 0x09-0x0D only
-        if learns:
-            learned.update(words)
-        else:
-            learned.update(dict.fromkeys(words, 0))
-    return [(at, _squeezed(b" ".join(words)), _packed(np.array([learned[w] for w in words], np.int64))) for at, words in _by_slice(learned, slices).items()]
+        (learned if learns else others).update(text.split())  # bytes: separates at 0x20 and 0x09-0x0D only
+    learned.update(dict.fromkeys(others - learned.keys(), 0))
+    by: list[list[bytes]] = [[] for _ in range(slices)]
+    for word in sorted(learned):
+        by[zlib.crc32(word) % slices].append(word)
+    return [(at, _squeezed(b" ".join(words)), _packed(np.array([learned[w] for w in words], np.int64))) for at, words in enumerate(by) if words]
 
 
 def _grams_by_slice(texts: list[bytes], train: np.ndarray, slices: int) -> list[tuple[int, bytes, bytes]]:
     tally = Tally()
-    for block, of in blocks(texts):
-        learns = train[of]
-        for own, weight in ((block[learns], 1), (block[~learns], 0)):
-            names, times = _distinct(np.sort(own))
-            tally.add(names, times * weight)
-    names, times = tally.codes, tally.counts
+    for learns in (True, False):
+        for codes, _ in blocks([text for text, x in zip(texts, train.tolist(), strict=True) if x == learns]):
+            names, times = _distinct(np.sort(codes))
+            tally.add(names, times * learns)
+    names, times = tally.whole()
     slice_of = _slice_of(names, slices)
     order = np.argsort(slice_of, kind="stable")
     bounds = np.searchsorted(slice_of[order], np.arange(slices + 1))
@@ -314,14 +315,15 @@ def _rows(chunk: int, kind: int, packed: list[tuple[int, bytes, bytes]]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, kind, np.int32)), *columns], names=["chunk", "kind", "slice", "names", "data"])
 
 
-def _merged_grams(rows: list[dict]) -> tuple[list[np.ndarray], Tally, np.ndarray]:
-    """Of a slice: codes by chunk, all counts, and what these are divided by, 0 where a gram was never seen."""
+def _merged_grams(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: codes by chunk, all codes, their counts, and what these are divided by, 0 where a gram was never seen."""
     own, tally = [_unpacked_grams(r["names"]) for r in rows], Tally()
     for codes, row in zip(own, rows, strict=True):
         tally.add(codes, _unpacked(row["data"], np.int64))
-    total, distinct, _ = Order(tally.codes, tally.counts, DEPTH, None).context(tally.codes)
+    codes, n = tally.whole()
+    total, distinct, _ = Order(codes, n, DEPTH, None).context(codes)
     scale = np.where(distinct >= SYMBOLS, total, total + distinct)
-    return own, tally, np.where(tally.counts > 0, scale, 0).astype(np.int64)
+    return own, codes, n, np.where(n > 0, scale, 0).astype(np.int64)
 
 
 def _merged_words(rows: list[dict]) -> tuple[list[list[bytes]], Counter]:
@@ -346,8 +348,7 @@ def _slice_counts(table: pa.Table) -> pa.Table:
     """(slice, order, code, n) of a slice."""
     _, counts = _merged_words(_of_kind(table, WORDS))
     out = [(TOLD, np.array([sum(n > 0 for n in counts.values())]), np.array([sum(counts.values())]))]
-    tally = _merged_grams(_of_kind(table, GRAMS))[1]
-    codes, n = tally.codes, tally.counts
+    _, codes, n, _ = _merged_grams(_of_kind(table, GRAMS))
     needed = np.isin(codes >> BITS, (codes >> BITS)[n == 0])
     out.append((DEPTH, codes[needed], n[needed]))
     names, to = np.unique(codes[n > 0] & symbols_mask(DEPTH), return_inverse=True)
@@ -363,66 +364,64 @@ def _answers(table: pa.Table, lengths: pa.Table) -> pa.Table:
     rows = _of_kind(table, WORDS)
     own, counts = _merged_words(rows)
     for words, row in zip(own, rows, strict=True):
-        out.append((row["chunk"], WORDS, _packed(np.array([counts[w] for w in words], np.int64)), None, None))
+        out.append((row["chunk"], WORDS, row["names"], _packed(np.array([counts[w] for w in words], np.int64)), None, None))
     rows = _of_kind(table, GRAMS)
-    own, tally, scale = _merged_grams(rows)
+    own, codes, n, scale = _merged_grams(rows)
     rest = np.zeros(len(scale))
-    rest[np.searchsorted(tally.codes, lengths["code"].to_numpy())] = lengths["len"].to_numpy()
+    rest[np.searchsorted(codes, lengths["code"].to_numpy())] = lengths["len"].to_numpy()
     for names, row in zip(own, rows, strict=True):
-        at = np.searchsorted(tally.codes, names)
-        out.append((row["chunk"], GRAMS, _packed(tally.counts[at]), _packed(scale[at]), _packed(rest[at][scale[at] == 0])))
-    columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+        at = np.searchsorted(codes, names)
+        out.append((row["chunk"], GRAMS, row["names"], _packed(n[at]), _packed(scale[at]), _packed(rest[at][scale[at] == 0])))
+    columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))]
     at = pa.array(np.full(len(out), table["slice"][0].as_py() if len(table) else 0, np.int32))
-    return pa.table([*columns[:2], at, *columns[2:]], names=["of_chunk", "kind", "slice", "n", "scale", "rest"])
+    return pa.table([*columns[:2], at, *columns[2:]], names=["of_chunk", "kind", "slice", "names", "n", "scale", "rest"])
 
 
-def _word_sums(texts: list[bytes], told: dict[int, np.ndarray], slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_sums(texts: list[bytes], logs: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its words, those that training texts have, and the sum of log10(c + 1)."""
-    logs: dict[bytes, float] = {}
-    for at, words in _by_slice({w for text in texts for w in text.split()}, slices).items():
-        logs.update(zip(words, [math.log10(n + 1) for n in told[at].tolist()], strict=True))
-    out = np.array([(len(own), sum(x > 0 for x in own), math.fsum(own)) for own in ([logs[w] for w in text.split()] for text in texts)])
+    log_of = logs.__getitem__
+    out = np.array([(len(own), len(own) - own.count(0.0), math.fsum(own)) for own in (list(map(log_of, text.split())) for text in texts)])
     return out[:, 0].astype(np.int64), out[:, 1].astype(np.int64), out[:, 2]
 
 
-def _gram_sums(texts: list[bytes], told: dict[int, np.ndarray], slices: int) -> np.ndarray:
-    """Of each text the sum of the log10 probabilities of its symbols."""
-    tally = Tally()
-    for codes, _ in blocks(texts):
-        tally.add(*_distinct(np.sort(codes)))
-    names = tally.codes
-    length = np.zeros(len(names))
-    length[np.argsort(_slice_of(names, slices), kind="stable")] = np.concatenate([told[s] for s in sorted(told)])
+def _gram_sums(texts: list[bytes], names: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each text the sum of the log10 probabilities of its symbols; ``names`` in order."""
     out = np.zeros(len(texts))
     for codes, of in blocks(texts):
         starts = np.flatnonzero(np.diff(of, prepend=-1))
-        order = np.argsort(codes)  # looked up in order, neighbours are near in memory
+        order = np.argsort(codes)
+        own, times = _distinct(codes[order])
         each = np.empty(len(codes))
-        each[order] = length[np.searchsorted(names, codes[order])]
+        each[order] = np.repeat(lengths[np.searchsorted(names, own)], times)
         out[of[starts]] += np.add.reduceat(each, starts)
     return out
 
 
-def _sum_up(docs: pa.Table, answers: pa.Table, slices: int, tokens: int, distinct: int, ends: int) -> pa.Table:
+def _sum_up(docs: pa.Table, answers: pa.Table, tokens: int, distinct: int, ends: int) -> pa.Table:
     """Scores of a chunk's documents from the answers of the slices."""
     row = docs.to_pylist()[0]
     doc, whole = np.frombuffer(row["names"], DOC), _text(row["data"])
     bounds = np.cumsum(doc["bytes"])
     texts = [whole[b - n : b] for b, n in zip(bounds.tolist(), doc["bytes"].tolist(), strict=True)]
-    of_words, of_grams = {}, {}
+    logs: dict[bytes, float] = {}
+    grams, lengths = [], []
     for told in answers.to_pylist():
         n = _unpacked(told["n"], np.int64)
         if told["kind"] == WORDS:
-            of_words[told["slice"]] = n
+            logs.update(zip(_text(told["names"]).split(), map(math.log10, (n + 1).tolist()), strict=True))
         else:
-            scale = _unpacked(told["scale"], np.int64)
-            each = of_grams[told["slice"]] = np.zeros(len(n))
+            scale, each = _unpacked(told["scale"], np.int64), np.zeros(len(n))
             each[scale > 0] = np.log10(n[scale > 0] / scale[scale > 0])
             each[scale == 0] = _unpacked(told["rest"], np.float64)
-    n_words, known, base = _word_sums(texts, of_words, slices)
+            grams.append(_unpacked_grams(told["names"]))
+            lengths.append(each)
+    n_words, known, base = _word_sums(texts, logs)
+    del logs
     n_tokens, n_known = n_words + 1, known + (ends > 0)
     base = base + math.log10(ends + 1) - n_tokens * math.log10(tokens + distinct + 1)
-    score = _gram_sums(texts, of_grams, slices)
+    names = np.concatenate(grams)
+    order = np.argsort(names)
+    score = _gram_sums(texts, names[order], np.concatenate(lengths)[order])
     return pa.table({"doc_id": pa.array(doc["id"], mask=doc["no_id"]), "held_out": ~doc["train"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
 
 
@@ -464,5 +463,5 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, group: int = 500_000) -
     unstash(told)
     answers = parts.groupBy("slice").cogroup(lengths.groupBy("of_slice")).applyInArrow(_answers, ANSWER)
     chunks = partial.where(F.col("kind") == DOCS).select("chunk", "names", "data")
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(lambda a, b: _sum_up(a, b, slices, tokens, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(lambda a, b: _sum_up(a, b, tokens, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

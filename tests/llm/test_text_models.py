@@ -269,3 +269,32 @@ def test_blocks_are_cut_anywhere(monkeypatch):
         monkeypatch.setattr(ppm, "BLOCK", block)
         found = list(ppm.blocks(texts))
         assert np.array_equal(np.concatenate([c for c, _ in found]), whole) and np.array_equal(np.concatenate([i for _, i in found]), of)
+
+
+def test_a_chunk_works_out_its_grams_once_for_its_sums(monkeypatch):
+    texts = [b"", b"abcabc", b"\xff\x00 ab" * 30]
+    names = np.unique(np.concatenate([codes for codes, _ in ppm.blocks(texts)]))
+    lengths, done, whole = np.log10(1 / (2 + np.arange(len(names)))), [], ppm.grams_of
+    monkeypatch.setattr(ppm, "grams_of", lambda data, n, kinds: done.append(len(data) + len(n)) or whole(data, n, kinds))
+    got = ppm._gram_sums(texts, names, lengths)
+    assert sum(done) == sum(len(t) + 1 for t in texts)
+    monkeypatch.undo()
+    for text, total in zip(texts, got.tolist(), strict=True):
+        own = np.concatenate([codes for codes, _ in ppm.blocks([text])])
+        assert abs(total - lengths[np.searchsorted(names, own)].sum()) < 1e-9
+
+
+def test_counts_of_many_parts_are_moved_a_few_times_only(monkeypatch):
+    moved, both = [], ppm.Tally._both
+    monkeypatch.setattr(ppm.Tally, "_both", staticmethod(lambda *parts: moved.append(sum(len(x[0]) for x in parts)) or both(*parts)))
+    tally, rng, counts = ppm.Tally(), np.random.default_rng(1), {}
+    for _ in range(64):
+        codes = np.unique(rng.integers(0, 1 << 40, 1000))
+        tally.add(codes, np.ones(len(codes), np.int64))
+        tally.add(codes[:3], np.array([5, 0, 2]))
+        for code, n in [*zip(codes.tolist(), [1] * len(codes)), *zip(codes[:3].tolist(), [5, 0, 2])]:
+            counts[code] = counts.get(code, 0) + n
+    names, n = tally.whole()
+    assert dict(zip(names.tolist(), n.tolist(), strict=True)) == counts and (np.diff(names) > 0).all()
+    assert sum(moved) < 10 * 64 * 1000
+    assert len(ppm.Tally().whole()[0]) == 0
