@@ -333,7 +333,7 @@ for _k in ("r1", "r2", "r3"):
 @query(f"WITH {fx.TITLED}, {COUNTERS}, {RULES} SELECT token, r1, r2, r3 FROM f_r WHERE r1 OR r2 OR r3")
 def corpus_vocab_titled(spark, sf_dir):
     """Documents that are all named alike: their words are in all titles and hardly in bodies, so that every rule has something to name."""
-    return vocab.generic_rules(fx.titled(spark, sf_dir)).where("r1 or r2 or r3")
+    return vocab.named_by_rules(fx.titled(spark, sf_dir))
 
 
 @query(f"WITH {fx.TITLED.replace('FROM documents)', 'FROM documents WHERE doc_id % 5 <> 0)')}, {COUNTERS} SELECT * FROM f_c")

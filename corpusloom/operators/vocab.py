@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import stash
 
 
 def term_frequencies(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -30,47 +30,75 @@ COUNTS = ("title_hits", "body_hits", "long_body_hits", "short_header_hits")
 #: Tokens that a task counts before it gives them back.
 MOST_TOKENS = 400_000
 
+#: Tokens that a task may be given to look for; where rules may name more, all are counted.
+MOST_WANTED = 100_000
 
-def _body_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, body_hits, long_body_hits) of batches of (lower-cased text, long), added up for MOST_TOKENS tokens at a time; each text counts a token once."""
-    find = re.compile("[a-z0-9]{3,}").findall
-    every, longs = Counter(), Counter()
+
+#: Bytes of UTF-8 as they stand in a token, blanks for all that no token holds.
+_IN_TOKENS = bytes(ord(chr(i).lower()) if chr(i).isascii() and chr(i).isalnum() else 32 for i in range(256))
+
+#: The two characters outside ASCII whose lower case holds a letter within: the Kelvin sign and the dotted I.
+_ODD = ("\u212a".encode(), "\u0130".encode())
+
+
+def _tokens(text: bytes) -> list[bytes]:
+    """Runs of [a-z0-9] of a lower-cased text."""
+    if any(x in text for x in _ODD):
+        text = text.decode("utf-8", "replace").lower().encode()
+    return text.translate(_IN_TOKENS).split()
+
+
+def _body_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """(token, body_hits, long_body_hits) of batches of (text, long), added up for MOST_TOKENS tokens at a time; each text counts a token once. Of all tokens or those ``wanted``."""
+    shorts, longs = Counter(), Counter()
+    distinct = set if wanted is None else wanted.intersection
 
     def added() -> pa.RecordBatch:
-        names = list(every)
-        counts = [pa.array([c[t] for t in names], pa.int64()) for c in (every, longs)]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["token", "body_hits", "long_body_hits"])
+        names = [t for t in {**longs, **shorts} if len(t) >= 3]
+        long = pa.array([longs[t] for t in names], pa.int64())
+        every = pa.array([longs[t] + shorts[t] for t in names], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), every, long], names=["token", "body_hits", "long_body_hits"])
 
     for batch in batches:
-        for text, long in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            tokens = set(find(text.as_py()))
-            every.update(tokens)
-            if long:
-                longs.update(tokens)
-            if len(every) >= MOST_TOKENS:
+        for text, long in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            (longs if long else shorts).update(distinct(_tokens(text)))
+            if len(longs) + len(shorts) >= MOST_TOKENS:
                 yield added()
-                every.clear()
+                shorts.clear()
                 longs.clear()
     yield added()
 
 
+def _length() -> Column:
+    return F.char_length(X.pystrip(X.text_of("text")))
+
+
+def body_hits(chunks: DataFrame, wanted: frozenset[bytes] | None = None) -> DataFrame:
+    """(token, body_hits, long_body_hits): added up in tasks, so that what is shuffled of them is their distinct words."""
+    texts = chunks.select(X.text_of("text").alias("text"), (_length() >= 120).alias("long"))
+    bodies = texts.mapInArrow(lambda it: _body_counts(it, wanted), "token string, body_hits bigint, long_body_hits bigint").groupBy("token")
+    return bodies.agg(F.sum("body_hits").alias("body_hits"), F.sum("long_body_hits").alias("long_body_hits"))
+
+
+def title_hits(chunks: DataFrame) -> DataFrame:
+    """(token, doc, title_hits, body_hits, long_body_hits, short_header_hits), with no hits in bodies. Titles are cut into tokens once a document and section, not once a chunk."""
+    alike = chunks.groupBy("doc_name", "section_path_str").agg(F.count("*").alias("n"), F.count_if(_length() < 100).alias("n_short"))
+    title = F.array_distinct(X.title_tokens(F.col("doc_name"), F.col("section_path_str")))
+    titles = alike.select(X.pystrip(X.text_of("doc_name")).alias("doc"), "n", "n_short", F.explode(title).alias("token")).groupBy("token", "doc")
+    titles = titles.agg(F.sum("n").alias("title_hits"), F.sum("n_short").alias("short_header_hits"))
+    none = F.lit(0).cast("bigint")
+    return titles.select("token", "doc", "title_hits", none.alias("body_hits"), none.alias("long_body_hits"), "short_header_hits")
+
+
 def token_hits(chunks: DataFrame) -> DataFrame:
     """(token, doc, title_hits, body_hits, long_body_hits, short_header_hits): what chunks add to a token's counts.
 
     Only titles are counted by document, since only their documents are counted later. Hits in bodies, which are
-    nearly all, have a null ``doc``: a task adds them up by token, so what is shuffled of them is its distinct words.
+    nearly all, have a null ``doc``.
     """
-    n = F.char_length(X.pystrip(X.text_of("text")))
-    doc = X.pystrip(X.text_of("doc_name"))
-    title = F.array_distinct(X.title_tokens(F.col("doc_name"), F.col("section_path_str")))
     none = F.lit(0).cast("bigint")
-    texts = chunks.select(F.lower(X.text_of("text")).alias("text"), (n >= 120).alias("long"))
-    bodies = texts.mapInArrow(_body_counts, "token string, body_hits bigint, long_body_hits bigint").groupBy("token")
-    bodies = bodies.agg(F.sum("body_hits").alias("body_hits"), F.sum("long_body_hits").alias("long_body_hits"))
-    titles = chunks.select(doc.alias("doc"), (n < 100).alias("short"), F.explode(title).alias("token")).groupBy("token", "doc")
-    titles = titles.agg(F.count("*").alias("title_hits"), F.count_if("short").alias("short_header_hits"))
-    in_titles = titles.select("token", "doc", "title_hits", none.alias("body_hits"), none.alias("long_body_hits"), "short_header_hits")
-    return in_titles.unionByName(bodies.select("token", F.lit(None).cast("string").alias("doc"), none.alias("title_hits"), "body_hits", "long_body_hits", none.alias("short_header_hits")))
+    bodies = body_hits(chunks).select("token", F.lit(None).cast("string").alias("doc"), none.alias("title_hits"), "body_hits", "long_body_hits", none.alias("short_header_hits"))
+    return title_hits(chunks).unionByName(bodies)
 
 
 def _counters(hits: DataFrame) -> DataFrame:
@@ -92,16 +120,39 @@ def generic_rules(chunks: DataFrame) -> DataFrame:
     return rules_of(token_counters(chunks), corpus_sizes(chunks))
 
 
+ANY_RULE = "r1 or r2 or r3"
+
+
+def named_by_rules(chunks: DataFrame) -> DataFrame:
+    """The rows of ``generic_rules`` in which a rule holds.
+
+    Rules name tokens of titles only, and hits in bodies only speak against a token. So titles are counted first,
+    and in bodies only those tokens which a rule would name if no body had them.
+    """
+    sizes = corpus_sizes(chunks)
+    likely = stash(_ruled(_counters(title_hits(chunks)), sizes).where(ANY_RULE).drop("body_hits", "long_body_hits", "r1", "r2", "r3"), "likely")
+    some = likely.select("token").limit(MOST_WANTED + 1).collect()
+    bodies = body_hits(chunks, frozenset(r.token.encode() for r in some) if len(some) <= MOST_WANTED else None)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("body_hits", "long_body_hits")]
+    counters = likely.join(bodies, "token", "left").select("token", "title_hits", "title_docs", *counts, "short_header_hits", "n_chunks", "n_docs")
+    return _ruled(counters).select("token", "r1", "r2", "r3").where(ANY_RULE)
+
+
 def rules_of(counters: DataFrame, sizes: DataFrame) -> DataFrame:
     """The rules for given counts and sizes (n_chunks, n_docs; one row)."""
-    c = counters.join(F.broadcast(sizes))  # one row
+    return _ruled(counters, sizes).select("token", "r1", "r2", "r3")
+
+
+def _ruled(counters: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Counts, sizes and what each rule says; without ``sizes`` the counts come with them."""
+    c = counters if sizes is None else counters.join(F.broadcast(sizes))  # one row
     usable = ~F.col("token").isin(*X.QUESTION_STOPS) & (F.col("n_docs") > 0)
     r1 = F.col("title_docs") >= F.greatest(F.lit(2), F.floor(F.col("n_docs") * 0.4))
     short = F.col("short_header_hits")
     r2 = (short >= 2) & (F.col("long_body_hits") < F.greatest(F.lit(2.0), short * 0.25)) & (F.col("title_hits") >= 2)
     hits = F.col("title_hits")
     r3 = (hits > 0) & (hits / F.greatest(F.lit(1), F.col("n_chunks")) >= 0.12) & (F.col("body_hits") / F.greatest(F.lit(1), hits) < 0.45)
-    return c.select("token", (usable & r1).alias("r1"), (usable & r2).alias("r2"), (usable & r3).alias("r3"))
+    return c.withColumns({"r1": usable & r1, "r2": usable & r2, "r3": usable & r3})
 
 
 class VocabularyLog:

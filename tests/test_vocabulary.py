@@ -78,3 +78,32 @@ def test_counts_given_back_in_parts_add_up():
         vocab.MOST_TOKENS = most
     added = lambda t: sorted(map(tuple, (r.values() for r in t.group_by("token", use_threads=False).aggregate([("body_hits", "sum"), ("long_body_hits", "sum")]).to_pylist())))
     assert added(parts) == added(whole) and parts.num_rows > whole.num_rows
+
+
+def test_letters_in_bodies_are_those_of_the_lower_cased_text(spark):
+    from pyspark.sql import functions as F
+
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    text = lambda a, b: f"{a}x{b}y{a}"
+    texts = [" ".join(text("ab", c) for c in chars[i : i + 5000]) for i in range(0, len(chars), 5000)]
+    lower = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
+    for i, tokens in lower.collect():
+        assert [t.decode() for t in vocab._tokens(texts[i].encode())] == tokens
+
+
+def test_bodies_are_searched_for_what_rules_may_name_only(spark, monkeypatch):
+    rng = random.Random(2)
+    words = ["pump", "seal", "valve", "überdruck", "the", "a1", "what", *(f"w{i}" for i in range(200))]
+    rows = [(f"Pump {rng.choice(words)} {i % 9}.pdf" if i % 10 else None, " ".join(rng.choices(words, k=rng.randrange(1, 60))) if i % 13 else None, rng.choice(["", "Seal data", "the valve", None])) for i in range(200)]
+    rows += [("Pump x.pdf", "K2 mount", "K2 mount")] * 3
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    expected = table(vocab.generic_rules(chunks).where("r1 or r2 or r3"))
+    assert len(expected) > 3
+    given, whole = [], vocab.body_hits
+    monkeypatch.setattr(vocab, "body_hits", lambda c, wanted=None: given.append(wanted) or whole(c, wanted))
+    assert table(vocab.named_by_rules(chunks)) == expected
+    assert {r[0].encode() for r in expected} <= given[0] and len(given[0]) < 20
+    assert {r.token.encode() for r in whole(chunks, given[0]).collect()} <= given[0]
+    monkeypatch.setattr(vocab, "MOST_WANTED", 1)  # more than that: all tokens are counted
+    assert table(vocab.named_by_rules(chunks)) == expected and given[-1] is None
+    assert table(vocab.named_by_rules(chunks.limit(0))) == []
