@@ -320,7 +320,7 @@ title_hits>0 AND title_hits/greatest(1,nc)>=0.12 AND body_hits/greatest(1,title_
 
 def _rule(k: str):
     def run(spark, sf_dir):
-        return vocab.generic_rules(fx.chunks(spark, sf_dir)).where(k).select("token")
+        return vocab.named_by_rules(fx.chunks(spark, sf_dir)).where(k).select("token")
 
     run.__name__ = f"corpus_vocab_{k}"
     return query(f"WITH {fx.CHUNKS}, {COUNTERS}, {RULES} SELECT token FROM f_r WHERE {k}")(run)
