@@ -222,5 +222,5 @@ def generic_terms(chunks: DataFrame, extras: tuple[str, ...] = (), exclude: tupl
     listed = spark.createDataFrame([(t,) for t in sorted({*X.BASELINE_GENERIC, *tidy(extras)})], "token string")
     found = listed
     if enabled:
-        found = listed.unionByName(generic_rules(chunks).where("r1 or r2 or r3").select("token"))
+        found = listed.unionByName(named_by_rules(chunks).select("token"))
     return found.distinct().where(~F.col("token").isin(tidy(exclude)))
