@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,8 +280,8 @@ def _partials(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.Rec
         doc["id"], doc["no_id"] = [i or 0 for i in ids], [i is None for i in ids]
         doc["bytes"], doc["train"] = list(map(len, texts)), train
         yield _rows(chunk, DOCS, [(0, doc.tobytes(), _squeezed(b"".join(texts)))])
-        yield _rows(chunk, WORDS, _words_by_slice(texts, train, slices))
         yield _rows(chunk, GRAMS, _grams_by_slice(texts, train, slices))
+        yield _rows(chunk, WORDS, _words_by_slice(texts, train, slices))
 
 
 def _words_by_slice(texts: list[bytes], train: np.ndarray, slices: int) -> list[tuple[int, bytes, bytes]]:
@@ -337,7 +338,7 @@ def _merged_words(rows: list[dict]) -> tuple[list[list[bytes]], Counter]:
 
 
 def _of_kind(table: pa.Table, kind: int) -> list[dict]:
-    return [r for r in table.select(["chunk", "kind", "names", "data"]).to_pylist() if r["kind"] == kind]
+    return table.filter(pc.field("kind") == kind).to_pylist()
 
 
 #: What a slice tells: at order DEPTH its grams in contexts that an unseen one needs, at order 5 counts, at TOLD the distinct training words and their occurrences.
@@ -397,31 +398,34 @@ def _gram_sums(texts: list[bytes], names: np.ndarray, lengths: np.ndarray) -> np
     return out
 
 
+def _gram_lengths(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's grams in order and their log10 probabilities."""
+    grams, lengths = [], []
+    for told in answers:
+        n, scale = _unpacked(told["n"], np.int64), _unpacked(told["scale"], np.int64)
+        each = np.zeros(len(n))
+        each[scale > 0] = np.log10(n[scale > 0] / scale[scale > 0])
+        each[scale == 0] = _unpacked(told["rest"], np.float64)
+        grams.append(_unpacked_grams(told["names"]))
+        lengths.append(each)
+    names = np.concatenate(grams)
+    order = np.argsort(names)
+    return names[order], np.concatenate(lengths)[order]
+
+
 def _sum_up(docs: pa.Table, answers: pa.Table, tokens: int, distinct: int, ends: int) -> pa.Table:
     """Scores of a chunk's documents from the answers of the slices."""
     row = docs.to_pylist()[0]
     doc, whole = np.frombuffer(row["names"], DOC), _text(row["data"])
     bounds = np.cumsum(doc["bytes"])
     texts = [whole[b - n : b] for b, n in zip(bounds.tolist(), doc["bytes"].tolist(), strict=True)]
+    score = _gram_sums(texts, *_gram_lengths(_of_kind(answers, GRAMS)))
     logs: dict[bytes, float] = {}
-    grams, lengths = [], []
-    for told in answers.to_pylist():
-        n = _unpacked(told["n"], np.int64)
-        if told["kind"] == WORDS:
-            logs.update(zip(_text(told["names"]).split(), map(math.log10, (n + 1).tolist()), strict=True))
-        else:
-            scale, each = _unpacked(told["scale"], np.int64), np.zeros(len(n))
-            each[scale > 0] = np.log10(n[scale > 0] / scale[scale > 0])
-            each[scale == 0] = _unpacked(told["rest"], np.float64)
-            grams.append(_unpacked_grams(told["names"]))
-            lengths.append(each)
+    for told in _of_kind(answers, WORDS):
+        logs.update(zip(_text(told["names"]).split(), map(math.log10, (_unpacked(told["n"], np.int64) + 1).tolist()), strict=True))
     n_words, known, base = _word_sums(texts, logs)
-    del logs
     n_tokens, n_known = n_words + 1, known + (ends > 0)
     base = base + math.log10(ends + 1) - n_tokens * math.log10(tokens + distinct + 1)
-    names = np.concatenate(grams)
-    order = np.argsort(names)
-    score = _gram_sums(texts, names[order], np.concatenate(lengths)[order])
     return pa.table({"doc_id": pa.array(doc["id"], mask=doc["no_id"]), "held_out": ~doc["train"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
 
 
