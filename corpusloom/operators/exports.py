@@ -2,26 +2,90 @@
 
 A job is idle, queued, building, ready or failed. The slot is claimed by a request when it is free and
 released when the build fails, its bundle was fetched, or its owner is removed; the first in line then
-claims it. A log is one queue's history in order, so queues run beside each other and a log runs alone.
+claims it. A log is one queue's history in order, so queues run beside each other and a log runs alone:
+a task reads it sorted, batch by batch, and holds the queue only. An event costs the logarithm of the line's length.
 """
 
 from __future__ import annotations
 
-from collections.abc import MutableMapping
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator, MutableMapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 IDLE = {"state": "idle", "zip_path": None, "zip_size": 0, "error": ""}
 OUT = "queue string, seq bigint, kind string, slug string, state string, position bigint, started string"
+OUT_NAMES = [c.split()[0] for c in OUT.split(", ")]
+TYPES = [pa.int64() if c.endswith(" bigint") else pa.string() for c in OUT.split(", ")]
+
+
+class Line:
+    """Who waits, first come first served. Places are counts of earlier tickets, added up in a Fenwick tree."""
+
+    def __init__(self, slugs: Iterable[str] = ()):
+        self._tickets: OrderedDict[str, int] = OrderedDict.fromkeys(slugs, 0)
+        self._renumber()
+
+    def __contains__(self, slug: str) -> bool:
+        return slug in self._tickets
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._tickets)
+
+    def __len__(self) -> int:
+        return len(self._tickets)
+
+    def _renumber(self) -> None:
+        """Tickets from 1 again, with room for as many more."""
+        n = len(self._tickets)
+        self._tickets = OrderedDict(zip(self._tickets, range(1, n + 1)))
+        self._next, self._size = n + 1, max(64, 2 * n)
+        self._tree = [max(0, min(i, n) - (i - (i & -i))) for i in range(self._size + 1)]
+
+    def _add(self, at: int, by: int) -> None:
+        while at <= self._size:
+            self._tree[at] += by
+            at += at & -at
+
+    def join(self, slug: str) -> None:
+        """To the end of the line; who waits already keeps the place."""
+        if slug in self._tickets:
+            return
+        if self._next > self._size:
+            self._renumber()
+        self._tickets[slug] = self._next
+        self._add(self._next, 1)
+        self._next += 1
+
+    def leave(self, slug: str) -> None:
+        at = self._tickets.pop(slug, None)
+        if at is not None:
+            self._add(at, -1)
+
+    def pop_first(self) -> str:
+        slug, at = self._tickets.popitem(last=False)
+        self._add(at, -1)
+        return slug
+
+    def place(self, slug: str) -> int | None:
+        """From 1; None for who doesn't wait."""
+        at = self._tickets.get(slug)
+        if at is None:
+            return None
+        n = 0
+        while at:
+            n += self._tree[at]
+            at &= at - 1
+        return n
 
 
 class Queue:
     """Who has the slot, who waits for it, and the state of each slug."""
 
-    def __init__(self, slot: str | None = None, waiting: list[str] | None = None, states: MutableMapping | None = None):
-        self.slot, self.waiting, self.states = slot, waiting or [], {} if states is None else states
+    def __init__(self, slot: str | None = None, waiting: Iterable[str] | None = None, states: MutableMapping | None = None):
+        self.slot, self.waiting, self.states = slot, Line(waiting or ()), {} if states is None else states
         self.started: str | None = None
 
     def _put(self, slug: str, state: str, zip_path: str | None = None, zip_size: int = 0, error: str = "") -> None:
@@ -36,7 +100,7 @@ class Queue:
         if self.slot == slug:
             self.slot = None
             if self.waiting:
-                self._claim(self.waiting.pop(0))
+                self._claim(self.waiting.pop_first())
 
     def requested(self, slug: str, now: dict) -> None:
         served = self.slot == slug and (now["state"] == "building" or (now["state"] == "ready" and now["zip_path"]))
@@ -45,7 +109,7 @@ class Queue:
         if self.slot is None:
             self._claim(slug)
         else:
-            self.waiting.append(slug)
+            self.waiting.join(slug)
             self._put(slug, "queued")
 
     def apply(self, kind: str, slug: str, zip_path: str | None, zip_size: int | None, error: str | None) -> tuple:
@@ -65,26 +129,36 @@ class Queue:
             self._release(slug)
         elif kind == "removed":
             self.states.pop(slug, None)
-            self.waiting = [x for x in self.waiting if x != slug]
+            self.waiting.leave(slug)
             self._release(slug)
         elif kind == "lost" and now["state"] == "ready":
             self._put(slug, "failed", error="Prepared export file is missing")
-        position = self.waiting.index(slug) + 1 if slug in self.waiting else None
-        return kind, slug, self.states.get(slug, IDLE)["state"], position, self.started
+        return kind, slug, self.states.get(slug, IDLE)["state"], self.waiting.place(slug), self.started
+
+
+def _values(column: pa.Array) -> list:
+    """``to_pylist`` at a tenth of its time; only integers with nulls would become floats on the way."""
+    return column.to_pylist() if column.null_count and pa.types.is_integer(column.type) else column.to_numpy(zero_copy_only=False).tolist()
 
 
 def fold(events: DataFrame) -> DataFrame:
     """What each event of (queue, seq, kind, slug, zip_path, zip_size, error) leads to; events of equal ``seq`` count once."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq", kind="stable").drop_duplicates("seq")
-        queue = Queue()
-        clean = lambda x: None if pd.isna(x) else x
-        out = [(r.queue, r.seq, *queue.apply(r.kind, r.slug, clean(r.zip_path), clean(r.zip_size), clean(r.error))) for r in frame.itertuples(index=False)]
-        return pd.DataFrame(out, columns=["queue", "seq", "kind", "slug", "state", "position", "started"]).astype({"position": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, at, last = None, None, None
+        for batch in batches:
+            out = []
+            for name, seq, *event in zip(*[_values(c) for c in batch.columns]):
+                if queue is None or name != at:
+                    queue, at = Queue(), name
+                elif seq == last:
+                    continue
+                last = seq
+                out.append((name, seq, *queue.apply(*event)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(TYPES), TYPES)], OUT_NAMES)
 
     rows = events.select("queue", F.col("seq").cast("bigint").alias("seq"), "kind", "slug", "zip_path", F.col("zip_size").cast("bigint").alias("zip_size"), "error")
-    return rows.groupBy("queue").applyInPandas(run, OUT)
+    return rows.repartition("queue").sortWithinPartitions("queue", F.asc_nulls_last("seq")).mapInArrow(run, OUT)
 
 
 def states(folded: DataFrame) -> DataFrame:

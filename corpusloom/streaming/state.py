@@ -48,6 +48,10 @@ class PiecesInOrder(StatefulProcessor):
     def fold(self, kept: dict, seq: int, row: list) -> tuple:
         raise NotImplementedError
 
+    def stored(self, kept: dict) -> dict:
+        """What is kept, as JSON can say it."""
+        return kept
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.held.get()
         turn, waiting, kept = json.loads(held[0]) if held else (0, {}, {})
@@ -59,7 +63,7 @@ class PiecesInOrder(StatefulProcessor):
         while (row := waiting.pop(str(turn), None)) is not None:
             out.append((key[0], turn, *self.fold(kept, turn, row)))
             turn += 1
-        self.held.update((json.dumps([turn, waiting, kept]),))
+        self.held.update((json.dumps([turn, waiting, self.stored(kept)]),))
         yield pd.DataFrame(out, columns=self.out)
 
     def close(self) -> None:
@@ -127,10 +131,13 @@ class ExportQueues(PiecesInOrder):
     out = ("queue", "seq", "kind", "slug", "state", "position", "started")
 
     def fold(self, kept: dict, seq: int, row: list) -> tuple:
-        queue = Queue(kept.get("slot"), kept.get("waiting"), kept.setdefault("states", {}))
-        told = queue.apply(*row)
-        kept.update(slot=queue.slot, waiting=queue.waiting)
-        return told
+        if "queue" not in kept:
+            kept["queue"] = Queue(kept.get("slot"), kept.get("waiting"), kept.get("states"))
+        return kept["queue"].apply(*row)
+
+    def stored(self, kept: dict) -> dict:
+        queue = kept.get("queue")
+        return {"slot": queue.slot, "waiting": list(queue.waiting), "states": queue.states} if queue else kept
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in super().handleInputRows(key, rows, timerValues):

@@ -193,6 +193,44 @@ def test_last_state_of_each_slug(spark):
     assert {(r.slug, r.state) for r in exports.states(folded.where("seq < 3")).collect()} == {("x", "failed"), ("y", "building")}
 
 
+def test_line_equals_a_list():
+    rng, line, plain = random.Random(5), exports.Line(["s1", "s2"]), ["s1", "s2"]
+    for _ in range(4000):
+        slug = f"s{rng.randrange(300)}"
+        act = rng.choice(["join", "join", "leave", "first"])
+        if act == "join":
+            line.join(slug)
+            plain += [slug] if slug not in plain else []
+        elif act == "leave":
+            line.leave(slug)
+            plain = [x for x in plain if x != slug]
+        elif plain:
+            assert line.pop_first() == plain.pop(0)
+        assert line.place(slug) == (plain.index(slug) + 1 if slug in plain else None)
+        assert len(line) == len(plain) and (slug in line) == (slug in plain)
+    assert list(line) == plain
+
+
+def test_long_lines_cost_no_square():
+    n, queue, began = 100_000, exports.Queue(), time.process_time()
+    places = [queue.apply("requested", f"s{i}", None, None, None)[3] for i in range(n)]
+    assert places == [None, *range(1, n)]
+    started = [queue.apply("removed", f"s{i}", None, None, None)[4] for i in range(n // 2)]
+    assert started == [f"s{i + 1}" for i in range(n // 2)]
+    assert queue.apply("requested", f"s{n - 1}", None, None, None)[3] == n - 1 - n // 2
+    assert time.process_time() - began < 20
+
+
+def test_many_queues_in_few_tasks_equal_sqlite(spark):
+    rows = [(f"{q}{i}", *rest) for i in range(7) for q, *rest in log(40, 10 + i)]
+    none = [(None, *rest) for q, *rest in log(60, 30) if q == "a"]
+    random.Random(1).shuffle(rows)
+    found = exports.fold(spark.createDataFrame(rows + none + none[:9], EVENTS)).collect()
+    assert len(found) == len(rows) + len(none)
+    assert told(r for r in found if r.queue is not None) == by_sqlite(rows)
+    assert {k[1]: v for k, v in told(r for r in found if r.queue is None).items()} == {k[1]: v for k, v in by_sqlite(none).items()}
+
+
 MESSAGES = "id bigint, session_id string, created_at timestamp, role string, content string, sources_json string"
 
 
