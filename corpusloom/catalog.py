@@ -210,7 +210,7 @@ def mmr_select(spark, sf_dir):
 @query()
 def retrieve_context(spark, sf_dir):
     """The whole plan for a table of questions: every fiftieth chunk's vector, with its section as what is asked for."""
-    chunks = fx.vectors(spark, sf_dir)
+    chunks = fx.stored_vectors(spark, sf_dir)
     asked = chunks.where("vector_id % 50 = 0").select(F.col("vector_id").alias("query_id"), F.concat(F.lit("what is the "), F.col("section_path_str"), F.lit(" of the machine")).alias("question"), F.col("embedding").cast("array<double>").alias("query_vec"))
     found = retrieve(chunks, asked, RetrievalConfig(min_hybrid_rerank_score=0.0))
     return found.context.select("query_id", "position", "vector_id", "doc_name", F.char_length("text").alias("n_chars"), r6("score", 5).alias("score"))

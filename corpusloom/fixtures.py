@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .session import read_table
+from .sources.shared import stash
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,20 @@ TITLED = CHUNKS.replace("'doc_'||doc_id AS doc_name", "'Vacuum_pump-'||source||'
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their vector, one chunk each."""
+    return _with_vectors(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings"))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vectors`` written once, as an engine's store is, in files of like size wherever documents lie (the join is a shuffle).
+
+    Documents outside the vectors' range of ids, which have none, don't come to the join.
+    """
     docs, vecs = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings")
+    ends = vecs.agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).first()
+    return stash(_with_vectors(docs.where(F.col("doc_id").between(ends.low, ends.high)), vecs.hint("merge")), "chunks")
+
+
+def _with_vectors(docs: DataFrame, vecs: DataFrame) -> DataFrame:
     joined = docs.join(vecs, docs.doc_id == vecs.vec_id)
     title = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Model "), F.col("lang"))).when(F.col("doc_id") % 7 == 1, F.lit("Technical specifications")).otherwise(F.left("text", F.lit(30)))
     return joined.select(F.col("source").alias("tenant"), F.concat(F.lit("doc_"), (F.col("doc_id") % 50).cast("string")).alias("doc_name"), F.floor(F.col("doc_id") / 50).cast("bigint").alias("chunk_index"), F.col("doc_id").alias("vector_id"), "text", title.alias("section_path_str"), F.lit(1).cast("bigint").alias("page_number"), "embedding")

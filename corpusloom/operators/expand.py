@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -51,10 +53,49 @@ def chunk_neighbours(ranked: DataFrame, chunks: DataFrame, before: int, after: i
     return _append(seeds, extra, 1)
 
 
-def section_mates(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``ranked`` (with ``ord``) and all chunks of the sections that its rows lie in."""
-    wanted = ranked.where((X.text_of("doc_name") != "") & (X.pystrip(X.text_of("section_path_str")) != "")).select("query_id", *DOC, "section_path_str").distinct()
-    return _append(ranked, chunks.join(wanted, [*DOC, "section_path_str"]), 2)
+def section_mates(ranked: DataFrame, chunks: DataFrame, reach: Callable[[DataFrame], DataFrame] | None = None, few: bool = False) -> DataFrame:
+    """``ranked`` (with ``ord``) and all chunks of the sections that its rows lie in, or those of them that ``reach`` leaves.
+
+    Every question has all chunks of its sections, whose number is that of questions times that of a section's chunks:
+    what can't be packed anyway should go before. The sections are broadcast if they are ``few``.
+    """
+    keys = [*DOC, "section_path_str"]
+    wanted = ranked.where((X.text_of("doc_name") != "") & (X.pystrip(X.text_of("section_path_str")) != "")).select("query_id", *keys).distinct()
+    if reach is not None:
+        sections = wanted.select(*keys).distinct()
+        chunks = reach(chunks.join(F.broadcast(sections) if few else sections, keys, "left_semi"))
+    return _append(ranked, chunks.join(wanted, keys), 2)
+
+
+def within_budget(budget: int, most: int = 0, mixed: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """For ``section_mates``: of each section the chunks that ``pack_top_document`` (``mixed``: ``pack_mixed``) can get to.
+
+    What stands before a chunk in its own section stands before it in every question's rows too, so a chunk is out of
+    reach where these alone are longer than the budget. Where packing skips what is too long, short ones may follow: of
+    one length as many as the budget holds. Texts are cut as in ``_in_reach``. Mixed rows of which the ``most`` first are
+    taken, with blank ones, are counted only.
+    """
+    limit, last = max(budget, 0) + 1, F.lit(10**9).cast("bigint")
+    keys = [*DOC, "section_path_str"]
+    page = [] if mixed else [F.coalesce(X.parse_page(F.col("page_number")), last)]
+    order = [*page, F.coalesce("chunk_index", last), F.col("vector_id")]
+
+    def reach(chunks: DataFrame) -> DataFrame:
+        rows = chunks.repartition(*keys).dropDuplicates([*keys, "vector_id"])
+        by_order = W.partitionBy(*keys).orderBy(*order)
+        if mixed and most > 0:
+            return rows.withColumn("_r", F.row_number().over(by_order)).where(F.col("_r") <= most).drop("_r")
+        head = F.left("text", F.lit(limit))
+        rows = rows.where(X.pystrip(X.text_of("text")) != "").withColumn("_n", F.char_length(head))
+        rows = rows.withColumn("text", F.when(X.pystrip(head) == "", F.col("text")).otherwise(head))
+        rows = rows.withColumn("_sum", F.sum("_n").over(by_order.rowsBetween(W.unboundedPreceding, 0)))
+        near = F.col("_sum") - F.col("_n") <= budget
+        if mixed:
+            rows = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_n").orderBy(*order)))
+            near = near | ((F.col("_n") < LEAST_SLICE) & (F.col("_r") * F.col("_n") <= budget))
+        return rows.where(near).drop("_n", "_sum", "_r")
+
+    return reach
 
 
 def _append(seeds: DataFrame, extra: DataFrame, kind: int) -> DataFrame:

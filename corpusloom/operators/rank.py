@@ -152,12 +152,12 @@ def _bm25_score(k1: float, b: float) -> Column:
 def bm25(pool: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, text_col: str = "text") -> DataFrame:
     """``pool`` with ``bm25``: statistics are of each query's own pool; query terms count as often as they stand in ``bm25_terms``.
 
-    Terms are counted row by row; only the statistics, one row a query, are joined back.
+    Terms are counted row by row, if ``measured`` hasn't done so; only the statistics, one row a query, are joined back.
     """
     terms = _term_lists(queries)
-    rows = pool.join(terms, "query_id").withColumn("_c", _counted(F.col(text_col)))
+    rows = pool if "_c" in pool.columns else pool.join(terms, "query_id").withColumn("_c", _counted(F.col(text_col)))
     scored = rows.join(_bm25_weights(rows.select("query_id", "_c"), terms, k1), "query_id").withColumn("bm25", _bm25_score(k1, b))
-    return scored.select(*pool.columns, "bm25")
+    return scored.select(*[c for c in pool.columns if c != "_c"], "bm25")
 
 
 def _counts(chunks: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
@@ -272,12 +272,22 @@ def section_factors(section: Column, text: Column) -> Column:
     return X.section_match(section, focus, terms, phrases) * X.generic_section(section, phrases) * X.thin_chunk(text) * X.title_only(section, text) * X.spec_section(section, terms)
 
 
+def measured(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """``rows`` of questions with what the fusion stage needs of their texts, so that texts need not travel on.
+
+    ``_c``: length and counts of the query's terms; ``_section``: multipliers of section and length; ``_factor``: all multipliers.
+    """
+    facts = questions.select("query_id", "terms", "phrases", "has_focus", F.array_sort(F.array_distinct("bm25_terms")).alias("_terms"))
+    joined = rows.join(F.broadcast(facts), "query_id").withColumn("_c", _counted(F.col("text")))
+    joined = joined.withColumn("_section", section_factors(F.col("section_path_str"), F.col("text")))
+    factor = X.boilerplate(F.col("text")) * X.term_coverage(F.col("text"), F.col("terms")) * F.col("_section")
+    return joined.withColumn("_factor", factor).drop("terms", "phrases", "has_focus", "_terms")
+
+
 def adjust(fused: DataFrame, questions: DataFrame) -> DataFrame:
-    """``fused`` times all multipliers of the fusion stage."""
-    facts = questions.select("query_id", "terms", "phrases", "has_focus")
-    joined = fused.join(F.broadcast(facts), "query_id")
-    factor = X.boilerplate(F.col("text")) * X.term_coverage(F.col("text"), F.col("terms")) * section_factors(F.col("section_path_str"), F.col("text"))
-    return joined.withColumn("fused", F.col("fused") * factor).drop("terms", "phrases", "has_focus")
+    """``fused`` times all multipliers of the fusion stage, by ``measured`` if they aren't there."""
+    rows = fused if "_factor" in fused.columns else measured(fused, questions).drop("_c", "_section")
+    return rows.withColumn("fused", F.col("fused") * F.col("_factor")).drop("_factor")
 
 
 def cut_and_dedupe(fused: DataFrame, pool_k: int, keys: tuple[str, ...] = ("tenant", "doc_name", "chunk_index"), id_col: str = "vector_id") -> DataFrame:
@@ -289,15 +299,16 @@ def cut_and_dedupe(fused: DataFrame, pool_k: int, keys: tuple[str, ...] = ("tena
     return cut.withColumn("_k", first).where(F.col("_k") == 1).drop("_k", "_r")
 
 
-def mmr(pool: DataFrame, queries: DataFrame, k: int, weight: float = 0.68, id_col: str = "vector_id") -> DataFrame:
+def mmr(pool: DataFrame, queries: DataFrame, k: int, weight: float = 0.68, id_col: str = "vector_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, sim, mmr_rank) of up to ``k`` rows a query, chosen for relevance and novelty and ranked by similarity.
 
-    A query's pool is bounded by the caller's cut; each is one pandas group.
+    A query's pool is bounded by the caller's cut; each is one pandas group. Of rows equal in ``keys``, if given, one counts.
     """
-    rows = pool.select("query_id", id_col, "embedding", "fused").join(F.broadcast(queries.select("query_id", "query_vec")), "query_id")
+    rows = pool.select("query_id", id_col, "embedding", "fused", *[F.col(c).alias(f"_key_{c}") for c in keys]).join(F.broadcast(queries.select("query_id", "query_vec")), "query_id")
     schema = f"query_id {dict(pool.dtypes)['query_id']}, {id_col} bigint, sim double, mmr_rank int"
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates([f"_key_{c}" for c in keys]) if keys else frame
         frame = frame.sort_values(["fused", id_col], ascending=[False, True])
         v = np.stack([np.asarray(x, float) for x in frame["embedding"]])
         sim = v @ np.asarray(frame["query_vec"].iloc[0], float)
@@ -317,23 +328,30 @@ def mmr(pool: DataFrame, queries: DataFrame, k: int, weight: float = 0.68, id_co
     return rows.groupBy("query_id").applyInPandas(choose, schema)
 
 
+def overlaps(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """``rows`` with ``_lexical``, the token overlap of question with section and body, ``_plain``: the question has no token to compare, and ``_section``."""
+    rows = rows.join(F.broadcast(questions.select("query_id", "terms", "phrases", "has_focus", "rerank_terms")), "query_id")
+    share = lambda c: F.size(F.array_intersect(F.col("rerank_terms"), X.overlap_tokens(F.col(c)))) / F.greatest(F.lit(1), F.size("rerank_terms"))
+    rows = rows.withColumn("_lexical", 0.35 * share("section_path_str") + 0.65 * share("text")).withColumn("_plain", F.size("rerank_terms") == 0)
+    if "_section" not in rows.columns:
+        rows = rows.withColumn("_section", section_factors(F.col("section_path_str"), F.col("text")))
+    return rows.drop("terms", "phrases", "has_focus", "rerank_terms")
+
+
 def hybrid_rerank(candidates: DataFrame, questions: DataFrame, top_k: int, alpha: float = 0.30, id_col: str = "vector_id") -> DataFrame:
     """``score`` and ``rank`` (from 1) of each query's ``top_k``: normalised fused score and token overlap with section and body, times the multipliers.
 
-    Where a question has no token to compare, the fused score decides.
+    Where a question has no token to compare, the fused score decides. Candidates may come from ``overlaps``, without texts then.
     """
     a = min(max(alpha, 0.05), 0.95)
-    facts = questions.select("query_id", "terms", "phrases", "has_focus", "rerank_terms")
-    rows = candidates.join(F.broadcast(facts), "query_id")
+    rows = candidates if "_lexical" in candidates.columns else overlaps(candidates, questions)
     own = W.partitionBy("query_id")
     low, high = F.min("fused").over(own), F.max("fused").over(own)
     sem = F.when(high > low, (F.col("fused") - low) / (high - low)).otherwise(1.0)
-    share = lambda c: F.size(F.array_intersect(F.col("rerank_terms"), X.overlap_tokens(F.col(c)))) / F.greatest(F.lit(1), F.size("rerank_terms"))
-    lexical = 0.35 * share("section_path_str") + 0.65 * share("text")
-    combined = (a * sem + (1 - a) * lexical) * section_factors(F.col("section_path_str"), F.col("text"))
-    scored = rows.withColumn("score", F.when(F.size("rerank_terms") == 0, F.col("fused")).otherwise(combined))
+    combined = (a * sem + (1 - a) * F.col("_lexical")) * F.col("_section")
+    scored = rows.withColumn("score", F.when(F.col("_plain"), F.col("fused")).otherwise(combined))
     ranked = scored.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), id_col)))
-    return ranked.where(F.col("rank") <= top_k).drop("terms", "phrases", "has_focus", "rerank_terms")
+    return ranked.where(F.col("rank") <= top_k).drop("_lexical", "_plain", "_section")
 
 
 def top_fused(candidates: DataFrame, top_k: int, id_col: str = "vector_id") -> DataFrame:
