@@ -299,9 +299,9 @@ def boilerplate(text: Column) -> Column:
     return F.when(F.rlike(head, F.lit(NOISE_PATTERN)) & ~F.rlike(head, F.lit(TECH_PATTERN)), 0.32).otherwise(1.0)
 
 
-def term_coverage(text: Column, terms: Column) -> Column:
-    """0.78 to 1.28 by the share of distinct terms that are substrings of the text; 1 for fewer than two terms."""
-    low, distinct = F.lower(text_of(text)), F.array_distinct(terms)
+def term_coverage(text: Column, terms: Column, low: Column | None = None) -> Column:
+    """0.78 to 1.28 by the share of distinct terms that are substrings of the text, whose lower case may be given; 1 for fewer than two terms."""
+    low, distinct = F.lower(text_of(text)) if low is None else low, F.array_distinct(terms)
     share = F.size(F.filter(distinct, lambda t: F.contains(low, t))) / F.greatest(F.lit(1), F.size(distinct))
     return F.when((F.size(terms) < 2) | (low == ""), 1.0).otherwise(0.78 + 0.5 * share)
 

@@ -127,8 +127,12 @@ def _term_lists(queries: DataFrame) -> DataFrame:
 
 def _counted(text: Column) -> Column:
     """Of one text its length in tokens (1 at least) and how often it has each of ``_terms``; tokens are cut once."""
-    count = lambda tokens: F.transform("_terms", lambda t: F.size(F.filter(tokens, lambda x: x == t)))
-    return F.transform(F.array(X.bm25_tokens(text)), lambda k: F.struct(F.greatest(F.lit(1), F.size(k)).alias("dl"), count(k).alias("tf")))[0]
+    return F.transform(F.array(X.bm25_tokens(text)), _counts_of)[0]
+
+
+def _counts_of(tokens: Column) -> Column:
+    count = F.transform("_terms", lambda t: F.size(F.filter(tokens, lambda x: x == t)))
+    return F.struct(F.greatest(F.lit(1), F.size(tokens)).alias("dl"), count.alias("tf"))
 
 
 def _bm25_weights(rows: DataFrame, terms: DataFrame, k1: float) -> DataFrame:
@@ -266,22 +270,30 @@ def fuse(pool: DataFrame, bm25_weight: float = 0.65, blend: float = 0.25, id_col
     return ranked.withColumn("fused", (1 - beta) * linear + beta * minmax("rrf"))
 
 
-def section_factors(section: Column, text: Column) -> Column:
-    """The product of the multipliers that look at a chunk's section and length."""
+def section_factors(section: Column, text: Column, thin: Column | None = None, title: Column | None = None) -> Column:
+    """The product of the multipliers that look at a chunk's section and length; two of them, which depend on the chunk alone, may be given."""
     terms, phrases, focus = F.col("terms"), F.col("phrases"), F.col("has_focus")
-    return X.section_match(section, focus, terms, phrases) * X.generic_section(section, phrases) * X.thin_chunk(text) * X.title_only(section, text) * X.spec_section(section, terms)
+    thin, title = X.thin_chunk(text) if thin is None else thin, X.title_only(section, text) if title is None else title
+    return X.section_match(section, focus, terms, phrases) * X.generic_section(section, phrases) * thin * title * X.spec_section(section, terms)
 
 
 def measured(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """``rows`` of questions with what the fusion stage needs of their texts, so that texts need not travel on.
 
     ``_c``: length and counts of the query's terms; ``_section``: multipliers of section and length; ``_factor``: all multipliers.
+    Rows may also be of chunks, with what their questions have of them in a list ``_asks``: what depends on the
+    chunk alone is then worked out once for all of them.
     """
+    section, text = F.col("section_path_str"), F.col("text")
+    alone = {"_tokens": X.bm25_tokens(text), "_low": F.lower(X.text_of(text)), "_boiler": X.boilerplate(text), "_thin": X.thin_chunk(text), "_title": X.title_only(section, text)}
+    own = rows.withColumns(alone)
+    if "_asks" in rows.columns:
+        own = own.withColumn("_ask", F.explode("_asks")).drop("_asks").select("*", "_ask.*").drop("_ask")
     facts = questions.select("query_id", "terms", "phrases", "has_focus", F.array_sort(F.array_distinct("bm25_terms")).alias("_terms"))
-    joined = rows.join(F.broadcast(facts), "query_id").withColumn("_c", _counted(F.col("text")))
-    joined = joined.withColumn("_section", section_factors(F.col("section_path_str"), F.col("text")))
-    factor = X.boilerplate(F.col("text")) * X.term_coverage(F.col("text"), F.col("terms")) * F.col("_section")
-    return joined.withColumn("_factor", factor).drop("terms", "phrases", "has_focus", "_terms")
+    joined = own.join(F.broadcast(facts), "query_id").withColumn("_c", _counts_of(F.col("_tokens")))
+    joined = joined.withColumn("_section", section_factors(section, text, F.col("_thin"), F.col("_title")))
+    factor = F.col("_boiler") * X.term_coverage(text, F.col("terms"), F.col("_low")) * F.col("_section")
+    return joined.withColumn("_factor", factor).drop("terms", "phrases", "has_focus", "_terms", *alone)
 
 
 def adjust(fused: DataFrame, questions: DataFrame) -> DataFrame:

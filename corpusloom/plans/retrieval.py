@@ -106,7 +106,9 @@ def retrieve(
         found = rank.nearest_ids(base, asked, initial_k)
     else:
         found = index.search(asked, initial_k, probe).withColumnRenamed("cell", "_cell_of")
-    pool = stash(rank.measured(read(stash(found, "found"), initial_k, *KEYS, "text", "section_path_str"), q).drop("text", "section_path_str"), "pool")
+    own = ["query_id", "dense", "dense_rank"]
+    asks = found.groupBy(*[x for x in found.columns if x not in own]).agg(F.collect_list(F.struct(*own)).alias("_asks"))
+    pool = stash(rank.measured(read(asks, initial_k, *KEYS, "text", "section_path_str"), q).drop("text", "section_path_str"), "pool")
     scored = rank.adjust(rank.fuse(rank.bm25(pool, q), c.bm25_weight, c.rrf_linear_blend), q)
     cut = stash(rank.cut_and_dedupe(scored, pool_k), "cut")
     take = min(c.mmr_k, pool_k)

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import expand
+from corpusloom.operators import expand, rank
 from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans.config import RetrievalConfig
+from corpusloom.plans.questions import question_rows
 from corpusloom.plans.retrieval import retrieve
 from corpusloom.sources import shared
 
@@ -88,3 +89,25 @@ def test_neighbours_and_an_index_without_tenants(spark, tmp_path):
     index = VectorIndex.build(chunks, str(tmp_path / "index"))
     assert told(retrieve(chunks, asked, config, index=index)) == want
     assert found.reranked.where(F.col("text").isNull()).count() == 0 and "_section" not in found.reranked.columns
+
+
+def test_pairs_too_many_to_broadcast_and_chunks_with_many_questions(spark, monkeypatch):
+    rows = made(90, 300, seed=6)
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    asked = [(i, f"what is the section {i % 3} of abc ab", [float(x) for x in rows[i][-1]]) for i in range(12)]
+    config = RetrievalConfig(min_hybrid_rerank_score=0.0, retrieval_pool_k=40, mmr_k=10)
+    told = lambda found: sorted((r.query_id, r.rank, r.vector_id, r.text, r.bm25, r.fused, r.score) for r in found.reranked.collect())
+    want = told(retrieve(chunks, asked, config))
+    assert {w[0] for w in want} == set(range(12))
+    monkeypatch.setattr(rank, "MOST_FETCHED", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert told(retrieve(chunks, asked, config)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # each chunk stands in many pools: what is measured once for all of them is what each has for itself
+    q = question_rows(spark, asked)
+    pairs = chunks.drop("embedding").crossJoin(q.select("query_id"))
+    listed = chunks.drop("embedding").crossJoin(q.agg(F.collect_list(F.struct("query_id")).alias("_asks")))
+    seen = lambda df: sorted((r.query_id, r.vector_id, r._c.dl, tuple(r._c.tf), r._section, r._factor) for r in df.collect())
+    assert seen(rank.measured(pairs, q)) == seen(rank.measured(listed, q)) != []
