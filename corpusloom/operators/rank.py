@@ -85,9 +85,11 @@ def _keys(chunks: DataFrame, id_col: str) -> list[str]:
 def nearest_ids(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id") -> DataFrame:
     """(query_id, tenant and id, dense, dense_rank from 0) of the ``k`` chunks of largest inner product for each query.
 
-    Reads ids and embeddings only. A task keeps ``k`` rows a question; see ``topk``.
+    Reads ids and embeddings only. A task keeps ``k`` rows a question (see ``topk``), so there are no more
+    tasks than cores: with more input tasks grow, not what they leave.
     """
     keys, found = _keys(chunks, id_col), None
+    chunks = chunks.coalesce(max(1, chunks.sparkSession.sparkContext.defaultParallelism))
     for names, vectors in query_matrices(queries):
         ranked = topk.best(chunks, vectors, k, keys, id_col).join(F.broadcast(names), "q")  # at most MOST_QUERIES names
         ranked = ranked.select("query_id", *keys, F.col("score").alias("dense"), F.col("rank").alias("dense_rank"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import expand, rank
+from corpusloom.operators import expand, rank, topk
 from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans.config import RetrievalConfig
 from corpusloom.plans.questions import question_rows
@@ -111,3 +111,15 @@ def test_pairs_too_many_to_broadcast_and_chunks_with_many_questions(spark, monke
     listed = chunks.drop("embedding").crossJoin(q.agg(F.collect_list(F.struct("query_id")).alias("_asks")))
     seen = lambda df: sorted((r.query_id, r.vector_id, r._c.dl, tuple(r._c.tf), r._section, r._factor) for r in df.collect())
     assert seen(rank.measured(pairs, q)) == seen(rank.measured(listed, q)) != []
+
+
+def test_the_dense_stage_has_no_more_tasks_than_cores(spark, monkeypatch):
+    rows = made(120, 5, seed=8)
+    chunks, tasks, best = spark.createDataFrame(rows, CHUNKS), [], topk.best
+    asked = spark.createDataFrame([(i, [float(x) for x in rows[i][-1]]) for i in range(4)], "query_id bigint, query_vec array<double>")
+    monkeypatch.setattr(topk, "best", lambda own, *a, **b: tasks.append(own.rdd.getNumPartitions()) or best(own, *a, **b))
+    got = sorted((r.query_id, r.dense_rank, r.vector_id) for r in rank.nearest_ids(chunks.repartition(40), asked, 3).collect())
+    vectors = np.array([r[-1] for r in rows], np.float32).astype(float)
+    asks = np.array([r.query_vec for r in asked.orderBy("query_id").collect()])
+    assert got == [(q, at, int(i)) for q in range(4) for at, i in enumerate(np.argsort(-(vectors @ asks[q]), kind="stable")[:3])]
+    assert tasks == [spark.sparkContext.defaultParallelism]
